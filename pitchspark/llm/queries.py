@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchspark.llm import exact_dedup, sharding
+from pitchspark.llm import exact_dedup, packing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,9 +38,17 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
+    "op3_packing": op3_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
