@@ -57,6 +57,32 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every node of ``edges`` (a, b): the smallest node it reaches.
+
+    Alternates the star contractions of connected components in map-reduce: a node hands its larger neighbours to its
+    smallest one, then its smaller ones. Minima are partly aggregated before the shuffle; a node with very many
+    neighbours is only ever a join key, which adaptive execution splits.
+    """
+    pairs = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    pairs = staged(pairs, "stars")
+    while True:
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars-min")
+        least, _ = small(least)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = staged(large, "stars-large")
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "stars-min")
+        hint, _ = small(least)
+        moved = large.join(hint, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = staged(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), "stars")
+        pairs = new
+        if moved.isEmpty() and new.join(new.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+            break
+    ends = pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(ends)
+
+
 # --- 64-bit hashes over the bytes of an Arrow batch -------------------------------------------------------------
 
 _ODD = 0x9E3779B97F4A7C15
@@ -127,6 +153,27 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(_ODD))
 
 
+#: Bytes of text that one step over a batch takes, but for a single longer text.
+BATCH_BYTES = 4_000_000
+
+
+def text_batches(batches, column: int = 1, most: int = BATCH_BYTES):
+    """The same rows in slices whose texts (Arrow column number ``column``) have about ``most`` bytes at most."""
+    import pyarrow as pa
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        body = batch.column(column)
+        kind = pa.large_string() if pa.types.is_string(body.type) else body.type
+        ends = np.frombuffer(body.cast(kind).buffers()[1], dtype=np.int64)[body.offset : body.offset + len(body) + 1]
+        lo = 0
+        while lo < len(body):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, side="right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column and the bounds of its rows; nulls are empty. Nothing is copied."""
     import pyarrow as pa
