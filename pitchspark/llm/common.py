@@ -144,13 +144,25 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, from prefix sums of a polynomial over the bytes."""
+    return word_prefix_hashes(data, starts, ends, (None,))[0]
+
+
+def word_prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple) -> list[np.ndarray]:
+    """Hashes of each word's first bytes, for each of ``lengths`` (None: of the whole word). Shorter words count whole,
+    but with another hash for each length."""
     if not len(starts):
-        return np.empty(0, dtype=np.uint64)
+        return [np.empty(0, dtype=np.uint64) for _ in lengths]
     power = powers(BASE, len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
     back = powers(INVERSE, len(data))
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(_ODD))
+    back = back[starts]
+    begin, out = sums[starts], []
+    for length in lengths:
+        stops = ends if length is None else np.minimum(ends, starts + length)
+        size = (stops - starts).astype(np.uint64) + np.uint64(0 if length is None else length << 32)
+        out.append(mix((sums[stops] - begin) * back + size * np.uint64(_ODD)))
+    return out
 
 
 #: Bytes of text that one step over a batch takes, but for a single longer text.

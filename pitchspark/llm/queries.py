@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchspark.llm import exact_dedup, minhash, packing, sharding, suffix_dedup
+from pitchspark.llm import exact_dedup, minhash, packing, sharding, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,12 +53,25 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    labels, docs = _table(spark, sf_dir, "labels"), _table(spark, sf_dir, "documents")
+    return toxicity.train_on(docs, labels, ~toxicity.held_out(F.col("doc_id")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(_table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return found.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", F.col("flagged").cast("int").alias("predicted")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
