@@ -376,6 +376,16 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[at], reach[np.concatenate([at[1:] - 1, [len(reach) - 1]])]
 
 
+def _remaining(body: np.ndarray, wanted: list, mark: int) -> tuple[bytes, int]:
+    """The bytes outside the windows' ranges that carry this text's mark, and the number of removed runs."""
+    own = [(w["start"], w["start"] + w["wins"] + LENGTH - 1) for w in wanted if w["mark"] == mark]
+    if not own:
+        return body.tobytes(), 0
+    starts, ends = _spans(*np.array(own, dtype=np.int64).T)
+    edges = [0, *np.stack([starts, ends], axis=1).ravel().tolist(), len(body)]
+    return b"".join(body[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2])), len(starts)
+
+
 def _cut(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
@@ -383,18 +393,12 @@ def _cut(keep_text: bool):
             total, gone, count, digests, texts = [], [], [], [], []
             wanted, marks = batch.column(2).to_pylist(), None
             for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                body = data[a:b]
-                starts, ends = np.empty(0, np.int64), np.empty(0, np.int64)
-                if wanted[k]:
-                    marks = text_marks(data, bounds) if marks is None else marks
-                    own = [(w["start"], w["start"] + w["wins"] + LENGTH - 1) for w in wanted[k] if w["mark"] == marks[k]]
-                    if own:
-                        starts, ends = _spans(*np.array(own, dtype=np.int64).T)
-                edges = [0, *np.stack([starts, ends], axis=1).ravel().tolist(), b - a]
-                left = b"".join(body[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2]))
+                if wanted[k] and marks is None:
+                    marks = text_marks(data, bounds)
+                left, spans = _remaining(data[a:b], wanted[k] or [], marks[k] if wanted[k] else 0)
                 total.append(b - a)
                 gone.append(b - a - len(left))
-                count.append(len(starts))
+                count.append(spans)
                 digests.append(hashlib.sha256(left).hexdigest())
                 texts.append(left.decode("utf-8", "ignore") if keep_text else None)
             yield pa.RecordBatch.from_arrays(
@@ -447,3 +451,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return cut.select(
         F.when(F.col("id") != _NULL_ID, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text
     )
+
+
+def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs``, all columns, with repeats cut out of the text; ``length_col``, if there, counts the characters that stay.
+
+    Texts that lose nothing stay as they are, null ones too. Columns may have any names.
+    """
+    at = docs.columns.index(text_col)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
+    ranges = repeated_ranges(rows).groupBy("id").agg(F.collect_list(F.struct("mark", "start", "wins")).alias("__ranges"))
+    ranges = ranges.withColumnRenamed("id", "__range_id")
+    joined = docs.join(ranges, F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)) == F.col("__range_id"), "left").drop("__range_id")
+    n = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, column=at):
+            column, wanted = batch.column(at), batch.column(n).to_pylist()
+            data, bounds = text_bytes(column)
+            marks = text_marks(data, bounds) if any(wanted) else None
+            texts = [left(data[a:b], w, marks[k]).decode("utf-8", "ignore") if w else None for k, (a, b, w) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), wanted))]
+            columns = list(batch.columns[:n])
+            columns[at] = pa.array([x.as_py() if t is None else t for x, t in zip(column, texts)], column.type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(k) for k in range(n)]))
+
+    def left(body: np.ndarray, wanted: list, mark: int) -> bytes:
+        return _remaining(body, wanted, mark)[0]
+
+    out = joined.mapInArrow(run, docs.schema)
+    if length_col in docs.columns:
+        size = F.when(F.col(text_col).isNotNull(), F.char_length(text_col)).cast(docs.schema[length_col].dataType)
+        out = out.withColumn(length_col, F.coalesce(size, F.col(length_col)))
+    return out
