@@ -427,12 +427,10 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     usual = bodies.join(hot, "mini", "left_anti").repartition(tasks, "mini").sortWithinPartitions("mini", "id", "mark", "start")
     ranges = usual.mapInArrow(_index_blocks, _RANGE_TYPES)
     if not hot.isEmpty():
-        windows = staged(
-            bodies.join(hot, "mini", "left_semi").mapInArrow(_window_rows, "mini long, window long, id long, mark int, start int"),
-            "suffix-windows",
-        )
+        # not staged: within one query the shuffle of the texts is made once for all that reads it
+        windows = bodies.join(hot, "mini", "left_semi").mapInArrow(_window_rows, "mini long, window long, id long, mark int, start int")
         at = F.struct("id", "mark", "start")
-        first = staged(windows.groupBy("mini", "window").agg(F.min(at).alias("first")), "suffix-first")
+        first = windows.groupBy("mini", "window").agg(F.min(at).alias("first"))
         later = windows.join(first, ["mini", "window"]).where(at != F.col("first"))
         ranges = ranges.unionByName(later.select("id", "mark", "start", F.lit(1).alias("wins")))
     return found.where("NOT edge").select(*_RANGE).unionByName(ranges)
