@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchspark.llm import exact_dedup, html_text, minhash, packing, quality, sharding, suffix_dedup, toxicity
+from pitchspark.llm import exact_dedup, html_text, minhash, packing, quality, sharding, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,86 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` has no fetch time: one each four hours by page_id, over 180 days."""
+    at = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.expr("make_dt_interval(0, CAST(pmod(page_id, 1080) * 4 AS INT))")
+    return _table(spark, sf_dir, "pages").select("page_id", "url", at.cast("timestamp_ntz").alias("fetched_at"))
+
+
+def _code(text: Column) -> Column:
+    """A number below 65536 from the MD5 of a text, which SQL engines can say too."""
+    return F.conv(F.substring(F.md5(text), 1, 4), 16, 10).cast("int")
+
+
+def _list_events(captures: DataFrame) -> DataFrame:
+    """A dated list for the captures' own hosts: every host and host's first path segment has entries by a checksum."""
+    url = url_filter.normal_url(F.col("url"))
+    host = F.regexp_extract(url, r"^([^/?]*)", 1)
+    first = F.regexp_extract(url, r"^([^/?]*/[^/?]+)", 1)
+    kind = F.when(_code(host) % 2 == 0, "domain").otherwise("host")
+    made = captures.select(F.lit("hosts").alias("list"), kind.alias("kind"), host.alias("pattern")).unionByName(
+        captures.select(F.lit("paths").alias("list"), F.lit("prefix").alias("kind"), first.alias("pattern"))
+    )
+    made = made.where("pattern != ''").distinct().withColumn("code", _code(F.col("pattern"))).where("code % 4 != 3")
+    day = lambda n: (F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.expr(f"make_dt_interval(CAST({n} AS INT))")).cast("timestamp_ntz")
+    added, removed, again = day("code % 90"), day("code % 90 + 20 + code % 31"), day("code % 90 + 80")
+    event = lambda rows, action, at: rows.select("list", "kind", "pattern", F.lit(action).alias("action"), at.alias("at"))
+    return (
+        event(made, "add", added)
+        .unionByName(event(made.where("code % 3 != 0"), "remove", removed))
+        .unionByName(event(made.where("code % 6 = 1"), "add", again))
+    )
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = _fetched(spark, sf_dir)
+    return url_filter.judge(captures, _list_events(captures))
+
+
+OP8_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST((page_id % 1080) * 4 AS INTEGER)) AS fetched_at,
+         regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://', ''), '#.*$', '') AS rest FROM pages
+), a AS (
+  SELECT *, regexp_extract(rest, '^([^/?]*)', 1) AS authority FROM p
+), h AS (
+  SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(authority, '^.*@', ''), ':[0-9]*$', ''), '\.$', '')) AS host,
+         substring(rest, length(authority) + 1) AS tail FROM a
+), n AS (
+  SELECT page_id, url, fetched_at, host, CASE WHEN host <> '' THEN
+         host || regexp_replace(regexp_extract(tail, '^([^?]*)', 1), '/+$', '') || regexp_extract(tail, '(\?.*)$', 1) END AS normal_url FROM h
+), patterns AS (
+  SELECT DISTINCT 'hosts' AS list, host AS pattern, CASE WHEN CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) % 2 = 0 THEN 'domain' ELSE 'host' END AS kind
+  FROM n WHERE host <> ''
+  UNION ALL
+  SELECT DISTINCT 'paths', regexp_extract(normal_url, '^([^/?]*/[^/?]+)', 1) AS first, 'prefix' FROM n WHERE regexp_extract(normal_url, '^([^/?]*/[^/?]+)', 1) <> ''
+), coded AS (
+  SELECT *, CAST('0x' || substr(md5(pattern), 1, 4) AS INTEGER) AS code FROM patterns
+), e AS (
+  SELECT list, kind, pattern, 'add' AS action, TIMESTAMP '2024-01-01 00:00:00' + to_days(code % 90) AS moment FROM coded WHERE code % 4 <> 3
+  UNION ALL
+  SELECT list, kind, pattern, 'remove', TIMESTAMP '2024-01-01 00:00:00' + to_days(code % 90 + 20 + code % 31) FROM coded WHERE code % 4 <> 3 AND code % 3 <> 0
+  UNION ALL
+  SELECT list, kind, pattern, 'add', TIMESTAMP '2024-01-01 00:00:00' + to_days(code % 90 + 80) FROM coded WHERE code % 4 <> 3 AND code % 6 = 1
+), spans AS (
+  SELECT list, kind, pattern, action, moment AS since, lead(moment) OVER (PARTITION BY list, kind, pattern ORDER BY moment) AS until FROM e
+), hits AS (
+  SELECT n.page_id, n.url, n.fetched_at, s.list, s.kind, s.pattern, s.since
+  FROM n JOIN spans s ON s.action = 'add' AND n.fetched_at >= s.since AND (s.until IS NULL OR n.fetched_at < s.until)
+   AND (s.kind = 'host' AND n.host = s.pattern
+     OR s.kind = 'domain' AND (n.host = s.pattern OR ends_with(n.host, '.' || s.pattern))
+     OR s.kind = 'prefix' AND (split_part(n.normal_url, '?', 1) = s.pattern OR starts_with(split_part(n.normal_url, '?', 1), s.pattern || '/')))
+), judged AS (
+  SELECT page_id, url, fetched_at, count(DISTINCT list || ' ' || kind || ' ' || pattern) AS n_entries, string_agg(DISTINCT list, ',' ORDER BY list) AS lists,
+         arg_min(list || ':' || kind || ':' || pattern, list || ' ' || kind || ' ' || pattern) AS rule, arg_min(since, list || ' ' || kind || ' ' || pattern) AS since
+  FROM hits GROUP BY ALL
+)
+SELECT n.page_id, n.url, n.fetched_at, n.normal_url, coalesce(j.n_entries, 0) AS n_entries, coalesce(j.lists, '') AS lists, j.rule, j.since,
+       coalesce(j.n_entries, 0) > 0 AS blocked
+FROM n LEFT JOIN judged j USING (page_id, url, fetched_at)
+"""
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     labels, docs = _table(spark, sf_dir, "labels"), _table(spark, sf_dir, "documents")
     return toxicity.train_on(docs, labels, ~toxicity.held_out(F.col("doc_id")))
@@ -83,7 +163,8 @@ QUERIES: dict[str, Query] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_url_filters": op8_url_filters,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op8_url_filters": OP8_SQL}
