@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchspark.llm import exact_dedup, html_text, minhash, packing, quality, sharding, suffix_dedup, toxicity, url_filter
+from pitchspark.llm import exact_dedup, html_text, minhash, packing, quality, sentencepiece_codec, sharding, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -143,6 +143,14 @@ FROM n LEFT JOIN judged j USING (page_id, url, fetched_at)
 """
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and checksum of every text's ids, and the checksum of what they decode to."""
+    import public_tokenizers as tokenizers
+
+    found = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_tokens", "n_byte_tokens", F.crc32("tokens").alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     labels, docs = _table(spark, sf_dir, "labels"), _table(spark, sf_dir, "documents")
     return toxicity.train_on(docs, labels, ~toxicity.held_out(F.col("doc_id")))
@@ -164,6 +172,7 @@ QUERIES: dict[str, Query] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_url_filters": op8_url_filters,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_toxicity": op10_toxicity,
 }
 
