@@ -166,7 +166,7 @@ def word_prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, l
 
 
 #: Bytes of text that one step over a batch takes, but for a single longer text.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 
 def text_batches(batches, column: int = 1, most: int = BATCH_BYTES):

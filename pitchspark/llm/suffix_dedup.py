@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchspark.llm.common import BASE, BATCH_BYTES, INVERSE, mix, powers, small, staged, text_batches, text_bytes
+from pitchspark.llm.common import BASE, INVERSE, mix, powers, small, staged, text_batches, text_bytes
 
 LENGTH, GRAM = 100, 32
 #: Windows of one piece at most, which is also the number of grams in a window.
 SPAN = LENGTH - GRAM + 1
+#: Bytes that one pass of hashing takes, and bytes within which repeats are combined before the shuffle.
+SLICE_BYTES, COMBINE_BYTES = 1_000_000, 16_000_000
 #: Bytes of one run-length index, and different pieces of one minimiser beyond which its windows are aggregated instead.
 BLOCK_BYTES, HOT = 1_000_000, 20_000
 
@@ -115,14 +117,12 @@ _PIECE_TYPES = "route long, mini long, content long, id long, mark int, start in
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A batch's pieces. Those that repeat one of the same batch leave as ranges, routed by document; the others are
     fresh and routed by minimiser."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in text_batches(batches, most=COMBINE_BYTES):
         data, bounds = text_bytes(batch.column(1))
         ids, marks = batch.column(0).to_numpy(zero_copy_only=False), text_marks(data, bounds)
         found = []
-        for lo in range(0, len(data), BATCH_BYTES):
-            hi = min(len(data), lo + BATCH_BYTES)
+        for lo in range(0, len(data), SLICE_BYTES):
+            hi = min(len(data), lo + SLICE_BYTES)
             some = data[lo : min(len(data), hi + LENGTH - 1)]
             docs = np.searchsorted(bounds, np.arange(lo, hi), side="right") - 1
             mini, content, starts, wins, inner = slice_pieces(some, bounds[docs + 1] - lo)
