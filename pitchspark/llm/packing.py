@@ -48,9 +48,9 @@ def encoders(json_path: str, ranks_path: str | None):
 
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
+    whole = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(json_path))  # loaded when the first text needs it
     if ranks_path is None:
-        return lambda texts: [e.ids for e in slow.encode_batch_fast(texts, add_special_tokens=False)]
+        return lambda texts: [e.ids for e in whole().encode_batch_fast(texts, add_special_tokens=False)]
     import base64
 
     import tiktoken
@@ -62,9 +62,7 @@ def encoders(json_path: str, ranks_path: str | None):
     odd = re.compile(r"<\||[^\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-⁞€]")
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [
-            slow.encode(x, add_special_tokens=False).ids if odd.search(x) else fast.encode_ordinary(x) for x in texts
-        ]
+        return [whole().encode(x, add_special_tokens=False).ids if odd.search(x) else fast.encode_ordinary(x) for x in texts]
 
     return encode
 

@@ -34,7 +34,7 @@ LENGTH, GRAM = 100, 32
 #: Windows of one piece at most, which is also the number of grams in a window.
 SPAN = LENGTH - GRAM + 1
 #: Bytes that one pass of hashing takes, and bytes within which repeats are combined before the shuffle.
-SLICE_BYTES, COMBINE_BYTES = 1_000_000, 16_000_000
+SLICE_BYTES, COMBINE_BYTES = 500_000, 8_000_000
 #: Bytes of one run-length index, and different pieces of one minimiser beyond which its windows are aggregated instead.
 BLOCK_BYTES, HOT = 1_000_000, 20_000
 
@@ -335,37 +335,41 @@ def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield ranges()
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the bodies with its hash."""
-    for batch in batches:
-        for mini, i, mark, start, wins, body in zip(*(batch.column(k).to_pylist() for k in range(6))):
-            data = np.frombuffer(body, dtype=np.uint8)
-            hashes = [int.from_bytes(hashlib.blake2b(data[k : k + LENGTH], digest_size=8).digest(), "little", signed=True) for k in range(wins)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([mini] * wins), pa.array(hashes), pa.array([i] * wins), pa.array([mark] * wins, pa.int32()), pa.array(np.arange(start, start + wins, dtype=np.int32))],
-                ["mini", "window", "id", "mark", "start"],
-            )
+# --- the operator ------------------------------------------------------------------------------------------------
 
 
-# --- the operator ------------------------------------------------------------------------------------------------
+def _wanted(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(minimiser, id, mark, start, windows, bytes) of the wanted pieces of a batch of id, text, wanted."""
+    data, bounds = text_bytes(batch.column(1))
+    marks = text_marks(data, bounds)
+    for k, (i, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+        for w in wanted:
+            if w["mark"] == marks[k]:
+                a = int(bounds[k]) + w["start"]
+                yield w["mini"], i, w["mark"], w["start"], w["wins"], data[a : a + w["wins"] + LENGTH - 1].tobytes()
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
     for batch in text_batches(batches):
-        data, bounds = text_bytes(batch.column(1))
-        marks = text_marks(data, bounds)
-        rows = []
-        for k, (i, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-            for w in wanted:
-                if w["mark"] == marks[k]:
-                    a = int(bounds[k]) + w["start"]
-                    rows.append((w["mini"], i, w["mark"], w["start"], w["wins"], data[a : a + w["wins"] + LENGTH - 1].tobytes()))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        rows = list(_wanted(batch))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["mini", "id", "mark", "start", "wins", "body"]
         )
 
 
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of the wanted pieces with its hash."""
+    for batch in text_batches(batches):
+        rows = [
+            (mini, int.from_bytes(hashlib.blake2b(body[k : k + LENGTH], digest_size=8).digest(), "little", signed=True), i, mark, start + k)
+            for mini, i, mark, start, wins, body in _wanted(batch)
+            for k in range(wins)
+        ]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["mini", "window", "id", "mark", "start"])
+
+
 def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of ranges; touching ones become one."""
     order = np.argsort(starts, kind="stable")
@@ -421,14 +425,14 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
         "suffix-found",
     )
     edges = found.where("edge")
-    wanted = edges.groupBy("id").agg(F.collect_list(F.struct("mini", "mark", "start", "wins")).alias("wanted"))
-    bodies = rows.join(wanted, "id").select("id", "text", "wanted").mapInArrow(_bodies, _BODY_TYPES)
     hot, _ = small(staged(edges.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("mini"), "suffix-hot"))
-    usual = bodies.join(hot, "mini", "left_anti").repartition(tasks, "mini").sortWithinPartitions("mini", "id", "mark", "start")
-    ranges = usual.mapInArrow(_index_blocks, _RANGE_TYPES)
+    # not staged: within one query the shuffle of the texts is made once for all that reads it
+    spots = lambda some: some.groupBy("id").agg(F.collect_list(F.struct("mini", "mark", "start", "wins")).alias("wanted"))
+    texts = lambda wanted: rows.join(wanted, "id").select("id", "text", "wanted")
+    usual = texts(spots(edges.join(hot, "mini", "left_anti"))).mapInArrow(_bodies, _BODY_TYPES)
+    ranges = usual.repartition(tasks, "mini").sortWithinPartitions("mini", "id", "mark", "start").mapInArrow(_index_blocks, _RANGE_TYPES)
     if not hot.isEmpty():
-        # not staged: within one query the shuffle of the texts is made once for all that reads it
-        windows = bodies.join(hot, "mini", "left_semi").mapInArrow(_window_rows, "mini long, window long, id long, mark int, start int")
+        windows = texts(spots(edges.join(hot, "mini", "left_semi"))).mapInArrow(_window_rows, "mini long, window long, id long, mark int, start int")
         at = F.struct("id", "mark", "start")
         first = windows.groupBy("mini", "window").agg(F.min(at).alias("first"))
         later = windows.join(first, ["mini", "window"]).where(at != F.col("first"))
