@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,7 +71,6 @@ def truth(x: Column | str) -> Column:
 
 def sequence_ratio(a: Column | str, b: Column | str) -> Column:
     """Ratcliff-Obershelp similarity of two texts, 0 to 1; an Arrow UDF, to be used behind blocking only."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
