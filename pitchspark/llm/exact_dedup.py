@@ -28,7 +28,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The groups of two rows or more with the same normalised text: text_sha256, keep_id, group_size."""
     rows = _rows(docs, id_col, text_col)
-    lengths = rows.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len")
+    # one length may be that of a third of all rows: its rows stay where they are while the list of lengths is small
+    lengths, _ = small(staged(rows.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len"), "dedup-lengths"))
     prefixes = (
         rows.select("len", "pre")
         .join(lengths, "len", "left_semi")
@@ -43,11 +44,8 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         survivors = rows.join(prefixes, ["len", "pre"], "left_semi").select("id", digest)
     else:  # digests are shuffled, texts never
         survivors = rows.select("id", "len", "pre", digest).join(prefixes, ["len", "pre"], "left_semi")
-    return (
-        survivors.groupBy("text_sha256")
-        .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-        .where("group_size > 1")
-    )
+    groups = survivors.groupBy("text_sha256").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    return staged(groups.where("group_size > 1"), "dedup-groups")  # a table, so that a join with it can split hot groups
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

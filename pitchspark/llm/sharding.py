@@ -62,6 +62,8 @@ def histogram(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, blocks
     while shift and fresh:
         low = sorted(leaves)
         ends = list(accumulate(leaves[x][0] for x in low))
+        if not low:
+            break
         cut = {low[min(bisect_left(ends, total * i / shards), len(low) - 1)] for i in range(1, shards)}
         probe = [x for x, (size, n) in fresh.items() if n > 1 and (n > most or x in cut and size > near)]
         if not probe:
@@ -77,8 +79,10 @@ def histogram(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, blocks
 
 def cut(intervals: list[tuple[int, int, int]], shards: int, blocks: int = BLOCKS) -> list[tuple[int, int, int]]:
     """Blocks of neighbouring intervals of one shard, as (lower bound, shard, rows of the shard before the block)."""
+    if not intervals:
+        return []
     ends = list(accumulate(x[1] for x in intervals))
-    total, count = (ends[-1] if ends else 0), sum(x[2] for x in intervals)
+    total, count = ends[-1], sum(x[2] for x in intervals)
     most = max(LEAST_BLOCK, count // blocks)
     edges = []
     for i in range(1, shards):

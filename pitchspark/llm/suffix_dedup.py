@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pitchspark.llm.common import BASE, INVERSE, mix, powers, small, staged, text_batches, text_bytes
 
@@ -380,12 +381,20 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[at], reach[np.concatenate([at[1:] - 1, [len(reach) - 1]])]
 
 
-def _remaining(body: np.ndarray, wanted: list, mark: int) -> tuple[bytes, int]:
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bounds of each row's entries, and the fields (mark, start, wins) of all entries one after another."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    fields = [x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten()]
+    return np.concatenate([[0], np.cumsum(lengths)]), fields
+
+
+def _remaining(body: np.ndarray, mark: np.ndarray, start: np.ndarray, wins: np.ndarray, own: int) -> tuple[bytes, int]:
     """The bytes outside the windows' ranges that carry this text's mark, and the number of removed runs."""
-    own = [(w["start"], w["start"] + w["wins"] + LENGTH - 1) for w in wanted if w["mark"] == mark]
-    if not own:
+    mine = mark == own
+    if not mine.any():
         return body.tobytes(), 0
-    starts, ends = _spans(*np.array(own, dtype=np.int64).T)
+    starts = start[mine].astype(np.int64)
+    starts, ends = _spans(starts, starts + wins[mine] + LENGTH - 1)
     edges = [0, *np.stack([starts, ends], axis=1).ravel().tolist(), len(body)]
     return b"".join(body[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2])), len(starts)
 
@@ -395,11 +404,10 @@ def _cut(keep_text: bool):
         for batch in text_batches(batches):
             data, bounds = text_bytes(batch.column(1))
             total, gone, count, digests, texts = [], [], [], [], []
-            wanted, marks = batch.column(2).to_pylist(), None
-            for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                if wanted[k] and marks is None:
-                    marks = text_marks(data, bounds)
-                left, spans = _remaining(data[a:b], wanted[k] or [], marks[k] if wanted[k] else 0)
+            edges, fields = _lists(batch.column(2))
+            marks = text_marks(data, bounds) if edges[-1] else np.zeros(len(batch), np.int32)
+            for k, (a, b, lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), edges[:-1].tolist(), edges[1:].tolist())):
+                left, spans = _remaining(data[a:b], *[x[lo:hi] for x in fields], marks[k])
                 total.append(b - a)
                 gone.append(b - a - len(left))
                 count.append(spans)
@@ -435,8 +443,11 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
         windows = texts(spots(edges.join(hot, "mini", "left_semi"))).mapInArrow(_window_rows, "mini long, window long, id long, mark int, start int")
         at = F.struct("id", "mark", "start")
         first = windows.groupBy("mini", "window").agg(F.min(at).alias("first"))
-        later = windows.join(first, ["mini", "window"]).where(at != F.col("first"))
-        ranges = ranges.unionByName(later.select("id", "mark", "start", F.lit(1).alias("wins")))
+        later = windows.join(first, ["mini", "window"]).where(at != F.col("first")).select("id", "mark", "start")
+        # neighbouring windows of a document become one range
+        place = F.col("start") - F.row_number().over(Window.partitionBy("id", "mark").orderBy("start"))
+        runs = later.distinct().withColumn("_run", place).groupBy("id", "mark", "_run")
+        ranges = ranges.unionByName(runs.agg(F.min("start").alias("start"), F.count("*").cast("int").alias("wins")).select(*_RANGE))
     return found.where("NOT edge").select(*_RANGE).unionByName(ranges)
 
 
@@ -469,17 +480,18 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, column=at):
-            column, wanted = batch.column(at), batch.column(n).to_pylist()
+            column = batch.column(at)
+            edges, fields = _lists(batch.column(n))
             data, bounds = text_bytes(column)
-            marks = text_marks(data, bounds) if any(wanted) else None
-            texts = [left(data[a:b], w, marks[k]).decode("utf-8", "ignore") if w else None for k, (a, b, w) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), wanted))]
+            marks = text_marks(data, bounds) if edges[-1] else None
+            texts = [None] * len(batch)
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                left, _ = _remaining(data[bounds[k] : bounds[k + 1]], *[x[edges[k] : edges[k + 1]] for x in fields], marks[k])
+                texts[k] = left.decode("utf-8", "ignore")
             columns = list(batch.columns[:n])
             columns[at] = pa.array([x.as_py() if t is None else t for x, t in zip(column, texts)], column.type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(k) for k in range(n)]))
 
-    def left(body: np.ndarray, wanted: list, mark: int) -> bytes:
-        return _remaining(body, wanted, mark)[0]
-
     out = joined.mapInArrow(run, docs.schema)
     if length_col in docs.columns:
         size = F.when(F.col(text_col).isNotNull(), F.char_length(text_col)).cast(docs.schema[length_col].dataType)
