@@ -26,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Bytes of a record batch between Spark and Python, so that neither holds much of a partition at once.
+ARROW_BYTES = 8_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep record batches below ``ARROW_BYTES`` in this session; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(x for x in spark.conf.get(name) if x.isdigit() or x == "-"))
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(name, ARROW_BYTES)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: lineage is cut, and losing an executor loses nothing.
 
@@ -166,7 +178,7 @@ def word_prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, l
 
 
 #: Bytes of text that one step over a batch takes, but for a single longer text.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 
 
 def text_batches(batches, column: int = 1, most: int = BATCH_BYTES):
