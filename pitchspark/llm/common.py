@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitchspark.staging import shared_dir, staged  # noqa: F401  also for the operators beside this file
+
 #: White space of all text contracts: the space and U+0009 to U+000D.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -17,15 +15,6 @@ WHITE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 #: Bytes of a record batch between Spark and Python, so that neither holds much of a partition at once.
 ARROW_BYTES = 8_000_000
 
@@ -38,26 +27,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, ARROW_BYTES)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: lineage is cut, and losing an executor loses nothing.
-
-    The table goes away when the driver process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may have ended before; the folder is the cluster's to clear then
-        return
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """``df`` with a broadcast hint if a count shows at most ``limit`` rows, else unchanged for a shuffled join."""
     fits = df.limit(limit + 1).count() <= limit

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pitchspark.staging import staged
+
 
 def change_only(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """Rows whose values differ (null-safe) from those of the row before; the first row of a key always stays."""
@@ -104,8 +106,12 @@ def walk_forward(df: DataFrame, order: list[str], folds: int = 3, locked: float
 
 
 def ranked(df: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
-    """Row numbers (from 1) of a total order over the whole table: range partitions, sizes of the parts, offsets."""
-    spread = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    """Row numbers (from 1) of a total order over the whole table: range partitions, sizes of the parts, offsets.
+
+    The parts are cut at a random sample's bounds, which differ from job to job, so sizes and row numbers come from one
+    staged table.
+    """
+    spread = staged(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranked-parts")
     local = spread.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = {r["_part"]: r["n"] for r in spread.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # ``parts`` rows at most
     before, offsets = 0, []

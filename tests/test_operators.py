@@ -30,6 +30,15 @@ def test_ranked_is_a_total_order(spark):
     assert found.where("k <> v + 1").count() == 0
 
 
+def test_ranked_of_more_rows_than_the_sample(spark):
+    df = spark.range(0, 120_000, 1, 1).select(((F.col("id") * 7919) % 120_000).alias("v"))
+    found = windows.ranked(df, ["v"], "k")
+    assert found.where("k <> v + 1").count() == 0 and found.select("k").distinct().count() == 120_000
+    parts = windows.walk_forward(df, ["v"]).withColumn("ours", F.when(F.col("v") >= 96_000, "LOCKED").otherwise(F.concat(F.lit("FOLD"), F.floor(F.col("v") / 24_000).cast("string"))))
+    assert parts.where("part <> ours").count() == 0 and parts.count() == 120_000
+    assert sorted(r["v"] for r in ordering.quantile_sample(df, ["v"], 3).collect()) == [0, 60_000, 119_999]
+
+
 def test_change_only_is_null_safe(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, 5), (4, 5), (5, None)], "t int, v int").withColumn("k", F.lit(1))
     assert [r[0] for r in rows(windows.change_only(df, ["k"], ["t"], ["v"]).select("t"))] == [1, 3, 5]
