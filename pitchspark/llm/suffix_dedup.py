@@ -308,7 +308,8 @@ _RANGE_TYPES = "id long, mark int, start int, wins int"
 
 
 def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (mini, id, mark, start): blocks of whole minimisers, each with its index."""
+    """Rows sorted by (mini, id, mark, start): blocks of whole minimisers, each with its index. Pieces equal in all four
+    come from a repeated row and count once."""
     rows: list[tuple] = []
     held = 0
 
@@ -330,6 +331,8 @@ def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if held >= BLOCK_BYTES and row[0] != rows[-1][0]:
                 yield ranges()
                 rows, held = [], 0
+            if rows and row[:4] == rows[-1][:4]:
+                continue
             rows.append(row)
             held += len(row[5])
     if rows:

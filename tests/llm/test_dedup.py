@@ -134,6 +134,23 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot, slices):
     assert Counter(tuple(r) for r in found) == brute_repeats(pairs(docs))
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_suffix_dedup_counts_a_repeated_row_once(spark, monkeypatch, hot):
+    """Its pieces that others share, and periodic text, stay where they stand first."""
+    import random
+
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"v{rng.randrange(10_000)}" for _ in range(n))
+    shared = prose(60)
+    row, other, periodic = f"{prose(50)} {shared} {prose(50)}", f"{prose(40)} {shared} {prose(20)}", "abcde " * 200
+    extra = [(30, row), (31, other), (30, row), (32, periodic), (32, periodic), (30, row)]
+    docs = odd_documents(spark).unionByName(spark.createDataFrame([(a, b, 1, "c", "d") for a, b in extra], odd_documents(spark).schema))
+    found = [tuple(r) for r in suffix_dedup.remove_repeats(docs).collect()]
+    assert Counter(found) == brute_repeats(pairs(docs))
+    assert {r[2] for r in found if r[0] == 30} == {0}
+
+
 def test_run_index_streams_true_prefixes():
     import numpy as np
 
