@@ -3,8 +3,9 @@
 Each level only looks at rows whose group at the level before has two rows or more. Everything is DataFrame code.
 
 Defined cases: a null text counts as empty, and empty texts form one group. Rows with a null id stay only if no row of
-their group has an id. Rows that repeat the kept id stay together (they can't be told apart by id). An empty table gives
-an empty result. Other columns are never read, so their names can't clash.
+their group has an id. In the report, rows that repeat the kept id all count as kept (it can't tell them apart by id);
+``exact_dedup`` returns one of them. An empty table gives an empty result. Other columns decide nothing but which of
+those rows it is, and their names can't clash.
 """
 
 from __future__ import annotations
@@ -63,10 +64,28 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, without the rows whose text equals that of a row with a smaller id."""
+    """``docs``, all columns, with one row of each group of equal texts: that with the smallest id.
+
+    Rows go by id and text, so other texts under a dropped id (or under no id) stay. Of several rows with the kept id, that
+    with the smallest columns stays, taken in their order.
+    """
     groups = equal_groups(docs, id_col, text_col)
-    rows = _rows(docs, id_col, text_col).select("id", F.sha2("norm", 256).alias("text_sha256"))
-    dropped = rows.join(groups, "text_sha256").where(~F.col("id").eqNullSafe(F.col("keep_id"))).select("id")
-    dropped, _ = small(staged(dropped, "dedup-dropped"))
-    dropped = dropped.select(F.col("id").alias("__dropped_id"))
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("__dropped_id")), "left_anti")
+    digest = F.sha2("norm", 256).alias("text_sha256")
+    rows = _rows(docs, id_col, text_col).select("id", digest)
+    keep = F.col("id").eqNullSafe(F.col("keep_id")).alias("keep")
+    members = rows.join(groups, "text_sha256").groupBy("id", "text_sha256", keep).agg(F.count("*").alias("n"))
+    members = staged(members.select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"), "keep", "n"), "dedup-members")
+    dropped, _ = small(members.where("NOT keep").select("__id", "__sha"))
+    doubled, _ = small(members.where("keep AND n > 1").select("__id", "__sha"))
+
+    sha = F.sha2(F.regexp_replace(text_of(text_col), WHITE, " "), 256)
+    marked = docs.withColumn("__own_sha", sha)
+    same = lambda other: marked[id_col].eqNullSafe(other["__id"]) & (marked["__own_sha"] == other["__sha"])
+    kept = marked.join(dropped, same(dropped), "left_anti")
+    if doubled.isEmpty():
+        return kept.drop("__own_sha")
+    once = kept.join(doubled, same(doubled), "left_anti").drop("__own_sha")
+    sortable = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = marked.join(doubled, same(doubled), "left_semi").groupBy(F.col(id_col).alias("__id"), "__own_sha")
+    return once.unionByName(least.agg(F.min_by(whole, F.struct(*sortable)).alias("__row")).select("__row.*"))

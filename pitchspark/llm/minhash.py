@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchspark.llm.common import LOWER, components, mix, small, staged, text_batches, text_bytes, word_hashes, word_spans
+from pitchspark.operators.windows import ranked
 
 SHINGLE, COORDINATES, ROWS = 5, 128, 4
 BANDS = COORDINATES // ROWS
@@ -321,7 +322,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with one document of each component: that with the smallest id."""
-    report = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__dropped_id"))
-    dropped, _ = small(staged(report.distinct(), "near-dropped"))
-    return docs.join(dropped, docs[id_col] == F.col("__dropped_id"), "left_anti")
+    """``docs``, all columns, with one document of each component: that with the smallest id.
+
+    Where an id stands for several texts, texts are numbered in the order of id and hash and compared under these
+    numbers, so that a text stays or goes by itself. Rows equal in id and text stay or go together.
+    """
+    text_mark = F.xxhash64(F.col(text_col))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), text_mark.alias("__mark"))
+    texts = staged(texts.distinct(), "near-texts")
+    if texts.groupBy("__id").count().where("count > 1").isEmpty():
+        report = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__dropped_id"))
+        dropped, _ = small(staged(report.distinct(), "near-dropped"))
+        return docs.join(dropped, docs[id_col] == F.col("__dropped_id"), "left_anti")
+    numbers = staged(ranked(texts, ["__id", "__mark"], "__number"), "near-numbers")
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), text_mark.alias("__mark"), F.col(text_col).alias("text"))
+    some, _ = small(numbers)
+    numbered = rows.join(some, ["__id", "__mark"], "left").select(F.col("__number").cast("long").alias("__number"), "text")
+    report = near_duplicates(numbered, "__number", "text").where("NOT kept").select("__number").distinct()
+    dropped, _ = small(staged(numbers.join(report, "__number").select("__id", "__mark"), "near-dropped"))
+    return docs.join(dropped, (docs[id_col].cast("long") == dropped["__id"]) & (F.xxhash64(docs[text_col]) == dropped["__mark"]), "left_anti")

@@ -35,6 +35,20 @@ def test_exact_dedup_keeps_columns(spark):
     assert exact_dedup.exact_dedup(empty_documents(spark)).count() == exact_dedup.dedup_report(empty_documents(spark)).count() == 0
 
 
+def test_exact_dedup_drops_by_row(spark):
+    """Unique texts stay whatever happens to their id, null ids too; of equal rows one stays."""
+    extra = [(None, "unique, no id"), (None, "null twice"), (None, "null twice"), (20, "mine alone"), (20, "two words"), (21, "again"), (21, "again"), (21, " again"), (None, " again")]
+    docs = odd_documents(spark).unionByName(spark.createDataFrame([(a, b, 1, "c", f"d{k}") for k, (a, b) in enumerate(extra)], odd_documents(spark).schema))
+    groups = defaultdict(list)
+    for i, text in pairs(docs):
+        groups[WHITE.sub(" ", text or "")].append(i)
+    want = Counter((min((i for i in ids if i is not None), default=None), text) for text, ids in groups.items())
+    kept = exact_dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    assert Counter((i, WHITE.sub(" ", text or "")) for i, text in pairs(kept)) == want
+    assert (None, "no id at all") in want and (20, "mine alone") in want
+
+
 def shingles(text):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
@@ -103,6 +117,21 @@ def test_minhash_empty(spark):
     assert kept.columns == odd_documents(spark).columns and kept.where("doc_id = 4").count() == 0 and kept.where("doc_id IS NULL").count() == 2
 
 
+def test_near_dedup_drops_by_row(spark):
+    """An id with a near copy and a text of its own keeps the latter, and links nothing by it."""
+    import random
+
+    rng = random.Random(4)
+    prose = lambda: [f"n{rng.randrange(10_000)}" for _ in range(100)]
+    a, b, c = prose(), prose(), prose()
+    near = lambda words: " ".join([*words[:50], "changed", *words[51:]])
+    rows = [(1, " ".join(a)), (2, near(a)), (2, " ".join(b)), (3, near(b)), (3, " ".join(c)), (4, near(c)), (5, "short"), (6, None), (None, near(a)), (None, "short"), (7, " ".join(a)), (7, " ".join(a))]
+    docs = spark.createDataFrame([(i, t, 1, "c", "d") for i, t in rows], empty_documents(spark).schema)
+    kept = minhash.near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert Counter(pairs(kept)) == Counter([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c)), (5, "short"), (6, None), (None, near(a)), (None, "short")])
+
+
 def brute_repeats(rows):
     """Rows in order of (id, null first; hash of the text); rows equal in both are one document."""
     import numpy as np
