@@ -1,17 +1,24 @@
 """Main text of HTML pages by composite text density.
 
 The block elements of a page make the nodes of its tree; inline elements only count as tags. Elements that hold no article
-text by their kind (scripts, styles, navigation, forms ...), role or class are left out with all they hold. For every other
-node the density is its characters per tag, adjusted by how many of its characters and tags belong to links, against the
-share of the whole body. A node's sum is that of its children's densities. The node with the greatest sum is the centre of
-the article, and the smallest density on the path from it to the body is the threshold: from the body down, each node that
-reaches the threshold gives the node with the greatest sum below it, whole, to the result. A centre inside an ``article``
-or ``main`` element stands for that element, and headings right before a chosen node belong to it. Lists of nothing but
-links inside it go.
+text by their kind (scripts, styles, navigation, forms ...), role or class are left out with all they hold. A class or id
+speaks against an element only if all its words do (``cookie-notice``, not ``notice-board-story``), and never on headings,
+paragraphs and the like, whose ids are slugs of their text. For every other node the density is its characters per tag,
+adjusted by how many of its characters and tags belong to links, against the share of the whole body. A node's sum is that
+of its children's densities and of its own text's. The node with the greatest sum is the centre of the article and belongs
+to it whole. The threshold is ``SLACK`` times the smallest density on the path from the centre to the body: along that path
+every sibling that reaches it belongs to the article too, and so do paragraphs, headings and lists of text beside the
+centre (but for those right under the body, of which only the headings before a chosen node count), and blocks of paragraphs
+with the same tag and attributes as the path's node.
+
+Inside the result only two things go: a ``header`` if the body itself is the centre and holds it, and, outside ``article``
+and ``main``, lists of nothing but links (menus without a mark).
 
 Defined cases: null and empty pages, and pages without text, give the empty string. Broken markup (unclosed or crossed
 elements, pages that end anywhere) is read like browsers do in simple cases: open paragraphs, list items and table parts
-end where the next begins. Nothing is dropped for its length. An empty table gives an empty result. Only the named columns are read.
+end where the next begins. Elements deeper than ``DEPTH`` become siblings, as in browsers; their text stays. Nothing is
+dropped for its length, and time is linear in it. Rows that repeat each get their text. An empty table gives an empty
+result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -44,17 +51,30 @@ DROPPED = frozenset(
     "head script style noscript template title textarea iframe object embed svg math canvas audio video map nav aside footer "
     "form fieldset button select option input datalist dialog menu noembed noframes xmp".split()
 )
-LISTS = frozenset("ul ol dl td div".split())
+LISTS = frozenset("ul ol dl td div section".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text: beside the centre they belong to the article unless they are mostly links.
+PROSE = HEADINGS | frozenset("p ul ol dl blockquote pre table figure hr address details".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-CLASSES = re.compile(
-    r"(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|promotion|banners?|cookies?|consent|gdpr|notices?|alerts?|"
-    r"popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|sidebars?|side-?bar|aside|menus?|nav|navbar|navigation|breadcrumbs?|"
-    r"footer|site-?header|page-?header|masthead|topbar|toolbar|comments?|commentlist|respond|replies|disqus|share|sharing|social|"
-    r"related|recommended|recommendations|widgets?|pagination|pager|skip-?link)(?:[-_].*)?",
-    re.I,
+# Words of class names and ids of what isn't the article, and words that say nothing beside them.
+BOILERPLATE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner "
+    "banners cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe subscription "
+    "signup login sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment "
+    "comments commentlist respond replies disqus share sharing social related recommended recommendations widget widgets pagination "
+    "pager skip skiplink".split()
 )
-_SITE = re.compile(r"(?:site|page|main|top|global)[-_]?(?:header|footer|nav|navigation|menu)|.*[-_](?:sidebar|comments|advert|ads|breadcrumbs|cookie|newsletter|menu|nav|footer)", re.I)
+NEUTRAL = frozenset(
+    "site page main global top bottom left right side bar header box block list container wrapper wrap area inner outer section slot "
+    "zone unit panel item items row col column group link links button buttons icons form thread reader user post posts".split()
+)
+_WORDS = re.compile(r"[A-Za-z]+|[0-9]+")
+#: Elements whose class and id are never looked at.
+UNMARKED = HEADINGS | frozenset("body html main article p li td th tr tbody thead pre blockquote figure".split())
+#: A node beside the path belongs to the article from this part of the path's least density on.
+SLACK = 0.5
+#: Depth of the tree, as in browsers.
+DEPTH = 512
 #: Open elements that a start tag ends, up to the nearest of the elements after them.
 _ENDS = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -71,22 +91,26 @@ class _Page:
     """Block nodes of a page, in page order, as lists: parent, tag, own and total counts, and the pieces of text."""
 
     def __init__(self) -> None:
-        self.tag, self.parent = ["body"], [-1]
+        self.tag, self.parent, self.marks = ["body"], [-1], [""]  # marks: the attributes as they stand
         self.chars, self.link_chars, self.tags, self.link_tags = [0], [0], [0], [0]
         self.pieces: list[tuple[int, str]] = []
 
-    def add(self, tag: str, parent: int) -> int:
-        for values, value in ((self.tag, tag), (self.parent, parent), (self.chars, 0), (self.link_chars, 0), (self.tags, 1), (self.link_tags, 0)):
+    def add(self, tag: str, parent: int, marks: str) -> int:
+        for values, value in ((self.tag, tag), (self.parent, parent), (self.marks, marks), (self.chars, 0), (self.link_chars, 0), (self.tags, 1), (self.link_tags, 0)):
             values.append(value)
         return len(self.tag) - 1
 
 
-def _left_out(tag: str, attributes: str, open_tags: list[str]) -> bool:
+def _is_boilerplate(name: str) -> bool:
+    """Whether a class or id has a word of boilerplate and no word besides that means something."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return any(w in BOILERPLATE for w in words) and all(w in BOILERPLATE or w in NEUTRAL or w.isdigit() for w in words)
+
+
+def _left_out(tag: str, attributes: str) -> bool:
     if tag in DROPPED:
         return True
-    if tag == "header" and "article" not in open_tags and "main" not in open_tags:
-        return True
-    if not attributes or tag in ("body", "html", "main"):
+    if not attributes or tag in ("body", "html"):
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
@@ -96,7 +120,7 @@ def _left_out(tag: str, attributes: str, open_tags: list[str]) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and any(CLASSES.fullmatch(x) or _SITE.fullmatch(x) for x in value.split()):
+        if name in ("class", "id") and (tag not in UNMARKED or name == "class" and tag in ("p", "li")) and any(map(_is_boilerplate, value.split())):
             return True
     return False
 
@@ -107,6 +131,8 @@ def parse(page: str) -> _Page:
     # open elements: tag, node it writes to, depth of left-out elements, whether in a link
     stack: list[tuple[str, int, int, bool]] = [("body", 0, 0, False)]
     at, size = 0, len(page)
+    opened: dict[str, int] = {}  # open elements by tag, so that a search for one that isn't open takes no time
+    over = 0  # open elements beyond DEPTH, which aren't on the stack
 
     def text(piece: str) -> None:
         _, node, gone, link = stack[-1]
@@ -120,6 +146,8 @@ def parse(page: str) -> _Page:
             out.link_chars[node] += n
 
     def close(tags: tuple[str, ...], fence: tuple[str, ...]) -> None:
+        if not any(opened.get(t) for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in tags:
                 end(k)
@@ -129,6 +157,8 @@ def parse(page: str) -> _Page:
 
     def end(k: int) -> None:
         closed = any(x[0] not in INLINE for x in stack[k:])
+        for x in stack[k:]:
+            opened[x[0]] -= 1
         del stack[k:]
         if closed:  # text after a block doesn't go on with the text before it
             out.pieces.append((stack[-1][1], "\0"))
@@ -143,6 +173,13 @@ def parse(page: str) -> _Page:
         at = found.end()
         if found[1]:
             tag = found[1].lower()
+            if over and tag not in VOID:
+                over -= 1
+                if tag not in INLINE:
+                    out.pieces.append((stack[-1][1], "\0"))
+                continue
+            if not opened.get(tag):
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     end(k)
@@ -163,16 +200,19 @@ def parse(page: str) -> _Page:
                 if stack[-1][0] == "head" and tag not in ("meta", "link", "base", "title", "script", "style", "noscript", "template"):
                     end(len(stack) - 1)
             _, node, gone, link = stack[-1]
-            dropped = bool(gone) or _left_out(tag, attributes, [x[0] for x in stack])
+            dropped = bool(gone) or _left_out(tag, attributes)
+            deep = len(stack) > DEPTH and tag not in VOID and tag not in RAW
             if tag == "br" and not gone:
                 text(" ")
             if not dropped:
-                if tag in INLINE:
+                if tag in INLINE or deep:
                     out.tags[node] += 1
                     out.link_tags[node] += tag == "a"
+                    if tag not in INLINE:
+                        out.pieces.append((node, "\0"))
                 elif tag not in VOID:
                     out.pieces.append((node, "\0"))
-                    node = out.add(tag, node)
+                    node = out.add(tag, node, attributes.strip())
                 else:
                     out.tags[node] += 1
                     out.pieces.append((node, "\0"))
@@ -181,83 +221,78 @@ def parse(page: str) -> _Page:
                 if not dropped:
                     text(page[at : stop.start() if stop else size])
                 at = size if not stop else (page.find(">", stop.start()) + 1 or size)
+            elif deep and not dropped:
+                over += 1
             elif tag not in VOID:
+                opened[tag] = opened.get(tag, 0) + 1
                 stack.append((tag, node, int(dropped), link or tag == "a"))
     return out
 
 
-def densities(page: _Page) -> tuple[list[float], list[float], list[int]]:
-    """Composite text density and the sum of the children's, of every node, and its characters; totals go up the tree."""
+def _density(chars: int, link_chars: int, tags: int, link_tags: int, share: float) -> float:
+    """Composite text density; ``share`` is the part of link characters in the whole body."""
+    if not chars:
+        return 0.0
+    links, marks, anchors = max(1, link_chars), max(1, tags), max(1, link_tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+    return chars / marks * math.log(max(1.0, chars / links * marks / anchors)) / math.log(max(base, math.e))
+
+
+def densities(page: _Page) -> tuple[list[float], list[float], list[int], list[int], list[int]]:
+    """Of every node: density, sum of its children's densities and its own text's, and the characters, link characters and
+    link tags of its whole subtree."""
     chars, link_chars, tags, link_tags = (list(x) for x in (page.chars, page.link_chars, page.tags, page.link_tags))
     for k in range(len(chars) - 1, 0, -1):
         up = page.parent[k]
         for values in (chars, link_chars, tags, link_tags):
             values[up] += values[k]
     share = link_chars[0] / chars[0] if chars[0] else 0.0
-    density, total = [0.0] * len(chars), [0.0] * len(chars)
-    for k in range(len(chars) - 1, -1, -1):
-        c, lc, t, lt = chars[k], max(1, link_chars[k]), max(1, tags[k]), max(1, link_tags[k])
-        if c:
-            base = math.log(c / max(1, c - link_chars[k]) * link_chars[k] + share * c + math.e)
-            density[k] = c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(max(base, math.e))
-        if k:
-            total[page.parent[k]] += density[k]
-    return density, total, chars
+    density = [_density(*x, share) for x in zip(chars, link_chars, tags, link_tags)]
+    total = [_density(*x, share) for x in zip(page.chars, page.link_chars, page.tags, page.link_tags)]
+    for k in range(1, len(chars)):
+        total[page.parent[k]] += density[k]
+    return density, total, chars, link_chars, link_tags
 
 
 def chosen_nodes(page: _Page) -> list[bool]:
     """Whether each node belongs to the article."""
-    density, total, chars = densities(page)
+    density, total, chars, links, anchors = densities(page)
     n = len(density)
     kids: list[list[int]] = [[] for _ in range(n)]
+    last = list(range(n))  # a node's last descendant: nodes are in page order
+    inside = [False] * n  # an article or main element, or below one
     for k in range(1, n):
         kids[page.parent[k]].append(k)
-    best, last = list(range(n)), list(range(n))  # greatest sum below each node, and its last descendant
+        inside[k] = inside[page.parent[k]] or page.tag[k] in ("article", "main")
     for k in range(n - 1, 0, -1):
-        up = page.parent[k]
-        last[up] = max(last[up], last[k])
-        if total[best[k]] >= total[best[up]]:
-            best[up] = best[k]
-    centre = best[0]
-    threshold, k = density[centre] if centre else density[0], centre
-    while k >= 0:
-        threshold = min(threshold, density[k])
-        k = page.parent[k]
+        last[page.parent[k]] = max(last[page.parent[k]], last[k])
+    centre = max(range(n), key=lambda k: (total[k], -k))
+    path = [centre]
+    while path[-1]:
+        path.append(page.parent[path[-1]])
+    threshold = SLACK * min(density[k] for k in path)
     chosen = [False] * n
 
-    def choose(k: int) -> None:
-        up = k
-        while up > 0 and page.tag[up] not in ("article", "main"):
-            up = page.parent[up]
-        k = up if up > 0 else k
-        siblings = kids[page.parent[k]] if k else []
-        before = siblings.index(k) if k else 0
-        spans = [k]
-        while before and page.tag[siblings[before - 1]] in HEADINGS:
-            before -= 1
-            spans.append(siblings[before])
-        for x in spans:
-            chosen[x : last[x] + 1] = [True] * (last[x] + 1 - x)
-
-    k = 0
-    while k < n:
-        if chosen[k]:
-            k = last[k] + 1
-        elif density[k] >= threshold and chars[k]:
-            if not any(chosen[k : last[k] + 1]):
-                choose(best[k] if total[best[k]] > 0 else k)
-            if chosen[k]:
-                continue
-            k += 1
-        else:
-            k = last[k] + 1
-    links, anchors = list(page.link_chars), list(page.link_tags)
-    for k in range(n - 1, 0, -1):
-        links[page.parent[k]] += links[k]
-        anchors[page.parent[k]] += anchors[k]
-    for k in range(1, n):  # lists of nothing but links are menus
-        if chosen[k] and page.tag[k] in LISTS and anchors[k] > 1 and links[k] >= 0.9 * chars[k] > 0:
-            chosen[k : last[k] + 1] = [False] * (last[k] + 1 - k)
+    def take(k: int, value: bool = True) -> None:
+        chosen[k : last[k] + 1] = [value] * (last[k] + 1 - k)
+
+    take(centre)
+    for below, up in zip(path, path[1:]):
+        chosen[up] = up != 0  # bare text beside the path; that of the body itself is no article
+        for k in kids[up]:
+            if k != below and chars[k]:
+                twin = (page.tag[k], page.marks[k]) == (page.tag[below], page.marks[below]) and any(page.tag[x] in PROSE for x in kids[k])
+                prose = (twin or up and page.tag[k] in PROSE) and 2 * links[k] < chars[k]
+                if page.tag[k] != "header" and (prose or density[k] >= threshold > 0):
+                    take(k)
+        for k, following in reversed(list(zip(kids[up], kids[up][1:]))):
+            if page.tag[k] in HEADINGS and (following == below or chosen[following]):
+                take(k)
+    for k in range(1, n):
+        if chosen[k] and page.tag[k] == "header" and not inside[k] and page.parent[k] == centre == 0:
+            take(k, False)
+        elif chosen[k] and not inside[k] and page.tag[k] in LISTS and anchors[k] > 1 and links[k] >= 0.9 * chars[k] > 0:
+            take(k, False)
     return chosen
 
 

@@ -105,6 +105,75 @@ def test_html_of_the_table(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+LONG = "Some real sentence with a number of words in it, long enough to count as text."
+
+
+def test_html_keeps_what_belongs_to_the_article():
+    """Reference lists, a post's own header, slugs as ids, sibling blocks, marked-up stories; menus without a mark go."""
+    cases = [
+        (f"<article><p>{LONG}<p>{LONG}</p><div><a href=a>One</a> <a href=b>Two</a></div><ul><li><a href=c>Three</a></ul></article>", [LONG, LONG, "One Two", "Three"]),
+        (f"<header><h1>Site</h1></header><div class=post><header><h1>Title</h1></header><p>{LONG}</p><p>{LONG}</p></div>", ["Title", LONG, LONG]),
+        (f"<div class='notice-board-story'><p>{LONG}</p></div>", [LONG]),
+        (f"<div><p>{LONG}</p></div><div><p>{LONG} {LONG} {LONG}</p></div>", [LONG, f"{LONG} {LONG} {LONG}"]),
+        (f"<article><h2 id='social-structure'>Social</h2><p>{LONG}</p><section id='related-work'><h2 id=related>Related</h2><p>{LONG} {LONG}</p></section><p>Short.</article>", ["Social", LONG, "Related", f"{LONG} {LONG}", "Short."]),
+        (f"<ul><li><a href=1>Home</a><li><a href=2>News</a></ul><p>{LONG}</p><p>{LONG}</p>", [LONG, LONG]),
+        (f"<div class='site-sidebar'><p>{LONG}</p></div><main><p>{LONG}</p></main><div id=comments><p>{LONG}</p></div>", [LONG]),
+    ]
+    for page, want in cases:
+        assert html_text.main_text(f"<body>{page}</body>").split("\n\n") == want
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for page in ("<div>" * 100_000, "<div>" * 100_000 + "text" + "</div>" * 100_000, "<ul><li>" + "<div>" * 50_000 + "<li></li>" * 20_000, "<table>" + "<td>x" * 50_000, "<a>" * 100_000, "</b>" * 100_000):
+        begin = time.perf_counter()
+        found = html_text.main_text(page)
+        assert time.perf_counter() - begin < 4 and ("text" in page) == ("text" in found)
+
+
+def test_html_densities_equal_brute_force():
+    """Composite text density by its definition, each node walked by itself, and the centre that decides."""
+    import math
+
+    def page(rng, depth):
+        if depth == 0 or rng.random() < 0.2:
+            return "".join(rng.choice([f"word{rng.integers(99)} ", f"<a href=x>link {rng.integers(9)}</a> ", "<b>bold</b> "]) for _ in range(rng.integers(1, 30)))
+        return "".join(f"<{t}>{page(rng, depth - 1)}</{t}>" for t in rng.choice(["div", "section"], rng.integers(1, 4)))
+
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        tree = html_text.parse(page(rng, 4))
+        density, total, *_ = html_text.densities(tree)
+        n = len(tree.tag)
+        below = lambda k, j: j == k or j > 0 and below(k, tree.parent[j])  # noqa: B023, E731
+        sums = [[sum(values[j] for j in range(n) if below(k, j)) for values in (tree.chars, tree.link_chars, tree.tags, tree.link_tags)] for k in range(n)]
+
+        def by_definition(c, lc, t, lt):
+            if not c:
+                return 0.0
+            base = math.log(c / max(1, c - lc) * lc + sums[0][1] / sums[0][0] * c + math.e)  # noqa: B023
+            return c / max(1, t) * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt)), max(base, math.e))
+
+        want = [by_definition(*x) for x in sums]
+        own = [by_definition(*x) for x in zip(tree.chars, tree.link_chars, tree.tags, tree.link_tags)]
+        assert np.allclose(density, want)
+        want_total = [own[k] + sum(want[j] for j in range(1, n) if tree.parent[j] == k) for k in range(n)]
+        assert np.allclose(total, want_total)
+        centre = max(range(n), key=lambda k: (want_total[k], -k))
+        chosen = html_text.chosen_nodes(tree)
+        for j in range(n):  # the centre belongs to the result whole, but for lists of nothing but links
+            menu = any(below(k, j) and sums[k][3] > 1 and sums[k][1] >= 0.9 * sums[k][0] for k in range(1, n))
+            assert chosen[j] or not below(centre, j) or menu
+
+
+def test_html_odd_tables(spark):
+    rows = [(1, "u", "<p>one two</p>", "x"), (1, "u", "<p>one two</p>", "x"), (None, None, None, None), (2, "v", "", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    found = Counter(tuple(r) for r in html_text.extract(pages).collect())
+    assert found == Counter([(1, "u", "one two", 7), (1, "u", "one two", 7), (None, None, "", 0), (2, "v", "", 0)])
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
