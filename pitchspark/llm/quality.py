@@ -1,14 +1,16 @@
 """Quality rules: counts of words, symbols and repeats, and a verdict from tokeniser fertility.
 
 A public vocabulary (a SentencePiece model with byte fallback) measures three figures of a text: its letters per token,
-the share of tokens that stand for single bytes, and the entropy of its tokens. What is usual depends on the language, and
-for the entropy on the length, so a first pass over all documents counts both figures in narrow bins for each language
-(guessed from the letters of the text) and class of length; the bands lie around the medians. The counts are bounded by
+the share of tokens that stand for single bytes, and the entropy of its tokens. What is usual depends on the script and
+the language (:func:`groups`: the script of most letters, and for the Latin one a guess from its accents), and for the
+entropy on the length, so a first pass over all documents counts the figures in narrow bins for each group and class of
+length. The bands lie around each group's medians and are wider where a group has few documents, by ``DOUBT`` over the root
+of their number, so a small group is judged leniently and no group is judged by another's text. The counts are bounded by
 the bins, not by the data. A document is kept if it passes the base rules and all three bands.
 
-Defined cases: null and empty texts have no words and fail the base rules. A group with fewer than ``LEAST`` documents
-takes the bands of all languages, and if those are as few, the fixed ones alone. Rows that repeat count as often as they
-appear. An empty table gives an empty result. Columns other than id and text are not read.
+Defined cases: null and empty texts have no words and fail the base rules. Texts without letters form a group of their own,
+whose fertility is outside the fixed bands. Rows that repeat count as often as they appear; of medians that tie between
+bins the lower one counts. An empty table gives an empty result. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ SYMBOLS = "#*$%&|<>"
 LOW_FERTILITY, HIGH_FERTILITY, ENTROPY_BITS, BYTE_SHARE = 0.9, 1.5, 0.8, 0.15
 #: Few tokens vary more: the lower factor falls by this over the root of the least number of tokens of the length class.
 SPREAD = 0.4
+#: A group's bands are this much wider (as a part of the median fertility, in bits, and as a share), over the root of the
+#: number of its documents.
+DOUBT = {"fertility": 1.0, "entropy": 4.0, "byte_share": 1.0}
 #: Fixed outer bands, whatever the medians are.
-FIXED = {"fertility": (0.5, 12.0), "entropy": 2.0, "byte_share": 0.5}
-LEAST = 50
+FIXED = {"fertility": (0.25, 12.0), "entropy": 2.0, "byte_share": 0.5}
 BINS = 100  # of one unit of a figure
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -42,6 +46,39 @@ _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC2, 256)]] =
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+# Scripts by the first code points of their ranges; letters outside them count as "other".
+RANGES = (
+    (0x41, "latin"), (0x5B, None), (0x61, "latin"), (0x7B, None), (0xC0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"),
+    (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"), (0x900, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"),
+    (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, None), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"),
+    (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, None), (0xFE70, "arabic"),
+    (0xFF00, None), (0x10000, "other"), (0x1F000, None), (0x20000, "han"),
+)
+SCRIPTS = ("latin", *sorted({x for _, x in RANGES if x} - {"latin"}))
+GROUPS = (*LANGUAGES, *SCRIPTS[1:], "none")
+_EDGES = np.array([x for x, _ in RANGES])
+_SCRIPT_OF = np.array([len(SCRIPTS), *(SCRIPTS.index(x) if x else len(SCRIPTS) for _, x in RANGES)])
+
+
+def groups(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Index in GROUPS of each text: the script of most of its letters (of the first in SCRIPTS if they tie), the guessed
+    language if that is Latin, "none" without letters."""
+    n = len(bounds) - 1
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    first = data[lead].astype(np.int64)
+    size = 1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0)
+    code = np.where(size == 1, first, first & (0xFF >> (size + 1)))
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | data[lead[more] + k] & 0x3F
+    script = _SCRIPT_OF[np.searchsorted(_EDGES, code, side="right")]
+    docs = np.repeat(np.arange(n), _per_doc((data & 0xC0) != 0x80, bounds))
+    counts = np.bincount(docs * (len(SCRIPTS) + 1) + script, minlength=n * (len(SCRIPTS) + 1)).reshape(n, -1)[:, :-1]
+    best = counts.argmax(axis=1)
+    out = np.where(best == 0, languages(data, bounds), len(LANGUAGES) - 1 + best)
+    return np.where(counts.any(axis=1), out, len(GROUPS) - 1)
+
+
 def _per_doc(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """How many flagged bytes each text has."""
     sums = np.concatenate([[0], np.cumsum(flags)])
@@ -134,14 +171,14 @@ _FIGURES = ["fertility", "byte_share", "entropy"]
 
 
 def measure(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, language, the counts and the figures of every document."""
+    """id, language (or script, see :func:`groups`), the counts and the figures of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             data, bounds = text_bytes(batch.column(1))
             found = base_counts(data, bounds) | fertility([x or "" for x in batch.column(1).to_pylist()], data, bounds, vocabulary)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([LANGUAGES[k] for k in languages(data, bounds).tolist()])]
+                [batch.column(0), pa.array([GROUPS[k] for k in groups(data, bounds).tolist()])]
                 + [pa.array(found[k], pa.int64()) for k in _COUNTS]
                 + [pa.array(found[k], pa.float64()) for k in _FIGURES],
                 ["id", "language", *_COUNTS, *_FIGURES],
@@ -156,49 +193,42 @@ def _length_class():
     return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")
 
 
-def _medians(rows: DataFrame, figure: str, with_class: bool) -> dict[tuple, float]:
-    """Median bin by (language, class), with None for all languages; groups of fewer than ``LEAST`` documents are left out."""
+def _medians(rows: DataFrame, figure: str, with_class: bool) -> dict[tuple, tuple[float, int]]:
+    """Median bin and number of documents of each (group, class)."""
     group = ["language", *(["class"] if with_class else [])]
     counted = rows.groupBy(*group, F.floor(F.col(figure) * BINS).cast("long").alias("bin")).agg(F.count("*").alias("n")).collect()
     bins: dict[tuple, dict[int, int]] = {}
     for r in counted:
-        for language in (r["language"], None):
-            own = bins.setdefault((language, r["class"] if with_class else None), {})
-            own[r["bin"]] = own.get(r["bin"], 0) + r["n"]
+        bins.setdefault((r["language"], r["class"] if with_class else None), {})[r["bin"]] = r["n"]
     out = {}
     for key, own in bins.items():
-        total = sum(own.values())
-        if total >= LEAST:
-            seen = 0
-            for b in sorted(own):
-                seen += own[b]
-                if 2 * seen >= total:
-                    out[key] = (b + 0.5) / BINS
-                    break
+        total, seen = sum(own.values()), 0
+        for b in sorted(own):
+            seen += own[b]
+            if 2 * seen >= total:
+                out[key] = ((b + 0.5) / BINS, total)
+                break
     return out
 
 
 def bands(measured: DataFrame) -> list[tuple]:
-    """(language, class, least and most fertility, least entropy, most byte share) for every group that there is."""
+    """(group, class, least and most fertility, least entropy, most byte share) for every group and class."""
     rows = measured.where(f"n_words >= {LEAST_WORDS}").withColumn("class", _length_class())
     fertile, byte, entropy = (_medians(rows, k, k == "entropy") for k in ("fertility", "byte_share", "entropy"))
     out = []
-    for language in LANGUAGES:
+    for group in GROUPS:
         for size in range(63):
-            mid = fertile.get((language, None), fertile.get((None, None)))
-            bits = entropy.get((language, size), entropy.get((None, size)))
-            share = byte.get((language, None), byte.get((None, None), 0.0))
             low, high = FIXED["fertility"]
-            out.append(
-                (
-                    language,
-                    size,
-                    max(low, mid * (LOW_FERTILITY - SPREAD / 2 ** (size / 2))) if mid else low,
-                    min(high, mid * HIGH_FERTILITY) if mid else high,
-                    max(FIXED["entropy"], bits - ENTROPY_BITS) if bits else FIXED["entropy"],
-                    min(FIXED["byte_share"], share + BYTE_SHARE),
-                )
-            )
+            bits, share = FIXED["entropy"], FIXED["byte_share"]
+            if (group, None) in fertile:
+                (mid, n), (part, _) = fertile[group, None], byte[group, None]
+                low = max(low, mid * (LOW_FERTILITY - SPREAD / 2 ** (size / 2) - DOUBT["fertility"] / n**0.5))
+                high = min(high, mid * (HIGH_FERTILITY + DOUBT["fertility"] / n**0.5))
+                share = min(share, part + BYTE_SHARE + DOUBT["byte_share"] / n**0.5)
+            if (group, size) in entropy:
+                mid, n = entropy[group, size]
+                bits = max(bits, mid - ENTROPY_BITS - DOUBT["entropy"] / n**0.5)
+            out.append((group, size, low, high, bits, share))
     return out
 
 
