@@ -5,14 +5,15 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from pitchspark.staging import shared_dir, staged  # noqa: F401  also for the operators beside this file
 
 #: White space of all text contracts: the space and U+0009 to U+000D.
 WHITE = r"[\x20\x09-\x0D]+"
 
-#: A side of a join is broadcast only if it was counted and has no more rows than this.
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast only if it was measured and has no more rows and bytes than these.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32_000_000
 
 
 #: Bytes of a record batch between Spark and Python, so that neither holds much of a partition at once.
@@ -27,9 +28,24 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, ARROW_BYTES)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` with a broadcast hint if a count shows at most ``limit`` rows, else unchanged for a shuffled join."""
-    fits = df.limit(limit + 1).count() <= limit
+def _bytes_of(value: Column, kind: types.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (types.StringType, types.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 24
+    if isinstance(kind, types.ArrayType):
+        add = lambda total, x: total + _bytes_of(x, kind.elementType)
+        return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), add), F.lit(0)) + 24
+    if isinstance(kind, types.StructType):
+        return sum((_bytes_of(value.getField(f.name), f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``df`` with a broadcast hint if it is measured to have at most ``limit`` rows and ``most`` bytes, else unchanged for a
+    shuffled join. ``df`` is computed for the measure, so it should be staged."""
+    width = sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    seen = df.limit(limit + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    fits = seen["n"] <= limit and seen["b"] <= most
     return (F.broadcast(df) if fits else df), fits
 
 
