@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchspark.llm import exact_dedup, html_text, minhash, packing, quality, sentencepiece_codec, sharding, suffix_dedup, toxicity, url_filter
-from pitchspark.llm.common import bounded_batches
+from pitchspark.llm.common import bounded_batches, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +86,7 @@ def _list_events(captures: DataFrame) -> DataFrame:
         captures.select(F.lit("paths").alias("list"), F.lit("prefix").alias("kind"), first.alias("pattern"))
     )
     made = made.where("pattern != ''").distinct().withColumn("code", _code(F.col("pattern"))).where("code % 4 != 3")
+    made = staged(made, "url-patterns")  # three kinds of events are made from it
     day = lambda n: (F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.expr(f"make_dt_interval(CAST({n} AS INT))")).cast("timestamp_ntz")
     added, removed, again = day("code % 90"), day("code % 90 + 20 + code % 31"), day("code % 90 + 80")
     event = lambda rows, action, at: rows.select("list", "kind", "pattern", F.lit(action).alias("action"), at.alias("at"))

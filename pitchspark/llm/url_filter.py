@@ -9,7 +9,7 @@ join while the counted list is small, and else a shuffled one whose hot keys ada
 DataFrame code.
 
 Normalised: scheme, user, port and fragment go, host in lower case without a final dot, no ``/`` at the end of the path;
-the query stays for ``url`` and goes for ``prefix``.
+the query stays for ``url`` and goes for ``prefix``. A host may be an IPv6 address in brackets.
 
 Defined cases: a null, empty or hostless URL and a null time match nothing and are not blocked; events with a null in
 list, kind, pattern, time or action are ignored; of several events of a pattern at one time the removal counts. Captures
@@ -29,7 +29,7 @@ BROADCAST_ENTRIES = 200_000
 
 
 #: Scheme, user, host, port, path without its last slashes, query, fragment; the groups are host, path and query.
-_URL = r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*://)?(?:[^/?#]*@)?([^/?#:@\s]*[^/?#:@\s.])\.?(?::[0-9]*)?((?:/[^?#]*[^/?#])?)/*((?:\?[^#]*)?)(?:#.*)?$"
+_URL = r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*://)?(?:[^/?#]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\s]*[^/?#:@\s.])\.?(?::[0-9]*)?((?:/[^?#]*[^/?#])?)/*((?:\?[^#]*)?)(?:#.*)?$"
 
 
 def normal_url(url: Column) -> Column:
