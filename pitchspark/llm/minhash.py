@@ -9,8 +9,10 @@ independent ones do. Bands of ``ROWS`` coordinates make buckets; at similarity 0
 
 The smallest node of a bucket is its pivot, and the nodes that share a pivot are one candidate group, which covers every
 pair of every bucket. Full sets travel once to each group of a node, and groups are compared inside tasks, in blocks of
-bounded size; only edges that join parts leave a task. Groups of several blocks get a second pass over what is still
-apart: nodes outside the pivot's component against all nodes of the group, block by block.
+bounded size; only edges that join parts leave a task. Groups of several blocks get a second pass for the pairs of other
+blocks: of a pair at the threshold, the ``prefix`` of either set (its rarest shingles, a quarter and one) holds a common
+shingle, so nodes of the group that share such a shingle and aren't in one component yet are candidates and are compared on
+full sets. Rare shingles make short lists, so the second pass grows with what is alike and not with the group's square.
 
 Defined cases: documents without words or text (null, empty) have the empty set and are linked with nothing. Rows with a
 null id are linked with nothing, and are kept. Rows that share an id and a set get one row each with the same result; an
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pitchspark.llm.common import LOWER, components, mix, small, staged, text_batches, text_bytes, word_hashes, word_spans
 from pitchspark.operators.windows import ranked
@@ -190,7 +193,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.array([x[2] for x in held], dtype=bool)
         sets = [np.frombuffer(x[3], dtype=np.uint64) for x in held]
         every = np.arange(len(held))
-        # the second pass compares the rows that are apart with the group's rows; the first compares all
+        # the second pass compares a node with its candidates; the first compares all
         left, right = (np.flatnonzero(late), np.flatnonzero(~late)) if late.any() else (every, every)
         found = linked_pairs(sets, left, right, parts)
         return pa.RecordBatch.from_arrays(
@@ -209,38 +212,65 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges()
 
 
-def _compare(docs: DataFrame, wanted: DataFrame, tasks: int) -> DataFrame:
-    """Edges between nodes. ``wanted``: node, groups array<struct<pivot, part, late, lows, highs: array<int>>>."""
-    wanted, _ = small(wanted)
-    texts = docs.select("id", "text").join(wanted, F.col("id") == F.col("node")).select("text", "mark", "node", "groups")
+def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and body (its sorted shingle hashes) of ``nodes`` (node, mark), from the texts that stand for them."""
+    wanted, _ = small(nodes)
+    texts = docs.select("id", "text").join(wanted, F.col("id") == F.col("node")).select("text", "mark", "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, column=0):
             hashes, edge = shingle_sets(*text_bytes(batch.column(0)))
             rows = np.flatnonzero(set_marks(hashes, edge) == np.asarray(batch.column(1)))  # rows that repeat an id may have another set
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(2).take(pa.array(rows)),
-                    batch.column(3).take(pa.array(rows)),
-                    pa.array([hashes[edge[k] : edge[k + 1]].tobytes() for k in rows.tolist()], pa.binary()),
-                ],
-                ["node", "groups", "body"],
+                [batch.column(2).take(pa.array(rows)), pa.array([hashes[edge[k] : edge[k + 1]].tobytes() for k in rows.tolist()], pa.binary())],
+                ["node", "body"],
             )
 
-    kind = wanted.schema["groups"].dataType.simpleString()
+    return texts.mapInArrow(sets, "node long, body binary")
+
+
+def _compare(docs: DataFrame, placed: DataFrame, tasks: int) -> DataFrame:
+    """Edges between nodes. ``placed``: node, mark, pivot, part, late, lows (the blocks of the pivot's group that it goes to)."""
+    nodes = staged(placed.select("node", "mark").distinct(), "near-wanted")
+    where, _ = small(placed.select("node", "pivot", "part", "late", "lows"))
     shipped = (
-        texts.mapInArrow(sets, f"node long, groups {kind}, body binary")
-        .select("node", "body", F.explode("groups").alias("g"))
-        .select("node", "body", "g.*")
-        .withColumn("low", F.explode("lows"))
-        .withColumn("high", F.explode("highs"))
-        .select("pivot", "low", "high", "node", "part", "late", "body")
-        .repartition(tasks, "pivot", "low", "high")
-        .sortWithinPartitions("pivot", "low", "high", "node")
+        _sets_of(docs, nodes)
+        .join(where, "node")
+        .select("pivot", F.explode("lows").alias("low"), F.lit(0).alias("high"), "node", "part", "late", "body")
+        .repartition(tasks, "pivot", "low")
+        .sortWithinPartitions("pivot", "low", "node")
     )
     return shipped.mapInArrow(_edges, "a long, b long")
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, its set's size and one row per shingle."""
+    for batch in batches:
+        for node, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            hashes = np.frombuffer(body, dtype=np.int64)
+            columns = [np.full(len(hashes), node), np.full(len(hashes), len(hashes)), hashes]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["node", "n", "shingle"])
+
+
+def _candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, other) of different parts whose prefixes meet. ``known``: node, mark, part of the nodes of groups with several
+    blocks."""
+    shingles = staged(_sets_of(docs, known.select("node", "mark").distinct()).distinct().mapInArrow(_prefixes, "node long, n long, shingle long"), "near-shingles")
+    often = shingles.groupBy("shingle").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("node").orderBy("often", "shingle")
+    # a pair at the threshold shares PERCENT of the larger set at least, so all but the rarest n - ceil(n * PERCENT / 100) + 1
+    # can't hold all of what is common
+    least = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    first = shingles.join(often.where("often > 1"), "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    first = first.withColumn("turn", F.row_number().over(rarest)).where(F.col("turn") <= least).where("often > 1").select("node", "shingle", "n")
+    parts = known.select("node", "part").distinct()
+    listed = staged(first.join(parts, "node").select("shingle", "node", "part", "n"), "near-prefixes")
+    other = listed.select("shingle", F.col("node").alias("other"), F.col("part").alias("other_part"), F.col("n").alias("other_n"))
+    near = 100 * F.least("n", "other_n") >= PERCENT * F.greatest("n", "other_n")
+    pairs = listed.join(other, "shingle").where((F.col("node") < F.col("other")) & (F.col("part") != F.col("other_part")) & near)
+    return pairs.select("node", "other").distinct()
+
+
 # --- the operator ------------------------------------------------------------------------------------------------
 
 
@@ -268,45 +298,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         member.join(sized, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-placed"
     )
 
-    def entry(part, late, lows, highs):
-        return F.collect_list(
-            F.struct(F.col("pivot"), part.cast("long").alias("part"), late.alias("late"), lows.alias("lows"), highs.alias("highs"))
-        ).alias("groups")
-
-    zero, no = F.array(F.lit(0)), F.lit(False)
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    own = F.array(F.col("block"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = placed.groupBy("node", "mark").agg(
-        entry(F.col("node"), no, F.when(F.col("node") == F.col("pivot"), upto("blocks")).otherwise(own), zero)
-    )
-    edges = staged(_compare(rows, first, tasks), "near-edges")
+    lows = F.when(F.col("node") == F.col("pivot"), upto("blocks")).otherwise(F.array("block"))
+    first = placed.select("node", "mark", "pivot", F.col("node").alias("part"), F.lit(False).alias("late"), lows.alias("lows"))
+    edges = staged(_compare(rows, staged(first, "near-first"), tasks), "near-edges")
     label = components(edges)
 
-    # groups of several blocks: what isn't with the pivot yet, against the whole group
-    wide = placed.where("blocks > 1")
+    # groups of several blocks: pairs of different blocks that aren't in one component yet
+    wide = placed.where("blocks > 1").select("node", "mark").distinct()
     known = staged(
-        wide.join(label.withColumnRenamed("id", "node"), "node", "left")
-        .withColumn("part", F.coalesce("component", "node"))
-        .drop("component"),
-        "near-wide",
+        wide.join(label.withColumnRenamed("id", "node"), "node", "left").select("node", "mark", F.coalesce("component", "node").alias("part")), "near-wide"
     )
     if not known.isEmpty():
-        heads = known.where("node = pivot").select("pivot", F.col("part").alias("head"))
-        apart = known.join(heads, "pivot").where("part != head").drop("head")
-        tails = staged(apart.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lefts")), "near-tails")
-        tails, _ = small(tails)
-        whole = known.join(tails, "pivot").select("*", no.alias("late"), upto("lefts").alias("lows"), own.alias("highs"))
-        left = F.pmod(F.xxhash64("node", F.lit(1)), F.col("lefts")).cast("int")
-        rest = apart.join(tails, "pivot").select(
-            "*", F.lit(True).alias("late"), F.array(left).alias("lows"), upto("blocks").alias("highs")
-        )
-        second = (
-            whole.unionByName(rest)
-            .groupBy("node", "mark")
-            .agg(entry(F.col("part"), F.col("late"), F.col("lows"), F.col("highs")))
-        )
-        label = components(edges.unionByName(staged(_compare(rows, second, tasks), "near-edges2")))
+        pairs = staged(_candidates(rows, known), "near-candidates")
+        counts = pairs.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        own = counts.select("node", F.col("node").alias("pivot"), F.lit(True).alias("late"), upto("blocks").alias("lows"))
+        block = F.array(F.pmod(F.xxhash64("other"), F.col("blocks")).cast("int"))
+        others = pairs.join(counts, "node").select(F.col("other").alias("node"), F.col("node").alias("pivot"), F.lit(False).alias("late"), block.alias("lows"))
+        second = own.unionByName(others).join(known, "node").select("node", "mark", "pivot", "part", "late", "lows")
+        label = components(edges.unionByName(staged(_compare(rows, staged(second, "near-second"), tasks), "near-edges2")))
     found = nodes.select("mark", "mark2", "n", "node").join(label, F.col("node") == F.col("id"), "left")
     found = staged(found.select("mark", "mark2", "n", F.coalesce("component", "node").alias("component")), "near-found")
     return (
