@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,37 +91,46 @@ def nearest_rank(x: Column | str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {x})") if isinstance(x, str) else F.percentile(x, F.lit(q))
 
 
-def truncated_rank(values: Column, q: float) -> Column:
-    """sorted[int(q * n) - 1] of an array (not below the first)."""
-    ordered = F.array_sort(values)
-    return F.when(F.size(ordered) > 0, F.element_at(ordered, F.greatest(F.lit(1), F.floor(F.size(ordered) * q).cast("int"))))
+def truncated_percentile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
+    """sorted[int(q * n) - 1] of each key (not below the first), from counts per value: rows are partly aggregated before the
+    shuffle, and the running sum is over distinct values."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    aim = F.greatest(F.lit(1), F.floor(F.sum("_n").over(w) * q))
+    return counted.withColumn("_upto", upto).withColumn("_aim", aim).where("_upto >= _aim").groupBy(*keys).agg(F.min(value).alias(name))
+
+
+def drawn(r: Column, j: Column, n: Column, seed: int) -> Column:
+    """A number from 0 to n - 1 for draw j of round r: three rounds of squaring modulo a prime, which SQL engines can say too."""
+    prime = 2147483647
+    x = F.pmod(F.lit(seed).cast("long") + r * 73856093 + j * 19349663, F.lit(prime).cast("long"))
+    for _ in range(3):
+        x = (x * x + 12345) % prime
+    return x % n
 
 
 def bootstrap_by_day(df: DataFrame, keys: list[str], day: str, stake: str, pnl: str, rounds: int = 500, seed: int = 6301) -> DataFrame:
     """95 % interval of pnl over stake by resampling whole days; null for fewer than two days.
 
-    Days are summed first, so what is resampled has one row per day. The draws are a table of (days, round, day number,
-    times drawn) made from a seeded generator for each number of days that occurs: a few thousand rows a day, broadcast.
+    Days are summed first, so what is resampled is one short list of days per key, whatever the number of rows. Rounds are
+    drawn in the JVM from a seeded function of (round, draw); nothing passes through the driver.
     """
     daily = df.groupBy(*keys, day).agg(F.sum(stake).alias("_stake"), F.sum(pnl).alias("_pnl"))
-    w = Window.partitionBy(*keys)
-    daily = daily.withColumn("_i", F.row_number().over(w.orderBy(day)) - 1).withColumn("_days", F.count("*").over(w))
-    counts = sorted(r["_days"] for r in daily.select("_days").distinct().collect())
-    draws = []
-    for n in counts:
-        if n < 2:
-            continue
-        generator = random.Random(seed)
-        for r in range(rounds):
-            times: dict[int, int] = {}
-            for _ in range(n):
-                i = generator.randrange(n)
-                times[i] = times.get(i, 0) + 1
-            draws += [(n, r, i, t) for i, t in times.items()]
-    table = df.sparkSession.createDataFrame(draws, "_days long, _round int, _i int, _times int")
-    each = daily.join(table, ["_days", "_i"]).groupBy(*keys, "_round").agg((F.sum(F.col("_pnl") * F.col("_times")) / F.sum(F.col("_stake") * F.col("_times"))).alias("_roi"))
-    limits = each.groupBy(*keys).agg(F.percentile("_roi", F.lit(0.025)).alias("roi_low"), F.percentile("_roi", F.lit(0.975)).alias("roi_high"))
-    return daily.groupBy(*keys).agg(F.max("_days").alias("days")).join(limits, keys, "left")
+    lists = daily.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(day), F.col("_stake").cast("double").alias("s"), F.col("_pnl").cast("double").alias("p")))).alias("_d"))
+    lists = lists.withColumn("days", F.size("_d").cast("long"))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("p"))
+
+    def one(r: Column) -> Column:
+        def add(total: Column, j: Column) -> Column:
+            x = F.element_at("_d", (drawn(r, j, F.col("days"), seed) + 1).cast("int"))
+            return F.struct((total["s"] + x["s"]).alias("s"), (total["p"] + x["p"]).alias("p"))
+
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("days") - 1), zero, add, lambda t: F.when(t["s"] != 0, t["p"] / t["s"]))
+
+    every = lists.where("days > 1").repartition(*keys).select(*keys, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long")), one)).alias("_roi"))
+    limits = every.groupBy(*keys).agg(F.percentile("_roi", F.lit(0.025)).alias("roi_low"), F.percentile("_roi", F.lit(0.975)).alias("roi_high"))
+    return lists.select(*keys, "days").join(limits, keys, "left")
 
 
 def classification_metrics(df: DataFrame, label: str, p: list[str], keys: list[str] | None = None) -> DataFrame:
