@@ -44,9 +44,3 @@ def display(x: Column | str, zone: str = "Europe/Berlin") -> Column:
 def is_fresh(observed: Column | str, now: Column, max_age: float) -> Column:
     """Age (not below zero) within ``max_age`` seconds (at least one), the limit included."""
     return F.greatest(F.lit(0.0), seconds_between(now, observed)) <= max(1.0, max_age)
-
-
-def retry_at(attempts: Column | str, last: Column | str, terminal: Column | str, never_fetched: Column | str) -> Column:
-    """Next attempt: none when terminal; 5 hours while nothing was fetched; then 24, 72 and 168 hours by attempts."""
-    hours = F.when(col(never_fetched), 5).when(col(attempts) <= 1, 24).when(col(attempts) == 2, 72).otherwise(168)
-    return F.when(~col(terminal), F.timestamp_seconds(F.unix_timestamp(col(last).cast("timestamp")) + hours * 3600))

@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from pitchspark.functions.numbers import ratio, wilson
 
 
-def count_if(condition: Column) -> Column:
+def count_if(condition: Column | str) -> Column:
     """Rows for which the condition holds; unknown doesn't count, and no rows give 0."""
+    condition = F.expr(condition) if isinstance(condition, str) else condition
     return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0)).cast("long")
 
 

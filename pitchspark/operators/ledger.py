@@ -100,22 +100,6 @@ def settle(trades: DataFrame, results: DataFrame, ledger: DataFrame) -> DataFram
     return rows.join(ledger.select("idempotency_key"), "idempotency_key", "left_anti")
 
 
-def settlement_class(ft: Column, ht: Column, status: Column, scope_known: Column, regulation: Column) -> Column:
-    """Ladder of a settled half: VOID, NOT_REGULATION, SCOPE_UNKNOWN, NOT_FINAL, MISSING, INVALID, then goals after half time."""
-    goals = ft - ht
-    return (
-        F.when(status.isin("VOID", "CANCELLED", "ABANDONED"), "VOID")
-        .when(~F.coalesce(scope_known, F.lit(False)), "SCOPE_UNKNOWN")
-        .when(~F.coalesce(regulation, F.lit(False)), "NOT_REGULATION")
-        .when(~status.isin("FINISHED", "ENDED") | status.isNull(), "NOT_FINAL")
-        .when(ft.isNull() | ht.isNull(), "MISSING")
-        .when(goals < 0, "INVALID")
-        .when(goals == 0, "ZERO")
-        .when(goals == 1, "ONE")
-        .otherwise("TWO_PLUS")
-    )
-
-
 def close_open_quotes(quotes: DataFrame, terminal: DataFrame, key: str) -> DataFrame:
     """Quotes of terminal keys become stopped, without odds."""
     ended = terminal.select(key).distinct().withColumn("_ended", F.lit(True))

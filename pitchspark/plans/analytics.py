@@ -446,16 +446,6 @@ def d07_variant_study(t):
     return rows.groupBy("rule", "variant").agg(F.count("*").alias("trades"), F.round(F.sum("pnl"), 2).alias("pnl"), F.round(F.sum("pnl") / F.sum("stake"), 6).alias("roi"))
 
 
-@query(
-    "d08_settlement",
-    """SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN l_linestatus <> 'F' THEN 'NOT_FINAL' WHEN l_linenumber - l_quantity::INT % 4 < 0 THEN 'INVALID' WHEN l_linenumber - l_quantity::INT % 4 = 0 THEN 'ZERO' WHEN l_linenumber - l_quantity::INT % 4 = 1 THEN 'ONE' ELSE 'TWO_PLUS' END AS class FROM lineitem""",
-)
-def d08_settlement(t):
-    status = F.when(F.col("l_linestatus") == "F", "FINISHED").otherwise("LIVE")
-    found = ledger.settlement_class(F.col("l_linenumber"), F.col("l_quantity").cast("int") % 4, status, F.lit(True), F.lit(True))
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", found.alias("class"))
-
-
 @query("j11_fuzzy_match")
 def j11_fuzzy_match(t):
     """Suppliers and customers as fixtures of two sources, with the same kickoffs by number; names differ by their kind."""

@@ -3,7 +3,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from pitchspark.operators import aggregates, joins, ledger, matching, ordering, reshape, windows
+from pitchspark.operators import results, aggregates, joins, ledger, matching, ordering, reshape, windows
 from pitchspark.sources import feeds
 
 
@@ -58,9 +58,19 @@ def test_reserve_folds_in_time_order(spark):
 
 
 def test_settlement_ladder(spark):
-    df = spark.createDataFrame([(2, 1, "FINISHED", True, True), (1, 2, "FINISHED", True, True), (1, 1, "VOID", True, True), (3, 0, "FINISHED", None, True), (3, 0, "LIVE", True, True)], "ft int, ht int, s string, k boolean, r boolean")
-    found = df.select(ledger.settlement_class(F.col("ft"), F.col("ht"), F.col("s"), F.col("k"), F.col("r")).alias("c"))
-    assert [r["c"] for r in found.collect()] == ["ONE", "INVALID", "VOID", "SCOPE_UNKNOWN", "NOT_FINAL"]
+    """Void, score of regular time needed, scope unknown, not final, missing, below half time on one side, then the goals."""
+    rows = [
+        (0, 0, 1, 0, "Void", None, None, None, None), (0, 0, 1, 0, "FINISHED", True, False, None, None), (0, 0, 1, 0, "FINISHED", None, False, None, None), (0, 0, 1, 0, "LIVE", False, False, None, None),
+        (0, 0, None, 0, "ENDED", False, False, None, None), (2, 0, 1, 2, "FINISHED", False, False, None, None), (1, 0, 1, 0, "FINISHED", False, False, None, None), (1, 0, 1, 1, "FINISHED", False, False, None, None),
+        (0, 0, 2, 1, "FINISHED", False, False, None, None), (0, 0, 4, 1, "FINISHED", True, True, 1, 0), (0, 0, -1, 1, "FINISHED", False, False, None, None),
+    ]
+    df = spark.createDataFrame(rows, "hh int, ha int, fh int, fa int, s string, e boolean, p boolean, rh int, ra int")
+    found = df.select(results.settlement(*[F.col(c) for c in ("hh", "ha", "fh", "fa", "s", "e", "p", "rh", "ra")]).alias("x")).select("x.verdict", "x.reason", "x.goals").collect()
+    assert [tuple(r) for r in found] == [
+        ("VOID", "EVENT_VOID", None), ("UNRESOLVED", "REGULATION_SCORE_REQUIRED", None), ("UNRESOLVED", "EXTRA_TIME_SCOPE_UNKNOWN", None), ("UNRESOLVED", "FINAL_RESULT_NOT_CONFIRMED", None),
+        ("UNRESOLVED", "MISSING_HALF_TIME_OR_FINAL_SCORE", None), ("UNRESOLVED", "FINAL_SCORE_BELOW_HALF_TIME_SCORE", None), ("WIN_ZERO", "SECOND_HALF_GOALS_0", 0), ("LOSS_MIDDLE", "SECOND_HALF_GOALS_1", 1),
+        ("WIN_TWO_PLUS", "SECOND_HALF_GOALS_3", 3), ("LOSS_MIDDLE", "SECOND_HALF_GOALS_1", 1), ("UNRESOLVED", "MISSING_HALF_TIME_OR_FINAL_SCORE", None),
+    ]
 
 
 def test_fingerprint_ignores_order(spark):
