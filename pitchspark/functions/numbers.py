@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Fixed value: two-sided 95 % point of the normal distribution.
 Z95 = 1.959963984540054
@@ -122,3 +124,34 @@ def hedge_profile(stake: Column | str, q: Column | str, other: Column | str) ->
     s, q, o = col(stake), valid_quote(q), valid_quote(other)
     hedge = s * q / o
     return F.struct(money(hedge).alias("hedge"), money(s * q - s - hedge).alias("profit"))
+
+
+def python_round(x: Column | str, digits: int = 2) -> Column:
+    """Rounded by the binary value of a double, as Python does (2.675 gives 2.67); an Arrow UDF, for parity only."""
+    @F.pandas_udf(DoubleType())
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: round(v, digits), na_action="ignore")
+
+    return run(col(x))
+
+
+def first_path(payload: Column | str, paths: tuple[str, ...]) -> Column:
+    """First of several JSON paths that has a value; null for broken JSON."""
+    return F.coalesce(*[F.get_json_object(col(payload), p) for p in paths])
+
+
+def json_list(payload: Column | str, item: str) -> Column:
+    """A JSON list of ``item``, empty where the text is null, broken or no list."""
+    kind = f"array<{item}>"
+    listed = F.startswith(F.ltrim(col(payload)), F.lit("["))
+    return F.coalesce(F.when(listed, F.from_json(col(payload), kind)), F.array().cast(kind))
+
+
+def appended(values: Column, more: Column) -> Column:
+    """Distinct values in order of first appearance."""
+    return F.array_distinct(F.concat(values, more))
+
+
+def same_ids(a: Column, b: Column) -> Column:
+    """Whether two arrays of ids share one; unknown arrays share none."""
+    return F.coalesce(F.arrays_overlap(a, b), F.lit(False))

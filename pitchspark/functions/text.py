@@ -5,28 +5,70 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pitchspark.functions.numbers import col
 
-# Latin letters with marks and what they become; JVM-side stand-in for a Unicode decomposition.
-_MARKED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįñńňòóôõöøōőřśšşťùúûüūůűýÿźżžğłđ"
-_PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiinnnoooooooorssstuuuuuuuyyzzzgld"
-#: Team names that are kept apart by these.
-MARKERS = ("ii", "iii", "b", "u17", "u18", "u19", "u20", "u21", "u23", "women", "youth", "reserves")
+# Words of team names that keep teams apart, words that say nothing, other spellings of cities and clubs.
+MARKERS = ("ii", "iii", "iv", "b", "reserve", "reserves", "u17", "u18", "u19", "u20", "u21", "u23", "youth", "women", "woman", "frauen", "ladies", "femenino", "feminino", "w")
+DECORATIONS = ("ac", "afc", "as", "bsc", "calcio", "cf", "club", "fc", "fk", "sc", "sk", "ssc", "sv", "tsv", "us", "vfb", "vfl")
+CITIES = {"munich": "munchen", "muenchen": "munchen", "vienna": "wien"}
+CLUBS = {
+    "tsg hoffenheim": "hoffenheim", "borussia dortmund": "dortmund", "bayer leverkusen": "leverkusen", "borussia m gladbach": "borussia monchengladbach",
+    "m gladbach": "borussia monchengladbach", "fc augsburg": "augsburg", "sc freiburg": "freiburg", "1 fc koln": "koln", "fc koln": "koln", "fsv mainz 05": "mainz 05",
+    "sc paderborn 07": "paderborn", "paderborn 07": "paderborn", "hsv": "hamburger sv",
+}
+#: Names that an old export broke, and what they were.
+BROKEN = {"M\ufffdnchengladbach": "Mönchengladbach", "M\ufffdnchen": "München", "K\ufffdln": "Köln"}
 
 
-def strip_marks(x: Column | str) -> Column:
-    """Lower case, ß as ss, marks of Latin letters gone; other scripts stay."""
-    return F.replace(F.translate(F.lower(col(x)), _MARKED, _PLAIN), F.lit("ß"), F.lit("ss"))
+@F.pandas_udf(StringType())
+def _decomposed(x: pd.Series) -> pd.Series:
+    """NFKD, case folded, without combining marks: the JVM has no expression for it. Each distinct value of a batch once."""
+    import unicodedata
+
+    found = {v: "".join(ch for ch in unicodedata.normalize("NFKD", v).casefold() if not unicodedata.combining(ch)) for v in x.dropna().unique()}
+    return x.map(found).astype(object)
 
 
 def normal_name(x: Column | str) -> Column:
-    """Marks stripped, & as and, everything but letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(strip_marks(x), "&", " and "), r"[^\p{L}\p{N}]+", " "))
+    """Compatibility forms and case folded, marks gone (letters with a stroke stay), ß as ss, & as and, some cities in one
+    spelling, everything but letters and digits of any script as one space."""
+    out = F.regexp_replace(F.replace(_decomposed(col(x)), F.lit("ß"), F.lit("ss")), "&", " and ")
+    for name, other in CITIES.items():
+        out = F.regexp_replace(out, rf"(?U)\b{name}\b", other)
+    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+
+
+def team_name(x: Column | str) -> Column:
+    name = normal_name(x)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in CLUBS.items() for v in pair]), name), name)
+
+
+def team_core(name: Column) -> Column:
+    """A normalised name without words like fc or club; the name itself if nothing is left."""
+    core = F.array_join(F.array_except(F.split(name, " "), F.array(*[F.lit(d) for d in DECORATIONS])), " ")
+    return F.when(core != "", core).otherwise(name)
+
+
+def label_key(country: Column, name: Column, labels: dict[str, list[tuple[str, ...]]]) -> Column:
+    """A normalised competition name, or the group of labels of its country that it belongs to (``labels`` are normalised)."""
+    table = {f"{place}|{label}": f"label:{place}:{k}" for place, groups in labels.items() for k, group in enumerate(groups) for label in group}
+    if not table:
+        return name
+    found = F.try_element_at(F.create_map(*[F.lit(v) for pair in table.items() for v in pair]), F.concat_ws("|", country, name))
+    return F.coalesce(found, name)
+
+
+def repaired(x: Column | str) -> Column:
+    out = col(x)
+    for bad, good in BROKEN.items():
+        out = F.replace(out, F.lit(bad), F.lit(good))
+    return out
 
 
 def fold_umlauts(x: Column | str) -> Column:
-    """The German spelling: ä as ae and so on (not the same as :func:`strip_marks`)."""
+    """The German spelling: ä as ae and so on (not the same as :func:`normal_name`)."""
     out = F.lower(col(x))
     for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -34,7 +76,7 @@ def fold_umlauts(x: Column | str) -> Column:
 
 
 def marker_set(x: Column | str) -> Column:
-    return F.array_sort(F.array_intersect(F.split(normal_name(x), " "), F.array(*[F.lit(m) for m in MARKERS])))
+    return F.array_sort(F.array_intersect(F.split(team_name(x), " "), F.array(*[F.lit(m) for m in MARKERS])))
 
 
 def last_number(x: Column | str) -> Column:

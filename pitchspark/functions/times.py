@@ -44,3 +44,14 @@ def display(x: Column | str, zone: str = "Europe/Berlin") -> Column:
 def is_fresh(observed: Column | str, now: Column, max_age: float) -> Column:
     """Age (not below zero) within ``max_age`` seconds (at least one), the limit included."""
     return F.greatest(F.lit(0.0), seconds_between(now, observed)) <= max(1.0, max_age)
+
+
+def utc_date(x: Column | str) -> Column:
+    """UTC calendar day of an ISO text; null if it can't be read."""
+    return F.to_date(utc(x))
+
+
+def partition_keys(at: Column | str) -> list[Column]:
+    """year, month and date of an instant, as texts."""
+    at = col(at)
+    return [F.date_format(at, "yyyy").alias("year"), F.date_format(at, "MM").alias("month"), F.date_format(at, "yyyy-MM-dd").alias("date")]

@@ -1,55 +1,118 @@
-"""Entity resolution between two sources of fixtures: blocking by time, hard guards, aliases, a similarity score."""
+"""Entity resolution between two sources of fixtures: blocking by time and country, hard guards, aliases, a score.
+
+Candidates meet in an equality join on a quarter of an hour and the country; fixtures without a country meet those of any
+country of their quarter of an hour in joins of their own. Similarities are computed behind the guards only.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from pitchspark.functions.text import marker_set, normal_name, sequence_ratio
+from pitchspark.functions.text import label_key, marker_set, normal_name, sequence_ratio, team_core, team_name
 from pitchspark.operators.joins import interval_join, latest_by
 
+LEAST_COMPETITION, LEAST_TEAM, ACCEPT, NEAR = 0.70, 0.78, 0.80, 0.05
+#: Country codes and names of other languages; more come as a parameter.
+COUNTRIES = {
+    "de": "deutschland", "germany": "deutschland", "ger": "deutschland", "at": "osterreich", "austria": "osterreich", "ch": "schweiz", "switzerland": "schweiz", "eng": "england", "gb": "england",
+    "ita": "italien", "italy": "italien", "esp": "spanien", "spain": "spanien", "fra": "frankreich", "france": "frankreich", "ned": "niederlande", "netherlands": "niederlande",
+}
+
 
-def prepare(fixtures: DataFrame, source: str) -> DataFrame:
-    """fixture_id, home, away, kickoff, country -> normalised names and markers with the source's prefix."""
+def prepare(fixtures: DataFrame, source: str, countries: dict[str, str] | None = None) -> DataFrame:
+    """fixture_id, home, away, kickoff, country, and competition if there is one -> normalised names, markers and country with
+    the source's prefix; an empty country is unknown."""
+    table = COUNTRIES | (countries or {})
+    place = normal_name("country")
+    known = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in table.items() for v in pair]), place), place)
+    competition = normal_name("competition") if "competition" in fixtures.columns else F.lit(None).cast("string")
     return fixtures.select(
         F.col("fixture_id").alias(f"{source}_id"),
-        normal_name("home").alias(f"{source}_home"),
-        normal_name("away").alias(f"{source}_away"),
+        team_name("home").alias(f"{source}_home"),
+        team_name("away").alias(f"{source}_away"),
         marker_set("home").alias(f"{source}_home_marks"),
         marker_set("away").alias(f"{source}_away_marks"),
         F.col("kickoff").alias(f"{source}_kickoff"),
-        F.lower("country").alias(f"{source}_country"),
+        F.when(known != "", known).alias(f"{source}_country"),
+        F.coalesce(competition, F.lit("")).alias(f"{source}_competition"),
     )
 
 
 def with_aliases(prepared: DataFrame, aliases: DataFrame, source: str) -> DataFrame:
-    """One row for each pair of home and away spelling; ``aliases`` (name, alias) is checked to be a dimension table."""
+    """One row for each pair of home and away spelling whose markers are those of the name; ``aliases``: name, alias."""
+    spelled = aliases.select(team_name("name").alias("_name"), team_name("alias").alias("_alias"), marker_set("name").alias("_m"), marker_set("alias").alias("_n"))
+    spelled = spelled.where("_m = _n").groupBy("_name").agg(F.array_sort(F.collect_set("_alias")).alias("_aliases"))  # spellings of one name are few
     for side in ("home", "away"):
-        known = aliases.select(normal_name("name").alias(f"{source}_{side}"), normal_name("alias").alias("_alias"))
-        known = known.groupBy(f"{source}_{side}").agg(F.array_distinct(F.collect_list("_alias")).alias("_aliases"))
-        names = F.array_distinct(F.concat(F.array(f"{source}_{side}"), F.coalesce("_aliases", F.array().cast("array<string>"))))
-        prepared = prepared.join(known, f"{source}_{side}", "left").withColumn(f"{source}_{side}", F.explode(names)).drop("_aliases")
+        name = f"{source}_{side}"
+        names = F.array_distinct(F.concat(F.array(name), F.coalesce("_aliases", F.array().cast("array<string>"))))
+        prepared = prepared.join(spelled.withColumnRenamed("_name", name), name, "left").withColumn(name, F.explode(names)).drop("_aliases")
     return prepared
 
 
 def candidates(left: DataFrame, right: DataFrame, seconds: int = 900) -> DataFrame:
-    """Pairs of prepared fixtures whose kickoffs are near; guards: names present, markers equal, countries equal if known,
-    not the same fixture the other way round."""
-    pairs = interval_join(left, right, "a_kickoff", "b_kickoff", seconds, [])
-    country = F.col("a_country").isNull() | F.col("b_country").isNull() | (F.col("a_country") == F.col("b_country"))
+    """Pairs of prepared fixtures whose kickoffs are near and that no guard parts: names present, not the same fixture the
+    other way round, equal markers, equal countries if both are known."""
+    left, right = left.withColumn("_country", F.col("a_country")), right.withColumn("_country", F.col("b_country"))
+    join = lambda a, b, on: interval_join(a, b, "a_kickoff", "b_kickoff", seconds, on)
+    known_left, known_right = left.where("a_country IS NOT NULL"), right.where("b_country IS NOT NULL")
+    pairs = join(known_left, known_right, ["_country"]).drop("_country")
+    pairs = pairs.unionByName(join(left.where("a_country IS NULL").drop("_country"), right.drop("_country"), []))
+    pairs = pairs.unionByName(join(known_left.drop("_country"), right.where("b_country IS NULL").drop("_country"), []))
+    same = lambda x, y: team_core(F.col(x)) == team_core(F.col(y))
     marks = (F.col("a_home_marks") == F.col("b_home_marks")) & (F.col("a_away_marks") == F.col("b_away_marks"))
-    names = (F.col("a_home") != "") & (F.col("a_away") != "") & (F.col("b_home") != "") & (F.col("b_away") != "")
-    reversed_ = (F.col("a_home") == F.col("b_away")) & (F.col("a_away") == F.col("b_home"))
-    return pairs.where(names & marks & country & ~reversed_)
-
-
-def score(pairs: DataFrame, accept: float = 0.85) -> DataFrame:
-    """Best pair of each left fixture: score, runner-up score and verdict MATCH, AMBIGUOUS or REJECTED."""
-    exact = (F.col("a_home") == F.col("b_home")) & (F.col("a_away") == F.col("b_away"))
-    fuzzy = (sequence_ratio("a_home", "b_home") + sequence_ratio("a_away", "b_away")) / 2
-    scored = pairs.withColumn("score", F.when(exact, 1.0).otherwise(fuzzy))
-    each = scored.groupBy("a_id", "b_id").agg(F.max("score").alias("score"))  # the best spelling counts
-    best = latest_by(each, ["a_id"], ["score", "b_id"])
+    names = F.lit(True)
+    for c in ("a_home", "a_away", "b_home", "b_away"):
+        names = names & (F.coalesce(c, F.lit("")) != "")
+    return pairs.where(names & marks & ~(same("a_home", "b_away") & same("a_away", "b_home")))
+
+
+def scored(pairs: DataFrame, labels: dict[str, list[tuple[str, ...]]] | None = None) -> DataFrame:
+    """Pairs with ``score`` (0 where a guard on similarity parts them) and ``exact``.
+
+    0.42 or 0.30 for each team, equal or similar; 0.10 or 0.05 for the competition; 0.06 or 0.03 for kickoffs within five
+    minutes or not; 0.04 if both countries are known; 1 at most. ``labels``: per country, groups of competition labels that
+    mean one competition; two labelled ones of different groups part the pair."""
+    c = F.col
+    equal = {side: team_core(c(f"a_{side}")) == team_core(c(f"b_{side}")) for side in ("home", "away")}
+    keys = [label_key(c(f"{s}_country"), c(f"{s}_competition"), labels or {}) for s in ("a", "b")]
+    both = F.coalesce(c("a_country") == c("b_country"), F.lit(False))
+    named = (c("a_competition") != "") & (c("b_competition") != "")
+    same = (c("a_competition") == c("b_competition")) | (both & (keys[0] == keys[1]))
+    parted = both & F.startswith(keys[0], F.lit("label:")) & F.startswith(keys[1], F.lit("label:")) & (keys[0] != keys[1])
+    pairs = pairs.withColumns({"_home": equal["home"], "_away": equal["away"], "_comp": same, "_parted": parted, "_named": named})
+    ratio = lambda use, a, b: F.when(use, sequence_ratio(F.when(use, c(a)), F.when(use, c(b)))).otherwise(1.0)
+    pairs = pairs.withColumn("_rc", ratio(c("_named") & ~c("_comp"), "a_competition", "b_competition"))
+    unsure = ~(c("_home") & c("_away")) & (c("_rc") >= LEAST_COMPETITION) & ~c("_parted")
+    pairs = pairs.withColumn("_rt", F.least(ratio(unsure, "a_home", "b_home"), ratio(unsure, "a_away", "b_away")))
+    gap = F.abs(F.unix_micros(c("a_kickoff").cast("timestamp")) - F.unix_micros(c("b_kickoff").cast("timestamp"))) / 60e6
+    part = lambda cond, a, b: F.when(cond, a).otherwise(b)
+    total = part(c("_home"), 0.42, 0.30) + part(c("_away"), 0.42, 0.30) + part(c("_comp"), 0.10, 0.05) + part(gap <= 5, 0.06, 0.03)
+    total = total + part(c("a_country").isNotNull() & c("b_country").isNotNull(), 0.04, 0.0)
+    fails = c("_parted") | (c("_rc") < LEAST_COMPETITION) | (c("_rt") < LEAST_TEAM)
+    exact = c("_home") & c("_away") & c("_comp") & (gap <= 5)
+    pairs = pairs.withColumns({"score": F.when(fails, 0.0).otherwise(F.round(F.least(F.lit(1.0), total), 6)), "exact": exact & ~fails})
+    return pairs.drop("_home", "_away", "_comp", "_parted", "_named", "_rc", "_rt")
+
+
+def resolve(pairs: DataFrame) -> DataFrame:
+    """Best pair of each left fixture: a_id, b_id (null unless decided), score, second and verdict: EXACT, HIGH_CONFIDENCE,
+    AMBIGUOUS (another within ``NEAR``) or UNMATCHED. Of several spellings of a pair the best counts."""
+    each = pairs.groupBy("a_id", "b_id").agg(F.max("score").alias("score"), F.max_by("exact", "score").alias("exact")).where("score > 0")
+    best = latest_by(each.withColumn("_turn", F.struct("score", -F.row_number().over(Window.partitionBy("a_id", "score").orderBy("b_id")))), ["a_id"], ["_turn"]).drop("_turn")
     second = each.join(best.select("a_id", F.col("b_id").alias("_first")), "a_id").where("b_id <> _first").groupBy("a_id").agg(F.max("score").alias("second"))
-    verdict = F.when(F.col("score") < accept, "REJECTED").when(F.coalesce("second", F.lit(0.0)) >= F.col("score") - 0.02, "AMBIGUOUS").otherwise("MATCH")
-    return best.join(second, "a_id", "left").withColumn("verdict", verdict)
+    close = F.coalesce(F.col("second") >= F.col("score") - NEAR, F.lit(False))
+    verdict = F.when(close, "AMBIGUOUS").when(F.col("exact"), "EXACT").when(F.col("score") >= ACCEPT, "HIGH_CONFIDENCE").otherwise("UNMATCHED")
+    found = best.join(second, "a_id", "left").withColumn("verdict", verdict)
+    return found.withColumn("b_id", F.when(F.col("verdict").isin("EXACT", "HIGH_CONFIDENCE"), F.col("b_id"))).drop("exact")
+
+
+def match(left: DataFrame, right: DataFrame, aliases: DataFrame | None = None, labels: dict[str, list[tuple[str, ...]]] | None = None) -> DataFrame:
+    """The whole chain for two tables of fixtures; ``aliases`` are other spellings of the right source's names."""
+    a, b = prepare(left, "a"), prepare(right, "b")
+    return resolve(scored(candidates(a, b if aliases is None else with_aliases(b, aliases, "b")), labels))
+
+
+def same_fixture(column: str = "verdict") -> Column:
+    return F.col(column).isin("EXACT", "HIGH_CONFIDENCE")

@@ -128,3 +128,29 @@ def sliding_counts(df: DataFrame, now: Column, time: str, minutes: tuple[int, ..
     age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))) / 60e6
     inside = lambda m: F.sum(F.when((age >= 0) & (age <= m), 1).otherwise(0)).cast("long").alias(f"last_{m}")
     return df.groupBy(kind).agg(*[inside(m) for m in minutes])
+
+
+def rate_decisions(requests: DataFrame, keys: list[str], order: list[str], size: int = 20, start: float = 10.0, step: float = 2.0, least: float = 1.0, most: float = 60.0) -> DataFrame:
+    """The rate after each full window of ``size`` requests of a key, with the window's state.
+
+    A window with a refusal (429, 403) or an answer that can't be read is UNSTABLE, one with too many errors (over a tenth) or
+    a nearest-rank p95 over two seconds DEGRADED, else STABLE. STABLE adds ``step``, DEGRADED takes a quarter, UNSTABLE half,
+    within ``least`` and ``most``. Windows are counted apart; only their few states are folded in order.
+
+    ``requests``: status (int), ok, parse_failure, elapsed_ms."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    c = F.col
+    rows = requests.withColumn("window", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    hard = F.coalesce(c("status").isin(429, 403), F.lit(False)) | F.coalesce(c("parse_failure"), F.lit(False))
+    seen = rows.groupBy(*keys, "window").agg(F.count("*").alias("n"), F.max(hard).alias("_hard"), F.avg((~c("ok")).cast("int")).alias("error_rate"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY elapsed_ms)").alias("p95"))
+    state = F.when(c("_hard"), "UNSTABLE").when((c("error_rate") > 0.1) | (c("p95") > 2000), "DEGRADED").otherwise("STABLE")
+    full = seen.where(c("n") == size).withColumn("state", state)
+    cells = F.array_sort(F.collect_list(F.struct("window", "state", "error_rate", "p95")))
+
+    def decide(rates: Column, x: Column) -> Column:
+        last = F.element_at(rates, -1)
+        new = F.when(x["state"] == "STABLE", F.least(F.lit(most), last + step)).when(x["state"] == "UNSTABLE", F.greatest(F.lit(least), last / 2)).otherwise(F.greatest(F.lit(least), last * 0.75))
+        return F.concat(rates, F.array(new))
+
+    folded = full.groupBy(*keys).agg(cells.alias("_w")).withColumn("_r", F.aggregate("_w", F.array(F.lit(float(start))), decide))
+    return folded.select(*keys, F.posexplode("_w").alias("_i", "x"), "_r").select(*keys, "x.window", "x.state", "x.p95", F.element_at("_r", c("_i") + 2).alias("rate"))

@@ -446,10 +446,24 @@ def d07_variant_study(t):
     return rows.groupBy("rule", "variant").agg(F.count("*").alias("trades"), F.round(F.sum("pnl"), 2).alias("pnl"), F.round(F.sum("pnl") / F.sum("stake"), 6).alias("roi"))
 
 
+def _fixtures(t):
+    """Suppliers and customers as fixtures of two sources, with kickoffs by number; names differ by a letter of some."""
+    at = lambda key: F.timestamp_seconds(F.col(key) * 3600)
+    a = t.supplier.select(F.col("s_suppkey").alias("fixture_id"), F.col("s_name").alias("home"), F.concat(F.lit("Away "), "s_name").alias("away"), at("s_suppkey").alias("kickoff"), F.col("s_nationkey").cast("string").alias("country"), F.lit("League").alias("competition"))
+    name = lambda word: F.replace("c_name", F.lit("Customer"), F.lit(word))
+    home = F.when(F.col("c_custkey") % 2 == 0, name("Suppliar")).otherwise(name("Supplier"))
+    b = t.customer.select(F.col("c_custkey").alias("fixture_id"), home.alias("home"), F.concat(F.lit("Away "), name("Supplier")).alias("away"), at("c_custkey").alias("kickoff"), F.lit(None).cast("string").alias("country"), F.when(F.col("c_custkey") % 3 == 0, "League").otherwise("Leagues").alias("competition"))
+    return a, b
+
+
 @query("j11_fuzzy_match")
 def j11_fuzzy_match(t):
-    """Suppliers and customers as fixtures of two sources, with the same kickoffs by number; names differ by their kind."""
-    at = lambda key: F.timestamp_seconds(F.col(key) * 3600)
-    a = t.supplier.select(F.col("s_suppkey").alias("fixture_id"), F.col("s_name").alias("home"), F.concat(F.lit("Away "), "s_name").alias("away"), at("s_suppkey").alias("kickoff"), F.col("s_nationkey").cast("string").alias("country"))
-    b = t.customer.select(F.col("c_custkey").alias("fixture_id"), F.replace("c_name", F.lit("Customer"), F.lit("Suppliar")).alias("home"), F.concat(F.lit("Away "), F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))).alias("away"), at("c_custkey").alias("kickoff"), F.lit(None).cast("string").alias("country"))
-    return matching.score(matching.candidates(matching.prepare(a, "a"), matching.prepare(b, "b")))
+    return matching.match(*_fixtures(t))
+
+
+@query("j12_alias_variants")
+def j12_alias_variants(t):
+    """With a second spelling of some names."""
+    a, b = _fixtures(t)
+    aliases = b.where("fixture_id % 4 = 0").select(F.col("home").alias("name"), F.replace("home", F.lit("Suppliar"), F.lit("Supplier")).alias("alias"))
+    return matching.match(a, b, aliases)

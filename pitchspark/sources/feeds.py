@@ -69,35 +69,49 @@ def events_of_feed(documents: DataFrame, feed: str = "live", root: str = "LIVE",
     )
 
 
+CLOSED = ("paused", "stopped", "suspended", "closed")
+
+
 def outcomes_of_detail(documents: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per outcome of each market of an event-detail document; available: open, with a quote above one."""
+    """One row per outcome of each market of an event-detail document: markets of either map, in order; outcomes that the
+    document doesn't hold get a row with their id alone. ``available``: open, with a quote above one. A market without a status
+    of its own is paused if it has outcomes and none of them is available, else open."""
     doc = F.from_json(payload, DETAIL)
-    rows = documents.select(*[c for c in documents.columns if c != payload], doc.alias("d")).where("d.oddGroups IS NOT NULL")
-    rows = rows.select("*", F.explode("d.oddGroups").alias("market_id", "market"))
+    kept = [c for c in documents.columns if c != payload]
+    rows = documents.select(*kept, doc.alias("d")).where("d.oddGroups IS NOT NULL OR d.oddGroupResultsMap IS NOT NULL")
+    keys = lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))
+    rows = rows.select("*", F.explode(F.array_distinct(F.concat(keys("d.oddGroups"), keys("d.oddGroupResultsMap")))).alias("market_id"))
+    market = F.try_element_at("d.oddGroups", F.col("market_id"))
     ids = F.array_distinct(F.coalesce(F.try_element_at("d.oddGroupResultsMap", F.col("market_id")), F.array().cast("array<bigint>")))
-    rows = rows.select("*", F.explode(ids).alias("_outcome")).select("*", F.try_element_at("d.results", F.col("_outcome").cast("string")).alias("outcome"))
-    status = F.lower(F.coalesce("outcome.status", "market.status", F.lit("open")))
-    quote = F.col("outcome.quoteFloatValue")
-    return rows.where("outcome IS NOT NULL").select(
-        *[c for c in documents.columns if c != payload],
-        F.col("d.event.id").alias("event_id"),
-        "market_id",
-        F.col("market.type").alias("market_type"),
-        F.col("market.fixedParam").alias("parameter"),
-        F.col("_outcome").cast("string").alias("outcome_id"),
-        F.col("outcome.caption").alias("caption"),
-        quote.alias("odds"),
-        status.alias("status"),
-        (~status.isin("paused", "stopped", "suspended", "closed") & F.coalesce(quote > 1, F.lit(False))).alias("available"),
-    )
+
+    def outcome(i):
+        x = F.try_element_at("d.results", i.cast("string"))
+        status = F.lower(F.coalesce(x["status"], F.lit("open")))
+        return F.struct(i.cast("string").alias("outcome_id"), x["caption"].alias("caption"), x["choiceParam"].alias("choice"), x["quoteFloatValue"].alias("odds"), status.alias("status"), (~status.isin(*CLOSED) & F.coalesce(x["quoteFloatValue"] > 1, F.lit(False))).alias("available"))
+
+    rows = rows.withColumn("_o", F.transform(ids, outcome)).withColumn("_m", market)
+    idle = (F.size("_o") > 0) & ~F.exists("_o", lambda x: x["available"])
+    state = F.lower(F.coalesce("_m.status", F.when(idle, "paused").otherwise("open")))
+    rows = rows.withColumn("market_status", state).select("*", F.explode("_o").alias("o"))
+    return rows.select(
+        *kept, F.col("d.event.id").alias("event_id"), "market_id", F.col("_m.type").alias("market_type"), F.col("_m.fixedParam").alias("parameter"), "market_status", "o.outcome_id", "o.caption", "o.choice", "o.odds", "o.status",
+        (F.col("o.available") & ~F.col("market_status").isin(*CLOSED)).alias("available"),
+    )
 
 
 def matches_of_daily(documents: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per match of a daily fixture document."""
-    rows = documents.select(*[c for c in documents.columns if c != payload], F.explode(F.from_json(payload, DAILY)["leagues"]).alias("l"))
-    rows = rows.select("*", F.explode("l.matches").alias("m"))
+    """One row per match entry of a daily fixture document, with its place; of entries with one id the first has ``first`` true."""
+    from pyspark.sql.window import Window
+
+    kept = [c for c in documents.columns if c != payload]
+    rows = documents.withColumn("_doc", F.xxhash64(payload)).select("_doc", *kept, F.posexplode(F.from_json(payload, DAILY)["leagues"]).alias("group_place", "l"))
+    rows = rows.select("*", F.posexplode("l.matches").alias("match_place", "m"))
+    first = F.row_number().over(Window.partitionBy("_doc", *kept, "m.id").orderBy("group_place", "match_place")) == 1
     return rows.select(
-        *[c for c in documents.columns if c != payload],
+        *kept,
+        "group_place",
+        "match_place",
+        first.alias("first"),
         F.col("l.id").alias("league_id"),
         F.col("l.name").alias("league"),
         F.col("l.ccode").alias("country"),
@@ -124,11 +138,61 @@ def new_payloads(stored: DataFrame, incoming: DataFrame, keys: list[str], payloa
     return hashed.join(latest, [*keys, "payload_hash"], "left_anti")
 
 
-def write_archive(df: DataFrame, path: str, partition: list[str], target_rows: int = 2_000_000) -> None:
-    """Partitioned Parquet without a file per match: rows of a partition meet in few tasks, hot ones are split by rebalancing."""
+def summary_of_daily(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of a daily feed: groups, entries, distinct matches, repeated ones, entries without an id."""
+    known = F.col("match_id").isNotNull()
+    found = matches.groupBy(*keys).agg(
+        F.count_distinct("league_id").alias("groups"), F.count("*").alias("entries"), F.count_distinct("match_id").alias("matches"), F.count_if(known).alias("_known"), F.count_if(~known).alias("invalid")
+    )
+    return found.withColumn("repeated", F.col("_known") - F.col("matches")).drop("_known")
+
+
+def _existing(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def write_archive(df: DataFrame, path: str, partition: list[str], keys: list[str] | None = None, target_rows: int = 2_000_000) -> None:
+    """Partitioned Parquet without a file per match: rows of a partition meet in few tasks, hot ones are split by rebalancing.
+
+    With ``keys``, only rows whose keys the archive lacks are added (the first of rows that repeat), so doing it again adds
+    nothing. A write that breaks off leaves no file that readers see."""
+    if keys:
+        df = df.dropDuplicates(keys)
+        if _existing(df.sparkSession, path):
+            old = df.sparkSession.read.schema(df.schema).parquet(path).select(*keys)
+            df = df.join(old, keys, "left_anti")
     df.hint("rebalance", *partition).write.mode("append").option("maxRecordsPerFile", target_rows).partitionBy(*partition).parquet(path)
 
 
+def export_pending(outbox: DataFrame, path: str, captured: str = "captured_at", key: str = "snapshot_id") -> None:
+    """Rows of an outbox under the UTC year, month and date of their capture; rows that are there stay and aren't doubled."""
+    day = F.to_date(captured)
+    rows = outbox.withColumns({"year": F.date_format(day, "yyyy"), "month": F.date_format(day, "MM"), "date": F.date_format(day, "yyyy-MM-dd")})
+    write_archive(rows, path, ["year", "month", "date"], [key])
+
+
+def write_datasets(datasets: dict[str, DataFrame], root: str, key: str = "match_id", partition: tuple[str, ...] = ("league_id", "season")) -> None:
+    """Several datasets of the same matches, each under its name. Partitions with rows are replaced by what they held of other
+    matches and the new rows, so a match that lost its rows in one dataset loses them there too; others stay.
+
+    ``datasets`` has ``core`` with one row per match, which says what is replaced."""
+    from pitchspark.staging import staged
+
+    core = datasets["core"]
+    renewed = staged(core.select(key, *partition).dropDuplicates([key]), "archive-renewed")
+    for name, rows in datasets.items():
+        path = f"{root}/{name}"
+        if name == "core":
+            rows = rows.dropDuplicates([key])
+        if _existing(rows.sparkSession, path):
+            old = rows.sparkSession.read.schema(rows.schema).parquet(path)
+            touched = old.join(renewed.select(*partition).distinct(), list(partition), "left_semi")
+            rows = touched.join(renewed.select(key), key, "left_anti").select(*rows.columns).unionByName(rows)
+        # read before the partitions it comes from are replaced
+        staged(rows, "archive-new").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+
+
 def archive_with_priority(old: DataFrame, new: DataFrame, keys: list[str], priority: str, order: list[str]) -> DataFrame:
     """Per key the row of the highest source priority; ties keep the first by ``order``."""
     from pitchspark.operators.joins import first_by
@@ -136,7 +200,16 @@ def archive_with_priority(old: DataFrame, new: DataFrame, keys: list[str], prior
     return first_by(old.unionByName(new).withColumn("_low", -F.col(priority)), keys, ["_low", *order]).drop("_low")
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """CSV report; nested columns become JSON text."""
-    flat = [F.to_json(c).alias(c) if k.startswith(("struct", "array", "map")) else F.col(c) for c, k in df.dtypes]
-    df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """A report as CSV, JSON lines or a Markdown table; for CSV and Markdown nested columns become JSON text."""
+    if kind == "json":
+        df.write.mode("overwrite").json(path)
+        return
+    flat = df.select(*[F.to_json(c).alias(c) if k.startswith(("struct", "array", "map")) else F.col(c) for c, k in df.dtypes])
+    if kind == "csv":
+        flat.write.mode("overwrite").option("header", True).csv(path)
+        return
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in flat.columns]), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(flat.columns) + " |"), (1, "|" + "---|" * len(flat.columns))], "n int, value string")
+    body = flat.select(F.lit(2).alias("n"), line.alias("value"))
+    head.unionByName(body).orderBy("n").select("value").write.mode("overwrite").text(path)

@@ -1,7 +1,8 @@
 """Streaming forms: change-only history, freshness, sliding windows, slot triggers and rate limits.
 
-State is one small row per key, kept in ``transformWithStateInPandas``; each has a batch twin in ``operators`` so that
-the two can be compared.
+State is one small row per key, kept in ``transformWithStateInPandas``. It has no time to live: that needs processing time,
+with which a run to the end of what is there (``drain``) never ends. A key's rows of a micro-batch are sorted by time chunk by chunk as Spark hands them over; rows older than the state are put
+out with ``late`` true where an operator says so, and else ignored. Batch twins in ``operators`` let the two be compared.
 """
 
 from __future__ import annotations
@@ -47,16 +48,17 @@ class ChangeOnly(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = self.last.get() if self.last.exists() else None
         at, value = (state[0], state[1]) if state else (None, None)
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["at", "value"]).itertuples():
-            new = None if pd.isna(row.value) else row.value
-            if at is None or row.at >= at:
-                if at is None or new != value:
-                    out.append((key[0], row.at, new))
-                at, value = row.at, new
+        for chunk in rows:
+            out = []
+            for row in chunk.sort_values(["at", "value"]).itertuples():
+                new = None if pd.isna(row.value) else row.value
+                if at is None or row.at >= at:
+                    if at is None or new != value:
+                        out.append((key[0], row.at, new))
+                    at, value = row.at, new
+            yield pd.DataFrame(out, columns=["key", "at", "value"])
         if at is not None:
             self.last.update((int(at), value))
-        yield pd.DataFrame(out, columns=["key", "at", "value"])
 
     def close(self) -> None:
         pass
@@ -77,13 +79,14 @@ class SlotTriggers(StatefulProcessor):
         self.fired = handle.getMapState("fired", "threshold double", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
-        for row in pd.concat(list(rows)).sort_values("at").itertuples():
-            for t in self.thresholds:
-                if row.value >= t and not self.fired.containsKey((t,)):
-                    self.fired.updateValue((t,), (int(row.at),))
-                    out.append((key[0], t, int(row.at)))
-        yield pd.DataFrame(out, columns=["key", "threshold", "at"])
+        for chunk in rows:
+            out = []
+            for row in chunk.sort_values("at").itertuples():
+                for t in self.thresholds:
+                    if row.value >= t and not self.fired.containsKey((t,)):
+                        self.fired.updateValue((t,), (int(row.at),))
+                        out.append((key[0], t, int(row.at)))
+            yield pd.DataFrame(out, columns=["key", "threshold", "at"])
 
     def close(self) -> None:
         pass
@@ -104,14 +107,15 @@ class RateLimit(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for row in pd.concat(list(rows)).sort_values("at").itertuples():
-            if last is None or row.at - last >= self.micros:
-                last = int(row.at)
-                out.append((key[0], last))
+        for chunk in rows:
+            out = []
+            for row in chunk.sort_values("at").itertuples():
+                if last is None or row.at - last >= self.micros:
+                    last = int(row.at)
+                    out.append((key[0], last))
+            yield pd.DataFrame(out, columns=["key", "at"])
         if last is not None:
             self.last.update((last,))
-        yield pd.DataFrame(out, columns=["key", "at"])
 
     def close(self) -> None:
         pass
@@ -119,3 +123,150 @@ class RateLimit(StatefulProcessor):
 
 def rate_limit(stream: DataFrame, seconds: float) -> DataFrame:
     return stream.groupBy("key").transformWithStateInPandas(RateLimit(int(seconds * 1e6)), "key string, at long", "Append", "None")
+
+
+class Lifecycle(StatefulProcessor):
+    """The life of an event: rows (key, at, kind, soon, value) are accepted or not by what was accepted before.
+
+    A finished event takes finished rows only, one that went away takes live rows and coming ones with a near kickoff
+    (``soon``), a live one no coming rows. Rows older than the last accepted one are late and change nothing. Put out are
+    all rows with ``accepted``, ``late`` and ``changed`` (the value or kind differs from the last accepted one); a terminal
+    row also closes the event's quotes (``closes``), once.
+    """
+
+    OUT = "key string, at long, kind string, value string, accepted boolean, late boolean, changed boolean, closes boolean"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at long, kind string, value string")
+
+    @staticmethod
+    def accepts(was: str | None, kind: str, soon: bool) -> bool:
+        if was == "FINISHED":
+            return kind == "FINISHED"
+        if was == "GONE":
+            return kind == "LIVE" or kind == "PREMATCH" and soon
+        return not (was == "LIVE" and kind == "PREMATCH")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at, was, value = self.last.get() if self.last.exists() else (None, None, None)
+        before = at
+        for chunk in rows:
+            out = []
+            for row in chunk.sort_values(["at", "kind"]).itertuples():
+                late = at is not None and row.at < at
+                new = None if pd.isna(row.value) else row.value
+                fine = not late and self.accepts(was, row.kind, bool(row.soon))
+                changed = fine and (row.kind, new) != (was, value)
+                closes = fine and row.kind == "FINISHED" and was != "FINISHED"
+                if fine:
+                    at, was, value = int(row.at), row.kind, new
+                out.append((key[0], int(row.at), row.kind, new, fine, late, changed, closes))
+            yield pd.DataFrame(out, columns=["key", "at", "kind", "value", "accepted", "late", "changed", "closes"])
+        if at != before or at is not None:
+            self.last.update((at, was, value))
+
+    def close(self) -> None:
+        pass
+
+
+def lifecycle(stream: DataFrame) -> DataFrame:
+    """``stream``: key string, at long (micros), kind string, soon boolean, value string."""
+    return stream.groupBy("key").transformWithStateInPandas(Lifecycle(), Lifecycle.OUT, "Append", "None")
+
+
+class MatchSlots(StatefulProcessor):
+    """The slots of a match, each once: PRE_KICKOFF (the last minute before kickoff and 5 s after), HALFTIME at the edge into
+    the break, HT_STABLE by a timer ``delay`` seconds later unless play has gone on, MINUTE_x at crossings, FIRST_H2_GOAL at the
+    first goal after the break, FINAL. Times are event times; a timer fires when the watermark has passed it."""
+
+    OUT = "key string, slot string, at timestamp"
+
+    def __init__(self, delay: float, minutes: tuple[int, ...]) -> None:
+        self.delay, self.minutes = delay, minutes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.fired = handle.getMapState("fired", "slot string", "at timestamp")
+        self.state = handle.getValueState("state", "period string, goals int, half_goals int")
+
+    def _fire(self, key: tuple, slot: str, at, out: list) -> None:
+        if not self.fired.containsKey((slot,)):
+            self.fired.updateValue((slot,), (at,))
+            out.append((key[0], slot, at))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        period, goals, half = self.state.get() if self.state.exists() else (None, None, None)
+        for chunk in rows:
+            out: list[tuple] = []
+            for row in chunk.sort_values("at").itertuples():
+                at = row.at.to_pydatetime()
+                gap = (row.kickoff - row.at).total_seconds() if not pd.isna(row.kickoff) else None
+                if row.period == "PRE" and gap is not None and -5 <= gap <= 60:
+                    self._fire(key, "PRE_KICKOFF", at, out)
+                if row.period == "HT" and period != "HT":
+                    self._fire(key, "HALFTIME", at, out)
+                    half = int(row.goals)
+                    if not self.fired.containsKey(("HT_STABLE",)):
+                        self.handle.registerTimer(int(at.timestamp() * 1000 + self.delay * 1000))
+                if row.period == "H2":
+                    for m in self.minutes:
+                        if not pd.isna(row.minute) and row.minute >= m:
+                            self._fire(key, f"MINUTE_{m}", at, out)
+                    if half is not None and row.goals > half:
+                        self._fire(key, "FIRST_H2_GOAL", at, out)
+                if row.period == "END":
+                    self._fire(key, "FINAL", at, out)
+                period, goals = row.period, int(row.goals)
+            if out:
+                yield pd.DataFrame(out, columns=["key", "slot", "at"])
+        self.state.update((period, goals, half))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out: list[tuple] = []
+        if self.state.exists() and self.state.get()[0] == "HT":
+            self._fire(key, "HT_STABLE", pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms").to_pydatetime(), out)
+        yield pd.DataFrame(out, columns=["key", "slot", "at"])
+
+    def close(self) -> None:
+        pass
+
+
+def match_slots(stream: DataFrame, delay: float = 45.0, minutes: tuple[int, ...] = (60, 70, 80, 85, 90), late: str = "10 seconds") -> DataFrame:
+    """``stream``: key string, at timestamp, kickoff timestamp, period string (PRE, H1, HT, H2, END), minute int, goals int."""
+    return stream.withWatermark("at", late).groupBy("key").transformWithStateInPandas(MatchSlots(delay, minutes), MatchSlots.OUT, "Append", "EventTime")
+
+
+class Debounce(StatefulProcessor):
+    """Suspicions (key, at, suspect) are confirmed when at least ``times`` in a row were seen over at least ``micros``; a row
+    without suspicion starts anew. Each run is confirmed once."""
+
+    def __init__(self, times: int, micros: int) -> None:
+        self.times, self.micros = times, micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "since long, seen int, done boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        since, seen, done = self.run.get() if self.run.exists() else (None, 0, False)
+        for chunk in rows:
+            out = []
+            for row in chunk.sort_values("at").itertuples():
+                if not row.suspect:
+                    since, seen, done = None, 0, False
+                    continue
+                since, seen = (int(row.at) if since is None else since), seen + 1
+                if not done and seen >= self.times and row.at - since >= self.micros:
+                    done = True
+                    out.append((key[0], int(row.at), seen))
+            yield pd.DataFrame(out, columns=["key", "at", "seen"])
+        if since is None:
+            self.run.clear()
+        else:
+            self.run.update((since, seen, done))
+
+    def close(self) -> None:
+        pass
+
+
+def debounced(stream: DataFrame, times: int = 3, seconds: float = 60.0) -> DataFrame:
+    return stream.groupBy("key").transformWithStateInPandas(Debounce(times, int(seconds * 1e6)), "key string, at long, seen int", "Append", "None")

@@ -41,6 +41,11 @@ def test_stake_split_evens_payouts(spark):
 
 def test_names(spark):
     assert one(spark, text.normal_name("a"), a="  FC Köln & Größe-04 ") == "fc koln and grosse 04"
+    assert one(spark, text.normal_name("a"), a="Łódź Øst ﬁne ДИНАМО Munich") == "łodz øst fine динамо munchen"
+    assert one(spark, text.team_name("a"), a="TSG Hoffenheim") == "hoffenheim"
+    assert one(spark, text.team_core(F.lit("fc koln"))) == "koln" and one(spark, text.team_core(F.lit("fc sc"))) == "fc sc"
+    assert one(spark, text.label_key(F.lit("usa"), F.lit("mls"), {"usa": [("mls", "major league soccer")]})) == "label:usa:0"
+    assert one(spark, text.repaired("a"), a="1. FC K\ufffdln") == "1. FC Köln"
     assert one(spark, text.fold_umlauts("a"), a="Köln") == "koeln"
     assert one(spark, text.marker_set("a"), a="Bayern II (U19)") == ["ii", "u19"]
     assert one(spark, text.last_number("a"), a="over 2 : 1.5") == 1.5

@@ -114,8 +114,45 @@ def test_matching(spark):
     a = spark.createDataFrame([(1, "FC Köln", "Bayern II", "2026-01-01 15:00:00", "DE"), (2, "Lyon", "Nice", "2026-01-01 15:00:00", None)], kind)
     b = spark.createDataFrame([(10, "FC Koln", "Bayern II", "2026-01-01 15:10:00", "de"), (11, "FC Koln", "Bayern", "2026-01-01 15:00:00", "de"), (12, "Nice", "Lyon", "2026-01-01 15:00:00", "fr")], kind)
     at = lambda f: f.withColumn("kickoff", F.col("kickoff").cast("timestamp"))
-    found = matching.score(matching.candidates(matching.prepare(at(a), "a"), matching.prepare(at(b), "b")))
-    assert [r[:3] for r in rows(found.select("a_id", "b_id", "verdict"))] == [(1, 10, "MATCH"), (2, 11, "REJECTED")]
+    found = matching.match(at(a), at(b))
+    assert rows(found.select("a_id", "b_id", "verdict")) == [(1, 10, "HIGH_CONFIDENCE")]  # markers, reversed fixtures and names part the others
+    twice = at(b).unionByName(at(b).where("fixture_id = 10").withColumn("fixture_id", F.lit(13)))
+    assert rows(matching.match(at(a), twice).select("a_id", "b_id", "verdict")) == [(1, None, "AMBIGUOUS")]
+
+
+def test_matching_equals_brute_force(spark):
+    """Scores of all pairs by the documented rule in plain Python, over fixtures without and with countries."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    words = ["real", "union", "city", "rapid", "north", "stars", "ajaks", "fc"]
+    team = lambda: " ".join(rng.sample(words, 2))
+    made = [(k, team(), team(), rng.choice([None, "de", "at"]), rng.choice(["league one", "league two", "cup"]), 60 * rng.randrange(20)) for k in range(40)]
+    other = [(100 + k, h if rng.random() < 0.6 else h + "s", a, rng.choice([None, c]), rng.choice([m, "cup"]), s + 60 * rng.randrange(8)) for k, h, a, c, m, s in made]
+    kind = "fixture_id int, home string, away string, country string, competition string, s int"
+    table = lambda x: spark.createDataFrame(x, kind).withColumn("kickoff", F.timestamp_seconds("s"))
+    found = matching.scored(matching.candidates(matching.prepare(table(made), "a"), matching.prepare(table(other), "b")))
+    core = lambda x: " ".join(w for w in x.split() if w != "fc") or x
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    want = {}
+    for i, h, a, c, m, s in made:
+        for j, h2, a2, c2, m2, s2 in other:
+            if abs(s - s2) > 900 or c and c2 and c != c2 or core(h) == core(a2) and core(a) == core(h2):
+                continue
+            eh, ea, em = core(h) == core(h2), core(a) == core(a2), m == m2
+            score = (0.42 if eh else 0.3) + (0.42 if ea else 0.3) + (0.1 if em else 0.05) + (0.06 if abs(s - s2) <= 300 else 0.03) + (0.04 if c and c2 else 0)
+            if not em and ratio(m, m2) < 0.7 or not (eh and ea) and min(ratio(h, h2), ratio(a, a2)) < 0.78:
+                score = 0.0
+            want[i, j] = round(min(1.0, score), 6)
+    assert {(r["a_id"], r["b_id"]): r["score"] for r in found.collect()} == want and any(want.values())
+
+
+def test_aliases_keep_markers(spark):
+    kind = "fixture_id int, home string, away string, kickoff timestamp, country string"
+    b = matching.prepare(spark.createDataFrame([(1, "Inter", "Roma", None, None)], kind), "b")
+    aliases = spark.createDataFrame([("Inter", "Internazionale"), ("Inter", "Inter U19"), ("Roma", "AS Roma")], "name string, alias string")
+    assert rows(matching.with_aliases(b, aliases, "b").select("b_home", "b_away")) == [("inter", "as roma"), ("inter", "roma"), ("internazionale", "as roma"), ("internazionale", "roma")]
 
 
 def test_feed_scan(spark):

@@ -42,3 +42,65 @@ def test_sliding_counts(spark, tmp_path):
     df = spark.createDataFrame([(t * 60, "k") for t in (1, 2, 7, 400)], "s long, kind string").select(F.timestamp_seconds("s").alias("at"), "kind")
     out = drained(spark, tmp_path, engines.sliding_counts(stream_of(spark, str(tmp_path / "in"), df), "at", "kind", "5 minutes", "5 minutes"))
     assert [x[3] for x in out] == [2, 1]
+
+
+def test_lifecycle_equals_the_batch_fold(spark, tmp_path):
+    """Finished events never come back; late rows change nothing; quotes close once."""
+    from pitchspark.operators import results
+
+    data = [
+        ("a", 1, "PREMATCH", True, "0"), ("a", 2, "LIVE", True, "0"), ("a", 3, "PREMATCH", True, "0"), ("a", 4, "LIVE", True, "1"), ("a", 5, "FINISHED", True, "1"), ("a", 6, "LIVE", True, "1"), ("a", 7, "FINISHED", True, "2"),
+        ("b", 1, "LIVE", False, None), ("b", 2, "GONE", False, None), ("b", 3, "PREMATCH", False, None), ("b", 4, "PREMATCH", True, None), ("b", 5, "OTHER", True, "x"),
+    ]
+    df = spark.createDataFrame(data, "key string, at long, kind string, soon boolean, value string")
+    found = drained(spark, tmp_path, engines.lifecycle(stream_of(spark, str(tmp_path / "in"), df)))
+    kickoff = F.when(F.col("soon"), F.lit("2026-02-01")).otherwise("2025-01-01").cast("timestamp")
+    batch = results.accepted_states(df.select(F.col("key").alias("event_id"), "at", "kind", kickoff.alias("kickoff")), 1.0, F.lit("2026-01-01").cast("timestamp"))
+    assert [(x[0], x[1], x[2], x[4]) for x in found] == sorted(tuple(r) for r in batch.collect())
+    by = {(x[0], x[1]): x for x in found}
+    assert [k for k, x in by.items() if x[7]] == [("a", 5)] and by["a", 7][6] and not by["a", 6][6] and not any(x[5] for x in found)
+    later = spark.createDataFrame([("a", 4, "FINISHED", True, "9")], df.schema)
+    later.write.mode("append").parquet(str(tmp_path / "in"))
+    again = drained(spark, tmp_path, engines.lifecycle(engines.read_feed(spark, str(tmp_path / "in"), "key string, at long, kind string, soon boolean, value string")))
+    assert [x[4:6] for x in again if x[3] == "9"] == [(False, True)]
+
+
+def test_match_slots_fire_once_with_a_timer(spark, tmp_path):
+    t = lambda s: F.timestamp_seconds(F.lit(1_700_000_000 + s))
+    rows = [(-30, "PRE", 0, 0), (10, "H1", 1, 0), (2700, "HT", 45, 1), (2710, "HT", 45, 1), (2800, "HT", 45, 1), (3700, "H2", 61, 1), (3800, "H2", 62, 2), (4300, "H2", 71, 2), (5500, "END", 90, 2)]
+    df = spark.createDataFrame([("m", *r) for r in rows], "key string, s long, period string, minute int, goals int")
+    df = df.select("key", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("at"), t(0).alias("kickoff"), "period", "minute", "goals")
+    first, rest = df.where("period in ('PRE', 'H1') OR at <= timestamp_seconds(1700002710)"), df.where("at > timestamp_seconds(1700002710)")
+    kind = "key string, at timestamp, kickoff timestamp, period string, minute int, goals int"
+    for part in (first, rest.where("period = 'HT'"), rest.where("period <> 'HT'")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        found = drained(spark, tmp_path, engines.match_slots(engines.read_feed(spark, str(tmp_path / "in"), kind)))
+    assert sorted(x[1] for x in found) == sorted(["PRE_KICKOFF", "HALFTIME", "HT_STABLE", "MINUTE_60", "FIRST_H2_GOAL", "MINUTE_70", "FINAL"])
+
+
+def test_debounce_needs_number_and_time(spark, tmp_path):
+    rows = [("a", 0, True), ("a", 30, True), ("a", 50, True), ("a", 65, True), ("a", 70, True), ("a", 80, False), ("a", 90, True), ("b", 0, True), ("b", 100, True)]
+    df = spark.createDataFrame([(k, s * 1_000_000, x) for k, s, x in rows], "key string, at long, suspect boolean")
+    assert drained(spark, tmp_path, engines.debounced(stream_of(spark, str(tmp_path / "in"), df))) == [("a", 65_000_000, 4)]
+
+
+def test_freshness_and_first_delivery(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1000, 1005), (2, 1000, 1011), (3, 1009, 1005), (1, 1000, 1005)], "id int, o long, r long").select("id", F.timestamp_seconds("o").alias("at"), F.timestamp_seconds("r").alias("seen"))
+    found = drained(spark, tmp_path, engines.once(engines.fresh_and_stale(stream_of(spark, str(tmp_path / "in"), df), "at", "seen"), ["id"], "at"))
+    assert [(x[0], x[3]) for x in found] == [(1, "FRESH"), (2, "STALE"), (3, "FUTURE")]
+
+
+def test_rate_decisions_equal_a_fold(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [("k", i, 429 if rng.random() < 0.02 else 200, rng.random() > 0.06, False, rng.randrange(2500) if i > 150 else 100) for i in range(250)]
+    df = spark.createDataFrame(rows, "key string, i int, status int, ok boolean, parse_failure boolean, elapsed_ms int")
+    rate, want = 10.0, []
+    for w in range(len(rows) // 20):
+        part = rows[w * 20 : w * 20 + 20]
+        p95 = sorted(r[5] for r in part)[18]
+        state = "UNSTABLE" if any(r[2] == 429 for r in part) else "DEGRADED" if sum(not r[3] for r in part) > 2 or p95 > 2000 else "STABLE"
+        rate = min(60.0, rate + 2) if state == "STABLE" else max(1.0, rate * (0.5 if state == "UNSTABLE" else 0.75))
+        want.append((w, state, rate))
+    assert sorted(tuple(r) for r in windows.rate_decisions(df, ["key"], ["i"]).select("window", "state", "rate").collect()) == want
