@@ -62,32 +62,44 @@ def balances(accounts: DataFrame, ledger: DataFrame, key: str, start: str, amoun
     return accounts.join(moved, key, "left").select(key, (F.col(start) + F.coalesce("_moved", F.lit(0))).alias("balance"))
 
 
-def reserve(entries: DataFrame, start: float, share: float) -> DataFrame:
-    """Stakes of a fixed share of the running balance: (portfolio, at, entry_id, pnl) -> stake and balance after it.
+def reserve(entries: DataFrame, start: float, share: float, least: float | None = None, most: float | None = None, event: str | None = None) -> DataFrame:
+    """Stakes of a fixed share of the running balance: (portfolio, at, entry_id, pnl_share) -> stake, balance after it, reason.
 
-    A stake depends on all before it, so each portfolio is a fold in time order. Stakes are cents, half up, and never more
-    than the balance. The fold streams over sorted rows and keeps one number per portfolio.
+    A stake depends on all before it, so each portfolio is a fold in time order. Stakes are cents, half up, within ``least``
+    and ``most``; one that is more than the balance isn't taken (INSUFFICIENT_BANKROLL), nor one of nothing (INVALID_STAKE).
+    With ``event`` only the first entry of a portfolio for an event counts. The fold streams over sorted rows and keeps one
+    number per portfolio.
     """
+    from pitchspark.operators.joins import first_by
+
+    if event:
+        entries = first_by(entries, ["portfolio", event], ["at", "entry_id"])
     cent = Decimal("0.01")
+    low, high = (None if x is None else Decimal(str(x)) for x in (least, most))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, balance = object(), Decimal(0)
         for rows in batches:
-            stakes, after = [], []
+            stakes, after, reasons = [], [], []
             for portfolio, pnl in zip(rows["portfolio"], rows["pnl_share"]):
                 if portfolio != current:
                     current, balance = portfolio, Decimal(str(start))
-                stake = min(balance, (balance * Decimal(str(share))).quantize(cent, ROUND_HALF_UP))
+                stake = max(Decimal(0), balance) * Decimal(str(share))
+                stake = stake if low is None else max(stake, low)
+                stake = (stake if high is None else min(stake, high)).quantize(cent, ROUND_HALF_UP)
+                reason = "INVALID_STAKE" if stake <= 0 else "INSUFFICIENT_BANKROLL" if stake > balance else "OK"
+                stake = stake if reason == "OK" else Decimal(0)
                 balance += (stake * Decimal(str(pnl))).quantize(cent, ROUND_HALF_UP)
                 stakes.append(stake)
                 after.append(balance)
-            yield pd.DataFrame({"portfolio": rows["portfolio"], "entry_id": rows["entry_id"], "stake": stakes, "balance": after})
+                reasons.append(reason)
+            yield pd.DataFrame({"portfolio": rows["portfolio"], "entry_id": rows["entry_id"], "stake": stakes, "balance": after, "reason": reasons})
 
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = entries.repartition(parts, "portfolio").sortWithinPartitions("portfolio", "at", "entry_id")
     kind = dict(entries.dtypes)
     return ordered.select("portfolio", "entry_id", "pnl_share").mapInPandas(
-        fold, f"portfolio {kind['portfolio']}, entry_id {kind['entry_id']}, stake decimal(18,2), balance decimal(18,2)"
+        fold, f"portfolio {kind['portfolio']}, entry_id {kind['entry_id']}, stake decimal(18,2), balance decimal(18,2), reason string"
     )
 
 
@@ -111,6 +123,15 @@ def close_open_quotes(quotes: DataFrame, terminal: DataFrame, key: str) -> DataF
     )
 
 
+def latest_seen(tables: list[tuple[DataFrame, str]], key: str = "event_id") -> DataFrame:
+    """Latest observation of each key over several tables (frame, time column): aggregated per table, then over the union."""
+    every = None
+    for df, at in tables:
+        rows = df.groupBy(key).agg(F.max(at).alias("last_seen"))
+        every = rows if every is None else every.unionByName(rows)
+    return every.groupBy(key).agg(F.max("last_seen").alias("last_seen"))
+
+
 def freeze_cohorts(items: DataFrame, as_of: Column, kickoff: str, excluded: Column, hours: int = 24) -> DataFrame:
     """Cohort of every item at a cut-off time, and its fingerprint over all ids is in :func:`fingerprint`."""
     old = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col(kickoff).cast("timestamp")) >= hours * 3_600_000_000

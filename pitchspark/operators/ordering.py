@@ -26,10 +26,14 @@ def page(df: DataFrame, order: list[Column], limit: int | None, offset: int = 0)
     return out if limit is None else out.limit(max(1, limit))
 
 
+def scanner_value(c: str, legacy_zero: bool = True) -> Column:
+    """The value to rank by: a missing one, and with ``legacy_zero`` an exact 0 too, is below all others."""
+    return F.when(F.col(c).isNull() | (F.lit(legacy_zero) & (F.col(c) == 0)), -1e9).otherwise(F.col(c))
+
+
 def scanner_order(rankable: str, buffer: str, roi: str, tie: str, legacy_zero: bool = True) -> list[Column]:
     """Rankable first, then buffer and return; with ``legacy_zero`` an exact 0 goes to the end like a missing one."""
-    value = lambda c: F.when(F.col(c).isNull() | (F.lit(legacy_zero) & (F.col(c) == 0)), -1e9).otherwise(F.col(c))
-    return [F.col(rankable).desc(), value(buffer).desc(), value(roi).desc(), F.col(tie)]
+    return [F.col(rankable).desc(), scanner_value(buffer, legacy_zero).desc(), scanner_value(roi, legacy_zero).desc(), F.col(tie)]
 
 
 def quantile_sample(df: DataFrame, order: list[str], k: int) -> DataFrame:

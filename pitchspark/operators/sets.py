@@ -44,3 +44,19 @@ def same_rows(left: DataFrame, right: DataFrame) -> bool:
     columns = sorted(left.columns)
     a, b = left.select(*columns), right.select(*columns)
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def merge_duplicates(df: DataFrame, on: list[str], order: list[str], policy: dict[str, str]) -> DataFrame:
+    """One row per key with how many there were; each column by its policy: ``max``, ``min``, or ``last`` by ``order``."""
+    rules = {"max": F.max, "min": F.min, "last": lambda c: F.max_by(c, F.struct(*order))}
+    return df.groupBy(*on).agg(F.count("*").alias("n"), *[rules[p](c).alias(c) for c, p in policy.items()])
+
+
+def verify_export(left: DataFrame, right: DataFrame, on: list[str], values: list[str]) -> DataFrame:
+    """One row: rows of both sides, keys that the right side lacks or has too many, and keys whose values differ. Keys are
+    unique; one full join of narrow columns."""
+    a, b = left.select(*on, F.struct(*values).alias("_a")), right.select(*on, F.struct(*values).alias("_b"))
+    both = a.join(b, on, "full")
+    known, other = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+    n = lambda c, name: F.count_if(c).alias(name)
+    return both.agg(n(known, "n_left"), n(other, "n_right"), n(~other, "missing"), n(~known, "extra"), n(known & other & ~F.col("_a").eqNullSafe(F.col("_b")), "different"))

@@ -331,7 +331,12 @@ def f13_stable_id(t):
     return t.events.select("user_id").distinct().select("user_id", text.stable_id("user_id", "FEED").alias("id"))
 
 
-@query("f17_power")
+@query(
+    "f17_power",
+    """WITH RECURSIVE b AS (SELECT event_id, 1 / value AS p, 1 / 1.2::DOUBLE AS q, 0::DOUBLE AS lo, 100::DOUBLE AS hi, 0 AS k FROM events WHERE value > 1 UNION ALL
+SELECT event_id, p, q, CASE WHEN pow(p, (lo + hi) / 2) + pow(q, (lo + hi) / 2) > 1 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN pow(p, (lo + hi) / 2) + pow(q, (lo + hi) / 2) > 1 THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM b WHERE k < 80)
+SELECT event_id, round(pow(p, (lo + hi) / 2), 8) AS p FROM b WHERE k = 80""",
+)
 def f17_power(t):
     return t.events.where("value > 1").select("event_id", F.round(numbers.power_probability("value", F.lit(1.2)), 8).alias("p"))
 
@@ -392,12 +397,20 @@ def m03_replace_by_key(t):
     return ledger.replace_by_key(rows, rows.where("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
 
 
-@query("m05_reserve")
+@query(
+    "m05_reserve",
+    """WITH RECURSIVE s AS (SELECT o_custkey AS portfolio, o_orderkey AS entry_id, CASE WHEN o_orderstatus = 'F' THEN 0.4 ELSE -1.0 END::DECIMAL(4,1) AS pnl, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
+f AS (SELECT portfolio, 0::BIGINT AS entry_id, 0::BIGINT AS k, 0::DECIMAL(18,2) AS stake, 100::DECIMAL(18,2) AS balance, 'OK' AS reason FROM (SELECT DISTINCT portfolio FROM s)
+UNION ALL SELECT portfolio, entry_id, k, CASE WHEN w <= b THEN w ELSE 0 END::DECIMAL(18,2), (b + round(CASE WHEN w <= b THEN w ELSE 0 END * pnl, 2))::DECIMAL(18,2), CASE WHEN w > b THEN 'INSUFFICIENT_BANKROLL' ELSE 'OK' END
+FROM (SELECT s.portfolio, s.entry_id, s.k, s.pnl, f.balance AS b, least(40::DECIMAL(18,2), greatest(6::DECIMAL(18,2), round(f.balance * 0.35, 2)))::DECIMAL(18,2) AS w FROM f JOIN s ON s.portfolio = f.portfolio AND s.k = f.k + 1))
+SELECT portfolio, entry_id, stake::DOUBLE AS stake, balance::DOUBLE AS balance, reason FROM f WHERE k > 0""",
+)
 def m05_reserve(t):
-    """Five per cent of the running balance on each order; a customer is a portfolio."""
+    """A third of the running balance and a bit on each order, 6 at least and 40 at most; a customer is a portfolio."""
     share = F.when(F.col("o_orderstatus") == "F", 0.4).otherwise(-1.0)
     rows = t.orders.select(F.col("o_custkey").alias("portfolio"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("entry_id"), share.alias("pnl_share"))
-    return ledger.reserve(rows, 1000.0, 0.05)
+    found = ledger.reserve(rows, 100.0, 0.35, 6.0, 40.0)
+    return found.select("portfolio", "entry_id", F.col("stake").cast("double").alias("stake"), F.col("balance").cast("double").alias("balance"), "reason")
 
 
 @query(
@@ -415,7 +428,11 @@ def m06_settle(t):
     return ledger.settle(lines.drop("order", "own"), results, none).select("idempotency_key", "amount")
 
 
-@query("m07_fingerprint")
+@query(
+    "m07_fingerprint",
+    """WITH h AS (SELECT sha256(o_orderkey || chr(31) || o_orderstatus) AS h FROM orders), b AS (SELECT CAST('0x' || substr(h, 1, 3) AS INT) AS b, sum(CAST('0x' || substr(h, 4, 12) AS BIGINT))::HUGEINT AS s, count(*) AS n FROM h GROUP BY 1), k AS (SELECT lpad(b::VARCHAR, 4, '0') || ':' || s AS k, n FROM b)
+SELECT sum(n)::BIGINT AS n, sha256(string_agg(k, chr(10) ORDER BY k)) AS fingerprint FROM k""",
+)
 def m07_fingerprint(t):
     return ledger.fingerprint(t.orders, ["o_orderkey", "o_orderstatus"])
 
@@ -467,3 +484,46 @@ def j12_alias_variants(t):
     a, b = _fixtures(t)
     aliases = b.where("fixture_id % 4 = 0").select(F.col("home").alias("name"), F.replace("home", F.lit("Suppliar"), F.lit("Supplier")).alias("alias"))
     return matching.match(a, b, aliases)
+
+
+_RATE = "CASE state WHEN 'STABLE' THEN least(60, rate + 2) WHEN 'UNSTABLE' THEN greatest(1, rate / 2) ELSE greatest(1, rate * 0.75) END"
+
+
+@query(
+    "t06_rate_decisions",
+    f"""WITH RECURSIVE r AS (SELECT event_type, value, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 20 AS k FROM events), w AS (SELECT event_type, k, CASE WHEN bool_or(value > 488) THEN 'UNSTABLE' WHEN avg((value > 470)::INT) > 0.1 OR quantile_disc(value * 4.3, 0.95) > 2000 THEN 'DEGRADED' ELSE 'STABLE' END AS state FROM r GROUP BY ALL HAVING count(*) = 20),
+f AS (SELECT event_type, -1::BIGINT AS k, '' AS state, 10::DOUBLE AS rate FROM (SELECT DISTINCT event_type FROM events) UNION ALL SELECT event_type, k, state, {_RATE} FROM (SELECT w.event_type, w.k, w.state, f.rate FROM f JOIN w ON w.event_type = f.event_type AND w.k = f.k + 1))
+SELECT event_type, k AS window, state, round(rate, 6) AS rate FROM f WHERE k >= 0""",
+)
+def t06_rate_decisions(t):
+    c = F.col("value")
+    rows = t.events.select("event_type", "ts", "event_id", F.when(c > 488, 429).otherwise(200).alias("status"), (c <= 470).alias("ok"), F.lit(False).alias("parse_failure"), (c * 4.3).alias("elapsed_ms"))
+    return windows.rate_decisions(rows, ["event_type"], ["ts", "event_id"]).select("event_type", "window", "state", F.round("rate", 6).alias("rate"))
+
+
+@query("f01_names", "SELECT c_custkey, 'customer and sohne ' || c_custkey AS name FROM customer")
+def f01_names(t):
+    return t.customer.select("c_custkey", text.normal_name(F.concat(F.lit("  Customer & SÖHNE-"), F.col("c_custkey").cast("string"))).alias("name"))
+
+
+@query("f15_binary_round", "SELECT event_id, value FROM events")
+def f15_binary_round(t):
+    """Values have two digits already, so rounding by their binary value changes none."""
+    return t.events.select("event_id", numbers.python_round("value").alias("value"))
+
+
+@query("f19_json_paths", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def f19_json_paths(t):
+    return t.events.select("event_id", numbers.first_path("props", ("$.missing.deep", "$.k")).alias("k"))
+
+
+@query("f09_partition_keys", "SELECT year, month, count(*) AS n FROM (SELECT strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%m') AS month FROM orders) GROUP BY ALL")
+def f09_partition_keys(t):
+    return t.orders.select(*times.partition_keys("o_orderdate")).groupBy("year", "month").agg(F.count("*").alias("n"))
+
+
+@query("f20_array_ops", "SELECT user_id, list_sort(list(DISTINCT event_type)) IS NOT NULL AS known, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
+def f20_array_ops(t):
+    kinds = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
+    both = numbers.appended(F.col("k"), F.col("k"))
+    return kinds.select("user_id", numbers.same_ids(F.col("k"), both).alias("known"), F.size(both).cast("long").alias("kinds"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitchspark.functions.numbers import break_even, missing_to_ninety, ratio, two_way_probability
-from pitchspark.operators import aggregates as agg
+from pitchspark.operators import aggregates as agg, windows
 from pitchspark.operators import joins, ordering, sets
 from pitchspark.plans.registry import query
 
@@ -353,21 +353,22 @@ def o03_page(t):
 
 @query(
     "o04_nulls_last",
-    """SELECT c_custkey, last_order FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_order FROM orders GROUP BY 1) o ON o_custkey = c_custkey ORDER BY last_order NULLS LAST, c_custkey LIMIT 200""",
+    """SELECT c_custkey, last_order, row_number() OVER (ORDER BY last_order NULLS LAST, c_custkey) AS place FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_order FROM orders GROUP BY 1) o ON o_custkey = c_custkey""",
 )
 def o04_nulls_last(t):
+    """The whole order, with each row's place in it."""
     last = t.orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_order"))
-    rows = t.customer.join(last, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return rows.orderBy(F.col("last_order").asc_nulls_last(), "c_custkey").limit(200).select("c_custkey", "last_order")
+    rows = t.customer.join(last, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "last_order", F.col("last_order").isNull().alias("_unknown"))
+    return windows.ranked(rows, ["_unknown", "last_order", "c_custkey"], "place").select("c_custkey", "last_order", "place")
 
 
 @query(
     "o05_scanner_ranking",
-    """SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal > 1000 DESC, CASE WHEN s_acctbal IS NULL OR s_acctbal = 0 THEN -1e9 ELSE s_acctbal END DESC, s_suppkey LIMIT 40""",
+    """SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal > 1000 DESC, CASE WHEN s_acctbal IS NULL OR s_acctbal = 0 THEN -1e9 ELSE s_acctbal END DESC, s_suppkey) AS place FROM supplier""",
 )
 def o05_scanner_ranking(t):
-    rows = t.supplier.withColumn("rankable", F.col("s_acctbal") > 1000)
-    return rows.orderBy(*ordering.scanner_order("rankable", "s_acctbal", "s_acctbal", "s_suppkey")).limit(40).select("s_suppkey", "s_acctbal")
+    rows = t.supplier.select("s_suppkey", "s_acctbal", (~(F.col("s_acctbal") > 1000)).alias("_last"), (-ordering.scanner_value("s_acctbal")).alias("_buffer"))
+    return windows.ranked(rows, ["_last", "_buffer", "s_suppkey"], "place").select("s_suppkey", "s_acctbal", "place")
 
 
 @query(
@@ -381,11 +382,12 @@ def o06_quantile_sample(t):
 
 @query(
     "o07_priority_order",
-    """SELECT event_id, event_type FROM events ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'error' THEN 1 ELSE 2 END, event_id LIMIT 100""",
+    """SELECT event_id, event_type, row_number() OVER (ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'error' THEN 1 ELSE 2 END, event_id) AS place FROM events""",
 )
 def o07_priority_order(t):
     rank = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "error", 1).otherwise(2)
-    return t.events.orderBy(rank, "event_id").limit(100).select("event_id", "event_type")
+    rows = t.events.select("event_id", "event_type", rank.alias("_rank"))
+    return windows.ranked(rows, ["_rank", "event_id"], "place").select("event_id", "event_type", "place")
 
 
 @query(
@@ -472,3 +474,22 @@ def p17_search(t):
 )
 def f16_two_way(t):
     return t.events.select("event_id", F.round(two_way_probability("value", F.lit(1.9)), 8).alias("p"))
+
+
+@query(
+    "u06_duplicate_merge",
+    "SELECT l_orderkey, l_linenumber, count(*) AS n, max(l_quantity) AS quantity, arg_max(l_returnflag, (l_shipdate, l_suppkey, l_partkey, l_returnflag)) AS flag FROM lineitem GROUP BY 1, 2",
+)
+def u06_duplicate_merge(t):
+    """Rows of one key as one: the largest quantity, the flag of the latest."""
+    return sets.merge_duplicates(t.lineitem.withColumn("quantity", F.col("l_quantity")).withColumn("flag", F.col("l_returnflag")), ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_suppkey", "l_partkey", "l_returnflag"], {"quantity": "max", "flag": "last"})
+
+
+@query(
+    "u08_export_check",
+    "SELECT (SELECT count(*) FROM orders) AS n_left, (SELECT count(*) FROM orders WHERE o_custkey % 10 <> 0) AS n_right, (SELECT count(*) FROM orders WHERE o_custkey % 10 = 0) AS missing, 0::BIGINT AS extra, (SELECT count(*) FROM orders WHERE o_custkey % 10 = 1) AS different",
+)
+def u08_export_check(t):
+    """An export that lost some orders and changed the price of others, against the table."""
+    export = t.orders.where("o_custkey % 10 <> 0").withColumn("o_totalprice", F.when(F.col("o_custkey") % 10 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return sets.verify_export(t.orders, export, ["o_orderkey"], ["o_custkey", "o_totalprice"])

@@ -55,6 +55,9 @@ def test_reserve_folds_in_time_order(spark):
     df = spark.createDataFrame([("p", 2, 2, 1.0), ("p", 1, 1, -1.0), ("q", 1, 3, 0.0)], "portfolio string, at int, entry_id int, pnl_share double")
     found = rows(ledger.reserve(df, 100.0, 0.1).select("entry_id", "stake", "balance"))
     assert found == [(1, Decimal("10.00"), Decimal("90.00")), (2, Decimal("9.00"), Decimal("99.00")), (3, Decimal("10.00"), Decimal("100.00"))]
+    again = df.withColumn("event", F.lit("e"))
+    assert rows(ledger.reserve(again, 100.0, 0.1, event="event").select("entry_id", "reason")) == [(1, "OK"), (3, "OK")]
+    assert rows(ledger.reserve(df, 10.0, 0.1, least=8.0).select("entry_id", "stake", "reason")) == [(1, Decimal("8.00"), "OK"), (2, Decimal("0.00"), "INSUFFICIENT_BANKROLL"), (3, Decimal("8.00"), "OK")]
 
 
 def test_settlement_ladder(spark):
