@@ -10,9 +10,9 @@ independent ones do. Bands of ``ROWS`` coordinates make buckets; at similarity 0
 The smallest node of a bucket is its pivot, and the nodes that share a pivot are one candidate group, which covers every
 pair of every bucket. Full sets travel once to each group of a node, and groups are compared inside tasks, in blocks of
 bounded size; only edges that join parts leave a task. Groups of several blocks get a second pass for the pairs of other
-blocks: of a pair at the threshold, the ``prefix`` of either set (its rarest shingles, a quarter and one) holds a common
-shingle, so nodes of the group that share such a shingle and aren't in one component yet are candidates and are compared on
-full sets. Rare shingles make short lists, so the second pass grows with what is alike and not with the group's square.
+blocks: of a pair at the threshold, the prefix of either set (its rarest shingles, a quarter and one) holds a common
+shingle. So only nodes that share such a shingle with a node of another component are looked at again; those outside the
+pivot's component are compared with all of them, block by block.
 
 Defined cases: documents without words or text (null, empty) have the empty set and are linked with nothing. Rows with a
 null id are linked with nothing, and are kept. Rows that share an id and a set get one row each with the same result; an
@@ -230,15 +230,17 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _compare(docs: DataFrame, placed: DataFrame, tasks: int) -> DataFrame:
-    """Edges between nodes. ``placed``: node, mark, pivot, part, late, lows (the blocks of the pivot's group that it goes to)."""
+    """Edges between nodes. ``placed``: node, mark, pivot, part, late, lows, highs (the cells of the pivot's group that it goes to)."""
     nodes = staged(placed.select("node", "mark").distinct(), "near-wanted")
-    where, _ = small(placed.select("node", "pivot", "part", "late", "lows"))
+    where, _ = small(placed.select("node", "pivot", "part", "late", "lows", "highs"))
     shipped = (
         _sets_of(docs, nodes)
         .join(where, "node")
-        .select("pivot", F.explode("lows").alias("low"), F.lit(0).alias("high"), "node", "part", "late", "body")
-        .repartition(tasks, "pivot", "low")
-        .sortWithinPartitions("pivot", "low", "node")
+        .withColumn("low", F.explode("lows"))
+        .withColumn("high", F.explode("highs"))
+        .select("pivot", "low", "high", "node", "part", "late", "body")
+        .repartition(tasks, "pivot", "low", "high")
+        .sortWithinPartitions("pivot", "low", "high", "node")
     )
     return shipped.mapInArrow(_edges, "a long, b long")
 
@@ -252,23 +254,18 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["node", "n", "shingle"])
 
 
-def _candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(node, other) of different parts whose prefixes meet. ``known``: node, mark, part of the nodes of groups with several
-    blocks."""
-    shingles = staged(_sets_of(docs, known.select("node", "mark").distinct()).distinct().mapInArrow(_prefixes, "node long, n long, shingle long"), "near-shingles")
+def _alive(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those of ``known`` (node, mark, part) whose prefix holds a shingle that the prefix of another part holds too."""
+    shingles = staged(_sets_of(docs, known.select("node", "mark")).distinct().mapInArrow(_prefixes, "node long, n long, shingle long"), "near-shingles")
     often = shingles.groupBy("shingle").agg(F.count("*").alias("often"))
     rarest = Window.partitionBy("node").orderBy("often", "shingle")
-    # a pair at the threshold shares PERCENT of the larger set at least, so all but the rarest n - ceil(n * PERCENT / 100) + 1
-    # can't hold all of what is common
+    # a pair at the threshold shares PERCENT of either set at least, so what is common can't lie outside the prefix alone
     least = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     first = shingles.join(often.where("often > 1"), "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
-    first = first.withColumn("turn", F.row_number().over(rarest)).where(F.col("turn") <= least).where("often > 1").select("node", "shingle", "n")
-    parts = known.select("node", "part").distinct()
-    listed = staged(first.join(parts, "node").select("shingle", "node", "part", "n"), "near-prefixes")
-    other = listed.select("shingle", F.col("node").alias("other"), F.col("part").alias("other_part"), F.col("n").alias("other_n"))
-    near = 100 * F.least("n", "other_n") >= PERCENT * F.greatest("n", "other_n")
-    pairs = listed.join(other, "shingle").where((F.col("node") < F.col("other")) & (F.col("part") != F.col("other_part")) & near)
-    return pairs.select("node", "other").distinct()
+    first = first.withColumn("turn", F.row_number().over(rarest)).where(F.col("turn") <= least).where("often > 1").select("node", "shingle")
+    listed = staged(first.join(known.select("node", "part"), "node"), "near-prefixes")
+    shared = listed.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("shingle")
+    return known.join(listed.join(shared, "shingle", "left_semi").select("node").distinct(), "node", "left_semi")
 
 
 # --- the operator ------------------------------------------------------------------------------------------------
@@ -300,8 +297,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lows = F.when(F.col("node") == F.col("pivot"), upto("blocks")).otherwise(F.array("block"))
-    first = placed.select("node", "mark", "pivot", F.col("node").alias("part"), F.lit(False).alias("late"), lows.alias("lows"))
+    lows, zero = F.when(F.col("node") == F.col("pivot"), upto("blocks")).otherwise(F.array("block")), F.array(F.lit(0))
+    first = placed.select("node", "mark", "pivot", F.col("node").alias("part"), F.lit(False).alias("late"), lows.alias("lows"), zero.alias("highs"))
     edges = staged(_compare(rows, staged(first, "near-first"), tasks), "near-edges")
     label = components(edges)
 
@@ -311,13 +308,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wide.join(label.withColumnRenamed("id", "node"), "node", "left").select("node", "mark", F.coalesce("component", "node").alias("part")), "near-wide"
     )
     if not known.isEmpty():
-        pairs = staged(_candidates(rows, known), "near-candidates")
-        counts = pairs.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        own = counts.select("node", F.col("node").alias("pivot"), F.lit(True).alias("late"), upto("blocks").alias("lows"))
-        block = F.array(F.pmod(F.xxhash64("other"), F.col("blocks")).cast("int"))
-        others = pairs.join(counts, "node").select(F.col("other").alias("node"), F.col("node").alias("pivot"), F.lit(False).alias("late"), block.alias("lows"))
-        second = own.unionByName(others).join(known, "node").select("node", "mark", "pivot", "part", "late", "lows")
-        label = components(edges.unionByName(staged(_compare(rows, staged(second, "near-second"), tasks), "near-edges2")))
+        alive = staged(_alive(rows, known), "near-alive")
+        group = placed.where("blocks > 1").select("pivot", "node").join(alive, "node")
+        heads = placed.where("blocks > 1 AND node = pivot").select("pivot", F.col("node").alias("_head"))
+        heads = heads.join(known.select(F.col("node").alias("_head"), F.col("part").alias("head")), "_head").drop("_head")
+        again = staged(group.join(heads, "pivot").withColumn("apart", F.col("part") != F.col("head")), "near-again")
+        cut = lambda n: F.ceil(n / BLOCK).cast("int")
+        cells = again.groupBy("pivot").agg(cut(F.count_if("apart")).alias("lefts"), cut(F.count("*")).alias("rights")).where("lefts > 0")
+        sized, _ = small(staged(cells.select("pivot", "lefts", "rights"), "near-cells"))
+        both = again.join(sized, "pivot")
+        block = lambda n, seed: F.array(F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int"))
+        facts = ["node", "mark", "pivot", "part"]
+        whole = both.select(*facts, F.lit(False).alias("late"), upto("lefts").alias("lows"), block("rights", 2).alias("highs"))
+        left = both.where("apart").select(*facts, F.lit(True).alias("late"), block("lefts", 1).alias("lows"), upto("rights").alias("highs"))
+        second = staged(whole.unionByName(left), "near-second")
+        label = components(edges.unionByName(staged(_compare(rows, second, tasks), "near-edges2")))
     found = nodes.select("mark", "mark2", "n", "node").join(label, F.col("node") == F.col("id"), "left")
     found = staged(found.select("mark", "mark2", "n", F.coalesce("component", "node").alias("component")), "near-found")
     return (
