@@ -181,3 +181,46 @@ def breadth_guard(df: DataFrame, dims: list[str], least: int = 100, dominant: fl
     widest = df.groupBy(*dims).agg(F.count("*").alias("n")).agg((F.max("n") / F.lit(max(1, rows))).alias("signature_share"))
     fail = (F.col("dominant_share") > dominant) | (F.col("signature_share") > signature)
     return shares.crossJoin(widest).select(F.lit(rows).cast("long").alias("n"), "dominant_share", "signature_share", F.when(F.lit(rows >= least) & fail, "FAIL").otherwise("PASS").alias("status"))
+
+
+def stage_status(strict: bool = False, most_p95: float = 3000.0) -> Column:
+    """STABLE, DEGRADED or UNSTABLE of a measured stage: requests, successful, refused (429 and 403), unreadable, server_errors,
+    timeouts, connection_errors, p95. ``strict`` allows half a per cent of failures and looks at no latency."""
+    c = F.col
+    n = F.greatest(F.lit(1), c("requests"))
+    hard = (c("refused") > 0) | (c("unreadable") > 0)
+    if strict:
+        return F.when(hard | (c("successful") / n < 0.995), "UNSTABLE").when((c("server_errors") + c("timeouts") + c("connection_errors")) / n > 0.005, "DEGRADED").otherwise("STABLE")
+    soft = ((c("requests") - c("successful")) / n > 0.1) | (c("p95") > most_p95)
+    for name in ("server_errors", "timeouts", "connection_errors"):
+        soft = soft | (c(name) / n > 0.05)
+    return F.when(hard, "UNSTABLE").when(soft, "DEGRADED").otherwise("STABLE")
+
+
+def worker_choice(stages: DataFrame, keys: list[str], share: float = 0.95) -> DataFrame:
+    """Fewest workers whose stable throughput is within ``share`` of the best stable one, per run."""
+    stable = stages.where("status = 'STABLE'")
+    best = stable.groupBy(*keys).agg(F.max("throughput").alias("_best"))
+    return stable.join(best, keys).where(F.col("throughput") >= share * F.col("_best")).groupBy(*keys).agg(F.min("workers").alias("workers"))
+
+
+def bottleneck(stages: DataFrame, keys: list[str]) -> DataFrame:
+    """What limits a run, by the first rule that any of its stages meets: refusals, unreadable answers, transport failures, CPU,
+    then the first stage whose starts or completions stay below nine tenths of the target, then flat worker scaling.
+
+    ``stages``: place (order in the run), phase, target, slots, starts, effective (rates), controller, parse_median, parse_p95,
+    cpu, throughput and the counts of :func:`stage_status`."""
+    c = F.col
+    slow_start = (c("target") > 0) & (c("starts") > 0) & (c("starts") < 0.9 * c("target"))
+    parser = (c("parse_median") >= 50) | (c("parse_p95") >= 100)
+    lag = (c("target") > 0) & (c("starts") >= 0.9 * c("target")) & (c("effective") < 0.9 * c("target"))
+    own = F.when(slow_start, F.when(parser, "PARSER").when((c("slots") >= 0.9 * c("target")) | (c("controller") >= 0.95 * c("target")), "REQUEST_SCHEDULING").otherwise("RATE_CONTROLLER")).when(lag, "NETWORK")
+    some = lambda cond: F.coalesce(F.max(cond), F.lit(False))
+    worker = F.when(c("phase") == "WORKER", c("throughput"))
+    found = stages.withColumn("_own", own).groupBy(*keys).agg(
+        some(c("refused") > 0).alias("_a"), some(c("unreadable") > 0).alias("_b"), some((c("timeouts") > 0) | (c("connection_errors") > 0)).alias("_c"), some(c("cpu") >= 85).alias("_d"),
+        F.min_by("_own", F.when(c("_own").isNotNull(), c("place"))).alias("_e"), F.count(worker).alias("_n"), F.max(worker).alias("_hi"), F.min(worker).alias("_lo"),
+    )
+    flat = (c("_n") >= 2) & (c("_hi") > 0) & (c("_hi") - c("_lo") <= 0.05 * c("_hi"))
+    verdict = F.when(c("_a"), "PROVIDER").when(c("_b"), "PARSER").when(c("_c"), "NETWORK").when(c("_d"), "CPU").when(c("_e").isNotNull(), c("_e")).when(flat, "NETWORK").otherwise("UNKNOWN")
+    return found.select(*keys, verdict.alias("bottleneck"))

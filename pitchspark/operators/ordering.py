@@ -50,3 +50,15 @@ def round_robin(df: DataFrame, stratum: str, key: str, k: int) -> DataFrame:
     once = df.groupBy(key).agg(F.min(stratum).alias(stratum))
     w = Window.partitionBy(stratum).orderBy(key)
     return once.withColumn("round", F.row_number().over(w)).orderBy("round", stratum).limit(k)
+
+
+def filtered_page(df: DataFrame, equal: dict[str, object], sortable: dict[str, list[Column]], sort: str, limit: int | None = None, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A page of rows that meet all given equalities (None: not asked for), and one row with how many meet them.
+
+    Only the named orders of ``sortable`` may be asked for; each must be total."""
+    if sort not in sortable:
+        raise ValueError(f"no order named {sort}")
+    for name, value in equal.items():
+        if value is not None:
+            df = df.where(F.col(name) == F.lit(value))
+    return page(df, sortable[sort], limit, offset), df.agg(F.count("*").alias("n"))

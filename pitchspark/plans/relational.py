@@ -493,3 +493,49 @@ def u08_export_check(t):
     """An export that lost some orders and changed the price of others, against the table."""
     export = t.orders.where("o_custkey % 10 <> 0").withColumn("o_totalprice", F.when(F.col("o_custkey") % 10 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
     return sets.verify_export(t.orders, export, ["o_orderkey"], ["o_custkey", "o_totalprice"])
+
+
+@query(
+    "p15_filtered_count",
+    "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS n FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50)",
+)
+def p15_filtered_count(t):
+    """The third page of 25 by price of the orders of one status (of any priority), and how many there are."""
+    orders = {"price": [F.col("o_totalprice").desc(), F.col("o_orderkey")], "date": [F.col("o_orderdate"), F.col("o_orderkey")]}
+    rows, count = ordering.filtered_page(t.orders, {"o_orderstatus": "F", "o_orderpriority": None}, orders, "price", 25, 50)
+    return rows.select("o_orderkey", "o_totalprice").crossJoin(F.broadcast(count))  # one row
+
+
+@query(
+    "a31_stage_status",
+    """WITH s AS (SELECT l_suppkey AS run, l_linenumber AS workers, count(*) AS requests, sum((l_discount < 0.1)::INT) AS successful, sum((l_quantity > 49.9 AND l_tax > 0.075)::INT) AS refused, sum((l_tax > 0.079)::INT) AS timeouts, max(l_quantity) * 65 AS p95 FROM lineitem GROUP BY ALL)
+SELECT run, workers, CASE WHEN refused > 0 THEN 'UNSTABLE' WHEN (requests - successful) / requests > 0.1 OR p95 > 3000 OR timeouts / requests > 0.05 THEN 'DEGRADED' ELSE 'STABLE' END AS status, CASE WHEN refused > 0 OR successful / requests < 0.995 THEN 'UNSTABLE' WHEN timeouts / requests > 0.005 THEN 'DEGRADED' ELSE 'STABLE' END AS strict FROM s""",
+)
+def a31_stage_status(t):
+    rows = _stages(t)
+    return rows.select("run", "workers", agg.stage_status().alias("status"), agg.stage_status(strict=True).alias("strict"))
+
+
+def _stages(t):
+    """A supplier's lines of one number as a measured stage."""
+    c = F.col
+    n = lambda cond, name: agg.count_if(cond).alias(name)
+    rows = t.lineitem.groupBy(c("l_suppkey").alias("run"), c("l_linenumber").alias("workers")).agg(
+        F.count("*").alias("requests"), n(c("l_discount") < 0.1, "successful"), n((c("l_quantity") > 49.9) & (c("l_tax") > 0.075), "refused"), n(c("l_tax") > 0.079, "timeouts"), (F.max("l_quantity") * 65).alias("p95"), F.sum("l_quantity").alias("throughput")
+    )
+    zero = F.lit(0)
+    return rows.withColumns({"unreadable": zero, "server_errors": zero, "connection_errors": zero})
+
+
+@query(
+    "a31_bottleneck",
+    """WITH s AS (SELECT l_suppkey AS run, l_linenumber AS place, sum((l_quantity > 49.9 AND l_tax > 0.075)::INT) AS refused, sum((l_tax > 0.079)::INT) AS timeouts, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY ALL), x AS (SELECT *, CASE WHEN n % 3 = 0 THEN CASE WHEN n % 2 = 0 THEN 'PARSER' ELSE 'RATE_CONTROLLER' END WHEN n % 3 = 1 THEN 'NETWORK' END AS own FROM s)
+SELECT run, CASE WHEN sum(refused) > 0 THEN 'PROVIDER' WHEN sum(timeouts) > 0 THEN 'NETWORK' WHEN max(q) >= 8500 THEN 'CPU' WHEN count(own) > 0 THEN arg_min(own, place) FILTER (own IS NOT NULL) WHEN count(*) >= 2 AND max(q) - min(q) <= 0.05 * max(q) THEN 'NETWORK' ELSE 'UNKNOWN' END AS bottleneck FROM x GROUP BY 1""",
+)
+def a31_bottleneck(t):
+    c, n = F.col, F.col("requests") % 3
+    rows = _stages(t).withColumns(
+        {"place": c("workers"), "phase": F.lit("WORKER"), "target": F.lit(10.0), "starts": F.when(n == 0, 5.0).otherwise(10.0), "effective": F.when(n == 1, 5.0).otherwise(10.0), "slots": F.lit(5.0), "controller": F.lit(5.0)}
+        | {"parse_median": F.when(c("requests") % 2 == 0, 60.0).otherwise(1.0), "parse_p95": F.lit(1.0), "cpu": c("throughput") / 100}
+    )
+    return agg.bottleneck(rows, ["run"])
