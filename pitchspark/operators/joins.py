@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pitchspark.functions.numbers import two_way_probability
 
 
+#: Rows of a table of bins.
+MOST_BINS = 10_000
+
+
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that is last by ``order``. One partly aggregated shuffle, no sort of whole groups."""
     rest = [c for c in df.columns if c not in keys]
@@ -65,7 +69,10 @@ def as_of_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
 
 
 def range_join(rows: DataFrame, bins: DataFrame, value: Column, low: str = "low", high: str = "high") -> DataFrame:
-    """Rows with each half-open bin that holds ``value``; ``bins`` is a small literal table (null ``high``: open)."""
+    """Rows with each half-open bin that holds ``value`` (null ``high``: open). ``bins`` is a small table of settings, which is
+    checked: it is broadcast, and every row is held against all of it."""
+    if bins.limit(MOST_BINS + 1).count() > MOST_BINS:
+        raise ValueError(f"more than {MOST_BINS} bins: join by a key instead")
     inside = (value >= F.col(low)) & (F.col(high).isNull() | (value < F.col(high)))
     return rows.join(F.broadcast(bins), inside)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitchspark.functions.numbers import break_even, missing_to_ninety, ratio, two_way_probability
-from pitchspark.operators import aggregates as agg, windows
-from pitchspark.operators import joins, ordering, sets
+from pitchspark.operators import aggregates as agg
+from pitchspark.operators import joins, ordering, sets, windows
 from pitchspark.plans.registry import query
 
 #: (bin, low, high): half-open ranges of the order value; the last is open.
@@ -240,7 +240,7 @@ def a04_distinct_filtered(t):
 FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""",
 )
 def a05_coverage_report(t):
-    rows = t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))  # nations: a fixed table of some dozens
+    rows = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
     return rows.groupBy("n_name").agg(
         F.count("*").alias("customers"),
         F.min("c_acctbal").alias("low"),
