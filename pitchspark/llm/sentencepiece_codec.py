@@ -162,9 +162,30 @@ class Codec:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def __post_init__(self) -> None:
+        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.spec.pieces]
+        self.other = frozenset(k for k, (_, _, kind) in enumerate(self.spec.pieces) if kind not in (NORMAL, BYTE))
+        self.silent = frozenset(k for k, (_, _, kind) in enumerate(self.spec.pieces) if kind == CONTROL)
+
     def decode(self, ids: list[list[int]]) -> list[str]:
-        silent = {k for k, (_, _, kind) in enumerate(self.spec.pieces) if kind == CONTROL}
-        return self.tokenizer.decode_batch([[i for i in x if i not in silent] for x in ids], skip_special_tokens=False)
+        """Texts of ids. Normal pieces and bytes that make valid UTF-8 are joined; all else (control pieces, broken bytes)
+        goes through the library's decoder."""
+        out = [self._joined(x) for x in ids]
+        if self.spec.dummy_prefix:
+            out = [x[1:] if x is not None and x[:1] == " " else x for x in out]
+        rest = [k for k, x in enumerate(out) if x is None]
+        found = self.tokenizer.decode_batch([[i for i in ids[k] if i not in self.silent] for k in rest], skip_special_tokens=False)
+        for k, x in zip(rest, found):
+            out[k] = x
+        return out
+
+    def _joined(self, ids: list[int]) -> str | None:
+        if not self.other.isdisjoint(ids):
+            return None
+        try:
+            return b"".join([self.bytes[i] for i in ids]).decode()
+        except UnicodeDecodeError:
+            return None
 
 
 #: Texts that differ where a rebuilt model would be wrong: spaces, markers, line ends, scripts, bytes outside the pieces.

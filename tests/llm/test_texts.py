@@ -76,6 +76,32 @@ def test_packing_is_an_exact_round_trip(spark):
     assert packing.pack(empty_documents(spark), BPE, RANKS).count() == 0
 
 
+def test_packing_of_repeated_and_null_ids(spark):
+    """Every row's tokens are there as often as the row is, each in one place; the sequences have no gaps."""
+    from tokenizers import Tokenizer
+
+    rows = [(None, "no id"), (None, "no id"), (7, "twice over"), (7, "twice over"), (7, "another text " * 50), (8, None), (8, "")] + [(9, "many copies of one row")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("clash")).withColumn("ids", F.lit(0))
+    exact = Tokenizer.from_file(BPE)
+    pieces = packing.pack(docs, BPE, RANKS, window=64, keep_ids=True).collect()
+    want = Counter()
+    for i, text in rows:
+        ids = [*exact.encode(text or "", add_special_tokens=False).ids, 1]
+        for start in range(0, len(ids), 64):
+            want[i, start, tuple(ids[start : start + 64])] += 1
+    assert Counter((p["doc_id"], p["start"], tuple(np.frombuffer(p["ids"], "<u4").tolist())) for p in pieces) == want
+    by_sequence = defaultdict(list)
+    for p in pieces:
+        by_sequence[p["sequence_id"]].append((p["offset"], p["length"]))
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    for own in by_sequence.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= 64
+
+
 def test_fast_and_plain_tokens_agree():
     fast, plain = packing.encoders(BPE, RANKS), packing.encoders(BPE, None)
     texts = ["", "  two  spaces \n\n x", "don't I'll 12345 $%&", "éèß ñandú Straße", "a<|endoftext|>b", "漢字", "x" * 500, "\ttab\r\nline"]
@@ -293,6 +319,19 @@ def test_unigram_parity_with_sentencepiece(spark, tmp_path):
         assert sum(a == b for a, b in zip(ids, theirs)) >= 0.95 * len(texts)  # the others are ties
 
 
+def test_decoding_of_any_ids():
+    """Also ids that no text has: control pieces, bytes that aren't UTF-8."""
+    import sentencepiece
+
+    codec, known = sentencepiece_codec.load(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = np.random.default_rng(15)
+    ids = [rng.integers(0, 300, rng.integers(0, 12)).tolist() for _ in range(500)] + [rng.integers(3, 32_000, 20).tolist() for _ in range(200)] + [[1, 350, 2], [], [0]]
+    library = codec.tokenizer.decode_batch([[i for i in x if i not in codec.silent] for x in ids], skip_special_tokens=False)
+    assert codec.decode(ids) == library
+    valid = [x for x in ids if 0 not in x and "\ufffd" not in known.decode(x)]
+    assert [known.decode(x) for x in valid] == codec.decode(valid) and len(valid) > 200
+
+
 def test_cut_off_models_are_errors():
     import pytest
 
@@ -486,3 +525,26 @@ def test_quality_verdicts_equal_brute_force(spark):
     want = brute_verdicts([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert found == want
     assert {k for _, k, kept in found if kept} >= {"cyrillic", "greek", "en", "de", "fr", "es"}
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark):
+    """Null and repeated ids, null and empty texts, clashing columns: each stage keeps the columns and does what it says."""
+    import corpus_pipeline
+    from tests.llm.test_dedup import brute_components
+
+    odd = odd_documents(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    white = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x or "")
+    rows = lambda df: [(r["doc_id"], r["text"]) for r in df.collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd, SMALL).schema == odd.schema and stage(spark, empty_documents(spark), SMALL).count() == 0, name
+    assert set(rows(stages["toxicity"](spark, odd, SMALL))) <= set(rows(odd))
+    once = stages["exact_dedup"](spark, odd, SMALL)
+    assert Counter(white(x) for _, x in rows(once)) == Counter({white(x) for _, x in rows(odd)})
+    near = rows(stages["minhash_near_dedup"](spark, once, SMALL))
+    keep = {(i, c) for i, _, c in brute_components(rows(once))}
+    assert sorted(near, key=repr) == sorted(((i, x) for i, x in rows(once) if (i, i) in keep), key=repr)
+    cut = rows(stages["suffix_dedup"](spark, odd, SMALL))
+    assert Counter(i for i, _ in cut) == Counter(i for i, _ in rows(odd)) and sum(len(x or "") for _, x in cut) < sum(len(x or "") for _, x in rows(odd))
+    packed = stages["packing"](spark, odd, SMALL)
+    assert packed.groupBy().agg(F.sum("length")).first()[0] > 0 and stages["packing"](spark, empty_documents(spark), SMALL).count() == 0
