@@ -232,5 +232,7 @@ def place(pieces: DataFrame, key: list[str], length_col: str = "length", window:
 def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their places; with ``keep_ids`` their tokens too, else only the tokens' checksum."""
     pieces = tokenize_pieces(docs, json_path, ranks_path, window).withColumn("ids_crc32", F.crc32("ids"))
+    # the place in the scan tells rows that repeat apart, so that no block of the ranking holds all of them
+    pieces = pieces.withColumn("_place", F.monotonically_increasing_id())
     pieces = staged(pieces if keep_ids else pieces.drop("ids"), "pack-pieces")
-    return place(pieces, ["id", "start", "ids_crc32"], window=window).withColumnRenamed("id", "doc_id")
+    return place(pieces, ["id", "start", "ids_crc32", "_place"], window=window).drop("_place").withColumnRenamed("id", "doc_id")
