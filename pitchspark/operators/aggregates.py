@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitchspark.functions.numbers import ratio, wilson
+from pitchspark.operators.selection import distinct_counts, exact_quantiles, with_keys
 
 
 def count_if(condition: Column | str) -> Column:
@@ -39,7 +40,7 @@ def percent_of_total(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def trade_summary(trades: DataFrame, keys: list[str], stake: str, pnl: str, outcome: str, day: str, resolved: Column) -> DataFrame:
-    """Counts, sums, rates, interval, medians and statuses of trades in one grouped aggregate.
+    """Counts, sums, rates, interval, medians and statuses of trades; days are counted and the median selected apart.
 
     ``outcome`` is 0, 1 or 2 (two or more). Open trades count in ``trades`` only.
     """
@@ -51,13 +52,13 @@ def trade_summary(trades: DataFrame, keys: list[str], stake: str, pnl: str, outc
         count_if(won).alias("won"),
         count_if(lost).alias("lost"),
         *[count_if(resolved & (F.col(outcome) == k)).alias(f"outcome_{k}") for k in (0, 1, 2)],
-        F.count_distinct(F.when(resolved, F.col(day))).alias("days"),
         F.round(sum_if(resolved, F.col(stake)), 2).alias("stake"),
         F.round(sum_if(resolved, F.col(pnl)), 2).alias("pnl"),
         F.round(sum_if(won, F.col(pnl)), 2).alias("gains"),
         F.round(-sum_if(lost, F.col(pnl)), 2).alias("losses"),
-        F.percentile(F.when(resolved, F.col(pnl)), F.lit(0.5)).alias("median_pnl"),
     )
+    out = with_keys(out, distinct_counts(trades, keys, {"days": [F.when(resolved, F.col(day))]}), keys).na.fill(0, ["days"])
+    out = with_keys(out, exact_quantiles(trades, keys, {"median_pnl": (F.when(resolved, F.col(pnl)), 0.5)}), keys)
     low, high = wilson("won", "settled")
     return (
         out.withColumn("roi", ratio("pnl", "stake"))
@@ -87,21 +88,6 @@ def legacy_bucket(x: Column, width: float = 0.05) -> Column:
     return F.coalesce((x / width).cast("int"), F.lit(0)) * width
 
 
-def nearest_rank(x: Column | str, q: float) -> Column:
-    """sorted[ceil(q * n) - 1]."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {x})") if isinstance(x, str) else F.percentile(x, F.lit(q))
-
-
-def truncated_percentile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
-    """sorted[int(q * n) - 1] of each key (not below the first), from counts per value: rows are partly aggregated before the
-    shuffle, and the running sum is over distinct values."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    aim = F.greatest(F.lit(1), F.floor(F.sum("_n").over(w) * q))
-    return counted.withColumn("_upto", upto).withColumn("_aim", aim).where("_upto >= _aim").groupBy(*keys).agg(F.min(value).alias(name))
-
-
 def drawn(r: Column, j: Column, n: Column, seed: int) -> Column:
     """A number from 0 to n - 1 for draw j of round r: three rounds of squaring modulo a prime, which SQL engines can say too."""
     prime = 2147483647

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchspark.functions.numbers import two_way_probability
+from pitchspark.operators.scans import Carry
 
 
 #: Rows of a table of bins.
@@ -56,16 +57,14 @@ def interval_join(left: DataFrame, right: DataFrame, left_time: str, right_time:
     return a.join(b, [*on, "_bucket"]).where(gap <= seconds * 1_000_000).drop("_bucket")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
-    """Each left row with the latest right ``values`` at or before its time: one union, one window per key, no range join."""
-    from pyspark.sql.window import Window
-
+def as_of_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], most: int | None = None) -> DataFrame:
+    """Each left row with the latest right ``values`` at or before its time: one union, one window per key, no range join.
+    A key with more than ``most`` rows of both sides is scanned in slices."""
     kinds = dict(right.dtypes)
     a = left.withColumn("_at", F.col(left_time)).withColumn("_side", F.lit(1)).withColumn("_value", F.lit(None).cast(f"struct<{','.join(f'{v}:{kinds[v]}' for v in values)}>"))
     b = right.select(*on, F.col(right_time).alias("_at"), F.lit(0).alias("_side"), F.struct(*values).alias("_value"))
-    seen = Window.partitionBy(*on).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    every = a.unionByName(b, allowMissingColumns=True).withColumn("_value", F.last("_value", ignorenulls=True).over(seen))
-    return every.where("_side = 1").select(*left.columns, *[F.col(f"_value.{v}").alias(v) for v in values])
+    every = Carry(fill={"_found": F.col("_value")}).over(a.unionByName(b, allowMissingColumns=True), on, ["_at", "_side"], most)
+    return every.where("_side = 1").select(*left.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
 def range_join(rows: DataFrame, bins: DataFrame, value: Column, low: str = "low", high: str = "high") -> DataFrame:

@@ -1,7 +1,8 @@
 """Outcome models on pyspark.ml: features, model families, calibration, prediction heads, walk-forward experiments, reports.
 
-Classes are 0, 1 and 2 (no goal, one, two and more). Families without a distributed implementation here are an error; no
-other model is ever put in their place.
+Classes are 0, 1 and 2 (no goal, one, two and more). Boosting for several classes and extremely randomised trees are built
+in :mod:`pitchspark.operators.trees`. Families without a distributed implementation here are an error; no other model is
+ever put in their place.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchspark.functions.numbers import wilson
+from pitchspark.operators import trees
 from pitchspark.operators.aggregates import classification_metrics, count_if
-from pitchspark.operators.windows import ranked
+from pitchspark.operators.scans import ranked
 from pitchspark.staging import staged
 
 CLASSES = 3
@@ -59,6 +61,23 @@ def pipeline(family: str, target: str, features: list[str], weight: str | None =
     return Pipeline(stages=[*stages, model])
 
 
+#: Families built here, with the parameters that each takes.
+TREE_FAMILIES = {
+    "HISTGRADIENTBOOSTING": ("max_iter", "learning_rate", "max_leaf_nodes", "l2", "bins", "min_samples_leaf"),
+    "EXTRATREES": ("n_estimators", "max_depth", "min_samples_leaf", "max_features", "seed"),
+}
+
+
+def fit_trees(rows: DataFrame, features: list[str], family: str, target: str, weight: str | None = None, **params) -> trees.Ensemble:
+    """An ensemble on the features and the indicators of missing ones; ``label`` is the class (BINARY_P1: 1 or not)."""
+    unknown = set(params) - set(TREE_FAMILIES[family])
+    if unknown:
+        raise ValueError(f"{family} takes no {', '.join(sorted(unknown))}")
+    classes = CLASSES if target == "MULTICLASS" else 2
+    fitted = trees.fit_boosting if family == "HISTGRADIENTBOOSTING" else trees.fit_extra_trees
+    return fitted(rows, [*features, *[f"{f}__missing" for f in features]], "label", classes, weight, **params)
+
+
 def with_indicators(rows: DataFrame, features: list[str]) -> DataFrame:
     """Features as doubles, and for each whether it is missing; a feature that is always missing becomes 0."""
     empty = rows.agg(*[F.max(F.col(f).isNotNull()).alias(f) for f in features]).first()  # one row
@@ -120,19 +139,25 @@ def _label(target: str) -> Column:
     return {"MULTICLASS": F.col("actual"), "BINARY_P1": (F.col("actual") == 1), "COUNT": F.col("goals")}[target].cast("double")
 
 
-def predict(model: PipelineModel, rows: DataFrame, target: str, zero_share: float = 0.5, keep: tuple[str, ...] = ("row_id", "actual")) -> DataFrame:
+def predict(model: PipelineModel | trees.Ensemble, rows: DataFrame, target: str, zero_share: float = 0.5, keep: tuple[str, ...] = ("row_id", "actual")) -> DataFrame:
     out = model.transform(rows)
+    if isinstance(model, trees.Ensemble):
+        return out.select(*keep, *heads(target, F.lit(None), F.col("class_probability"), zero_share))
     probability = vector_to_array("probability") if "probability" in out.columns else F.array()
     return out.select(*keep, *heads(target, F.col("prediction"), probability, zero_share))
 
 
-def fit(train: DataFrame, features: list[str], family: str, target: str, calibration: str = "NONE", weight: str | None = None, **params) -> tuple[PipelineModel, list | None, float]:
+def fit(train: DataFrame, features: list[str], family: str, target: str, calibration: str = "NONE", weight: str | None = None, **params) -> tuple[PipelineModel | trees.Ensemble, list | None, float]:
     """The model, its calibrators (on the training rows alone) and the share of 0 among 0 and 2."""
     seen = train.agg(F.count_distinct("actual").alias("k"), count_if(F.col("actual") == 0).alias("zero"), count_if(F.col("actual") == 2).alias("two")).first()
     if target != "COUNT" and seen["k"] < 2:
         raise InsufficientData("the training rows have one class only")
     share = seen["zero"] / (seen["zero"] + seen["two"]) if seen["zero"] + seen["two"] else 0.5
-    model = pipeline(family, target, features, weight, **params).fit(train.withColumn("label", _label(target)))
+    labelled = train.withColumn("label", _label(target))
+    if family.upper() in TREE_FAMILIES and target != "COUNT":
+        model = fit_trees(labelled, features, family.upper(), target, weight, **params)
+    else:
+        model = pipeline(family, target, features, weight, **params).fit(labelled)
     if target == "COUNT" or calibration == "NONE":
         return model, None, share
     return model, calibrators(predict(model, train, target, share), calibration), share
@@ -168,6 +193,25 @@ def experiment(rows: DataFrame, features: list[str], order: list[str], family: s
     return staged(out, "model-oof")
 
 
+def blend(experiments: dict[str, DataFrame], most: int = 2) -> tuple[DataFrame, list[str]]:
+    """Means of the out-of-fold probabilities of the ``most`` experiments with the best Brier score of class 1 (ties by name),
+    for rows that all of them have; and the experiments' names. Fewer than two experiments are an error."""
+    if len(experiments) < 2:
+        raise InsufficientData("a blend needs two experiments")
+    scored = None
+    for name, predictions in experiments.items():
+        rows = report(predictions).select(F.lit(name).alias("name"), "p1_brier")
+        scored = rows if scored is None else scored.unionByName(rows)
+    chosen = [r["name"] for r in scored.orderBy(F.col("p1_brier").asc_nulls_last(), "name").limit(most).collect()]
+    parts = [f"p{k}" for k in range(CLASSES)]
+    every = None
+    for name in chosen:
+        rows = experiments[name].select("row_id", "actual", *parts)
+        every = rows if every is None else every.unionByName(rows)
+    means = every.groupBy("row_id").agg(F.count("*").alias("_n"), F.min("actual").alias("actual"), *[F.avg(p).alias(p) for p in parts])
+    return means.where(F.col("_n") == len(chosen)).drop("_n").withColumn("fold", F.lit("ensemble")), chosen
+
+
 def report(predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Metrics of predictions, of all or by key: log loss, Brier scores, bias of p1, accuracy, rate of 0 and 2+."""
     best = F.array_max(F.array(*[F.struct(F.col(f"p{k}").alias("p"), F.lit(-k).alias("k")) for k in range(CLASSES)]))["k"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pitchspark.operators.windows import ranked
+from pitchspark.operators.scans import ranked
 
 
 def best_per_group(df: DataFrame, keys: list[str], value: str, tie: list[str], alternatives: int = 2) -> DataFrame:

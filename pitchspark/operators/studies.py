@@ -196,6 +196,10 @@ def path_stats(trades: DataFrame, keys: list[str], chunk: str, order: list[str],
     return folded.select(*keys, "f.balance", "f.peak", F.round("f.fall", 2).alias("max_drawdown"), F.col("f.longest").alias("longest_loss_streak"))
 
 
+#: Fields of trades whose medians a summary has.
+MEDIANS = ("q_zero", "q_two", "p1_break_even", "p1_buffer", "win_roi", "payout")
+
+
 def summary(rows: DataFrame, keys: list[str], day: str = "day", event: str = "event_id", order: tuple[str, ...] = ("observed_at", "event_id"), rounds: int = 500) -> DataFrame:
     """All measures of trades per key. ``rows`` are the entries (simulated, with result_valid); entries without a result
     count as candidates only. Games, days and competitions are counted distinct, of all entries and of resolved ones."""
@@ -204,17 +208,19 @@ def summary(rows: DataFrame, keys: list[str], day: str = "day", event: str = "ev
     c, done = F.col, F.col("result_valid")
     when = lambda x: F.when(done, x)
     total = lambda x: F.round(F.coalesce(F.sum(when(x)), F.lit(0.0)), 2)
-    median = lambda x: F.percentile(when(c(x)), F.lit(0.5)).alias(f"median_{x}")
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("entries"), count_if(done).alias("resolved_trades"), count_if(~done).alias("unresolved"),
-        F.count_distinct(event).alias("different_games"), F.count_distinct(when(c(event))).alias("resolved_games"), F.count_distinct(day).alias("days"), F.count_distinct(when(c(day))).alias("resolved_days"),
-        F.count_distinct("competition_country").alias("countries"), F.count_distinct("competition_country", "competition_name").alias("competitions"),
         *[count_if(done & (c("outcome_class") == o)).alias(o.lower()) for o in OUTCOMES], *[count_if(c("evidence_level") == v).alias(f"level_{v[0].lower()}") for v in LEVELS],
         F.avg(when(F.coalesce("p1_market", F.lit(0.0)))).alias("expected_p1_mean"), count_if(done & c("covered_hit")).alias("_hits"),
         total(c("stake")).alias("total_stake"), total(c("payout")).alias("total_payout"), total(F.greatest("pnl", F.lit(0.0))).alias("gross_profit"), total(F.least("pnl", F.lit(0.0))).alias("gross_loss"), total(c("pnl")).alias("pnl"),
         count_if(done & (c("pnl") > 0)).alias("profitable_trades"), count_if(done & (c("pnl") < 0)).alias("losing_trades"), count_if(done & (c("pnl") == 0)).alias("zero_pnl_trades"),
-        *[median(x) for x in ("q_zero", "q_two", "p1_break_even", "p1_buffer", "win_roi", "payout")],
     )
+    different = {
+        "different_games": [c(event)], "resolved_games": [when(c(event))], "days": [c(day)], "resolved_days": [when(c(day))],
+        "countries": [c("competition_country")], "competitions": [c("competition_country"), c("competition_name")],
+    }
+    out = with_keys(out, distinct_counts(rows, keys, different), keys).na.fill(0, list(different))
+    out = with_keys(out, exact_quantiles(rows, keys, {f"median_{x}": (when(c(x)), 0.5) for x in MEDIANS}), keys)
     low, high = wilson("h2_goals_1", "resolved_trades")
     n = c("resolved_trades")
     out = out.withColumns(
@@ -227,7 +233,7 @@ def summary(rows: DataFrame, keys: list[str], day: str = "day", event: str = "ev
     resolved = rows.where(done)
     path = path_stats(resolved, keys, day, list(order), "pnl").drop("balance", "peak")
     spread = bootstrap_by_day(resolved, keys, day, "stake", "pnl", rounds).drop("days")
-    out = out.join(path, keys, "left").join(spread, keys, "left")
+    out = with_keys(with_keys(out, path, keys), spread, keys)
     return out.na.fill(0, ["max_drawdown", "longest_loss_streak"])
 
 

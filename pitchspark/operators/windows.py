@@ -6,75 +6,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pitchspark.staging import staged
+from pitchspark.operators.scans import Carry, ranked, split_hot
 
 
-def change_only(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+def change_only(df: DataFrame, keys: list[str], order: list[str], values: list[str], most: int | None = None) -> DataFrame:
     """Rows whose values differ (null-safe) from those of the row before; the first row of a key always stays."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = F.lag(F.struct(*values)).over(w)
-    return df.withColumn("_before", before).where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.struct(*values))).drop("_before")
+    now = F.struct(*values)
+    rows = Carry(last={"_before": now}).over(df, keys, order, most)
+    return rows.where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(now)).drop("_before")
 
 
-def transitions(df: DataFrame, keys: list[str], order: list[str], eligible: str, source: str) -> DataFrame:
+def transitions(df: DataFrame, keys: list[str], order: list[str], eligible: str, source: str, most: int | None = None) -> DataFrame:
     """``transition``: FIRST_ELIGIBLE, ELIGIBLE, INELIGIBLE, BEST_ODDS_SOURCE_CHANGED or null, by the row before."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    ever = F.max(F.col(eligible).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    was, had = F.lag(eligible).over(w), F.lag(source).over(w)
+    is_now = F.col(eligible)
+    rows = Carry(last={"_was": is_now, "_had": F.col(source)}, ever={"_ever": is_now.cast("int")}).over(df, keys, order, most)
+    was = F.col("_was")
     label = (
-        F.when(F.col(eligible) & (F.coalesce(ever, F.lit(0)) == 0), "FIRST_ELIGIBLE")
-        .when(F.col(eligible) & ~was, "ELIGIBLE")
-        .when(~F.col(eligible) & was, "INELIGIBLE")
-        .when(F.col(eligible) & was & ~F.col(source).eqNullSafe(had), "BEST_ODDS_SOURCE_CHANGED")
+        F.when(is_now & (F.coalesce("_ever", F.lit(0)) == 0), "FIRST_ELIGIBLE")
+        .when(is_now & ~was, "ELIGIBLE")
+        .when(~is_now & was, "INELIGIBLE")
+        .when(is_now & was & ~F.col(source).eqNullSafe(F.col("_had")), "BEST_ODDS_SOURCE_CHANGED")
     )
-    return df.withColumn("transition", label)
+    return rows.withColumn("transition", label).drop("_was", "_had", "_ever")
 
 
-def drawdown(df: DataFrame, keys: list[str], order: list[str], pnl: str, start: float = 0.0) -> DataFrame:
+def drawdown(df: DataFrame, keys: list[str], order: list[str], pnl: str, start: float = 0.0, most: int | None = None) -> DataFrame:
     """Per key: final balance, peak (never below ``start``), greatest fall below a peak, and that as a share of the peak."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_balance", F.lit(start) + F.sum(pnl).over(w))
-    rows = rows.withColumn("_peak", F.greatest(F.lit(start), F.max("_balance").over(w))).withColumn("_fall", F.col("_peak") - F.col("_balance"))
+    rest, hot = split_hot(df, keys, most)
+    rows = Carry(total={"_sum": F.col(pnl)}).windowed(rest, keys, order).withColumn("_balance", F.lit(start) + F.col("_sum"))
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_peak", F.greatest(F.lit(start), F.max("_balance").over(upto)))
+    last = F.struct(*order)
+    if hot is not None:  # balances over slices first, then peaks over the same slices of balances
+        sums = Carry(total={"_sum": F.col(pnl)}).sliced(hot, keys, order, most).drop("_part", "_tie").withColumn("_balance", F.lit(start) + F.col("_sum"))
+        peaks = Carry(ever={"_high": F.col("_balance")}).sliced(sums, keys, order, most).withColumn("_peak", F.greatest(F.lit(start), "_high", "_balance"))
+        rows = rows.unionByName(peaks.select(*rows.columns))
+    rows = rows.withColumn("_fall", F.col("_peak") - F.col("_balance"))
     return rows.groupBy(*keys).agg(
-        F.max_by("_balance", F.struct(*order)).alias("balance"),
+        F.max_by("_balance", last).alias("balance"),
         F.max("_peak").alias("peak"),
         F.max("_fall").alias("max_drawdown"),
         F.max(F.when(F.col("_peak") > 0, F.col("_fall") / F.col("_peak"))).alias("max_drawdown_share"),
     )
 
 
-def longest_streaks(df: DataFrame, keys: list[str], order: list[str], flags: dict[str, Column]) -> DataFrame:
-    """Longest run of consecutive rows for which each flag holds."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = None
-    for name, flag in flags.items():
-        on = F.coalesce(flag, F.lit(False)).cast("int")
-        island = F.row_number().over(w) - F.sum(on).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        runs = df.withColumn("_on", on).withColumn("_island", island).groupBy(*keys, "_island").agg(F.sum("_on").alias("_run"))
-        found = runs.groupBy(*keys).agg(F.max("_run").alias(name))
-        out = found if out is None else out.join(found, keys)
-    return out
+def longest_streaks(df: DataFrame, keys: list[str], order: list[str], flags: dict[str, Column], most: int | None = None) -> DataFrame:
+    """Longest run of consecutive rows for which each flag holds.
+
+    A row's run is named by how many rows before it, of its key, the flag didn't hold for; runs are counted by name, so a run
+    over several slices is one.
+    """
+    on = {f"_on_{name}": F.coalesce(flag, F.lit(False)).cast("int") for name, flag in flags.items()}
+    rows = df.select(*keys, *[c for c in order if c not in keys], *[c.alias(n) for n, c in on.items()])
+    counted = Carry(total={f"_off_{name}": 1 - F.col(f"_on_{name}") for name in flags}).over(rows, keys, order, most)
+    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("flag"), F.col(f"_off_{name}").alias("run"), F.col(f"_on_{name}").alias("on")) for name in flags]))
+    runs = counted.select(*keys, cells.alias("c")).groupBy(*keys, "c.flag", "c.run").agg(F.sum("c.on").alias("n"))
+    return runs.groupBy(*keys).agg(*[F.max(F.when(F.col("flag") == name, F.col("n"))).alias(name) for name in flags])
 
 
 def prior_mean(df: DataFrame, keys: list[str], time: str, value: str, n: int, tie: list[str], name: str) -> DataFrame:
     """Mean of ``value`` over the last ``n`` rows strictly earlier than each row; rows of the same time don't count, null
-    values take a place but don't count in the mean. By differences of running sums at two places, so no frame is needed
-    that leaves peers out: one sort per key."""
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-    by_time = Window.partitionBy(*keys).orderBy("_t")
-    rows = df.withColumn("_t", micros)
-    rows = rows.withColumn("_before", F.count(F.lit(1)).over(by_time.rangeBetween(Window.unboundedPreceding, -1)))
+    values take a place but don't count in the mean.
+
+    One sort per key: the first row of a time sees the ``n`` rows before it in a frame of rows, and its peers take its mean.
+    """
+    rows = df.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
     by_row = Window.partitionBy(*keys).orderBy("_t", *tie)
-    upto = by_row.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_k", F.row_number().over(by_row)).withColumn("_sum", F.sum(value).over(upto)).withColumn("_n", F.count(value).over(upto))
-    at = rows.select(*keys, F.col("_k").alias("_at"), F.coalesce("_sum", F.lit(0.0)).alias("_s"), F.col("_n").alias("_c"))
-    high = at.select(*keys, F.col("_at").alias("_before"), F.col("_s").alias("_s1"), F.col("_c").alias("_c1"))
-    low = at.select(*keys, F.col("_at").alias("_low"), F.col("_s").alias("_s0"), F.col("_c").alias("_c0"))
-    rows = rows.withColumn("_low", F.col("_before") - n).join(high, [*keys, "_before"], "left").join(low, [*keys, "_low"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    count = zero("_c1") - zero("_c0")
-    mean = F.when(count > 0, (zero("_s1") - zero("_s0")) / count)
-    return rows.withColumn(name, mean).select(*df.columns, name)
+    seen = F.avg(value).over(by_row.rowsBetween(-n, -1))
+    peers = Window.partitionBy(*keys).orderBy("_t").rangeBetween(Window.currentRow, Window.currentRow)
+    rows = rows.withColumn("_mean", F.struct(seen.alias("m"))).withColumn("_k", F.row_number().over(by_row))
+    return rows.withColumn(name, F.min_by("_mean", "_k").over(peers)["m"]).select(*df.columns, name)
 
 
 def expanding_mean(df: DataFrame, keys: list[str], time: str, value: str, name: str, strict: bool = True, tie: tuple[str, ...] = ()) -> DataFrame:
@@ -105,24 +106,6 @@ def walk_forward(df: DataFrame, order: list[str], folds: int = 3, locked: float
     return k.withColumn("part", part).drop("_rank")
 
 
-def ranked(df: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
-    """Row numbers (from 1) of a total order over the whole table: range partitions, sizes of the parts, offsets.
-
-    The parts are cut at a random sample's bounds, which differ from job to job, so sizes and row numbers come from one
-    staged table.
-    """
-    spread = staged(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranked-parts")
-    local = spread.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = {r["_part"]: r["n"] for r in spread.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # ``parts`` rows at most
-    before, offsets = 0, []
-    for p in sorted(sizes):
-        offsets += [F.lit(p), F.lit(before)]
-        before += sizes[p]
-    if not offsets:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    return local.withColumn(name, F.element_at(F.create_map(*offsets), F.col("_part")) + F.col("_own")).drop("_part", "_own")
-
-
 def sliding_counts(df: DataFrame, now: Column, time: str, minutes: tuple[int, ...], kind: str) -> DataFrame:
     """Per kind: rows of the last 5, 15, 60 ... minutes up to ``now``, in one pass."""
     age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))) / 60e6

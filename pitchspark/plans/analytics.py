@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitchspark.functions import numbers, text, times
 from pitchspark.operators import aggregates as agg
-from pitchspark.operators import joins, ledger, matching, reshape, windows
+from pitchspark.operators import joins, ledger, matching, reshape, selection, windows
 from pitchspark.plans.registry import query
 
 _TRADES = """trades AS (SELECT l_returnflag AS variant, l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity AS stake, CASE WHEN l_discount >= 0.05 THEN round(l_quantity * l_discount, 4) ELSE -l_quantity * 0.04 END AS pnl,
@@ -176,13 +176,14 @@ def a13_wilson(t):
     """SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM events GROUP BY 1""",
 )
 def a14_percentiles(t):
-    at = lambda q: F.round(F.percentile(numbers.finite("value"), F.lit(q)), 6)
-    return t.events.groupBy("event_type").agg(at(0.5).alias("median"), at(0.025).alias("low"), at(0.975).alias("high"))
+    value = numbers.finite("value")
+    found = selection.exact_quantiles(t.events, ["event_type"], {"median": (value, 0.5), "low": (value, 0.025), "high": (value, 0.975)})
+    return found.select("event_type", *[F.round(x, 6).alias(x) for x in ("median", "low", "high")])
 
 
 @query("a15_nearest_rank", "SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def a15_nearest_rank(t):
-    return t.events.groupBy("event_type").agg(agg.nearest_rank("value", 0.95).alias("p95"))
+    return selection.exact_quantiles(t.events, ["event_type"], {"p95": (F.col("value"), 0.95)}, "nearest")
 
 
 @query(
@@ -291,7 +292,7 @@ def a29_latency(t):
     found = t.events.groupBy("event_type").agg(
         F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.max("value").alias("top"), F.round(F.avg((F.col("value") >= 400).cast("int")), 8).alias("error_rate")
     )
-    return found.join(agg.truncated_percentile(t.events, ["event_type"], "value", 0.95, "p95"), "event_type")
+    return found.join(selection.exact_quantiles(t.events, ["event_type"], {"p95": (F.col("value"), 0.95)}, "truncated"), "event_type")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitchspark.functions.numbers import break_even, missing_to_ninety, ratio, two_way_probability
 from pitchspark.operators import aggregates as agg
-from pitchspark.operators import joins, ordering, sets, windows
+from pitchspark.operators import joins, ordering, scans, sets
 from pitchspark.plans.registry import query
 
 #: (bin, low, high): half-open ranges of the order value; the last is open.
@@ -359,7 +359,7 @@ def o04_nulls_last(t):
     """The whole order, with each row's place in it."""
     last = t.orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_order"))
     rows = t.customer.join(last, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "last_order", F.col("last_order").isNull().alias("_unknown"))
-    return windows.ranked(rows, ["_unknown", "last_order", "c_custkey"], "place").select("c_custkey", "last_order", "place")
+    return scans.ranked(rows, ["_unknown", "last_order", "c_custkey"], "place").select("c_custkey", "last_order", "place")
 
 
 @query(
@@ -368,7 +368,7 @@ def o04_nulls_last(t):
 )
 def o05_scanner_ranking(t):
     rows = t.supplier.select("s_suppkey", "s_acctbal", (~(F.col("s_acctbal") > 1000)).alias("_last"), (-ordering.scanner_value("s_acctbal")).alias("_buffer"))
-    return windows.ranked(rows, ["_last", "_buffer", "s_suppkey"], "place").select("s_suppkey", "s_acctbal", "place")
+    return scans.ranked(rows, ["_last", "_buffer", "s_suppkey"], "place").select("s_suppkey", "s_acctbal", "place")
 
 
 @query(
@@ -387,7 +387,7 @@ def o06_quantile_sample(t):
 def o07_priority_order(t):
     rank = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "error", 1).otherwise(2)
     rows = t.events.select("event_id", "event_type", rank.alias("_rank"))
-    return windows.ranked(rows, ["_rank", "event_id"], "place").select("event_id", "event_type", "place")
+    return scans.ranked(rows, ["_rank", "event_id"], "place").select("event_id", "event_type", "place")
 
 
 @query(

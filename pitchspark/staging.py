@@ -6,7 +6,12 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types
+
+#: A side of a join is broadcast only if it was measured and has no more rows and bytes than these.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,13 +32,43 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: lineage is cut, and losing an executor loses nothing.
 
-    The table goes away when the driver process ends.
+    The table goes away when the driver process ends, or with :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_path = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more; plans built on it must have run."""
+    path = getattr(table, "_staged_path", None)
+    if path:
+        _remove(table.sparkSession, path)
+
+
+def _bytes_of(value: Column, kind: types.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (types.StringType, types.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 24
+    if isinstance(kind, types.ArrayType):
+        return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda total, x: total + _bytes_of(x, kind.elementType)), F.lit(0)) + 24
+    if isinstance(kind, types.StructType):
+        return sum((_bytes_of(value.getField(f.name), f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def shared_side(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``df``, staged, with a broadcast hint if it is measured to have at most so many rows and bytes, else for a shuffled join."""
+    if not hasattr(df, "_staged_path"):
+        df = staged(df, "side")
+    width = sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    fits = seen["n"] <= rows and seen["b"] <= most
+    return (F.broadcast(df) if fits else df), fits
 
 
 def _remove(spark: SparkSession, path: str) -> None:
