@@ -1,9 +1,14 @@
 """Main text of HTML pages by composite text density.
 
 The block elements of a page make the nodes of its tree; inline elements only count as tags. Elements that hold no article
-text by their kind (scripts, styles, navigation, forms ...), role or class are left out with all they hold. A class or id
-speaks against an element only if all its words do (``cookie-notice``, not ``notice-board-story``), and never on headings,
-paragraphs and the like, whose ids are slugs of their text. For every other node the density is its characters per tag,
+text by their kind (scripts, styles, navigation ...), role or class are left out with all they hold. A class or id speaks
+against an element only if all its words do (``cookie-notice``, not ``notice-board-story``), and never on headings,
+paragraphs and the like, whose ids are slugs of their text; below ``article`` and ``main`` only adverts and lists of
+comments go by their class. Attributes are read one by one, and only whole names count. A form goes if it holds less than
+half of the page's text, since some pages lie in one form. Comments without a mark go by their structure, in any language:
+siblings of one tag and class that all have a date and share the label of a link or button (to reply), after prose.
+
+For every other node the density is its characters per tag,
 adjusted by how many of its characters and tags belong to links, against the share of the whole body. A node's sum is that
 of its children's densities and of its own text's. The node with the greatest sum is the centre of the article and belongs
 to it whole. The threshold is ``SLACK`` times the smallest density on the path from the centre to the body: along that path
@@ -26,6 +31,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +43,9 @@ from pitchspark.llm.common import text_batches
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)>?", re.S
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: A date in a text, by its form alone.
+_DATE = re.compile(r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{1,2}\.?\s+[^\W\d]{3,}\.?\s+\d{4}\b|\b[^\W\d]{3,}\.?\s+\d{1,2},?\s+\d{4}\b")
 _WHITE = re.compile(r"[\x20\x09-\x0D]+")
 
 # Elements of HTML by their part in a page.
@@ -45,12 +53,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mspace mstyle mtable mtr mtd semantics annotation svg".split()
 )
 DROPPED = frozenset(
-    "head script style noscript template title textarea iframe object embed svg math canvas audio video map nav aside footer "
-    "form fieldset button select option input datalist dialog menu noembed noframes xmp".split()
+    "head script style noscript template title textarea iframe object embed svg annotation canvas audio video map nav aside footer "
+    "button select option input datalist dialog menu noembed noframes xmp".split()
 )
+#: Left out unless they hold half of the page's text.
+FORMS = frozenset("form fieldset".split())
 LISTS = frozenset("ul ol dl td div section".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements of running text: beside the centre they belong to the article unless they are mostly links.
@@ -68,6 +79,9 @@ NEUTRAL = frozenset(
     "site page main global top bottom left right side bar header box block list container wrapper wrap area inner outer section slot "
     "zone unit panel item items row col column group link links button buttons icons form thread reader user post posts".split()
 )
+# Words of class names and ids that speak against an element below an article too.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors".split())
+COMMENT_LISTS = frozenset("comments commentlist respond replies disqus".split())
 _WORDS = re.compile(r"[A-Za-z]+|[0-9]+")
 #: Elements whose class and id are never looked at.
 UNMARKED = HEADINGS | frozenset("body html main article p li td th tr tbody thead pre blockquote figure".split())
@@ -94,6 +108,8 @@ class _Page:
         self.tag, self.parent, self.marks = ["body"], [-1], [""]  # marks: the attributes as they stand
         self.chars, self.link_chars, self.tags, self.link_tags = [0], [0], [0], [0]
         self.pieces: list[tuple[int, str]] = []
+        self.dated: list[int] = []  # nodes with a date, in page order
+        self.labels: dict[str, list[int]] = {}  # nodes with a link or button of a short text, in page order
 
     def add(self, tag: str, parent: int, marks: str) -> int:
         for values, value in ((self.tag, tag), (self.parent, parent), (self.marks, marks), (self.chars, 0), (self.link_chars, 0), (self.tags, 1), (self.link_tags, 0)):
@@ -101,26 +117,35 @@ class _Page:
         return len(self.tag) - 1
 
 
-def _is_boilerplate(name: str) -> bool:
+def _is_boilerplate(name: str, inside: bool) -> bool:
     """Whether a class or id has a word of boilerplate and no word besides that means something."""
     words = [w.lower() for w in _WORDS.findall(name)]
-    return any(w in BOILERPLATE for w in words) and all(w in BOILERPLATE or w in NEUTRAL or w.isdigit() for w in words)
+    against = ADVERTS | COMMENT_LISTS if inside else BOILERPLATE
+    return any(w in against for w in words) and all(w in BOILERPLATE or w in NEUTRAL or w.isdigit() for w in words)
 
 
-def _left_out(tag: str, attributes: str) -> bool:
+def _attributes(text: str) -> list[tuple[str, str]]:
+    """Names in lower case and values of attributes as they stand; of a name given twice the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), entities.unescape("".join(values)))
+    return list(found.items())
+
+
+def _left_out(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element goes by its kind or attributes; ``inside``: below an article or main element."""
     if tag in DROPPED:
         return True
     if not attributes or tag in ("body", "html"):
         return False
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values)
-        if name == "hidden" or name == "aria-hidden" and value == "true" and tag not in INLINE:
+    for name, value in _attributes(attributes):
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" and tag not in INLINE:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and (tag not in UNMARKED or name == "class" and tag in ("p", "li")) and any(map(_is_boilerplate, value.split())):
+        if name in ("class", "id") and (tag not in UNMARKED or name == "class" and tag in ("p", "li")) and any(_is_boilerplate(x, inside) for x in value.split()):
             return True
     return False
 
@@ -128,17 +153,24 @@ def _left_out(tag: str, attributes: str) -> bool:
 def parse(page: str) -> _Page:
     """The tree of ``page`` without the elements that are left out."""
     out = _Page()
-    # open elements: tag, node it writes to, depth of left-out elements, whether in a link
-    stack: list[tuple[str, int, int, bool]] = [("body", 0, 0, False)]
+    # open elements: tag, node it writes to, whether left out, whether in a link, whether below an article
+    stack: list[tuple[str, int, int, bool, bool]] = [("body", 0, 0, False, False)]
     at, size = 0, len(page)
     opened: dict[str, int] = {}  # open elements by tag, so that a search for one that isn't open takes no time
     over = 0  # open elements beyond DEPTH, which aren't on the stack
 
     def text(piece: str) -> None:
-        _, node, gone, link = stack[-1]
-        if gone:
+        tag, node, gone, link, _ = stack[-1]
+        if gone and tag != "button":
             return
         piece = entities.unescape(piece)
+        label = _WHITE.sub(" ", piece).strip(" ").lower() if (link or gone) and len(piece) < 200 else ""
+        if 0 < len(label) <= 40:
+            out.labels.setdefault(label, []).append(node)
+        if gone:
+            return
+        if _DATE.search(piece):
+            out.dated.append(node)
         n = len(_WHITE.sub(" ", piece).strip(" "))
         out.pieces.append((node, piece))
         out.chars[node] += n
@@ -156,7 +188,7 @@ def parse(page: str) -> _Page:
                 return
 
     def end(k: int) -> None:
-        closed = any(x[0] not in INLINE for x in stack[k:])
+        closed = any(stack[i][0] not in INLINE and not stack[i - 1][2] for i in range(k, len(stack)))  # not within what is left out
         for x in stack[k:]:
             opened[x[0]] -= 1
         del stack[k:]
@@ -192,19 +224,21 @@ def parse(page: str) -> _Page:
                 close(("head",), ())
                 continue
             if tag not in INLINE:
-                close(("p",), ("table", "button", "object", "td", "th", "caption"))
+                close(("p",), ("table", "button", "object", "td", "th", "caption", "svg", "annotation"))
                 if tag in HEADINGS:
                     close(tuple(HEADINGS), ("section", "div", "article", "main"))
                 if tag in _ENDS:
                     close(*_ENDS[tag])
                 if stack[-1][0] == "head" and tag not in ("meta", "link", "base", "title", "script", "style", "noscript", "template"):
                     end(len(stack) - 1)
-            _, node, gone, link = stack[-1]
-            dropped = bool(gone) or _left_out(tag, attributes)
+            _, node, gone, link, inside = stack[-1]
+            dropped = bool(gone) or _left_out(tag, attributes, inside)
             deep = len(stack) > DEPTH and tag not in VOID and tag not in RAW
             if tag == "br" and not gone:
                 text(" ")
             if not dropped:
+                if tag == "time":
+                    out.dated.append(node)
                 if tag in INLINE or deep:
                     out.tags[node] += 1
                     out.link_tags[node] += tag == "a"
@@ -225,7 +259,76 @@ def parse(page: str) -> _Page:
                 over += 1
             elif tag not in VOID:
                 opened[tag] = opened.get(tag, 0) + 1
-                stack.append((tag, node, int(dropped), link or tag == "a"))
+                stack.append((tag, node, int(dropped), link or tag == "a", inside or tag in ("article", "main")))
+    _prune(out)
+    return out
+
+
+def _last_descendants(page: _Page) -> list[int]:
+    """Of each node its last descendant: nodes are in page order, so a subtree is a range."""
+    last = list(range(len(page.tag)))
+    for k in range(len(last) - 1, 0, -1):
+        last[page.parent[k]] = max(last[page.parent[k]], last[k])
+    return last
+
+
+def _prune(page: _Page) -> None:
+    """Take forms with little of the page's text, and lists of comments, out of the tree: their counts and pieces go."""
+    n, last = len(page.tag), _last_descendants(page)
+    chars = list(page.chars)
+    for k in range(n - 1, 0, -1):
+        chars[page.parent[k]] += chars[k]
+    gone = [False] * n
+
+    def drop(k: int) -> None:
+        gone[k : last[k] + 1] = [True] * (last[k] + 1 - k)
+
+    for k in range(1, n):
+        if page.tag[k] in FORMS and not gone[k] and 2 * chars[k] < chars[0]:
+            drop(k)
+    for k in _comments(page, last, chars):
+        drop(k)
+    if any(gone):
+        for k in range(n):
+            if gone[k]:
+                page.chars[k] = page.link_chars[k] = page.tags[k] = page.link_tags[k] = 0
+        page.pieces = [(k, "\0" if gone[k] else piece) for k, piece in page.pieces]
+
+
+def _comments(page: _Page, last: list[int], chars: list[int]) -> list[int]:
+    """Roots of lists of comments: siblings of one tag and class, after prose, that all have a date and a label in common.
+    Their parent goes with them if it holds little else, and else the heading before them."""
+    groups: dict[tuple, list[int]] = {}
+    for k in range(1, len(page.tag)):
+        if chars[k] and page.tag[k] not in PROSE | {"article", "main"} | HEADINGS:
+            name = next((v for a, v in _attributes(page.marks[k]) if a == "class"), "")
+            groups.setdefault((page.parent[k], page.tag[k], name), []).append(k)
+    before = [0]  # characters of prose in nodes before each
+    for k in range(len(page.tag)):
+        before.append(before[-1] + (page.chars[k] if page.tag[k] in PROSE else 0))
+
+    def within(nodes: list[int], k: int) -> bool:
+        at = bisect_left(nodes, k)
+        return at < len(nodes) and nodes[at] <= last[k]
+
+    out = []
+    dated = sorted(page.dated)
+    labels = {label: sorted(nodes) for label, nodes in page.labels.items()}
+    for (parent, _, _), members in groups.items():
+        if len(members) < 2 or not all(within(dated, k) for k in members):
+            continue
+        if not any(len(nodes) >= len(members) and all(within(nodes, k) for k in members) for nodes in labels.values()):
+            continue
+        held = sum(chars[k] for k in members)
+        if before[members[0]] * len(members) < held or not before[members[0]]:
+            continue  # nothing to comment on stands before: a list of posts
+        if parent and before[parent] and 10 * held >= 7 * chars[parent]:
+            out.append(parent)
+            continue
+        out += members
+        kids = [k for k in range(parent + 1, members[0]) if page.parent[k] == parent and chars[k]]
+        if kids and page.tag[kids[-1]] in HEADINGS:
+            out.append(kids[-1])
     return out
 
 
@@ -259,13 +362,11 @@ def chosen_nodes(page: _Page) -> list[bool]:
     density, total, chars, links, anchors = densities(page)
     n = len(density)
     kids: list[list[int]] = [[] for _ in range(n)]
-    last = list(range(n))  # a node's last descendant: nodes are in page order
+    last = _last_descendants(page)
     inside = [False] * n  # an article or main element, or below one
     for k in range(1, n):
         kids[page.parent[k]].append(k)
         inside[k] = inside[page.parent[k]] or page.tag[k] in ("article", "main")
-    for k in range(n - 1, 0, -1):
-        last[page.parent[k]] = max(last[page.parent[k]], last[k])
     centre = max(range(n), key=lambda k: (total[k], -k))
     path = [centre]
     while path[-1]:

@@ -183,6 +183,155 @@ def test_html_keeps_what_belongs_to_the_article():
         assert html_text.main_text(f"<body>{page}</body>").split("\n\n") == want
 
 
+def test_html_attributes_count_by_their_whole_names():
+    """What a title or another attribute says is no mark; forms go by how much they hold; mathematics stays."""
+    long = f"{LONG} {LONG}"
+    cases = [
+        (f"<form action=x><div><p>{long}</p><p>{LONG}</p><input value=no><select><option>One</select></div></form>", [long, LONG]),
+        (f"<div><p>{long}</p><form><p>Write to us today</p><button>Send</button></form><p>{LONG}</p></div>", [long, LONG]),
+        (f"<article title='A hidden gem'><p>{long}</p></article><footer>Foot</footer>", [long]),
+        (f"<article><p data-hidden='false'>{LONG}</p><p title='... hidden ...'>{LONG} Two.</p><p data-class='ad' data-role=navigation>{LONG} Three.</p></article>", [LONG, f"{LONG} Two.", f"{LONG} Three."]),
+        (f"<article><p>{LONG}</p><p hidden>Not shown</p><p style='display: none'>Nor this</p><div aria-hidden=true>Nor that</div></article>", [LONG]),
+        (f"<article><p>{LONG} Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be given.</p></article>", [f"{LONG} Let x=2 be given."]),
+        (f"<article><p>{LONG} See <svg><g><path d=x /></g><text>icon</text></svg> here.</p></article>", [f"{LONG} See here."]),
+        (f"<article><p>{LONG}</p><div class='comment'>A remark of the editors, which is a part of the article.</div><section class=social><p>{LONG} Four.</p></section></article>", [LONG, "A remark of the editors, which is a part of the article.", f"{LONG} Four."]),
+        (f"<article><p>{LONG}</p><div class='ad box'>Buy now</div><p>{LONG} Five.</p><div id=comments><p>{long} {long}</p></div></article>", [LONG, f"{LONG} Five."]),
+    ]
+    for page, want in cases:
+        assert html_text.main_text(f"<body>{page}</body>").split("\n\n") == want
+
+
+def test_html_comments_go_by_their_structure():
+    """In any language: blocks with author, date and the same label, after prose. Lists of posts stay."""
+    one = lambda who, text, when: f"<div class='beitrag'><b>{who}</b> <span>{when}</span><p>{text}</p><a href=#>Antworten</a></div>"
+    comments = "".join(one(w, f"{LONG} Das sehe ich anders, {w}.", d) for w, d in (("Anna", "3. März 2021"), ("Bert", "04.03.2021"), ("Cleo", "2021-03-05")))
+    article = f"<div class=text><h1>Titel</h1><p>{LONG} {LONG}</p><p>{LONG} {LONG} {LONG}</p></div>"
+    want = ["Titel", f"{LONG} {LONG}", f"{LONG} {LONG} {LONG}"]
+    for page in (
+        f"<div>{article}<div class='kommentare'><h3>3 Kommentare</h3>{comments}</div></div>",
+        f"<article>{article}<h3>Kommentare</h3>{comments}</article>",
+        f"<div>{article}</div><section>{comments.replace('<a href=#>Antworten</a>', '<button>Répondre</button>')}</section>",
+    ):
+        assert html_text.main_text(f"<body>{page}</body>").split("\n\n") == want
+    posts = "".join(f"<div class=post><time>2020-01-0{k}</time><p>{LONG} {LONG}</p><a href=x>More</a></div>" for k in (1, 2, 3))
+    assert html_text.main_text(f"<body><div>{posts}</div></body>").count(LONG) == 6
+
+
+def brute_text(tree, tags):
+    """The article of a tree of (tag, children) by the rules as they are stated, each node walked by itself."""
+    import math
+
+    nodes = []  # tag, parent, text of its own with what children stand between
+
+    def walk(node, parent):
+        k = len(nodes)
+        nodes.append([node[0], parent, node[1], []])
+        for x in node[1]:
+            if isinstance(x, tuple) and x[0] in tags:
+                nodes[k][3].append(walk(x, k))
+        return k
+
+    walk(tree, -1)
+    inline = lambda x: x if isinstance(x, str) else "".join(map(inline, x[1])) if x[0] not in tags else ""
+
+    def own(k):
+        """Characters, link characters, tags and link tags of a node alone."""
+        chars = links = marks = anchors = 0
+        for x in nodes[k][2]:
+            n = len(inline(x).strip())
+            chars += n
+            if isinstance(x, tuple) and x[0] not in tags:
+                marks += 1
+                anchors += x[0] == "a"
+                links += n if x[0] == "a" else 0
+        return [chars, links, marks + (k > 0), anchors]
+
+    def whole(k):
+        return [sum(v) for v in zip(own(k), *[whole(x) for x in nodes[k][3]], strict=True)]
+
+    body = whole(0)
+
+    def dense(c, lc, t, lt):
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + body[1] / body[0] * c + math.e)
+        return c / max(1, t) * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt)), max(base, math.e))
+
+    score = [dense(*own(k)) + sum(dense(*whole(x)) for x in nodes[k][3]) for k in range(len(nodes))]
+    centre = max(range(len(nodes)), key=lambda k: (round(score[k], 9), -k))
+    path = [centre]
+    while path[-1]:
+        path.append(nodes[path[-1]][1])
+    least = html_text.SLACK * min(dense(*whole(k)) for k in path)
+    below = lambda k: {k}.union(*[below(x) for x in nodes[k][3]])
+    chosen = below(centre)
+    for low, up in zip(path, path[1:]):
+        if up:
+            chosen.add(up)
+        for k in nodes[up][3]:
+            c, lc, *_ = whole(k)
+            if k != low and c:
+                twin = nodes[k][0] == nodes[low][0] and any(nodes[x][0] in html_text.PROSE for x in nodes[k][3])
+                prose = (twin or (up and nodes[k][0] in html_text.PROSE)) and 2 * lc < c
+                if prose or dense(*whole(k)) >= least > 0:
+                    chosen |= below(k)
+        kids = nodes[up][3]
+        for k, after in reversed(list(zip(kids, kids[1:]))):
+            if nodes[k][0] in html_text.HEADINGS and (after == low or after in chosen):
+                chosen |= below(k)
+    inside = lambda k: k > 0 and (nodes[k][0] in ("article", "main") or inside(nodes[k][1]))
+    for k in range(1, len(nodes)):
+        c, lc, _, lt = whole(k)
+        if k in chosen and not inside(k) and nodes[k][0] in html_text.LISTS and lt > 1 and lc >= 0.9 * c > 0:
+            chosen -= below(k)
+    blocks = []
+
+    def read(k):
+        held = ""
+        for x in [*nodes[k][2], None]:
+            if x is None or (isinstance(x, tuple) and x[0] in tags):
+                if held.strip() and k in chosen:
+                    blocks.append(re.sub(r"\s+", " ", held).strip())
+                held = ""
+                if x is not None:
+                    read(next(at))
+            else:
+                held += inline(x)
+
+    at = iter(range(1, len(nodes)))
+    read(0)
+    return "\n\n".join(blocks)
+
+
+def test_html_text_equals_a_brute_force_extraction():
+    rng = np.random.default_rng(17)
+    tags = ("div", "section", "p", "ul", "li", "h2", "article")
+
+    def grow(depth, tag):
+        out = []
+        for _ in range(rng.integers(1, 5)):
+            r = rng.random()
+            if tag not in ("p", "h2") and depth and r < 0.6:
+                kind = "li" if tag == "ul" else str(rng.choice(["div", "div", "section", "p", "p", "ul", "h2", "article"]))
+                out.append((kind, grow(depth - 1, kind)))
+            elif r < 0.75:
+                out.append(("a", [f"link{rng.integers(9)}"]))
+            elif r < 0.85:
+                out.append(("b", [f"bold{rng.integers(9)}"]))
+            else:
+                out.append(" ".join(f"word{rng.integers(99)}" for _ in range(rng.integers(1, 25))))
+        return out
+
+    write = lambda x: x if isinstance(x, str) else f"<{x[0]}>{''.join(map(write, x[1]))}</{x[0]}>"
+    seen = 0
+    for _ in range(300):
+        tree = ("body", grow(4, "body"))
+        want = brute_text(tree, tags)
+        assert html_text.main_text(write(tree)) == want, write(tree)
+        seen += bool(want)
+    assert seen > 200
+
+
 def test_html_takes_linear_time():
     import time
 
