@@ -13,8 +13,8 @@ Minimisers with more than ``HOT`` different pieces are counted exactly beforehan
 by an ordinary aggregation, which splits a group that no task could hold.
 
 Defined cases: null and empty texts, and texts shorter than ``LENGTH`` bytes, lose nothing. Null ids come before all
-others. Rows that share an id are told apart, and ordered, by a hash of their text; rows equal in both count as one
-document and get the same result. Very long texts are read in slices. An empty table gives an empty result. Columns
+others. Rows that share an id, or have none, are told apart, and ordered, by a 64-bit hash of their text; rows equal in both
+count as one document and get the same result. Whatever is gathered is gathered for an id and mark, that is for one text. Very long texts are read in slices. An empty table gives an empty result. Columns
 other than id and text are not read, so their names can't clash.
 """
 
@@ -46,12 +46,11 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 # --- pieces ------------------------------------------------------------------------------------------------------
 
 
-def text_marks(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 32-bit hash of each text, to tell rows with one id apart."""
-    return np.array(
-        [int.from_bytes(hashlib.blake2b(data[a:b], digest_size=4).digest(), "little", signed=True) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())],
-        dtype=np.int32,
-    )
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (null: the least number), mark (tells rows with one id apart, and null ids from that number), text, own_id."""
+    own = F.col(id_col).cast("long")
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), own.isNull())
+    return docs.select(F.coalesce(own, F.lit(_NULL_ID)).alias("id"), mark.alias("mark"), F.col(text_col).alias("text"), own.alias("own_id"))
 
 
 def _sliding(values: np.ndarray, best) -> np.ndarray:
@@ -112,15 +111,15 @@ def _joined(doc: np.ndarray, start: np.ndarray, wins: np.ndarray) -> tuple[np.nd
 
 
 _PIECE = ["route", "mini", "content", "id", "mark", "start", "wins", "fresh", "inner"]
-_PIECE_TYPES = "route long, mini long, content long, id long, mark int, start int, wins int, fresh boolean, inner boolean"
+_PIECE_TYPES = "route long, mini long, content long, id long, mark long, start int, wins int, fresh boolean, inner boolean"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A batch's pieces. Those that repeat one of the same batch leave as ranges, routed by document; the others are
     fresh and routed by minimiser."""
-    for batch in text_batches(batches, most=COMBINE_BYTES):
-        data, bounds = text_bytes(batch.column(1))
-        ids, marks = batch.column(0).to_numpy(zero_copy_only=False), text_marks(data, bounds)
+    for batch in text_batches(batches, 2, COMBINE_BYTES):
+        data, bounds = text_bytes(batch.column(2))
+        ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         found = []
         for lo in range(0, len(data), SLICE_BYTES):
             hi = min(len(data), lo + SLICE_BYTES)
@@ -159,7 +158,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _FOUND = ["mini", "id", "mark", "start", "wins", "edge"]
-_FOUND_TYPES = "mini long, id long, mark int, start int, wins int, edge boolean"
+_FOUND_TYPES = "mini long, id long, mark long, start int, wins int, edge boolean"
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,9 +301,9 @@ def repeated_windows(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     return owner[start], at[start] - begins[owner[start]], run
 
 
-_BODY_TYPES = "mini long, id long, mark int, start int, wins int, body binary"
+_BODY_TYPES = "mini long, id long, mark long, start int, wins int, body binary"
 _RANGE = ["id", "mark", "start", "wins"]
-_RANGE_TYPES = "id long, mark int, start int, wins int"
+_RANGE_TYPES = "id long, mark long, start int, wins int"
 
 
 def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +318,7 @@ def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([r[1] for r in owner], pa.int64()),
-                pa.array([r[2] for r in owner], pa.int32()),
+                pa.array([r[2] for r in owner], pa.int64()),
                 pa.array([r[3] + f for r, f in zip(owner, first.tolist())], pa.int32()),
                 pa.array(wins, pa.int32()),
             ],
@@ -343,19 +342,17 @@ def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _wanted(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """(minimiser, id, mark, start, windows, bytes) of the wanted pieces of a batch of id, text, wanted."""
-    data, bounds = text_bytes(batch.column(1))
-    marks = text_marks(data, bounds)
-    for k, (i, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+    """(minimiser, id, mark, start, windows, bytes) of the wanted pieces of a batch of id, mark, text, wanted."""
+    data, bounds = text_bytes(batch.column(2))
+    for k, (i, mark, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)))):
         for w in wanted:
-            if w["mark"] == marks[k]:
-                a = int(bounds[k]) + w["start"]
-                yield w["mini"], i, w["mark"], w["start"], w["wins"], data[a : a + w["wins"] + LENGTH - 1].tobytes()
+            a = int(bounds[k]) + w["start"]
+            yield w["mini"], i, mark, w["start"], w["wins"], data[a : a + w["wins"] + LENGTH - 1].tobytes()
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    for batch in text_batches(batches):
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    for batch in text_batches(batches, 2):
         rows = list(_wanted(batch))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["mini", "id", "mark", "start", "wins", "body"]
@@ -364,13 +361,13 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of the wanted pieces with its hash."""
-    for batch in text_batches(batches):
+    for batch in text_batches(batches, 2):
         rows = [
             (mini, int.from_bytes(hashlib.blake2b(body[k : k + LENGTH], digest_size=8).digest(), "little", signed=True), i, mark, start + k)
             for mini, i, mark, start, wins, body in _wanted(batch)
             for k in range(wins)
         ]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["mini", "window", "id", "mark", "start"])
 
 
@@ -385,19 +382,18 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _lists(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Bounds of each row's entries, and the fields (mark, start, wins) of all entries one after another."""
+    """Bounds of each row's entries, and the fields (start, wins) of all entries one after another."""
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     fields = [x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten()]
     return np.concatenate([[0], np.cumsum(lengths)]), fields
 
 
-def _remaining(body: np.ndarray, mark: np.ndarray, start: np.ndarray, wins: np.ndarray, own: int) -> tuple[bytes, int]:
-    """The bytes outside the windows' ranges that carry this text's mark, and the number of removed runs."""
-    mine = mark == own
-    if not mine.any():
+def _remaining(body: np.ndarray, start: np.ndarray, wins: np.ndarray) -> tuple[bytes, int]:
+    """The bytes outside the windows' ranges, and the number of removed runs."""
+    if not len(start):
         return body.tobytes(), 0
-    starts = start[mine].astype(np.int64)
-    starts, ends = _spans(starts, starts + wins[mine] + LENGTH - 1)
+    starts = start.astype(np.int64)
+    starts, ends = _spans(starts, starts + wins + LENGTH - 1)
     edges = [0, *np.stack([starts, ends], axis=1).ravel().tolist(), len(body)]
     return b"".join(body[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2])), len(starts)
 
@@ -408,9 +404,8 @@ def _cut(keep_text: bool):
             data, bounds = text_bytes(batch.column(1))
             total, gone, count, digests, texts = [], [], [], [], []
             edges, fields = _lists(batch.column(2))
-            marks = text_marks(data, bounds) if edges[-1] else np.zeros(len(batch), np.int32)
             for k, (a, b, lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), edges[:-1].tolist(), edges[1:].tolist())):
-                left, spans = _remaining(data[a:b], *[x[lo:hi] for x in fields], marks[k])
+                left, spans = _remaining(data[a:b], *[x[lo:hi] for x in fields])
                 total.append(b - a)
                 gone.append(b - a - len(left))
                 count.append(spans)
@@ -425,11 +420,11 @@ def _cut(keep_text: bool):
 
 
 def repeated_ranges(rows: DataFrame) -> DataFrame:
-    """``rows`` (id, text) -> id, mark, start, wins: ranges of windows that also start earlier; ranges don't overlap."""
+    """``rows`` (id, mark, text) -> id, mark, start, wins: ranges of windows that also start earlier; ranges don't overlap."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["fresh", "mini", "content", "id", "mark", "start"]
     found = staged(
-        rows.mapInArrow(_pieces, _PIECE_TYPES)
+        rows.select("id", "mark", "text").mapInArrow(_pieces, _PIECE_TYPES)
         .repartition(tasks, "route")
         .sortWithinPartitions(*order)
         .mapInArrow(_resolve, _FOUND_TYPES),
@@ -438,12 +433,12 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     edges = found.where("edge")
     hot, _ = small(staged(edges.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("mini"), "suffix-hot"))
     # not staged: within one query the shuffle of the texts is made once for all that reads it
-    spots = lambda some: some.groupBy("id").agg(F.collect_list(F.struct("mini", "mark", "start", "wins")).alias("wanted"))
-    texts = lambda wanted: rows.join(wanted, "id").select("id", "text", "wanted")
+    spots = lambda some: some.groupBy("id", "mark").agg(F.collect_list(F.struct("mini", "start", "wins")).alias("wanted"))
+    texts = lambda wanted: rows.join(wanted, ["id", "mark"]).select("id", "mark", "text", "wanted")
     usual = texts(spots(edges.join(hot, "mini", "left_anti"))).mapInArrow(_bodies, _BODY_TYPES)
     ranges = usual.repartition(tasks, "mini").sortWithinPartitions("mini", "id", "mark", "start").mapInArrow(_index_blocks, _RANGE_TYPES)
     if not hot.isEmpty():
-        windows = texts(spots(edges.join(hot, "mini", "left_semi"))).mapInArrow(_window_rows, "mini long, window long, id long, mark int, start int")
+        windows = texts(spots(edges.join(hot, "mini", "left_semi"))).mapInArrow(_window_rows, "mini long, window long, id long, mark long, start int")
         at = F.struct("id", "mark", "start")
         first = windows.groupBy("mini", "window").agg(F.min(at).alias("first"))
         later = windows.join(first, ["mini", "window"]).where(at != F.col("first")).select("id", "mark", "start")
@@ -459,14 +454,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``kept_text`` is what stays, without the bytes of characters that a cut went through.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    ranges = repeated_ranges(rows).groupBy("id").agg(F.collect_list(F.struct("mark", "start", "wins")).alias("ranges"))
-    cut = rows.join(ranges, "id", "left").select("id", "text", "ranges").mapInArrow(
+    rows = keyed(docs, id_col, text_col)
+    ranges = repeated_ranges(rows).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "wins")).alias("ranges"))
+    cut = rows.join(ranges, ["id", "mark"], "left").select("own_id", "text", "ranges").mapInArrow(
         _cut(keep_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     )
-    return cut.select(
-        F.when(F.col("id") != _NULL_ID, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text
-    )
+    return cut.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text)
 
 
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -475,10 +468,12 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts that lose nothing stay as they are, null ones too. Columns may have any names.
     """
     at = docs.columns.index(text_col)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    ranges = repeated_ranges(rows).groupBy("id").agg(F.collect_list(F.struct("mark", "start", "wins")).alias("__ranges"))
-    ranges = ranges.withColumnRenamed("id", "__range_id")
-    joined = docs.join(ranges, F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)) == F.col("__range_id"), "left").drop("__range_id")
+    ranges = repeated_ranges(keyed(docs, id_col, text_col)).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "wins")).alias("__ranges"))
+    ranges = ranges.select(F.col("id").alias("__range_id"), F.col("mark").alias("__range_mark"), "__ranges")
+    own = docs[id_col].cast("long")
+    mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")), own.isNull())
+    same = (F.coalesce(own, F.lit(_NULL_ID)) == ranges["__range_id"]) & (mark == ranges["__range_mark"])
+    joined = docs.join(ranges, same, "left").drop("__range_id", "__range_mark")
     n = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,10 +481,9 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             column = batch.column(at)
             edges, fields = _lists(batch.column(n))
             data, bounds = text_bytes(column)
-            marks = text_marks(data, bounds) if edges[-1] else None
             texts = [None] * len(batch)
             for k in np.flatnonzero(np.diff(edges)).tolist():
-                left, _ = _remaining(data[bounds[k] : bounds[k + 1]], *[x[edges[k] : edges[k + 1]] for x in fields], marks[k])
+                left, _ = _remaining(data[bounds[k] : bounds[k + 1]], *[x[edges[k] : edges[k + 1]] for x in fields])
                 texts[k] = left.decode("utf-8", "ignore")
             columns = list(batch.columns[:n])
             columns[at] = pa.array([x.as_py() if t is None else t for x, t in zip(column, texts)], column.type)
