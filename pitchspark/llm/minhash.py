@@ -10,9 +10,10 @@ independent ones do. Bands of ``ROWS`` coordinates make buckets; at similarity 0
 The smallest node of a bucket is its pivot, and the nodes that share a pivot are one candidate group, which covers every
 pair of every bucket. Full sets travel once to each group of a node, and groups are compared inside tasks, in blocks of
 bounded size; only edges that join parts leave a task. Groups of several blocks get a second pass for the pairs of other
-blocks: of a pair at the threshold, the prefix of either set (its rarest shingles, a quarter and one) holds a common
-shingle. So only nodes that share such a shingle with a node of another component are looked at again; those outside the
-pivot's component are compared with all of them, block by block.
+blocks: of a pair at the threshold, the prefix of the larger set (its rarest shingles, a quarter and one) and the shorter
+prefix of the smaller one (a seventh and one, since its partner is no smaller) have a common shingle. So only nodes that share such a shingle with a node of another component are looked at again, and only within the
+cluster of nodes that such shingles tie together: those outside the cluster's most frequent component are compared with all
+of it, in cells of bounded nodes and shingles. A group of texts that are alike but share no rare shingle is not paired.
 
 Defined cases: documents without words or text (null, empty) have the empty set and are linked with nothing. Rows with a
 null id are linked with nothing, and are kept. Rows that share an id and a set get one row each with the same result; an
@@ -248,24 +249,32 @@ def _compare(docs: DataFrame, placed: DataFrame, tasks: int) -> DataFrame:
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, its set's size and one row per shingle."""
     for batch in batches:
-        for node, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            hashes = np.frombuffer(body, dtype=np.int64)
-            columns = [np.full(len(hashes), node), np.full(len(hashes), len(hashes)), hashes]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["node", "n", "shingle"])
+        bodies = [np.frombuffer(x, dtype=np.int64) for x in batch.column(1).to_pylist()]
+        if not bodies:
+            continue
+        sizes = np.array([len(x) for x in bodies])
+        columns = [np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(sizes, sizes), np.concatenate(bodies)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["node", "n", "shingle"])
 
 
 def _alive(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Those of ``known`` (node, mark, part) whose prefix holds a shingle that the prefix of another part holds too."""
+    """Those of ``known`` (node, mark, part) whose prefix holds a shingle that the prefix of another part holds too, with the
+    cluster that such shingles tie them into."""
     shingles = staged(_sets_of(docs, known.select("node", "mark")).distinct().mapInArrow(_prefixes, "node long, n long, shingle long"), "near-shingles")
     often = shingles.groupBy("shingle").agg(F.count("*").alias("often"))
     rarest = Window.partitionBy("node").orderBy("often", "shingle")
-    # a pair at the threshold shares PERCENT of either set at least, so what is common can't lie outside the prefix alone
-    least = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    # a pair at the threshold shares PERCENT of the larger set at least, and 2 * PERCENT / (100 + PERCENT) of the smaller one
+    long = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    short = F.col("n") - F.ceil(F.col("n") * (2 * PERCENT) / (100 + PERCENT)) + 1
     first = shingles.join(often.where("often > 1"), "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
-    first = first.withColumn("turn", F.row_number().over(rarest)).where(F.col("turn") <= least).where("often > 1").select("node", "shingle")
+    first = first.withColumn("turn", F.row_number().over(rarest)).where(F.col("turn") <= long).where("often > 1")
+    first = first.select("node", "shingle", (F.col("turn") <= short).alias("smaller"))
     listed = staged(first.join(known.select("node", "part"), "node"), "near-prefixes")
-    shared = listed.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("shingle")
-    return known.join(listed.join(shared, "shingle", "left_semi").select("node").distinct(), "node", "left_semi")
+    shared = listed.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("smaller").alias("some")).where("a <> b AND some").select("shingle")
+    tied = staged(listed.join(shared, "shingle", "left_semi").select("shingle", "node"), "near-tied")
+    first = tied.groupBy("shingle").agg(F.min("node").alias("b"))
+    cluster = components(tied.join(first, "shingle").select(F.col("node").alias("a"), "b"))
+    return known.join(cluster.select(F.col("id").alias("node"), F.col("component").alias("cluster")), "node")
 
 
 # --- the operator ------------------------------------------------------------------------------------------------
@@ -309,12 +318,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     if not known.isEmpty():
         alive = staged(_alive(rows, known), "near-alive")
-        group = placed.where("blocks > 1").select("pivot", "node").join(alive, "node")
-        heads = placed.where("blocks > 1 AND node = pivot").select("pivot", F.col("node").alias("_head"))
-        heads = heads.join(known.select(F.col("node").alias("_head"), F.col("part").alias("head")), "_head").drop("_head")
-        again = staged(group.join(heads, "pivot").withColumn("apart", F.col("part") != F.col("head")), "near-again")
-        cut = lambda n: F.ceil(n / BLOCK).cast("int")
-        cells = again.groupBy("pivot").agg(cut(F.count_if("apart")).alias("lefts"), cut(F.count("*")).alias("rights")).where("lefts > 0")
+        group = placed.where("blocks > 1").select("pivot", "node", "n").join(alive, "node")
+        group = group.withColumn("pivot", F.xxhash64("pivot", "cluster")).drop("cluster")  # groups that meet by chance only do more
+        heads = group.groupBy("pivot", "part").agg(F.count("*").alias("many")).groupBy("pivot").agg(F.max_by("part", F.struct("many", "part")).alias("head"), F.count("*").alias("parts"))
+        again = staged(group.join(heads.where("parts > 1"), "pivot").withColumn("apart", F.col("part") != F.col("head")), "near-again")
+        cut = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+        apart = F.sum(F.when(F.col("apart"), F.col("n")).otherwise(0))
+        cells = again.groupBy("pivot").agg(cut(F.count_if("apart"), apart).alias("lefts"), cut(F.count("*"), F.sum("n")).alias("rights"))
         sized, _ = small(staged(cells.select("pivot", "lefts", "rights"), "near-cells"))
         both = again.join(sized, "pivot")
         block = lambda n, seed: F.array(F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int"))

@@ -111,6 +111,48 @@ def test_sketch_agrees_as_often_as_sets_overlap():
     assert not (one == np.uint64(2**64 - 1)).any()
 
 
+def test_minhash_second_pass_pairs_only_what_shares_rare_shingles(spark, monkeypatch):
+    """A large group of texts alike but below the threshold, with a few near copies among them: rows of the second pass are
+    those of the copies alone."""
+    import random
+
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(31)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for k in range(400):  # about 0.7 alike: buckets meet, links don't
+        own = [f"u{k}x{j}" for j in range(24)]
+        rows.append((k, " ".join(base + own)))
+    for k in range(400, 430):  # pairs of near copies
+        own = [f"u{k - k % 2}x{j}" for j in range(24)]
+        rows.append((k, " ".join(base + own + ([f"z{k}"] if k % 2 else []))))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shipped = []
+    compare = minhash._compare
+    monkeypatch.setattr(minhash, "_compare", lambda d, placed, tasks: (shipped.append(placed.count()), compare(d, placed, tasks))[1])
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert found == {k: k if k < 400 else k - k % 2 for k in found} and len(found) == 430
+    assert len(shipped) < 2 or shipped[1] <= 4 * 30
+
+
+def test_minhash_recall_at_the_threshold(spark):
+    """Pairs at a similarity just at or above 0.75, planted among the documents of a whole table: all are found."""
+    import random
+
+    rng = random.Random(77)
+    rows = []
+    for k in range(400):
+        n = rng.randrange(40, 200)
+        words = [f"p{k}w{j}" for j in range(n)]
+        shingles = n - 4
+        new = int(shingles / 7)  # replaced at the end: (s - new) / (s + new) is 0.75 or a little more
+        rows += [(10**9 + 2 * k, " ".join(words)), (10**9 + 2 * k + 1, " ".join([*words[: n - new], *[f"q{k}w{j}" for j in range(new)]]))]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).where(f"doc_id >= {10**9}").collect()}
+    assert sum(found[10**9 + 2 * k] == found[10**9 + 2 * k + 1] for k in range(400)) == 400
+
+
 def test_minhash_empty(spark):
     assert minhash.near_duplicates(empty_documents(spark)).count() == 0
     kept = minhash.near_dedup(odd_documents(spark))
@@ -132,12 +174,10 @@ def test_near_dedup_drops_by_row(spark):
     assert Counter(pairs(kept)) == Counter([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c)), (5, "short"), (6, None), (None, near(a)), (None, "short")])
 
 
-def brute_repeats(rows):
+def brute_repeats(docs):
     """Rows in order of (id, null first; hash of the text); rows equal in both are one document."""
-    import numpy as np
-
-    mark = lambda b: int(suffix_dedup.text_marks(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0])
-    texts = {(-(1 << 63) if i is None else i, mark((t or "").encode())): (t or "").encode() for i, t in rows}
+    keyed = [(r.own_id, (r.id, r.mark), (r.text or "").encode()) for r in suffix_dedup.keyed(docs, "doc_id", "text").collect()]
+    texts = {key: body for _, key, body in keyed}
     seen, out = set(), {}
     for key in sorted(texts):
         body = texts[key]
@@ -150,7 +190,7 @@ def brute_repeats(rows):
         spans = sum(1 for k in range(len(body)) if gone[k] and not (k and gone[k - 1]))
         left = bytes(c for c, g in zip(body, gone) if not g)
         out[key] = (len(body), sum(gone), spans, hashlib.sha256(left).hexdigest())
-    return Counter((i, *out[(-(1 << 63) if i is None else i, mark((t or "").encode()))]) for i, t in rows)
+    return Counter((i, *out[key]) for i, key, _ in keyed)
 
 
 @pytest.mark.parametrize(("hot", "slices"), [(20_000, 500_000), (1, 701)])
@@ -160,7 +200,7 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot, slices):
     monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", slices)
     docs = odd_documents(spark)
     found = suffix_dedup.remove_repeats(docs).collect()
-    assert Counter(tuple(r) for r in found) == brute_repeats(pairs(docs))
+    assert Counter(tuple(r) for r in found) == brute_repeats(docs)
 
 
 @pytest.mark.parametrize("hot", [20_000, 1])
@@ -176,10 +216,24 @@ def test_suffix_dedup_counts_a_repeated_row_once(spark, monkeypatch, hot):
     extra = [(30, row), (31, other), (30, row), (32, periodic), (32, periodic), (30, row)]
     docs = odd_documents(spark).unionByName(spark.createDataFrame([(a, b, 1, "c", "d") for a, b in extra], odd_documents(spark).schema))
     found = [tuple(r) for r in suffix_dedup.remove_repeats(docs).collect()]
-    assert Counter(found) == brute_repeats(pairs(docs))
+    assert Counter(found) == brute_repeats(docs)
     assert {r[2] for r in found if r[0] == 30} == {0}
 
 
+def test_suffix_dedup_of_many_rows_without_an_id(spark):
+    """Each row's ranges are gathered for itself; the least long is an id like others."""
+    import random
+
+    rng = random.Random(21)
+    prose = lambda n: " ".join(f"v{rng.randrange(10_000)}" for _ in range(n))
+    shared = prose(40)
+    rows = [(None, f"{prose(8)} {shared} {prose(8)}") for _ in range(1500)] + [(-(1 << 63), f"{shared} {prose(5)}"), (None, f"{shared} {prose(5)}"), (-(1 << 63), shared), (None, shared)]
+    docs = spark.createDataFrame([(i, t, 1, "c", "d") for i, t in rows], empty_documents(spark).schema).repartition(5)
+    found = suffix_dedup.remove_repeats(docs).collect()
+    assert Counter(tuple(r) for r in found) == brute_repeats(docs)
+    assert sum(r.doc_id is None for r in found) == 1502 and sum(r.n_removed == 0 for r in found) == 1
+
+
 def test_run_index_streams_true_prefixes():
     import numpy as np
 
