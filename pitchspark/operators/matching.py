@@ -1,7 +1,7 @@
 """Entity resolution between two sources of fixtures: blocking by time and country, hard guards, aliases, a score.
 
 Candidates meet in an equality join on a quarter of an hour and the country; fixtures without a country meet those of any
-country of their quarter of an hour in joins of their own. Similarities are computed behind the guards only.
+country by a quarter of an hour and rare bigrams of both names. Similarities are computed behind the guards only.
 """
 
 from __future__ import annotations
@@ -10,25 +10,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pitchspark.functions.countries import country_names
 from pitchspark.functions.text import label_key, marker_set, normal_name, sequence_ratio, team_core, team_name
 from pitchspark.operators.joins import interval_join, latest_by
+from pitchspark.staging import shared_side, staged
 
 LEAST_COMPETITION, LEAST_TEAM, ACCEPT, NEAR = 0.70, 0.78, 0.80, 0.05
-#: Country codes and names of other languages; more come as a parameter.
-COUNTRIES = {
-    "de": "deutschland", "germany": "deutschland", "ger": "deutschland", "at": "osterreich", "austria": "osterreich", "ch": "schweiz", "switzerland": "schweiz", "eng": "england", "gb": "england",
-    "ita": "italien", "italy": "italien", "esp": "spanien", "spain": "spanien", "fra": "frankreich", "france": "frankreich", "ned": "niederlande", "netherlands": "niederlande",
-}
+#: Of a name's bigrams that a similar name shares: at a ratio of ``LEAST_TEAM`` two names of together n letters have m of them
+#: in common blocks, n - 2 m outside, and so one more block than that at most: 3 m - n - 1 bigrams or more.
+_SHARE, _PARTNER = 1.5 * LEAST_TEAM - 1, LEAST_TEAM / (2 - LEAST_TEAM)
 
 
 def prepare(fixtures: DataFrame, source: str, countries: dict[str, str] | None = None) -> DataFrame:
     """fixture_id, home, away, kickoff, country, and competition if there is one -> normalised names, markers and country with
-    the source's prefix; an empty country is unknown."""
-    table = COUNTRIES | (countries or {})
-    place = normal_name("country")
-    known = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in table.items() for v in pair]), place), place)
+    the source's prefix; an empty country is unknown. ``countries`` are aliases beside those of every country."""
     competition = normal_name("competition") if "competition" in fixtures.columns else F.lit(None).cast("string")
-    return fixtures.select(
+    rows = fixtures.withColumn("_place", normal_name("country")).join(F.broadcast(country_names(fixtures.sparkSession, countries)).select(F.col("alias").alias("_place"), F.col("country").alias("_known")), "_place", "left")
+    known = F.coalesce("_known", "_place")
+    return rows.select(
         F.col("fixture_id").alias(f"{source}_id"),
         team_name("home").alias(f"{source}_home"),
         team_name("away").alias(f"{source}_away"),
@@ -51,15 +50,55 @@ def with_aliases(prepared: DataFrame, aliases: DataFrame, source: str) -> DataFr
     return prepared
 
 
+def _grams(name: Column) -> Column:
+    """Bigrams of a name, each with how often it stood before in the name; a name of up to three letters also has itself as
+    short, since two such names may be similar without a bigram in common."""
+    every = F.when(F.length(name) > 1, F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(name, i, 2))).otherwise(F.array().cast("array<string>"))
+    numbered = F.transform(every, lambda x, i: F.concat(x, F.size(F.filter(F.slice(every, 1, i), lambda y: y == x)).cast("string")))
+    return F.concat(numbered, F.when(F.length(name) <= 3, F.array(F.lit("short"))).otherwise(F.array().cast("array<string>")))
+
+
+def _rarest(rows: DataFrame, column: str, often: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the bigrams of a name that one of a similar name's must be among: all but the most frequent ones, as many
+    as may be missing from what both share."""
+    names = rows.select(column).distinct().select(column, F.explode(_grams(F.col(column))).alias("gram"))
+    counted, _ = shared_side(often)
+    ordered = names.join(counted, "gram").groupBy(column).agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("_g"))
+    least = F.greatest(F.lit(1), F.ceil(_SHARE * (1 + _PARTNER) * F.length(column) - 1 - 1e-9)).cast("int")
+    first = F.slice("_g.gram", F.lit(1), F.greatest(F.lit(1), F.size("_g") - least + 1))
+    return rows.join(ordered.select(column, first.alias(name)), column)
+
+
+def _similar_names(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
+    """Pairs near in time whose names may be similar on both sides, or are equal but for decorations, whatever the country.
+
+    Names that are similar enough share a bigram among the rarest of either (prefix filtering), so pairs meet by time and
+    such a bigram of the home side and of the away side; none that the similarity floors would let pass is missed."""
+    often = None
+    for df, s in ((left, "a"), (right, "b")):
+        for side in ("home", "away"):
+            rows = df.select(F.col(f"{s}_{side}").alias("_name")).distinct()
+            often = rows if often is None else often.unionByName(rows)
+    often = staged(often.distinct().select(F.explode(_grams(F.col("_name"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "match-grams")
+    keyed = []
+    for df, s in ((left, "a"), (right, "b")):
+        rows = _rarest(_rarest(df, f"{s}_home", often, "_hs"), f"{s}_away", often, "_as")
+        keyed.append(rows.withColumn("_h", F.explode("_hs")).withColumn("_w", F.explode("_as")).drop("_hs", "_as"))
+    pairs = interval_join(keyed[0], keyed[1], "a_kickoff", "b_kickoff", seconds, ["_h", "_w"]).drop("_h", "_w")
+    core = lambda df, s: df.withColumns({f"_c{k}": team_core(F.col(f"{s}_{side}")) for k, side in enumerate(("home", "away"))})
+    equal = interval_join(core(left, "a"), core(right, "b"), "a_kickoff", "b_kickoff", seconds, ["_c0", "_c1"]).drop("_c0", "_c1")
+    return pairs.unionByName(equal).dropDuplicates(["a_id", "a_home", "a_away", "b_id", "b_home", "b_away"])
+
+
 def candidates(left: DataFrame, right: DataFrame, seconds: int = 900) -> DataFrame:
     """Pairs of prepared fixtures whose kickoffs are near and that no guard parts: names present, not the same fixture the
-    other way round, equal markers, equal countries if both are known."""
-    left, right = left.withColumn("_country", F.col("a_country")), right.withColumn("_country", F.col("b_country"))
-    join = lambda a, b, on: interval_join(a, b, "a_kickoff", "b_kickoff", seconds, on)
+    other way round, equal markers, equal countries if both are known. Where a country is unknown only pairs are given whose
+    names can reach the floors of :func:`scored`."""
     known_left, known_right = left.where("a_country IS NOT NULL"), right.where("b_country IS NOT NULL")
-    pairs = join(known_left, known_right, ["_country"]).drop("_country")
-    pairs = pairs.unionByName(join(left.where("a_country IS NULL").drop("_country"), right.drop("_country"), []))
-    pairs = pairs.unionByName(join(known_left.drop("_country"), right.where("b_country IS NULL").drop("_country"), []))
+    by_country = interval_join(known_left.withColumn("_country", F.col("a_country")), known_right.withColumn("_country", F.col("b_country")), "a_kickoff", "b_kickoff", seconds, ["_country"])
+    pairs = by_country.drop("_country")
+    pairs = pairs.unionByName(_similar_names(left.where("a_country IS NULL"), right, seconds))
+    pairs = pairs.unionByName(_similar_names(known_left, right.where("b_country IS NULL"), seconds))
     same = lambda x, y: team_core(F.col(x)) == team_core(F.col(y))
     marks = (F.col("a_home_marks") == F.col("b_home_marks")) & (F.col("a_away_marks") == F.col("b_away_marks"))
     names = F.lit(True)

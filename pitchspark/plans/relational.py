@@ -84,9 +84,11 @@ def j05_composite_key_left(t):
     return left.join(right, keys, "left")
 
 
-@query("j06_anti_left_null", "SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+@query("j06_anti_left_null", "SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 200000 WHERE o_orderkey IS NULL")
 def j06_anti_left_null(t):
-    return joins.anti_join(t.customer, t.orders.withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"]).select("c_custkey", "c_name")
+    """Customers without a large order that is partly done."""
+    large = t.orders.where("o_orderstatus = 'P' AND o_totalprice > 200000").withColumnRenamed("o_custkey", "c_custkey")
+    return joins.anti_join(t.customer, large, ["c_custkey"]).select("c_custkey", "c_name")
 
 
 @query("j07_anti_not_exists", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
