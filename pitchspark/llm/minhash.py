@@ -12,8 +12,8 @@ pair of every bucket. Full sets travel once to each group of a node, and groups
 bounded size; only edges that join parts leave a task. Groups of several blocks get a second pass for the pairs of other
 blocks: of a pair at the threshold, the prefix of the larger set (its rarest shingles, a quarter and one) and the shorter
 prefix of the smaller one (a seventh and one, since its partner is no smaller) have a common shingle. So only nodes that share such a shingle with a node of another component are looked at again, and only within the
-cluster of nodes that such shingles tie together: those outside the cluster's most frequent component are compared with all
-of it, in cells of bounded nodes and shingles. A group of texts that are alike but share no rare shingle is not paired.
+clusters of nodes whose such shingles have the same smallest node: those outside a cluster's most frequent component are
+compared with all of it, in cells of bounded nodes and shingles. A group of texts that are alike but share no rare shingle is not paired.
 
 Defined cases: documents without words or text (null, empty) have the empty set and are linked with nothing. Rows with a
 null id are linked with nothing, and are kept. Rows that share an id and a set get one row each with the same result; an
@@ -258,8 +258,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _alive(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Those of ``known`` (node, mark, part) whose prefix holds a shingle that the prefix of another part holds too, with the
-    cluster that such shingles tie them into."""
+    """Those of ``known`` (node, mark, part) whose prefix holds a shingle that the prefix of another part holds too, with each
+    cluster that such a shingle puts them into: its smallest node."""
     shingles = staged(_sets_of(docs, known.select("node", "mark")).distinct().mapInArrow(_prefixes, "node long, n long, shingle long"), "near-shingles")
     often = shingles.groupBy("shingle").agg(F.count("*").alias("often"))
     rarest = Window.partitionBy("node").orderBy("often", "shingle")
@@ -272,9 +272,8 @@ def _alive(docs: DataFrame, known: DataFrame) -> DataFrame:
     listed = staged(first.join(known.select("node", "part"), "node"), "near-prefixes")
     shared = listed.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("smaller").alias("some")).where("a <> b AND some").select("shingle")
     tied = staged(listed.join(shared, "shingle", "left_semi").select("shingle", "node"), "near-tied")
-    first = tied.groupBy("shingle").agg(F.min("node").alias("b"))
-    cluster = components(tied.join(first, "shingle").select(F.col("node").alias("a"), "b"))
-    return known.join(cluster.select(F.col("id").alias("node"), F.col("component").alias("cluster")), "node")
+    first = tied.groupBy("shingle").agg(F.min("node").alias("cluster"))
+    return known.join(tied.join(first, "shingle").select("node", "cluster").distinct(), "node")
 
 
 # --- the operator ------------------------------------------------------------------------------------------------
