@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,11 +46,20 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 # --- pieces ------------------------------------------------------------------------------------------------------
 
 
+def _mark(text: Column, without_id: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), without_id)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id (null: the least number), mark (tells rows with one id apart, and null ids from that number), text, own_id."""
+    """id (null: the least number), mark (tells rows with one id apart, and null ids from that number), text."""
     own = F.col(id_col).cast("long")
-    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), own.isNull())
-    return docs.select(F.coalesce(own, F.lit(_NULL_ID)).alias("id"), mark.alias("mark"), F.col(text_col).alias("text"), own.alias("own_id"))
+    return docs.select(F.coalesce(own, F.lit(_NULL_ID)).alias("id"), _mark(F.col(text_col), own.isNull()).alias("mark"), F.col(text_col).alias("text"))
+
+
+def own_id() -> Column:
+    """The id of a row of :func:`keyed` as it was, null or not."""
+    without = (F.col("id") == _NULL_ID) & (F.col("mark") == _mark(F.col("text"), F.lit(True)))
+    return F.when(~without, F.col("id"))
 
 
 def _sliding(values: np.ndarray, best) -> np.ndarray:
@@ -424,7 +433,7 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["fresh", "mini", "content", "id", "mark", "start"]
     found = staged(
-        rows.select("id", "mark", "text").mapInArrow(_pieces, _PIECE_TYPES)
+        rows.mapInArrow(_pieces, _PIECE_TYPES)
         .repartition(tasks, "route")
         .sortWithinPartitions(*order)
         .mapInArrow(_resolve, _FOUND_TYPES),
@@ -456,7 +465,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = keyed(docs, id_col, text_col)
     ranges = repeated_ranges(rows).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "wins")).alias("ranges"))
-    cut = rows.join(ranges, ["id", "mark"], "left").select("own_id", "text", "ranges").mapInArrow(
+    # the same columns as in repeated_ranges, so that the texts are shuffled once for both
+    cut = rows.join(ranges, ["id", "mark"], "left").select(own_id().alias("own_id"), "text", "ranges").mapInArrow(
         _cut(keep_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     )
     return cut.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text)
@@ -471,7 +481,7 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranges = repeated_ranges(keyed(docs, id_col, text_col)).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "wins")).alias("__ranges"))
     ranges = ranges.select(F.col("id").alias("__range_id"), F.col("mark").alias("__range_mark"), "__ranges")
     own = docs[id_col].cast("long")
-    mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")), own.isNull())
+    mark = _mark(docs[text_col], own.isNull())
     same = (F.coalesce(own, F.lit(_NULL_ID)) == ranges["__range_id"]) & (mark == ranges["__range_mark"])
     joined = docs.join(ranges, same, "left").drop("__range_id", "__range_mark")
     n = len(docs.columns)

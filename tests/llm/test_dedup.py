@@ -176,7 +176,8 @@ def test_near_dedup_drops_by_row(spark):
 
 def brute_repeats(docs):
     """Rows in order of (id, null first; hash of the text); rows equal in both are one document."""
-    keyed = [(r.own_id, (r.id, r.mark), (r.text or "").encode()) for r in suffix_dedup.keyed(docs, "doc_id", "text").collect()]
+    rows = suffix_dedup.keyed(docs, "doc_id", "text").withColumn("own_id", suffix_dedup.own_id())
+    keyed = [(r.own_id, (r.id, r.mark), (r.text or "").encode()) for r in rows.collect()]
     texts = {key: body for _, key, body in keyed}
     seen, out = set(), {}
     for key in sorted(texts):
