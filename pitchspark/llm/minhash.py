@@ -270,10 +270,9 @@ def _alive(docs: DataFrame, known: DataFrame) -> DataFrame:
     first = first.withColumn("turn", F.row_number().over(rarest)).where(F.col("turn") <= long).where("often > 1")
     first = first.select("node", "shingle", (F.col("turn") <= short).alias("smaller"))
     listed = staged(first.join(known.select("node", "part"), "node"), "near-prefixes")
-    shared = listed.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("smaller").alias("some")).where("a <> b AND some").select("shingle")
-    tied = staged(listed.join(shared, "shingle", "left_semi").select("shingle", "node"), "near-tied")
-    first = tied.groupBy("shingle").agg(F.min("node").alias("cluster"))
-    return known.join(tied.join(first, "shingle").select("node", "cluster").distinct(), "node")
+    shared = listed.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("smaller").alias("some"), F.min("node").alias("cluster"))
+    tied = listed.join(shared.where("a <> b AND some"), "shingle").select("node", "cluster").distinct()
+    return known.join(tied, "node")
 
 
 # --- the operator ------------------------------------------------------------------------------------------------
@@ -319,8 +318,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         alive = staged(_alive(rows, known), "near-alive")
         group = placed.where("blocks > 1").select("pivot", "node", "n").join(alive, "node")
         group = group.withColumn("pivot", F.xxhash64("pivot", "cluster")).drop("cluster")  # groups that meet by chance only do more
-        heads = group.groupBy("pivot", "part").agg(F.count("*").alias("many")).groupBy("pivot").agg(F.max_by("part", F.struct("many", "part")).alias("head"), F.count("*").alias("parts"))
-        again = staged(group.join(heads.where("parts > 1"), "pivot").withColumn("apart", F.col("part") != F.col("head")), "near-again")
+        heads = group.groupBy("pivot").agg(F.mode("part").alias("head"), F.min("part").alias("_a"), F.max("part").alias("_b")).where("_a <> _b").select("pivot", "head")
+        again = staged(group.join(heads, "pivot").withColumn("apart", F.col("part") != F.col("head")), "near-again")
         cut = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
         apart = F.sum(F.when(F.col("apart"), F.col("n")).otherwise(0))
         cells = again.groupBy("pivot").agg(cut(F.count_if("apart"), apart).alias("lefts"), cut(F.count("*"), F.sum("n")).alias("rights"))
