@@ -21,12 +21,12 @@ SLICE_ROWS, HOT_ROWS = 1_000_000, 1_000_000
 BITS, CUTS = 20, 2
 
 
-def slices(df: DataFrame, order: list[str], most: int | None = None) -> DataFrame:
+def slices(df: DataFrame, order: list[str], most: int | None = None, parts: int | None = None) -> DataFrame:
     """``df`` staged with ``_part``, ascending with the order, and ``_tie``, which orders equal rows; a part has about ``most``
-    rows at most, so their number grows with the table."""
+    rows at most, so their number grows with the table. ``parts``: how many there are before large ones are cut again."""
     most = most or SLICE_ROWS
     spark, key = df.sparkSession, [*order, "_tie"]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tied = df.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
     out = staged(tied.repartitionByRange(n, *key).withColumn("_part", F.spark_partition_id().cast("long")), "slices")
     for _ in range(CUTS):
@@ -44,11 +44,11 @@ def slices(df: DataFrame, order: list[str], most: int | None = None) -> DataFram
     return out
 
 
-def ranked(df: DataFrame, order: list[str], name: str, most: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, order: list[str], name: str, most: int | None = None, parts: int | None = None) -> DataFrame:
     """Row numbers (from 1) of a total order over the whole table: slices, their sizes, offsets of their blocks and theirs."""
     if not df.columns or df.isEmpty():
         return df.withColumn(name, F.lit(None).cast("long"))
-    spread = slices(df, order, most)
+    spread = slices(df, order, most, parts)
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     before = staged(_running(sizes, "_part", "_n", "_before"), "ranked-offsets")
     side, _ = shared_side(before)
