@@ -11,9 +11,9 @@ The smallest node of a bucket is its pivot, and the nodes that share a pivot are
 pair of every bucket. Full sets travel once to each group of a node, and groups are compared inside tasks, in blocks of
 bounded size; only edges that join parts leave a task. Groups of several blocks get a second pass for the pairs of other
 blocks: of a pair at the threshold, the prefix of the larger set (its rarest shingles, a quarter and one) and the shorter
-prefix of the smaller one (a seventh and one, since its partner is no smaller) have a common shingle. So only nodes that share such a shingle with a node of another component are looked at again, and only within the
-clusters of nodes whose such shingles have the same smallest node: those outside a cluster's most frequent component are
-compared with all of it, in cells of bounded nodes and shingles. A group of texts that are alike but share no rare shingle is not paired.
+prefix of the smaller one (a seventh and one, since its partner is no smaller) have a common shingle. So only nodes that share such a shingle with a node of another component are looked at again; those outside the
+pivot's component are compared with all of them, in cells of bounded nodes and shingles. A group of texts of like length
+that are alike but below the threshold shares no shingle of the shorter prefixes and isn't paired.
 
 Defined cases: documents without words or text (null, empty) have the empty set and are linked with nothing. Rows with a
 null id are linked with nothing, and are kept. Rows that share an id and a set get one row each with the same result; an
@@ -258,8 +258,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _alive(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Those of ``known`` (node, mark, part) whose prefix holds a shingle that the prefix of another part holds too, with each
-    cluster that such a shingle puts them into: its smallest node."""
+    """Those of ``known`` (node, mark, part) whose prefix holds a shingle that the prefix of another part holds too."""
     shingles = staged(_sets_of(docs, known.select("node", "mark")).distinct().mapInArrow(_prefixes, "node long, n long, shingle long"), "near-shingles")
     often = shingles.groupBy("shingle").agg(F.count("*").alias("often"))
     rarest = Window.partitionBy("node").orderBy("often", "shingle")
@@ -270,9 +269,8 @@ def _alive(docs: DataFrame, known: DataFrame) -> DataFrame:
     first = first.withColumn("turn", F.row_number().over(rarest)).where(F.col("turn") <= long).where("often > 1")
     first = first.select("node", "shingle", (F.col("turn") <= short).alias("smaller"))
     listed = staged(first.join(known.select("node", "part"), "node"), "near-prefixes")
-    shared = listed.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("smaller").alias("some"), F.min("node").alias("cluster"))
-    tied = listed.join(shared.where("a <> b AND some"), "shingle").select("node", "cluster").distinct()
-    return known.join(tied, "node")
+    shared = listed.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("smaller").alias("some")).where("a <> b AND some").select("shingle")
+    return known.join(listed.join(shared, "shingle", "left_semi").select("node").distinct(), "node", "left_semi")
 
 
 # --- the operator ------------------------------------------------------------------------------------------------
@@ -317,12 +315,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not known.isEmpty():
         alive = staged(_alive(rows, known), "near-alive")
         group = placed.where("blocks > 1").select("pivot", "node", "n").join(alive, "node")
-        group = group.withColumn("pivot", F.xxhash64("pivot", "cluster")).drop("cluster")  # groups that meet by chance only do more
-        heads = group.groupBy("pivot").agg(F.mode("part").alias("head"), F.min("part").alias("_a"), F.max("part").alias("_b")).where("_a <> _b").select("pivot", "head")
+        heads = placed.where("blocks > 1 AND node = pivot").select("pivot", F.col("node").alias("_head"))
+        heads = heads.join(known.select(F.col("node").alias("_head"), F.col("part").alias("head")), "_head").drop("_head")
         again = staged(group.join(heads, "pivot").withColumn("apart", F.col("part") != F.col("head")), "near-again")
         cut = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
         apart = F.sum(F.when(F.col("apart"), F.col("n")).otherwise(0))
-        cells = again.groupBy("pivot").agg(cut(F.count_if("apart"), apart).alias("lefts"), cut(F.count("*"), F.sum("n")).alias("rights"))
+        cells = again.groupBy("pivot").agg(cut(F.count_if("apart"), apart).alias("lefts"), cut(F.count("*"), F.sum("n")).alias("rights")).where("lefts > 0")
         sized, _ = small(staged(cells.select("pivot", "lefts", "rights"), "near-cells"))
         both = again.join(sized, "pivot")
         block = lambda n, seed: F.array(F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int"))
