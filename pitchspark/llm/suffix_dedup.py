@@ -34,8 +34,9 @@ from pitchspark.llm.common import BASE, INVERSE, mix, powers, small, staged, tex
 LENGTH, GRAM = 100, 32
 #: Windows of one piece at most, which is also the number of grams in a window.
 SPAN = LENGTH - GRAM + 1
-#: Bytes that one pass of hashing takes, and bytes within which repeats are combined before the shuffle.
-SLICE_BYTES, COMBINE_BYTES = 500_000, 8_000_000
+#: Bytes that one pass of hashing takes, bytes within which repeats are combined before the shuffle, and pieces that a
+#: task remembers from one such batch to the next.
+SLICE_BYTES, COMBINE_BYTES, REMEMBERED = 500_000, 8_000_000, 1 << 18
 #: Bytes of one run-length index, and different pieces of one minimiser beyond which its windows are aggregated instead.
 BLOCK_BYTES, HOT = 1_000_000, 20_000
 
@@ -123,9 +124,41 @@ _PIECE = ["route", "mini", "content", "id", "mark", "start", "wins", "fresh", "i
 _PIECE_TYPES = "route long, mini long, content long, id long, mark long, start int, wins int, fresh boolean, inner boolean"
 
 
+class _Firsts:
+    """Where the frequent pieces of a task's earlier batches start first, so that a passage that is everywhere sends one
+    fresh piece a task to its minimiser and not one a batch. What is forgotten is fresh again and told apart later."""
+
+    def __init__(self) -> None:
+        self.keys, self.spots = np.empty(0, np.uint64), [np.empty(0, np.int64)] * 3
+
+    def repeats(self, keys: np.ndarray, spots: list[np.ndarray], frequent: np.ndarray) -> np.ndarray:
+        """Which pieces (distinct keys in order, with id, mark and start) stand later than a remembered one; those that
+        are frequent here, or were remembered, are remembered with their first place."""
+        at = np.searchsorted(self.keys, keys)
+        hit = at < len(self.keys)
+        hit[hit] = self.keys[at[hit]] == keys[hit]
+        (a, x), (b, y), (c, z) = ((old[at[hit]], new[hit]) for old, new in zip(self.spots, spots))
+        later = np.zeros(len(keys), bool)
+        later[hit] = (a < x) | ((a == x) & ((b < y) | ((b == y) & (c < z))))
+        firsts = [new.copy() for new in spots]
+        for first, old in zip(firsts, self.spots):
+            first[later] = old[at[later]]
+        stay = hit | frequent
+        other = np.ones(len(self.keys), bool)
+        other[at[hit]] = False
+        if other.sum() + stay.sum() > REMEMBERED:
+            other[:] = False
+        keys = np.concatenate([self.keys[other], keys[stay]])
+        order = np.argsort(keys)[:REMEMBERED]
+        self.keys = keys[order]
+        self.spots = [np.concatenate([old[other], first[stay]])[order] for old, first in zip(self.spots, firsts)]
+        return later
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch's pieces. Those that repeat one of the same batch leave as ranges, routed by document; the others are
-    fresh and routed by minimiser."""
+    """A batch's pieces. Those that repeat one of the same batch, or a frequent one of an earlier batch of the task, leave
+    as ranges, routed by document; the others are fresh and routed by minimiser."""
+    firsts = _Firsts()
     for batch in text_batches(batches, 2, COMBINE_BYTES):
         data, bounds = text_bytes(batch.column(2))
         ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
@@ -148,7 +181,11 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh[1:] = key[order[1:]] != key[order[:-1]]
         first = order[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
         same = (ids[doc[first]] == ids[doc[order]]) & (marks[doc[first]] == marks[doc[order]]) & (start[first] == start[order])
-        old, new = np.sort(order[~fresh & ~same]), np.sort(order[fresh])  # a repeated row repeats nothing but itself
+        one = order[fresh]
+        count = np.diff(np.append(np.flatnonzero(fresh), len(key)))
+        later = firsts.repeats(key[one], [ids[doc[one]], marks[doc[one]], start[one].astype(np.int64)], count > 1)
+        # a repeated row repeats nothing but itself
+        old, new = np.sort(np.concatenate([order[~fresh & ~same], one[later]])), np.sort(one[~later])
         at, length = _joined(doc[old], start[old], wins[old])
         old = old[at]
         zero = np.zeros(len(old), np.int64)

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from pitchspark.llm import exact_dedup, minhash, suffix_dedup
 from tests.llm.helpers import empty_documents, odd_documents
@@ -221,6 +222,45 @@ def test_suffix_dedup_counts_a_repeated_row_once(spark, monkeypatch, hot):
     assert {r[2] for r in found if r[0] == 30} == {0}
 
 
+def test_suffix_dedup_over_many_batches_of_a_task(spark):
+    """One task reads the rows in batches of three, in an order that is not that of the ids."""
+    docs = odd_documents(spark)
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") - 10)).orderBy(F.crc32("text")).coalesce(1)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "3")
+    try:
+        found = suffix_dedup.remove_repeats(docs).collect()
+    finally:
+        spark.conf.unset(size)
+    assert Counter(tuple(r) for r in found) == brute_repeats(docs)
+
+
+def test_pieces_of_a_frequent_passage_leave_a_task_once():
+    """Of a passage in every batch, the first and what stands before it are fresh; all others are ranges of repeats."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"v{rng.randrange(10_000)}" for _ in range(n))
+    shared = prose(50)
+    ids = [5, 6, 3, 4, 7, 8, 1, 2, 9, 10]
+    texts = {i: f"{prose(30)} {shared} {prose(30)}" for i in ids}
+    names = ["id", "mark", "text"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(some), pa.array([0, 0]), pa.array([texts[i] for i in some])], names) for some in zip(ids[::2], ids[1::2])]
+    rows = [r for b in suffix_dedup._pieces(iter(batches)) for r in b.to_pylist()]
+    inside = lambda r: texts[r["id"]].find(shared) <= r["start"] <= texts[r["id"]].find(shared) + len(shared) - 150
+    fresh = {}
+    for r in rows:
+        if r["fresh"]:
+            fresh.setdefault(r["content"], []).append(r["id"])
+        else:
+            body = texts[r["id"]][r["start"] : r["start"] + r["wins"] + 99]
+            assert any(body in texts[i] for i in ids if i < r["id"])
+    assert {tuple(x) for x in fresh.values() if len(x) > 1} == {(5, 3, 1)}
+    assert {r["id"] for r in rows if r["fresh"] and inside(r)} == {1, 3, 5}
+
+
 def test_suffix_dedup_of_many_rows_without_an_id(spark):
     """Each row's ranges are gathered for itself; the least long is an id like others."""
     import random
