@@ -273,6 +273,16 @@ def _alive(docs: DataFrame, known: DataFrame) -> DataFrame:
     return known.join(listed.join(shared, "shingle", "left_semi").select("node").distinct(), "node", "left_semi")
 
 
+def _with_edges(label: DataFrame, more: DataFrame) -> DataFrame:
+    """``label`` (id, component) after the edges ``more`` (a, b), which join the components' names: only those are linked anew."""
+    name = lambda end: label.select(F.col("id").alias(end), F.col("component").alias(f"_{end}"))
+    ends = more.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    joined = staged(components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))), "near-joined")
+    above = joined.select(F.col("id").alias("component"), F.col("component").alias("_above"))
+    old = label.join(above, "component", "left").select("id", F.coalesce("_above", "component").alias("component"))
+    return old.unionByName(joined.join(label.select("id"), "id", "left_anti"))
+
+
 # --- the operator ------------------------------------------------------------------------------------------------
 
 
@@ -305,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lows, zero = F.when(F.col("node") == F.col("pivot"), upto("blocks")).otherwise(F.array("block")), F.array(F.lit(0))
     first = placed.select("node", "mark", "pivot", F.col("node").alias("part"), F.lit(False).alias("late"), lows.alias("lows"), zero.alias("highs"))
     edges = staged(_compare(rows, staged(first, "near-first"), tasks), "near-edges")
-    label = components(edges)
+    label = staged(components(edges), "near-labels")
 
     # groups of several blocks: pairs of different blocks that aren't in one component yet
     wide = placed.where("blocks > 1").select("node", "mark").distinct()
@@ -328,7 +338,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         whole = both.select(*facts, F.lit(False).alias("late"), upto("lefts").alias("lows"), block("rights", 2).alias("highs"))
         left = both.where("apart").select(*facts, F.lit(True).alias("late"), block("lefts", 1).alias("lows"), upto("rights").alias("highs"))
         second = staged(whole.unionByName(left), "near-second")
-        label = components(edges.unionByName(staged(_compare(rows, second, tasks), "near-edges2")))
+        more = staged(_compare(rows, second, tasks), "near-edges2")
+        label = label if more.isEmpty() else _with_edges(label, more)
     found = nodes.select("mark", "mark2", "n", "node").join(label, F.col("node") == F.col("id"), "left")
     found = staged(found.select("mark", "mark2", "n", F.coalesce("component", "node").alias("component")), "near-found")
     return (

@@ -154,6 +154,20 @@ def test_minhash_recall_at_the_threshold(spark):
     assert sum(found[10**9 + 2 * k] == found[10**9 + 2 * k + 1] for k in range(400)) == 400
 
 
+def test_components_after_more_edges(spark):
+    """As if all edges had been there from the start, also for nodes that had none, chains of components and loops."""
+    import random
+
+    rng = random.Random(8)
+    draw = lambda n, low, high: [(rng.randrange(low, high), rng.randrange(low, high)) for _ in range(n)]
+    some, more = draw(60, 0, 100), [*draw(25, 0, 130), (140, 139), (139, 141), (5, 5)]
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    pairs = lambda df: sorted((r.id, r.component) for r in df.collect() if r.id != r.component)
+    found = minhash._with_edges(minhash.components(frame(some)), frame(more))
+    assert found.count() == found.select("id").distinct().count()
+    assert pairs(found) == pairs(minhash.components(frame(some + more)))
+
+
 def test_minhash_empty(spark):
     assert minhash.near_duplicates(empty_documents(spark)).count() == 0
     kept = minhash.near_dedup(odd_documents(spark))
