@@ -8,6 +8,9 @@ score_home, score_away, ht_home, ht_away, extra_time and penalties. Flags that a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,45 +217,67 @@ def covered_stakes(q_zero: Column, q_two: Column, stake: float, p1: Column) -> C
     payouts, payout before rounding, profit, return, break-even and buffer. Cents round half up.
 
     Of the nearest cent and its two neighbours the one with the smallest difference of payouts wins, then the nearest to
-    the exact stake, then the smallest.
+    the exact stake, then the smallest. All in whole cents.
     """
-    total = F.lit(stake).cast("decimal(12,2)")
-    money = lambda x: F.round(x, 2).cast("decimal(14,2)")
-    a, b = q_zero.cast("decimal(10,4)"), q_two.cast("decimal(10,4)")
-    known = F.coalesce((a > 1) & (b > 1), F.lit(False))
-    back = 1 / a.cast("double") + 1 / b.cast("double")
-    before = F.lit(float(stake)) / back
-    exact = before / a.cast("double")
-    base = money(exact.cast("decimal(20,8)"))
-    options = F.transform(
-        F.array(*[F.lit(k) for k in (-1, 0, 1)]),
-        lambda k: F.struct(k.alias("k"), (base + k.cast("decimal(14,2)") * F.lit(0.01).cast("decimal(4,2)")).cast("decimal(14,2)").alias("s")),
-    )
-    options = F.filter(options, lambda o: (o["s"] >= 0) & (o["s"] <= total))
-    ranked = F.transform(
-        options,
-        lambda o: F.struct(
-            F.abs(money(o["s"] * a) - money((total - o["s"]) * b)).alias("gap"), F.abs(o["s"].cast("double") - exact).alias("far"), o["k"].alias("k"),
-            o["s"].alias("zero"), (total - o["s"]).cast("decimal(14,2)").alias("two"), money(o["s"] * a).alias("payout_zero"), money((total - o["s"]) * b).alias("payout_two"),
-        ),
-    )
-    best = F.array_min(ranked)
-    most = 1 - back
-    status = F.when(~known, "MISSING_QUOTES").when(back < 1, "OK").otherwise("NO_POSITIVE_COVERED_PAYOUT")
-    label = (
-        F.when(~known, "INCOMPLETE").when(back >= 1, "UNATTRACTIVE").when(p1.isNull(), "NEUTRAL")
-        .when(p1 > most, "UNATTRACTIVE").when(most - p1 < 0.03, "NEUTRAL").otherwise("INTERESTING")
-    )
-    return F.struct(
-        status.alias("status"),
-        label.alias("label"),
-        *[F.when(known, best[c]).alias(n) for c, n in (("zero", "stake_zero"), ("two", "stake_two"), ("payout_zero", "payout_zero"), ("payout_two", "payout_two"), ("gap", "payout_difference"))],
-        F.when(known, before).alias("payout_before_rounding"),
-        F.when(known, before - stake).alias("covered_profit"),
-        F.when(known, (before - stake) / stake).alias("win_roi"),
-        F.when(known, most).alias("p1_max"),
-        F.when(known, most - p1).alias("p1_buffer"),
-    )
+    cents = int((Decimal(str(stake)) * 100).quantize(Decimal(1), ROUND_HALF_UP))
+    kind, quote = ("long", "long") if abs(cents) <= 900_000_000 else ("decimal(13,0)", "decimal(11,0)")  # 64 bits hold a product
+    total = F.lit(cents).cast(kind)
+    money = lambda x, to="decimal(14,2)": (x.cast("decimal(16,0)") * F.lit(0.01).cast("decimal(4,2)")).cast(to)
+    paid = lambda x, q: F.call_function("div", x * q + 5000, F.lit(10_000).cast(quote))
+
+    def choose(v: Column) -> Column:
+        options = []
+        for k in (-1, 0, 1):
+            own = (v["base"] + k).cast(kind)
+            zero, two = paid(own, v["a"]), paid(total - own, v["b"])
+            cells = F.struct(F.abs(zero - two).alias("gap"), F.abs(own.cast("double") / 100 - v["exact"]).alias("far"), F.lit(k).alias("k"), own.alias("zero"), (total - own).alias("two"), zero.alias("payout_zero"), two.alias("payout_two"))
+            options.append(F.when(v["known"] & own.between(0, total), cells))
+        return F.struct(F.least(*options).alias("best"), v.alias("v"))  # of those that aren't null
+
+    def shown(found: Column) -> Column:
+        best, v = found["best"], found["v"]
+        known, back, before = v["known"], v["back"], v["before"]
+        most = 1 - back
+        status = F.when(~known, "MISSING_QUOTES").when(back < 1, "OK").otherwise("NO_POSITIVE_COVERED_PAYOUT")
+        label = (
+            F.when(~known, "INCOMPLETE").when(back >= 1, "UNATTRACTIVE").when(p1.isNull(), "NEUTRAL")
+            .when(p1 > most, "UNATTRACTIVE").when(most - p1 < 0.03, "NEUTRAL").otherwise("INTERESTING")
+        )
+        return F.struct(
+            status.alias("status"),
+            label.alias("label"),
+            *[money(best[c]).alias(n) for c, n in (("zero", "stake_zero"), ("two", "stake_two"), ("payout_zero", "payout_zero"), ("payout_two", "payout_two"))],
+            money(best["gap"], "decimal(15,2)").alias("payout_difference"),
+            F.when(known, before).alias("payout_before_rounding"),
+            F.when(known, before - stake).alias("covered_profit"),
+            F.when(known, (before - stake) / stake).alias("win_roi"),
+            F.when(known, most).alias("p1_max"),
+            F.when(known, most - p1).alias("p1_buffer"),
+        )
+
+    def with_base(v: Column) -> Column:
+        whole = lambda q: (q * 10_000).cast(quote)  # noqa: E731  ten-thousandths
+        exact = v["before"] / v["a"].cast("double")
+        return F.struct(
+            v["known"].alias("known"), v["back"].alias("back"), v["before"].alias("before"), exact.alias("exact"), (F.round(exact.cast("decimal(20,8)"), 2) * 100).cast(kind).alias("base"), whole(v["a"]).alias("a"), whole(v["b"]).alias("b")
+        )
+
+    def with_back(v: Column) -> Column:
+        return F.struct(v["a"].alias("a"), v["b"].alias("b"), v["known"].alias("known"), v["back"].alias("back"), (F.lit(float(stake)) / v["back"]).alias("before"))
+
+    def with_known(v: Column) -> Column:
+        known = F.coalesce((v["a"] > 1) & (v["b"] > 1), F.lit(False))
+        return F.struct(v["a"].alias("a"), v["b"].alias("b"), known.alias("known"), (1 / v["a"].cast("double") + 1 / v["b"].cast("double")).alias("back"))
+
+    quotes = F.struct(q_zero.cast("decimal(10,4)").alias("a"), q_two.cast("decimal(10,4)").alias("b"))
+    return _bound(quotes, with_known, with_back, with_base, choose, shown)
+
+
+def _bound(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    """``value`` through steps that may use what they get many times: it is evaluated once and stands in the plan once."""
+    for step in steps:
+        value = F.get(F.transform(F.array(value), step), F.lit(0))
+    return value
 
 
 def analysis(outcomes: DataFrame, events: DataFrame, now: Column, max_age: int = 10, stake: float = 30.0) -> DataFrame:

@@ -14,6 +14,7 @@ from pitchspark.functions.numbers import haircut, ratio, two_way_probability, wi
 from pitchspark.operators.aggregates import count_if
 from pitchspark.operators.markets import covered_stakes
 from pitchspark.operators.selection import distinct_counts, exact_quantiles, with_keys
+from pitchspark.staging import staged
 
 COMBINATION, SINGLE_ZERO, SINGLE_TWO = "COMBINATION", "SINGLE_ZERO", "SINGLE_TWO_PLUS"
 OUTCOMES = ("H2_GOALS_0", "H2_GOALS_1", "H2_GOALS_2_PLUS")
@@ -139,13 +140,20 @@ def selected_days(rows: DataFrame, day: str, observed: str, first: str | None =
 # --- trades ------------------------------------------------------------------------------------------------------
 
 
+def with_split(rows: DataFrame, stake: float = 10.0, cut: float = 0.0) -> DataFrame:
+    """Observations with the split of their stake (``_s``): what a trade of several forms or variants needs only once."""
+    split = covered_stakes(haircut("q_zero", cut), haircut("q_two", cut), stake, F.col("p1_market"))
+    return rows.withColumn("_c", split).withColumn("_s", F.struct(*[F.col(f"_c.{x}").alias(x) for x in ("stake_zero", "stake_two", "payout_zero", "payout_two", "win_roi")])).drop("_c")
+
+
 def simulate(rows: DataFrame, form: Column, stake: float = 10.0, cost: float = 0.0, cut: float = 0.0) -> DataFrame:
     """Each observation (q_zero, q_two, p1_market, outcome_class) as a trade of ``form``: stakes, payout, pnl, roi, hit.
 
-    Quotes lose ``cut`` of their gain, ``cost`` counts once, cents round half up."""
+    Quotes lose ``cut`` of their gain, ``cost`` counts once, cents round half up. Rows may have their split already, by
+    :func:`with_split` with the same stake and cut."""
     c = F.col
     q0, q2 = haircut("q_zero", cut), haircut("q_two", cut)
-    rows = rows.withColumn("form", form).withColumn("_s", covered_stakes(q0, q2, stake, c("p1_market")))
+    rows = (rows if "_s" in rows.columns else with_split(rows, stake, cut)).withColumn("form", form)
     paid = lambda q: F.round((F.lit(stake).cast("decimal(12,2)") * F.coalesce(q, F.lit(0.0)).cast("decimal(10,4)")), 2).cast("double")
     none, won = F.lit(0.0), c("outcome_class")
     both = F.when(won == OUTCOMES[0], c("_s.payout_zero")).when(won == OUTCOMES[2], c("_s.payout_two")).cast("double")
@@ -248,6 +256,11 @@ def _features(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return rows.withColumn("_f", F.explode(cells)).select(*rows.columns, "_f.field", "_f.value").where("value IS NOT NULL")
 
 
+def _played(rows: DataFrame, stake: float, cut: float = 0.0) -> DataFrame:
+    """Eligible observations with their split, staged: a summary reads its rows several times, each in many places."""
+    return staged(with_split(rows.where("entry_eligible"), stake, cut), "studies-rows")
+
+
 def by_variant(rows: DataFrame) -> DataFrame:
     """Eligible observations with each variant whose range holds them (variant, form); the three references take all.
 
@@ -263,7 +276,8 @@ def by_variant(rows: DataFrame) -> DataFrame:
 
 def variant_study(rows: DataFrame, stake: float = 10.0, cost: float = 0.0, cut: float = 0.0, rounds: int = 500) -> DataFrame:
     """Summary of every variant, with the number of eligible observations that it leaves out and its evaluation status."""
-    eligible = rows.where("entry_eligible").agg(F.count("*").alias("_eligible"))  # one row
+    rows = _played(rows, stake, cut)
+    eligible = rows.agg(F.count("*").alias("_eligible"))  # one row
     entries = by_variant(rows)
     found = summary(simulate(entries, F.col("form"), stake, cost, cut), ["variant"], rounds=rounds)
     status = (
@@ -275,7 +289,7 @@ def variant_study(rows: DataFrame, stake: float = 10.0, cost: float = 0.0, cut:
 def reference_study(rows: DataFrame, stake: float = 10.0, cost: float = 0.0, cut: float = 0.0, rounds: int = 500) -> DataFrame:
     """Every variant's entries played in each of the three forms."""
     forms = F.explode(F.array(*[F.lit(f) for f in (COMBINATION, SINGLE_ZERO, SINGLE_TWO)]))
-    entries = by_variant(rows).drop("form").withColumn("reference", forms)
+    entries = by_variant(_played(rows, stake, cut)).drop("form").withColumn("reference", forms)
     return summary(simulate(entries, F.col("reference"), stake, cost, cut), ["variant", "reference"], rounds=rounds)
 
 
@@ -283,7 +297,7 @@ def segment_study(rows: DataFrame, stake: float = 10.0, rounds: int = 500) -> Da
     """Every variant's trades by day, country and competition."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN"))
     cells = {"DATE": text("day"), "COUNTRY": text("competition_country"), "COMPETITION": F.concat_ws(" / ", text("competition_country"), text("competition_name"))}
-    entries = by_variant(rows).withColumn("_s", F.explode(F.array(*[F.struct(F.lit(k).alias("segment"), v.alias("segment_key")) for k, v in cells.items()]))).select("*", "_s.*").drop("_s")
+    entries = by_variant(_played(rows, stake)).withColumn("_g", F.explode(F.array(*[F.struct(F.lit(k).alias("segment"), v.alias("segment_key")) for k, v in cells.items()]))).select("*", "_g.*").drop("_g")
     return summary(simulate(entries, F.col("form"), stake), ["variant", "segment", "segment_key"], rounds=rounds)
 
 
@@ -291,7 +305,7 @@ def pattern_buckets(rows: DataFrame, stake: float = 10.0, rounds: int = 500) ->
     """Summary of the fixed buckets of four dimensions; observations outside all buckets of a dimension aren't in it."""
     table = _literal(rows.sparkSession, BUCKETS, "dimension string, bucket string, field string, lower double, upper double")
     inside = (F.col("value") >= F.col("lower")) & (F.col("upper").isNull() | (F.col("value") < F.col("upper")))
-    placed = _features(rows.where("entry_eligible"), ("p1_market", "q_zero", "q_two", "ht_goals")).join(table, "field").where(inside).drop("field", "value", "lower", "upper")
+    placed = _features(_played(rows, stake), ("p1_market", "q_zero", "q_two", "ht_goals")).join(table, "field").where(inside).drop("field", "value", "lower", "upper")
     found = summary(simulate(placed, F.lit(COMBINATION), stake), ["dimension", "bucket"], rounds=rounds)
     return found.withColumn("expected_exact_one", F.col("expected_p1_mean") * F.col("resolved_trades"))
 
