@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +13,9 @@ from pyspark.sql.window import Window
 from pitchspark.functions.numbers import ratio, wilson
 from pitchspark.operators.selection import distinct_counts, exact_quantiles, with_keys
 
+#: What draws are taken modulo, and how many a task holds at a time.
+PRIME, DRAWS = 2147483647, 1_000_000
+
 
 def count_if(condition: Column | str) -> Column:
     """Rows for which the condition holds; unknown doesn't count, and no rows give 0."""
@@ -90,10 +97,9 @@ def legacy_bucket(x: Column, width: float = 0.05) -> Column:
 
 def drawn(r: Column, j: Column, n: Column, seed: int) -> Column:
     """A number from 0 to n - 1 for draw j of round r: three rounds of squaring modulo a prime, which SQL engines can say too."""
-    prime = 2147483647
-    x = F.pmod(F.lit(seed).cast("long") + r * 73856093 + j * 19349663, F.lit(prime).cast("long"))
+    x = F.pmod(F.lit(seed).cast("long") + r * 73856093 + j * 19349663, F.lit(PRIME).cast("long"))
     for _ in range(3):
-        x = (x * x + 12345) % prime
+        x = (x * x + 12345) % PRIME
     return x % n
 
 
@@ -101,23 +107,44 @@ def bootstrap_by_day(df: DataFrame, keys: list[str], day: str, stake: str, pnl:
     """95 % interval of pnl over stake by resampling whole days; null for fewer than two days.
 
     Days are summed first, so what is resampled is one short list of days per key, whatever the number of rows. Rounds are
-    drawn in the JVM from a seeded function of (round, draw); nothing passes through the driver.
+    drawn in numpy by the seeded function of (round, draw) that :func:`drawn` is, ``DRAWS`` at a time; nothing passes through
+    the driver.
     """
     daily = df.groupBy(*keys, day).agg(F.sum(stake).alias("_stake"), F.sum(pnl).alias("_pnl"))
     lists = daily.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(day), F.col("_stake").cast("double").alias("s"), F.col("_pnl").cast("double").alias("p")))).alias("_d"))
     lists = lists.withColumn("days", F.size("_d").cast("long"))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("p"))
-
-    def one(r: Column) -> Column:
-        def add(total: Column, j: Column) -> Column:
-            x = F.element_at("_d", (drawn(r, j, F.col("days"), seed) + 1).cast("int"))
-            return F.struct((total["s"] + x["s"]).alias("s"), (total["p"] + x["p"]).alias("p"))
-
-        return F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("days") - 1), zero, add, lambda t: F.when(t["s"] != 0, t["p"] / t["s"]))
 
-    every = lists.where("days > 1").repartition(*keys).select(*keys, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long")), one)).alias("_roi"))
-    limits = every.groupBy(*keys).agg(F.percentile("_roi", F.lit(0.025)).alias("roi_low"), F.percentile("_roi", F.lit(0.975)).alias("roi_high"))
-    return lists.select(*keys, "days").join(limits, keys, "left")
+    @F.pandas_udf("array<double>")
+    def limits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for stakes, profits in batches:
+            yield pd.Series([_limits(s, p, rounds, seed) for s, p in zip(stakes, profits, strict=True)], dtype=object)
+
+    known = lambda x: F.transform("_d", lambda d: F.coalesce(d[x], F.lit(float("nan"))))
+    out = lists.repartition(*keys) if keys else lists
+    out = out.withColumn("_l", limits(known("s"), known("p")))
+    return out.select(*keys, "days", F.col("_l")[0].alias("roi_low"), F.col("_l")[1].alias("roi_high"))
+
+
+def _limits(stakes: np.ndarray, profits: np.ndarray, rounds: int, seed: int) -> list[float | None]:
+    """The two limits of one key: linear quantiles of the rounds' ratios; a round with an unknown sum or no stake has none."""
+    n = len(stakes)
+    if n < 2:
+        return [None, None]
+    found, own = [], np.arange(n, dtype=np.int64) * 19349663
+    step = max(1, DRAWS // n)
+    for first in range(0, rounds, step):
+        s, p = np.zeros(min(step, rounds - first)), np.zeros(min(step, rounds - first))
+        for lo in range(0, n, DRAWS):
+            x = (seed + np.arange(first, first + len(s), dtype=np.int64)[:, None] * 73856093 + own[None, lo : lo + DRAWS]) % PRIME
+            for _ in range(3):
+                x = (x * x + 12345) % PRIME
+            x %= n
+            s += stakes[x].sum(axis=1)
+            p += profits[x].sum(axis=1)
+        usable = (s != 0) & ~np.isnan(s) & ~np.isnan(p)
+        found.append(p[usable] / s[usable])
+    roi = np.sort(np.concatenate(found))
+    return [float(np.quantile(roi, q)) for q in (0.025, 0.975)] if len(roi) else [None, None]
 
 
 def classification_metrics(df: DataFrame, label: str, p: list[str], keys: list[str] | None = None) -> DataFrame:

@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from pitchspark.staging import release, shared_side, staged
@@ -23,29 +26,31 @@ DIGIT = 16
 def ordered_bits(x: Column) -> Column:
     """The bits of a double as a long that sorts as the double does; both zeros are one, NaN is above all.
 
-    By arithmetic that is exact: powers of two, and multiplication by them.
+    An Arrow UDF: built-in expressions can't read a double's bits, and finding them by arithmetic took most of a selection.
     """
     x = x.cast("double")
-    size = F.abs(x)
-    tiny = size < F.lit(2.0**-1022)  # no leading bit
-    guess = F.least(F.lit(1023.0), F.greatest(F.lit(-1022.0), F.floor(F.log2(F.when(tiny, F.lit(1.0)).otherwise(size)))))
-    power = F.pow(F.lit(2.0), guess)
-    exponent = F.when(size < power, guess - 1).when(size / 2 >= power, guess + 1).otherwise(guess)  # the logarithm may round
-    # scaled in two steps, since 2 ** -exponent may be out of range
-    half = F.floor(exponent / 2)
-    mantissa = (size * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - exponent) * F.lit(2.0**52)).cast("long") - F.lit(2**52).cast("long")
-    bits = F.when(tiny, (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")).otherwise((exponent + 1023).cast("long") * F.lit(2**52).cast("long") + mantissa)
-    infinite = F.lit(2047 * 2**52).cast("long")
-    bits = F.when(size == F.lit(float("inf")), infinite).otherwise(bits)
-    return F.when(F.isnan(x), infinite + 1).when(x < 0, -bits).otherwise(bits)
+    return F.when(x.isNotNull(), _bits(x))
+
+
+@F.pandas_udf(LongType())
+def _bits(values: pd.Series) -> pd.Series:
+    x = values.to_numpy(dtype=np.float64, na_value=np.nan)
+    raw = np.abs(x).view(np.int64)
+    return pd.Series(np.where(np.isnan(x), 2047 * 2**52 + 1, np.where(x < 0, -raw, raw)))
+
+
+def counted_cells(flat: DataFrame, label: str) -> DataFrame:
+    """Staged (g, value, n, bits) of rows (g, value): equal values of a group once with their number, partly aggregated before
+    the shuffle, so that the passes over them read no value twice."""
+    return staged(flat.groupBy("g", "value").agg(F.count("*").alias("n")).withColumn("bits", ordered_bits(F.col("value"))), label)
 
 
 def order_statistics(cells: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The value at each wanted rank (from 0) of its group: ``cells`` are (g, value), ``wanted`` (g, rank); gives g, rank, value.
+    """The value at each wanted rank (from 0) of its group: ``cells`` are those of :func:`counted_cells`, ``wanted`` (g, rank);
+    gives g, rank, value.
 
     ``g`` may be any struct, with null fields as well. ``cells`` should be staged: they are read once for each pass.
     """
-    cells = cells.select("g", "value", ordered_bits(F.col("value")).alias("bits"))
     found, rest = [], wanted.select("g", "rank", F.col("rank").alias("left"), F.lit(None).cast("long").alias("prefix"))
     shift = 64 - DIGIT
     while True:
@@ -57,7 +62,7 @@ def order_statistics(cells: DataFrame, wanted: DataFrame) -> DataFrame:
         else:
             rows = cells.withColumn("parent", F.lit(0).cast("long"))
             rest = rest.withColumn("prefix", F.lit(0).cast("long"))
-        counted = rows.groupBy("g", "parent", prefix.alias("own")).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        counted = rows.groupBy("g", "parent", prefix.alias("own")).agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
         upto = F.sum("n").over(Window.partitionBy("g", "parent").orderBy("own").rowsBetween(Window.unboundedPreceding, 0))
         counted = counted.withColumn("upto", upto)  # over 65536 ranges at most
         aims, _ = shared_side(rest.withColumnRenamed("prefix", "parent"))
@@ -86,8 +91,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Colu
     values = F.array(*[F.struct(F.lit(k).alias("m"), value.cast("double").alias("value")) for k, (value, _) in enumerate(measures.values())])
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
     flat = df.select(group.alias("key"), F.explode(values).alias("c")).where("c.value IS NOT NULL")
-    cells = staged(flat.select(F.struct("key", "c.m").alias("g"), "c.value"), "selection-cells")
-    sizes = staged(cells.groupBy("g").agg(F.count("*").alias("n")), "selection-sizes")
+    cells = counted_cells(flat.select(F.struct("key", "c.m").alias("g"), "c.value"), "selection-cells")
+    sizes = staged(cells.groupBy("g").agg(F.sum("n").alias("n")), "selection-sizes")
 
     n = F.col("n")
     aims = []
@@ -117,8 +122,8 @@ def quantile_grid(df: DataFrame, values: list[Column], steps: int) -> DataFrame:
     """measure (place in ``values``), i, value: the linear quantile at i / steps of each measure, for i from 1 to steps - 1."""
     cells = F.array(*[F.struct(F.lit(k).alias("m"), v.cast("double").alias("value")) for k, v in enumerate(values)])
     flat = df.select(F.explode(cells).alias("c")).where("c.value IS NOT NULL")
-    table = staged(flat.select(F.struct("c.m").alias("g"), "c.value"), "grid-cells")
-    sizes = table.groupBy("g").agg(F.count("*").alias("n"))
+    table = counted_cells(flat.select(F.struct("c.m").alias("g"), "c.value"), "grid-cells")
+    sizes = table.groupBy("g").agg(F.sum("n").alias("n"))
     at = (F.col("n") - 1) * (F.col("i") / F.lit(steps))
     aims = sizes.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(steps - 1)))).select("g", "i", at.alias("at"), F.floor(at).alias("lo"), F.ceil(at).alias("hi"))
     aims = staged(aims, "grid-aims")
@@ -138,7 +143,9 @@ def distinct_counts(df: DataFrame, keys: list[str], wanted: dict[str, list[Colum
     dims = []
     for name, columns in wanted.items():
         known = reduce(lambda a, b: a & b, [c.isNotNull() for c in columns])
-        dims.append(F.when(known, F.struct(F.lit(name).alias("name"), F.to_json(F.array(*[c.cast("string") for c in columns])).alias("value"))))
+        texts = [c.cast("string") for c in columns]
+        value = texts[0] if len(texts) == 1 else F.to_json(F.array(*texts))
+        dims.append(F.when(known, F.struct(F.lit(name).alias("name"), value.alias("value"))))
     flat = df.select(*group, F.explode(F.array_compact(F.array(*dims))).alias("d"))
     once = flat.groupBy(*keys, "d.name", "d.value").agg(F.lit(1).alias("one"))
     return once.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("name") == name, 1)), F.lit(0)).cast("long").alias(name) for name in wanted])

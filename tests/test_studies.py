@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pitchspark.operators import aggregates, markets, studies
@@ -82,3 +83,38 @@ def test_registry(spark):
     new = studies.study_registry(old, spark.createDataFrame([("b", 3, "COMPLETE", ["x", "z"])], kind))
     assert sorted((r["run_id"], r["created_at"], r["total_configurations"]) for r in new.collect()) == [("a", 1, 2), ("b", 3, 2)]
     assert studies.latest_run(new).first()["run_id"] == "b" and studies.latest_run(old.where("status = 'RUNNING'")).count() == 0
+
+
+def test_a_split_stands_in_the_plan_once(spark):
+    """Bound values that were written out wherever they are used made plans of megabytes, and code that isn't compiled."""
+    rows = spark.createDataFrame([(2.0, 3.0, 0.2, "H2_GOALS_0"), (1.5, None, None, "H2_GOALS_1")], "q_zero double, q_two double, p1_market double, outcome_class string")
+    found = studies.simulate(rows, F.lit(studies.COMBINATION))
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+    assert [(r.payout, r.pnl) for r in found.orderBy("q_zero").collect()] == [(0.0, -10.0), (12.0, 2.0)]
+
+
+def test_stakes_too_large_for_64_bits(spark):
+    one = lambda stake: spark.range(1).select(markets.covered_stakes(F.lit(2.0), F.lit(3.0), stake, F.lit(0.1)).alias("s")).first()["s"]
+    for stake in (30.0, 30_000_000.0):
+        s = one(stake)
+        assert (float(s.stake_zero), float(s.stake_two), float(s.payout_zero), float(s.payout_two), float(s.payout_difference)) == (stake * 0.6, stake * 0.4, stake * 1.2, stake * 1.2, 0.0)
+
+
+def test_bootstrap_draws_are_those_of_the_function(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "DRAWS", 7)  # blocks of rounds and of draws
+    stakes, profits = np.array([1.0, 2.0, 4.0] * 4), np.arange(12) - 5.0
+    draws = spark.range(40).selectExpr("id AS r", "explode(sequence(0L, 11L)) AS j").select("r", aggregates.drawn(F.col("r"), F.col("j"), F.lit(12), 6301).alias("x")).collect()
+    by_round = {}
+    for d in draws:
+        by_round.setdefault(d.r, []).append(d.x)
+    roi = [profits[x].sum() / stakes[x].sum() for x in by_round.values()]
+    assert np.allclose(aggregates._limits(stakes, profits, 40, 6301), np.quantile(roi, [0.025, 0.975]))
+    assert aggregates._limits(stakes[:1], profits[:1], 40, 6301) == [None, None]
+
+
+def test_equal_values_are_counted_once(spark):
+    from pitchspark.operators import selection
+
+    flat = spark.range(3000).select(F.struct((F.col("id") % 2).alias("k")).alias("g"), (F.col("id") % 5).cast("double").alias("value"))
+    cells = selection.counted_cells(flat, "cells")
+    assert cells.count() == 10 and cells.agg(F.sum("n")).first()[0] == 3000
