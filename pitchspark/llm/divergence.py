@@ -29,8 +29,8 @@ from pitchspark.llm.common import LOWER, bounded_batches, small, staged, text_ba
 LEAST_DOCS, SCALE, TOP = 10, 1_000_000_000, 10
 #: Terms of a block (on average), groups of a tile, cells that one broadcast makes, matrices held before they are passed on.
 BLOCK_TERMS, TILE, CELLS, HELD = 1024, 256, 2_000_000, 32
-#: Bytes of text whose terms are counted together.
-COUNT_BYTES = 16_000_000
+#: Bytes of text whose terms are counted together, and of the slices that are gathered up to that, so that it is hardly exceeded.
+COUNT_BYTES, SLICE_BYTES = 12_000_000, 1_500_000
 
 _TERM = np.zeros(256, dtype=bool)
 _TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -49,7 +49,7 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
-    for batch in text_batches(batches, 2, COUNT_BYTES):
+    for batch in text_batches(batches, 2, SLICE_BYTES):
         held.append(batch)
         size += batch.column(2).nbytes
         if size >= COUNT_BYTES:
@@ -69,19 +69,23 @@ def _counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place[order] = np.arange(len(group))
     data, bounds = text_bytes(table.column(2).cast(pa.large_string()).combine_chunks())
     inside = _TERM[data]
-    edge = inside.copy()
-    edge[1:] &= ~inside[:-1]
-    cuts = bounds[:-1][bounds[:-1] < len(data)]
-    edge[cuts] = inside[cuts]
-    starts = np.flatnonzero(edge)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cuts = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(data))]  # no term goes on into the next text
+    first[cuts], last[cuts - 1] = inside[cuts], inside[cuts - 1]
+    starts = np.flatnonzero(first)
     if not len(starts):
         return
-    before = np.concatenate(([0], np.cumsum(inside)))  # bytes of terms before each byte
-    offsets = np.append(before[starts], before[-1])
-    terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(LOWER[data[inside]]))
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(np.flatnonzero(last) + 1 - starts, out=offsets[1:])
+    del first, last
+    terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(LOWER[data[inside]]))
+    del inside
     terms = terms.dictionary_encode()
-    doc = np.searchsorted(bounds, starts, side="right") - 1
-    keys = terms.indices.to_numpy().astype(np.int64) * len(group) + place[doc]
+    del offsets, data
+    keys = terms.indices.to_numpy().astype(np.int64) * len(group) + place[np.searchsorted(bounds, starts, side="right") - 1]
+    del starts
     keys.sort()
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))  # of each term and document
     times = np.diff(np.append(first, len(keys)))

@@ -287,3 +287,22 @@ def test_fingerprints_as_columns(spark):
     found = merkle.compared(pairs.unionByName(spark.createDataFrame([(None, None)], pairs.schema)), "a", "b").collect()
     near = next(r for r in found if r.a)
     assert 0.5 < near.likeness < 1 and len(near.edits) == 1 and next(r for r in found if not r.a).likeness is None
+
+
+def test_counting_terms_takes_few_times_the_texts_bytes(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    held = []
+    monkeypatch.setattr(divergence, "_counted", lambda batches: held.append(sum(b.column(2).nbytes for b in batches)) or iter(()))
+    text = "extraordinarily " * 6000
+    batch = pa.RecordBatch.from_arrays([pa.array([x] * 80) for x in ("en", "a", text)], names=["lang", "source", "text"])
+    list(divergence._count_batches(iter([batch] * 4)))
+    assert sum(held) >= 4 * 80 * len(text) and max(held) < 1.2 * divergence.COUNT_BYTES  # gathered, but hardly beyond the bound
+    monkeypatch.undo()
+    tracemalloc.start()
+    list(divergence._counted([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 80 * len(text)
