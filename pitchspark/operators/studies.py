@@ -14,7 +14,7 @@ from pitchspark.functions.numbers import haircut, ratio, two_way_probability, wi
 from pitchspark.operators.aggregates import count_if
 from pitchspark.operators.markets import covered_stakes
 from pitchspark.operators.selection import distinct_counts, exact_quantiles, with_keys
-from pitchspark.staging import staged
+from pitchspark.staging import spread, staged
 
 COMBINATION, SINGLE_ZERO, SINGLE_TWO = "COMBINATION", "SINGLE_ZERO", "SINGLE_TWO_PLUS"
 OUTCOMES = ("H2_GOALS_0", "H2_GOALS_1", "H2_GOALS_2_PLUS")
@@ -258,7 +258,7 @@ def _features(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 def _played(rows: DataFrame, stake: float, cut: float = 0.0) -> DataFrame:
     """Eligible observations with their split, staged: a summary reads its rows several times, each in many places."""
-    return staged(with_split(rows.where("entry_eligible"), stake, cut), "studies-rows")
+    return staged(with_split(spread(rows.where("entry_eligible")), stake, cut), "studies-rows")
 
 
 def by_variant(rows: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchspark.operators.selection import exact_quantiles, quantile_grid
-from pitchspark.staging import release, staged
+from pitchspark.staging import release, spread, staged
 
 #: Steps of a gradient's unit; least sum of hessians of a leaf; rounds after which the rows' scores are written again.
 UNIT, LEAST_HESSIAN, RESTAGE = 2**24, 1e-3, 8
@@ -131,7 +131,8 @@ def _prepared(rows: DataFrame, features: list[str], label: str, classes: int, we
     """Narrow staged rows (x, y, w in units), medians, and the weight of each class. Rows without a class are left out."""
     medians = feature_medians(rows, features)
     w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
-    table = staged(rows.where(F.col(label).isNotNull()).select(_vector(features, medians).alias("x"), F.col(label).cast("int").alias("y"), F.round(w * UNIT).cast("long").alias("w")).where(F.col("y").between(0, classes - 1)), "trees-rows")
+    narrow = rows.where(F.col(label).isNotNull()).select(_vector(features, medians).alias("x"), F.col(label).cast("int").alias("y"), F.round(w * UNIT).cast("long").alias("w")).where(F.col("y").between(0, classes - 1))
+    table = staged(spread(narrow), "trees-rows")  # read once for each level
     found = table.groupBy("y").agg(F.sum("w").alias("w")).collect()  # one row for each class
     shares = [0.0] * classes
     for r in found:
@@ -197,6 +198,16 @@ def _raw(batch, model: Ensemble, since: int) -> np.ndarray:
     return model.raw(x, np.asarray(batch.column(3).flatten().to_numpy(zero_copy_only=False)).reshape(len(x), -1), since)
 
 
+def _summed(at: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the integers ``v`` by place: a count with weights, several times as fast as ``np.add.at``, where doubles hold
+    every sum exactly; else that."""
+    if float(np.abs(v).sum(dtype=np.float64)) < 2.0**52:
+        return np.bincount(at, weights=v, minlength=size).astype(np.int64)
+    out = np.zeros(size, dtype=np.int64)
+    np.add.at(out, at, v)
+    return out
+
+
 def _histograms(model: Ensemble, since: int, growing: list[Tree], open_nodes: list[list[int]], edges: list[np.ndarray]):
     """A function over record batches of rows (x, y, w, scores): sums for each tree, open node, feature and bin of its rows."""
     ids = "tree int, node int, feature int, bin int, g long, h long, n long"
@@ -215,17 +226,19 @@ def _histograms(model: Ensemble, since: int, growing: list[Tree], open_nodes: li
             x, y, w = _arrays(batch, len(edges))
             g, h = _gradients(y, _raw(batch, model, since), model)
             g, h = (np.rint(v * w[:, None]).astype(np.int64) for v in (g, h))
-            binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
+            binned = np.stack([np.searchsorted(e, x[:, f], side="left") + f * size for f, e in enumerate(edges)], axis=1)
             for k, tree in enumerate(growing):
                 place = places[k][tree.leaf_of(x)]
                 inside = place >= 0
                 if not inside.any():
                     continue
+                base = place[inside] * (len(edges) * size)
+                own = (g[inside, k], h[inside, k])
                 for f in range(len(edges)):
-                    at = (place[inside], f, binned[inside, f])
-                    np.add.at(sums[k][0], at, g[inside, k])
-                    np.add.at(sums[k][1], at, h[inside, k])
-                    np.add.at(sums[k][2], at, 1)
+                    at = base + binned[inside, f]
+                    for i, v in enumerate(own):
+                        sums[k][i].ravel()[:] += _summed(at, v, sums[k][i].size)
+                    sums[k][2].ravel()[:] += np.bincount(at, minlength=sums[k][2].size)
         for k, total in enumerate(sums):
             node, f, b = np.nonzero(total[2])
             columns = [np.full(len(node), k), np.asarray(open_nodes[k], dtype=np.int64)[node], f, b]
@@ -391,10 +404,16 @@ def _ranges(trees: list[Tree], nodes: list[list[int]], n_features: int, classes:
                     continue
                 place = spot[t][tree.leaf_of(x)]
                 inside = place >= 0
-                np.add.at(count[t], (place[inside], y[inside]), w[inside])
-                np.add.at(rows[t], place[inside], 1)
-                np.minimum.at(low[t], place[inside], x[inside])
-                np.maximum.at(high[t], place[inside], x[inside])
+                if not inside.any():
+                    continue
+                place, own = place[inside], x[inside]
+                count[t] += _summed(place * classes + y[inside], w[inside], count[t].size).reshape(count[t].shape)
+                rows[t] += np.bincount(place, minlength=len(rows[t]))
+                order = np.argsort(place, kind="stable")  # rows of a node stand together
+                begin = np.flatnonzero(np.append(True, np.diff(place[order]) != 0))
+                node = place[order][begin]
+                low[t][node] = np.minimum(low[t][node], np.minimum.reduceat(own[order], begin, axis=0))
+                high[t][node] = np.maximum(high[t][node], np.maximum.reduceat(own[order], begin, axis=0))
         out = [(t, node, int(rows[t][i]), count[t][i].tolist(), low[t][i].tolist(), high[t][i].tolist()) for t, own in enumerate(nodes) for i, node in enumerate(own) if rows[t][i]]
         columns = list(zip(*out, strict=True)) if out else [[] for _ in range(6)]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
@@ -428,8 +447,12 @@ def _scores(trees: list[Tree], tried: list[dict[int, tuple]], n_features: int, c
             x, y, w = _arrays(batch, n_features)
             for t, tree in enumerate(trees):
                 leaf = tree.leaf_of(x) if tried[t] and len(x) else None
-                for node, (features, thresholds) in (tried[t] if leaf is not None else {}).items():
-                    at = np.flatnonzero(leaf == node)
+                if leaf is None:
+                    continue
+                order = np.argsort(leaf, kind="stable")
+                bounds = np.searchsorted(leaf[order], np.arange(len(tree.feature) + 1))
+                for node, (features, thresholds) in tried[t].items():
+                    at = order[bounds[node] : bounds[node + 1]]
                     if not len(at):
                         continue
                     left = x[at][:, features] <= thresholds

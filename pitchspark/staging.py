@@ -43,6 +43,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many parts as there are cores: a file of one row group is read by one task, whatever comes after.
+
+    Only for rows that much work is done on, since it may shuffle them; tables of many parts stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def release(table: DataFrame) -> None:
     """Remove a staged table that nothing reads any more; plans built on it must have run."""
     path = getattr(table, "_staged_path", None)

@@ -177,3 +177,15 @@ def test_blend_means_the_two_best(spark):
     assert names == ["good", "fair"] and {r.row_id: round(r.p1, 9) for r in found.collect()} == {"a": 0.7, "b": 0.15}
     with pytest.raises(models.InsufficientData):
         models.blend({"good": good})
+
+
+def test_rows_of_one_part_are_spread_over_the_cores(spark):
+    rows = spark.range(4000).selectExpr("CAST(id % 7 AS DOUBLE) AS f", "CAST(id % 2 AS DOUBLE) AS label").coalesce(1)
+    table, _, shares = trees._prepared(rows, ["f"], "label", 2, None)
+    assert table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and shares == [2000.0, 2000.0]
+
+
+def test_summed_is_exact_beyond_doubles():
+    at, v = np.array([0, 1, 0, 1]), np.array([2**60, 1, 1, 2**55 + 1])
+    assert trees._summed(at, v, 3).tolist() == [2**60 + 1, 2**55 + 2, 0]
+    assert trees._summed(at, np.array([5, -7, 1, 2]), 3).tolist() == [6, -5, 0]
