@@ -2,12 +2,13 @@
 
 A word becomes the sum of three hashed embeddings: of the word and of its first four and six bytes, so inflected and
 compound forms share weight. Filters of several widths run over all words of a text, each filter's largest response
-counts, and a logistic layer joins them. Training takes a bounded sample of labelled rows: ``SAMPLE`` of each label, and
-``SAMPLE_BYTES`` of text of each label in all, the smallest hashes of the ids first, so the sample is the same on every run
-and doesn't depend on how long a text is. ``NETS`` networks are trained, each in a task of its own and without another part of
-the sample; a score is the mean of their logits. The part that a network hasn't seen gives its logits for the thresholds: each language has
-its own, drawn towards the common one where it has few toxic examples. Scores are shifted so that every language's
-threshold is ``CUT``. The language is guessed from the letters of the text, so nothing but the text enters a score.
+counts, and a logistic layer joins them. Training takes every labelled row: the rows are dealt by a hash of id and text into
+shards of bounded size, whose number grows with them. In each round every shard trains a copy of the weights in a task of its
+own, and what the copies changed is averaged in Spark (federated averaging); a single shard takes all its epochs in one round.
+``NETS`` networks are trained, each without another part of the rows; a score is the mean of their logits. The part that a
+network hasn't seen gives its logits for the thresholds, counted over all rows by hundredths: each language has its own,
+drawn towards the common one where it has few toxic examples. Scores are shifted so that every language's threshold is ``CUT``.
+The language is guessed from the letters of the text, so nothing but the text enters a score.
 Scoring reads whole texts, in slices of bounded memory.
 
 Defined cases: null and empty texts get the score of a text without words. Labels that are null, or whose id has no
@@ -20,23 +21,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pitchspark.llm.common import LOWER, staged, text_batches, text_bytes, word_prefix_hashes, word_spans
+from pitchspark.llm.common import LOWER, text_batches, text_bytes, word_prefix_hashes, word_spans
+from pitchspark.staging import release, shared_side, staged
 
-#: Examples of each label, and bytes of their texts together, in the training sample at most.
-SAMPLE, SAMPLE_BYTES = 2000, 24_000_000
+#: Examples and bytes of their words' rows that a shard has about; a task holds twice as much at once at most.
+SHARD_ROWS, SHARD_BYTES = 6_000, 24_000_000
+#: Rounds over all rows if there are several shards, and pieces of the weights that are averaged apart.
+ROUNDS, PIECES = 3, 16
 BUCKETS, DIMENSIONS, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 8
 PREFIXES = (None, 4, 6)
 #: A row of the embedding; two bytes hold them all, the padding too.
 ROW = np.uint16
 EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY, DROPPED = 8, 600, 32, 0.1, 1e-5, 0.3
-#: Networks, each trained without one of as many parts of the sample.
+#: Networks, each trained without one of as many parts of the rows.
 NETS = 3
 #: A language's threshold weighs as many examples as it has toxic ones, the common threshold this many.
 COMMON = 30
@@ -151,18 +155,14 @@ def _new_net(rng: np.random.Generator) -> Net:
     return Net(embedding, filters, np.zeros(n, np.float32), rng.normal(0, 0.3, n).astype(np.float32))
 
 
-def _learn(model: Net, texts: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator) -> None:
-    """``texts`` end with ``PAD``. Adagrad on the logistic loss; only windows that gave a largest response get a gradient. A part of the embeddings
-    is left out at random in each step, so that no single word of a text is relied on."""
+def _learn(model: Net, texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, rates: np.ndarray, rng: np.random.Generator) -> None:
+    """An epoch for each of ``rates``; ``texts`` end with ``PAD``. Adagrad on the logistic loss; only windows that gave a largest response get a
+    gradient. A part of the embeddings is left out at random in each step, so that no single word of a text is relied on."""
     last = len(PAD)
     seen = {k: np.full(v.shape, 1e-3, np.float32) for k, v in (("e", model.embedding), ("b", model.bias), ("w", model.weights))}
     seen_f = [np.full(f.shape, 1e-3, np.float32) for f in model.filters]
     seen_c, n_filters = 1e-3, len(model.weights)
-    # both labels weigh the same
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-    epochs = max(EPOCHS, LEAST_STEPS * BATCH // len(texts))
-    for epoch in range(epochs):
-        rate = RATE * (1 - epoch / epochs)
+    for rate in rates.tolist():
         for chosen in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // BATCH)):
             some = np.concatenate([texts[i] for i in chosen])
             some[rng.random(some.shape, np.float32) < DROPPED] = BUCKETS
@@ -208,63 +208,140 @@ def _learn(model: Net, texts: list[np.ndarray], labels: np.ndarray, rng: np.rand
             model.embedding[touched] -= rate * grad_e / np.sqrt(seen["e"][touched])
 
 
-def _threshold(logits: np.ndarray, labels: np.ndarray) -> float:
+def _threshold(logits: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> float:
     """In the middle between the cuts whose F score is the best or near it."""
-    order = np.argsort(-logits, kind="stable")
-    hit = np.cumsum(labels[order] == 1)
-    score = (1 + BETA**2) * hit / (np.arange(1, len(order) + 1) + BETA**2 * max(1, hit[-1]))
+    values, at = np.unique(-logits, return_inverse=True)
+    hit = np.cumsum(np.bincount(at, weights=counts * (labels == 1)))
+    score = (1 + BETA**2) * hit / (np.cumsum(np.bincount(at, weights=counts)) + BETA**2 * max(1, hit[-1]))
     good = np.flatnonzero(score >= score.max() - PLATEAU)
-    high, low = logits[order[good[0]]], logits[order[min(good[-1] + 1, len(order) - 1)]]
-    return float((high + low) / 2) if good[-1] + 1 < len(order) else float(low - 1)
-
-
-#: What a task gives back of its network: the arrays one after another, and the logits of the part it hasn't seen.
-_NET_TYPES = "net int, arrays array<binary>, constant double, label array<int>, language array<int>, logit array<double>"
-
-
-def _trained(seed: int):
-    """A function over the sample of one network (net, label, language, turn, place, rows): its weights and unseen logits."""
-
-    def run(table: pa.Table) -> pa.Table:
-        net_number = table.column("net")[0].as_py()
-        order = np.lexsort((table.column("place").to_numpy(), table.column("label").to_numpy()))
-        label, language, turn = (table.column(c).to_numpy()[order] for c in ("label", "language", "turn"))
-        bodies = table.column("rows").combine_chunks()
-        texts = [np.concatenate([np.frombuffer(bodies[int(k)].as_buffer(), dtype=ROW).reshape(-1, len(PREFIXES)), PAD]) for k in order]
-        rng = np.random.default_rng(seed + net_number)
-        net = _new_net(rng)
-        fit, kept = np.flatnonzero(turn != net_number), np.flatnonzero(turn == net_number)
-        fit = fit if len(fit) else kept
-        _learn(net, [texts[i] for i in fit], label[fit], rng)
-        unseen = [float(logits_of(net, texts[i][: -len(PAD)], np.array([len(texts[i]) - len(PAD)]))[0]) for i in kept]
-        arrays = [x.astype(np.float32).tobytes() for x in (net.embedding, *net.filters, net.bias, net.weights)]
-        columns = [[net_number], [arrays], [float(net.constant)], [label[kept].tolist()], [language[kept].tolist()], [unseen]]
-        kinds = [pa.int32(), pa.list_(pa.binary()), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64())]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["net", "arrays", "constant", "label", "language", "logit"])
+    high, low = -values[good[0]], -values[min(good[-1] + 1, len(values) - 1)]
+    return float((high + low) / 2) if good[-1] + 1 < len(values) else float(low - 1)
+
+
+def _flat(net: Net) -> np.ndarray:
+    return np.concatenate([x.ravel() for x in (net.embedding, *net.filters, net.bias, net.weights, np.array([net.constant]))]).astype(np.float32)
+
+
+def _net_of(flat: np.ndarray) -> Net:
+    sizes = [(BUCKETS + 1) * DIMENSIONS, *[w * DIMENSIONS * FILTERS for w in WIDTHS], len(WIDTHS) * FILTERS, len(WIDTHS) * FILTERS]
+    embedding, *filters, bias, weights, constant = np.split(flat.astype(np.float32), np.cumsum(sizes))
+    return Net(embedding.reshape(BUCKETS + 1, DIMENSIONS), [f.reshape(-1, FILTERS) for f in filters], bias, weights, float(constant[0]))
+
+
+@dataclass
+class _Block:
+    net: int
+    shard: int
+    number: int  # within the shard
+    label: np.ndarray
+    language: np.ndarray
+    turn: np.ndarray  # which network doesn't see the row
+    texts: list[np.ndarray]  # with PAD
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    """The rows (net, shard, label, language, rows) of each net and shard, in their order, as blocks of bounded size: a shard
+    is larger than one only if an example repeats very often."""
+    held: list[tuple] = []
+    owner, number, size = None, 0, 0
+
+    def block() -> _Block:
+        label, language = (np.array([r[k] for r in held]) for k in (0, 1))
+        turn = np.where(label == 1, np.cumsum(label == 1), np.cumsum(label != 1)) - 1
+        return _Block(*owner, number, label, language, turn % NETS, [np.concatenate([np.frombuffer(r[2], ROW).reshape(-1, len(PREFIXES)), PAD]) for r in held])
+
+    for batch in batches:
+        for net, shard, label, language, body in zip(*[c.to_pylist() for c in batch.columns]):
+            full = len(held) >= 2 * SHARD_ROWS or size + len(body) > 2 * SHARD_BYTES
+            if held and (full or owner != (net, shard)):
+                yield block()
+                number, held, size = number + 1 if owner == (net, shard) else 0, [], 0
+            owner = (net, shard)
+            held.append((label, language, body))
+            size += len(body)
+    if held:
+        yield block()
+
+
+#: What a block changed of a network: for each piece of the flat weights one row.
+_CHANGE_TYPES = "net int, piece int, shard int, number int, n long, change binary"
+
+
+def _round(nets: list[np.ndarray], weigh: tuple[float, float], now: int, rounds: int, seed: int):
+    """A function over rows of :func:`_blocks`: each block trains on from ``nets``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches):
+            fit = np.flatnonzero(b.turn != b.net)
+            fit = fit if len(fit) else np.arange(len(b.turn))
+            epochs = max(EPOCHS, LEAST_STEPS * BATCH // len(fit)) if rounds == 1 else 1
+            net, label = _net_of(nets[b.net]), b.label[fit]
+            rates = RATE * (1 - (now + np.arange(epochs) / epochs) / rounds)
+            _learn(net, [b.texts[i] for i in fit], label, np.where(label == 1, weigh[1], weigh[0]), rates, np.random.default_rng([seed, b.net, now, b.shard, b.number]))
+            pieces = [x.tobytes() for x in np.array_split(_flat(net) - nets[b.net], PIECES)]
+            same = [pa.array([v] * PIECES, k) for v, k in ((b.net, pa.int32()), (b.shard, pa.int32()), (b.number, pa.int32()), (len(fit), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([same[0], pa.array(range(PIECES), pa.int32()), *same[1:], pa.array(pieces, pa.binary())], ["net", "piece", "shard", "number", "n", "change"])
 
     return run
 
 
-def _net_of(arrays: list[bytes], constant: float) -> Net:
-    embedding, *filters, bias, weights = (np.frombuffer(x, np.float32) for x in arrays)
-    return Net(embedding.reshape(BUCKETS + 1, DIMENSIONS), [f.reshape(-1, FILTERS) for f in filters], bias, weights, constant)
+def _averaged(table: pa.Table) -> pa.Table:
+    """The mean change of one piece over the blocks, by their rows; a weight that a block left as it was doesn't count there, so
+    that the embedding of a rare word isn't thinned by shards without it."""
+    table = table.sort_by([("shard", "ascending"), ("number", "ascending")])
+    total = weight = 0.0
+    for n, body in zip(table.column("n").to_pylist(), table.column("change")):
+        change = np.frombuffer(body.as_buffer(), np.float32).astype(np.float64)
+        total, weight = total + n * change, weight + n * (change != 0)
+    mean = (total / np.maximum(weight, 1)).astype(np.float32)
+    return pa.Table.from_arrays([table.column("net")[:1], table.column("piece")[:1], pa.array([mean.tobytes()], pa.binary())], names=["net", "piece", "change"])
+
+
+def _unseen(nets: list[np.ndarray]):
+    """A function over rows of :func:`_blocks`: the logits of the rows that the block's network hasn't seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches):
+            kept = np.flatnonzero(b.turn == b.net)
+            if len(kept):
+                bodies = [b.texts[i][: -len(PAD)] for i in kept]
+                found = logits_of(_net_of(nets[b.net]), np.concatenate(bodies), np.array([len(x) for x in bodies]))
+                yield pa.RecordBatch.from_arrays([pa.array(b.label[kept], pa.int32()), pa.array(b.language[kept], pa.int32()), pa.array(found, pa.float64())], ["label", "language", "logit"])
+
+    return run
 
 
-def train(sample: DataFrame, seed: int = 11) -> Model:
-    """``sample``: label, language, turn (which network doesn't see it), place (within its label) and rows of :func:`features`,
-    bounded. Each network is trained in one task; what comes to the driver is their weights and a number for each example."""
+def train(rows: DataFrame, seed: int = 11) -> Model:
+    """``rows``: turn and mark (hashes that order them), label, language and rows of :func:`features`, staged. All of them are
+    learned from; what comes to the driver is the mean weights of each round and counts of logits by hundredths."""
     model = Model([], np.zeros(len(LANGUAGES)))
-    if sample.select("label").distinct().count() < 2:
+    seen = {r.label: r for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("rows")).alias("bytes")).collect()}
+    if len(seen) < 2:
         return model
-    spread = sample.withColumn("net", F.explode(F.array(*[F.lit(k) for k in range(NETS)])))
-    found = sorted(spread.groupBy("net").applyInArrow(_trained(seed), _NET_TYPES).collect(), key=lambda r: r.net)
-    model.nets = [_net_of(r.arrays, r.constant) for r in found]
-    labels, language, unseen = (np.concatenate([np.asarray(r[c], dtype=float) for r in found]) for c in ("label", "language", "logit"))
-    common = _threshold(unseen, labels)
+    n = sum(r.n for r in seen.values())
+    weigh = (n / seen[0].n / 2, n / seen[1].n / 2)  # both labels weigh the same
+    shards = max(1, -(-n // SHARD_ROWS), -(-sum(r.bytes for r in seen.values()) // SHARD_BYTES))
+    dealt = rows.repartition(shards, "turn", "mark").sortWithinPartitions("turn", "mark", "label")
+    dealt = staged(dealt.select(F.spark_partition_id().alias("shard"), "label", "language", "rows"), "toxicity-shards")
+    every = reduce(DataFrame.unionByName, [dealt.select(F.lit(k).alias("net"), "*") for k in range(NETS)])
+    nets = [_flat(_new_net(np.random.default_rng(seed + k))) for k in range(NETS)]
+    rounds = ROUNDS if shards > 1 else 1
+    for now in range(rounds):
+        changes = every.mapInArrow(_round(nets, weigh, now, rounds, seed), _CHANGE_TYPES)
+        mean = changes.groupBy("net", "piece").applyInArrow(_averaged, "net int, piece int, change binary").collect()
+        for k in range(NETS):
+            nets[k] = nets[k] + np.concatenate([np.frombuffer(r.change, np.float32) for r in sorted((r for r in mean if r.net == k), key=lambda r: r.piece)])
+    logits = every.mapInArrow(_unseen(nets), "label int, language int, logit double")
+    hundredth = F.round(F.greatest(F.least("logit", F.lit(30.0)), F.lit(-30.0)), 2)
+    counts = logits.groupBy("label", "language", hundredth.alias("logit")).agg(F.count("*").alias("n")).collect()
+    release(dealt)
+    model.nets = [_net_of(x) for x in nets]
+    labels, language, unseen, number = (np.array([r[c] for r in counts], dtype=float) for c in ("label", "language", "logit", "n"))
+    common = _threshold(unseen, labels, number)
     for k in range(len(LANGUAGES)):
         own = language == k
-        toxic = int((labels[own] == 1).sum())
-        model.shifts[k] = (toxic * _threshold(unseen[own], labels[own]) + COMMON * common) / (toxic + COMMON) if toxic else common
+        toxic = int(number[own & (labels == 1)].sum())
+        model.shifts[k] = (toxic * _threshold(unseen[own], labels[own], number[own]) + COMMON * common) / (toxic + COMMON) if toxic else common
     return model
 
 
@@ -273,15 +350,8 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         data, bounds = text_bytes(batch.column(1))
         rows, per_doc = features(data, bounds)
         ends = np.cumsum(per_doc)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(2),
-                pa.array(languages(data, bounds), pa.int32()),
-                pa.array([rows[b - k : b].tobytes() for b, k in zip(ends.tolist(), per_doc.tolist())], pa.binary()),
-            ],
-            ["place", "label", "language", "rows"],
-        )
+        bodies = [rows[b - k : b].tobytes() for b, k in zip(ends.tolist(), per_doc.tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(languages(data, bounds), pa.int32()), pa.array(bodies, pa.binary())], ["turn", "mark", "label", "language", "rows"])
 
 
 def train_on(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -289,17 +359,13 @@ def train_on(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc
     known = labels.where(use).where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     turn = F.xxhash64(F.col("id").cast("string"))
-    # the sample's labels: bounded, so they may be broadcast
-    wanted = [known.where(F.col("label") == label).orderBy(turn, "id").limit(SAMPLE) for label in (0, 1)]
+    known, _ = shared_side(known)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = texts.join(F.broadcast(wanted[0].unionByName(wanted[1])), "id").select("id", "text", "label", turn.alias("turn"))
-    # ids may stand for many texts: bounded again, by rows and by bytes together
-    best = [found.where(F.col("label") == label).orderBy("turn", "id", "text").limit(SAMPLE) for label in (0, 1)]
-    upto = Window.partitionBy("label").orderBy("turn", "id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    best = best[0].unionByName(best[1]).withColumns({"bytes": F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto), "place": F.count("*").over(upto)})
-    chosen = best.where(F.col("bytes") <= SAMPLE_BYTES).select("place", "text", "label")
-    sample = staged(chosen.mapInArrow(_feature_batches, "place long, label int, language int, rows binary"), "toxicity-sample")
-    return train(sample.withColumn("turn", (F.col("place") - 1) % NETS))
+    found = texts.join(known, "id").select(turn.alias("turn"), "text", F.xxhash64("text").alias("mark"), "label")
+    rows = staged(found.mapInArrow(_feature_batches, "turn long, mark long, label int, language int, rows binary"), "toxicity-rows")
+    model = train(rows)
+    release(rows)
+    return model
 
 
 # --- scoring -----------------------------------------------------------------------------------------------------

@@ -544,6 +544,40 @@ def test_toxicity_repeated_rows_and_ids(spark):
     assert toxicity.train_on(docs.unionByName(docs), twice, F.lit(True)).nets
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    docs = spark.range(4600).selectExpr("id AS doc_id", "concat('w', id, ' x') AS text")
+    labels = spark.range(4600).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows: seen.append(rows.groupBy("label").count().collect()))
+    toxicity.train_on(docs, labels, F.lit(True))
+    assert {r["label"]: r["count"] for r in seen[0]} == {0: 2300, 1: 2300}
+
+
+def test_toxicity_from_many_shards(spark, monkeypatch):
+    docs, labels = toxic_corpus(spark, 1200)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 250)
+    monkeypatch.setattr(toxicity, "ROUNDS", 30)  # shards here have ten steps a round
+    out = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.train_on(docs, labels, ~out)
+    again = toxicity.train_on(docs.repartition(7), labels, ~out)
+    assert np.array_equal(model.shifts, again.shifts) and np.array_equal(model.nets[1].embedding, again.nets[1].embedding)
+    found = toxicity.score(docs, model).join(labels, "doc_id").where(out)
+    assert found.where("flagged = (toxic = 1)").count() >= 0.95 * found.count()
+
+
+def test_toxicity_blocks_hold_each_row_once():
+    import pyarrow as pa
+
+    rows = [(net, shard, k % 5 == 0, 0, bytes(6 * k)) for net in (0, 1) for shard in (3, 4) for k in range(50)]
+    names = ["net", "shard", "label", "language", "rows"]
+    batch = pa.RecordBatch.from_arrays([pa.array([int(r[k]) if k < 4 else r[k] for r in rows], pa.binary() if k == 4 else pa.int32()) for k in range(5)], names)
+    blocks = list(toxicity._blocks(iter([batch.slice(0, 30), batch.slice(30)])))
+    assert [(b.net, b.shard, len(b.texts)) for b in blocks] == [(0, 3, 50), (0, 4, 50), (1, 3, 50), (1, 4, 50)]
+    for b in blocks:
+        assert [len(t) - len(toxicity.PAD) for t in b.texts] == list(range(50))
+        assert max(Counter(b.turn[b.label == 1]).values()) - min(Counter(b.turn[b.label == 1]).values()) <= 1
+
+
 def test_toxicity_without_examples(spark):
     docs, labels = toxic_corpus(spark, 20)
     model = toxicity.train_on(docs, labels.limit(0), F.lit(True))
