@@ -1,7 +1,8 @@
 """Entity resolution between two sources of fixtures: blocking by time and country, hard guards, aliases, a score.
 
 Candidates meet in an equality join on a quarter of an hour and the country; fixtures without a country meet those of any
-country by a quarter of an hour and rare bigrams of both names. Similarities are computed behind the guards only.
+country by a quarter of an hour and common bigrams of both names: pair by pair where a quarter has few fixtures of either
+source, by the rare ones of their bigrams where it has many. Similarities are computed behind the guards only.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from pyspark.sql.window import Window
 from pitchspark.functions.countries import country_names
 from pitchspark.functions.text import label_key, marker_set, normal_name, sequence_ratio, team_core, team_name
 from pitchspark.operators.joins import interval_join, latest_by
-from pitchspark.staging import shared_side, staged
+from pitchspark.staging import shared_side, spread, staged
 
 LEAST_COMPETITION, LEAST_TEAM, ACCEPT, NEAR = 0.70, 0.78, 0.80, 0.05
 #: Of a name's bigrams that a similar name shares: at a ratio of ``LEAST_TEAM`` two names of together n letters have m of them
 #: in common blocks, n - 2 m outside, and so one more block than that at most: 3 m - n - 1 bigrams or more.
 _SHARE, _PARTNER = 1.5 * LEAST_TEAM - 1, LEAST_TEAM / (2 - LEAST_TEAM)
+#: Fixtures of the smaller side in a stretch of time up to which all its pairs are looked at: fewer than the pairs of rare
+#: bigrams that each fixture would be multiplied by.
+FEW = 100
 
 
 def prepare(fixtures: DataFrame, source: str, countries: dict[str, str] | None = None) -> DataFrame:
@@ -69,9 +73,47 @@ def _rarest(rows: DataFrame, column: str, often: DataFrame, name: str) -> DataFr
     return rows.join(ordered.select(column, first.alias(name)), column)
 
 
+def _share_grams(x: str, y: str) -> Column:
+    """Whether two names have as many bigrams in common as a ratio of ``LEAST_TEAM`` needs."""
+    least = F.greatest(F.lit(1), F.ceil(_SHARE * (F.length(x) + F.length(y)) - 1 - 1e-9))
+    return F.size(F.array_intersect(_grams(F.col(x)), _grams(F.col(y)))) >= least
+
+
+def _same_core(x: str, y: str) -> Column:
+    return team_core(F.col(x)) == team_core(F.col(y))
+
+
+def _bucket(time: str, seconds: int) -> Column:
+    return F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (seconds * 1_000_000))
+
+
 def _similar_names(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
     """Pairs near in time whose names may be similar on both sides, or are equal but for decorations, whatever the country.
 
+    Stretches of time with fixtures of one source only are left out first. In those with few fixtures of either side every
+    pair is looked at; in the others pairs meet by rare bigrams."""
+    near = left.withColumn("_at", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: _bucket("a_kickoff", seconds) + d)))
+    at = right.withColumn("_at", _bucket("b_kickoff", seconds))
+    count = lambda df, name: df.groupBy("_at").agg(F.count("*").alias(name))
+    cells = staged(count(near, "_n").join(count(at, "_m"), "_at").select("_at", (F.least("_n", "_m") <= FEW).alias("_few")), "match-times")
+    some = {r["_few"] for r in cells.select("_few").distinct().collect()}
+    out = left.limit(0).crossJoin(right.limit(0))
+    if True in some:
+        few, _ = shared_side(cells.where("_few").select("_at"))
+        gap = F.abs(F.unix_micros(F.col("a_kickoff").cast("timestamp")) - F.unix_micros(F.col("b_kickoff").cast("timestamp")))
+        pairs = near.join(few, "_at", "left_semi").join(at, "_at").where(gap <= seconds * 1_000_000).drop("_at")
+        names = (_share_grams("a_home", "b_home") & _share_grams("a_away", "b_away")) | (_same_core("a_home", "b_home") & _same_core("a_away", "b_away"))
+        out = pairs.where(names).dropDuplicates(["a_id", "a_home", "a_away", "b_id", "b_home", "b_away"])
+    if False in some:
+        many, _ = shared_side(cells.where("NOT _few").select("_at"))
+        own = near.join(many, "_at", "left_semi").drop("_at").dropDuplicates(["a_id", "a_home", "a_away"])
+        out = out.unionByName(_by_grams(own, at.join(many, "_at", "left_semi").drop("_at"), seconds))
+    return out
+
+
+def _by_grams(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
+    """The pairs of :func:`_similar_names` by rare bigrams.
+
     Names that are similar enough share a bigram among the rarest of either (prefix filtering), so pairs meet by time and
     such a bigram of the home side and of the away side; none that the similarity floors would let pass is missed."""
     often = None
@@ -94,6 +136,7 @@ def candidates(left: DataFrame, right: DataFrame, seconds: int = 900) -> DataFra
     """Pairs of prepared fixtures whose kickoffs are near and that no guard parts: names present, not the same fixture the
     other way round, equal markers, equal countries if both are known. Where a country is unknown only pairs are given whose
     names can reach the floors of :func:`scored`."""
+    left, right = staged(left, "match-left"), staged(right, "match-right")
     known_left, known_right = left.where("a_country IS NOT NULL"), right.where("b_country IS NOT NULL")
     by_country = interval_join(known_left.withColumn("_country", F.col("a_country")), known_right.withColumn("_country", F.col("b_country")), "a_kickoff", "b_kickoff", seconds, ["_country"])
     pairs = by_country.drop("_country")
@@ -138,7 +181,7 @@ def scored(pairs: DataFrame, labels: dict[str, list[tuple[str, ...]]] | None = N
 def resolve(pairs: DataFrame) -> DataFrame:
     """Best pair of each left fixture: a_id, b_id (null unless decided), score, second and verdict: EXACT, HIGH_CONFIDENCE,
     AMBIGUOUS (another within ``NEAR``) or UNMATCHED. Of several spellings of a pair the best counts."""
-    each = pairs.groupBy("a_id", "b_id").agg(F.max("score").alias("score"), F.max_by("exact", "score").alias("exact")).where("score > 0")
+    each = staged(pairs.groupBy("a_id", "b_id").agg(F.max("score").alias("score"), F.max_by("exact", "score").alias("exact")).where("score > 0"), "match-scores")
     best = latest_by(each.withColumn("_turn", F.struct("score", -F.row_number().over(Window.partitionBy("a_id", "score").orderBy("b_id")))), ["a_id"], ["_turn"]).drop("_turn")
     second = each.join(best.select("a_id", F.col("b_id").alias("_first")), "a_id").where("b_id <> _first").groupBy("a_id").agg(F.max("score").alias("second"))
     close = F.coalesce(F.col("second") >= F.col("score") - NEAR, F.lit(False))
@@ -149,7 +192,7 @@ def resolve(pairs: DataFrame) -> DataFrame:
 
 def match(left: DataFrame, right: DataFrame, aliases: DataFrame | None = None, labels: dict[str, list[tuple[str, ...]]] | None = None) -> DataFrame:
     """The whole chain for two tables of fixtures; ``aliases`` are other spellings of the right source's names."""
-    a, b = prepare(left, "a"), prepare(right, "b")
+    a, b = prepare(spread(left), "a"), prepare(spread(right), "b")
     return resolve(scored(candidates(a, b if aliases is None else with_aliases(b, aliases, "b")), labels))
 
 

@@ -82,6 +82,31 @@ def test_candidates_without_a_country_equal_all_pairs_above_the_floors(spark):
     assert pairs.count() == len(got)
 
 
+def test_fixtures_far_from_all_others_are_not_multiplied(spark, monkeypatch):
+    kind = "fixture_id int, home string, away string, s long, country string"
+    side = lambda rows, s: matching.prepare(spark.createDataFrame(rows, kind).withColumn("kickoff", F.timestamp_seconds("s")), s)
+    far = [(k, f"Supplier {k}", f"Away {k}", 1_700_000_000 + 7200 * k, None) for k in range(40)]
+    left, right = side(far[:3], "a"), side(far, "b")
+    expected = {(r.a_id, r.b_id) for r in matching.candidates(left, right).collect()}
+    monkeypatch.setattr(matching, "_by_grams", None)  # no quarter of an hour here has many of both sources
+    assert {(r.a_id, r.b_id) for r in matching.candidates(left, right).collect()} == expected == {(k, k) for k in range(3)}
+
+
+def test_few_and_many_fixtures_at_a_time_give_the_same_scores(spark, monkeypatch):
+    rng = random.Random(5)
+    clubs = ["bayern munich", "real madrid", "fc koln", "ajax", "as roma", "az", "ok", "inter", "1860 munich"]
+    kind = "fixture_id int, home string, away string, s long, country string"
+    rows = [(k, *rng.sample(clubs, 2), 1_700_000_000 + rng.randrange(9000), rng.choice([None, "de"])) for k in range(120)]
+    right = [(k, mangled(rng, h), mangled(rng, w), at + rng.randrange(-1000, 1000), None) for k, h, w, at, _ in rows]
+    a, b = (spark.createDataFrame(x, kind).withColumn("kickoff", F.timestamp_seconds("s")) for x in (rows, right))
+    found = {}
+    for few in (0, 10**6):
+        monkeypatch.setattr(matching, "FEW", few)
+        pairs = matching.scored(matching.candidates(matching.prepare(a, "a"), matching.prepare(b, "b")))
+        found[few] = sorted((r.a_id, r.b_id, r.score) for r in pairs.where("score > 0").collect())
+    assert found[0] == found[10**6] and len(found[0]) > 30
+
+
 def test_prepared_countries_join_over_their_spellings(spark):
     rows = lambda country: spark.createDataFrame([(1, "FC Alpha", "Beta", 1_700_000_000, country)], "fixture_id int, home string, away string, s long, country string").withColumn("kickoff", F.timestamp_seconds("s"))
     for a, b in (("NED", "Niederlande"), ("deu", "Germany"), ("ENG", "uk")):
