@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pitchspark.operators import joins, markets
 from pitchspark.plans.registry import query
+from pitchspark.staging import keyed
 
 _NOW = "2024-01-01 00:00:00"
 
@@ -40,7 +41,7 @@ def proxy_events(t):
 def proxy_outcomes(t):
     c = F.col
     plus, part = c("outcome_id") == "+", c("l_partkey") % 6
-    lines = t.lineitem.withColumn("outcome_id", F.explode(F.array(F.lit("+"), F.lit("-"))))
+    lines = keyed(t.lineitem, "l_orderkey").withColumn("outcome_id", F.explode(F.array(F.lit("+"), F.lit("-"))))
     return lines.select(
         c("l_orderkey").alias("event_id"), F.concat_ws("-", "l_linenumber", "l_suppkey", "l_partkey").alias("market_id"), "outcome_id",
         F.when(part == 3, "points-more-less").when(part == 4, "next-point").when(part == 5, "score-both").otherwise("points-more-less-rest").alias("market_type"),

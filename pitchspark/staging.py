@@ -51,6 +51,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in parts by ``key``, before its rows are multiplied or widened: joins and groups by that key, also under another
+    name, then move nothing more. The number of parts is fixed, so that parts which are small here stay small when they grow."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def release(table: DataFrame) -> None:
     """Remove a staged table that nothing reads any more; plans built on it must have run."""
     path = getattr(table, "_staged_path", None)

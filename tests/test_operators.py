@@ -209,3 +209,11 @@ def test_ranks_of_many_rows_over_several_partitions(spark):
     parts = {r["part"]: r["count"] for r in windows.walk_forward(df, ["v", "tie"]).groupBy("part").count().collect()}
     assert parts == {"FOLD0": 30_000, "FOLD1": 30_000, "FOLD2": 30_000, "FOLD3": 30_000, "LOCKED": 30_000}
     assert [r["v"] for r in ordering.quantile_sample(df, ["v", "tie"], 3).orderBy("v").collect()] == sorted(r["v"] for r in found.where("place IN (1, 75001, 150000)").collect())
+
+
+def test_order_lines_are_moved_before_they_become_outcomes(spark):
+    from pitchspark.plans import QUERIES, runner
+
+    for name in ("p02_canonical_outcomes", "d01_equivalence"):
+        plan = runner(QUERIES[name])(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "Exchange hashpartitioning(event_id" not in plan.split("Generate")[0]
