@@ -270,10 +270,10 @@ def covered_stakes(q_zero: Column, q_two: Column, stake: float, p1: Column) -> C
         return F.struct(v["a"].alias("a"), v["b"].alias("b"), known.alias("known"), (1 / v["a"].cast("double") + 1 / v["b"].cast("double")).alias("back"))
 
     quotes = F.struct(q_zero.cast("decimal(10,4)").alias("a"), q_two.cast("decimal(10,4)").alias("b"))
-    return _bound(quotes, with_known, with_back, with_base, choose, shown)
+    return bound(quotes, with_known, with_back, with_base, choose, shown)
 
 
-def _bound(value: Column, *steps: Callable[[Column], Column]) -> Column:
+def bound(value: Column, *steps: Callable[[Column], Column]) -> Column:
     """``value`` through steps that may use what they get many times: it is evaluated once and stands in the plan once."""
     for step in steps:
         value = F.get(F.transform(F.array(value), step), F.lit(0))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from pitchspark.functions.numbers import haircut, ratio, two_way_probability, wilson
 from pitchspark.operators.aggregates import count_if
-from pitchspark.operators.markets import covered_stakes
+from pitchspark.operators.markets import bound, covered_stakes
 from pitchspark.operators.selection import distinct_counts, exact_quantiles, with_keys
 from pitchspark.staging import spread, staged
 
@@ -54,13 +54,15 @@ def archived_pair(items: Column, line: float) -> Column:
     )
     has = lambda v: (F.coalesce(v, F.lit("")) != "").cast("int")
     richness = lambda x: F.struct(has(x["period"]).alias("a"), has(x["scope"]).alias("b"), has(x["raw_market_type"]).alias("c"), has(x["raw_market_caption"]).alias("d"))
-    one_side = lambda side: F.filter(usable, lambda x: x["canonical_type"] == f"REMAINING_TOTAL_{side}")
-    best = lambda side, market: F.array_max(F.transform(F.filter(one_side(side), lambda x: x["market_id"] == market), lambda x, i: F.struct(richness(x).alias("r"), (-i).alias("i"), x.alias("x"))))["x"]
-    both = F.transform(
-        F.array_intersect(F.transform(one_side("UNDER"), lambda x: x["market_id"]), F.transform(one_side("OVER"), lambda x: x["market_id"])),
-        lambda m: F.struct((best("UNDER", m)["odds"] + best("OVER", m)["odds"]).alias("sum"), m.alias("market_id"), best("UNDER", m).alias("under"), best("OVER", m).alias("over")),
-    )
-    return F.array_max(both)
+    one_side = lambda v, side: F.filter(v, lambda x: x["canonical_type"] == f"REMAINING_TOTAL_{side}")
+    best = lambda v, market: F.array_max(F.transform(F.filter(v, lambda x: x["market_id"] == market), lambda x, i: F.struct(richness(x).alias("r"), (-i).alias("i"), x.alias("x"))))["x"]
+    ids = lambda v: F.transform(v, lambda x: x["market_id"])
+
+    def chosen(v: Column) -> Column:
+        both = F.transform(F.array_intersect(ids(v["under"]), ids(v["over"])), lambda m: F.struct(m.alias("market_id"), best(v["under"], m).alias("under"), best(v["over"], m).alias("over")))
+        return F.array_max(F.transform(both, lambda x: F.struct((x["under"]["odds"] + x["over"]["odds"]).alias("sum"), x["market_id"].alias("market_id"), x["under"].alias("under"), x["over"].alias("over"))))
+
+    return bound(usable, lambda v: F.struct(one_side(v, "UNDER").alias("under"), one_side(v, "OVER").alias("over")), chosen)
 
 
 def observations(snapshots: DataFrame, results: DataFrame, events: DataFrame, markets_json: str = "relevant_markets_json") -> DataFrame:
@@ -74,9 +76,10 @@ def observations(snapshots: DataFrame, results: DataFrame, events: DataFrame, ma
     """
     c = F.col
     zero = lambda x: F.coalesce(F.lower(F.trim(c(x).cast("string"))).isin("0", "false", "no", "off"), F.lit(False))
-    rows = snapshots.join(results.withColumn("_result", F.lit(True)), "event_id", "left").join(events, "event_id", "left")
-    rows = rows.withColumn("_items", F.coalesce(F.from_json(markets_json, ITEMS), F.array().cast(ITEMS)))
-    rows = rows.withColumn("pair_05", archived_pair(c("_items"), 0.5)).withColumn("pair_15", archived_pair(c("_items"), 1.5))
+    pairs = bound(F.coalesce(F.from_json(markets_json, ITEMS), F.array().cast(ITEMS)), lambda items: F.struct(archived_pair(items, 0.5).alias("pair_05"), archived_pair(items, 1.5).alias("pair_15")))
+    rows = snapshots.withColumn("_pairs", pairs)  # before the joins, which then move two pairs instead of the archive
+    rows = rows.join(results.withColumn("_result", F.lit(True)), "event_id", "left").join(events, "event_id", "left")
+    rows = rows.withColumns({"pair_05": c("_pairs.pair_05"), "pair_15": c("_pairs.pair_15")})
     p = lambda pair: two_way_probability(c(f"{pair}.under.odds"), c(f"{pair}.over.odds"))
     rows = rows.withColumns({"p0_recomputed": p("pair_05"), "p01_recomputed": p("pair_15")}).withColumn("p1_recomputed", c("p01_recomputed") - c("p0_recomputed"))
     t = PAIR_TOLERANCE
@@ -125,7 +128,7 @@ def observations(snapshots: DataFrame, results: DataFrame, events: DataFrame, ma
         (~scope_conflict & ~scope_explicit, "SETTLEMENT_SCOPE_UNKNOWN"), (inconsistent, "P1_PAIR_INCONSISTENT"), (p1_valid & ~p1_conflict & ~semantics, "P1_REFERENCE_PAIR_UNVERIFIED"),
     ]
     flags = F.filter(F.array(*[F.when(cond, F.lit(name)) for cond, name in reasons]), lambda x: x.isNotNull())
-    return rows.withColumns({"evidence_level": level, "quality_flags": flags, "primary_reject_reason": F.try_element_at(flags, F.lit(1))}).drop("_items", "_result")
+    return rows.withColumns({"evidence_level": level, "quality_flags": flags, "primary_reject_reason": F.try_element_at(flags, F.lit(1))}).drop("_pairs", "_result")
 
 
 def selected_days(rows: DataFrame, day: str, observed: str, first: str | None = None, last: str | None = None, cutoff: str | None = None) -> DataFrame:
