@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pitchspark.functions import numbers, text, times
 from pitchspark.operators import ledger, reshape
 from pitchspark.plans.registry import query
+from pitchspark.staging import keyed
 from pitchspark.sources import documents, feeds
 
 c = F.col
@@ -195,7 +196,7 @@ m AS (SELECT l_orderkey, l_returnflag, CASE WHEN bool_or(can) THEN 'open' ELSE '
 SELECT o.l_orderkey::VARCHAR AS event_id, o.l_returnflag AS market_id, 'type-' || o.l_returnflag AS market_type, o.l_linenumber::VARCHAR AS outcome_id, 0.5 + l_linenumber AS odds, o.status, market_status, can AND market_status = 'open' AS available FROM o JOIN m USING (l_orderkey, l_returnflag)""",
 )
 def s03_event_detail(t):
-    once = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min_by("l_returnflag", F.struct("l_partkey", "l_quantity")).alias("l_returnflag"))
+    once = keyed(t.lineitem, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min_by("l_returnflag", F.struct("l_partkey", "l_quantity")).alias("l_returnflag"))
     outcome = F.struct(c("l_linenumber").cast("string").alias("id"), (c("l_linenumber") + 0.5).alias("quoteFloatValue"), F.when(c("l_linenumber") % 3 == 0, "PAUSED").alias("status"))
     entry = F.struct(c("l_linenumber").cast("long").alias("n"), c("l_returnflag").alias("m"), outcome.alias("o"))
     orders = once.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("x"))  # of one order

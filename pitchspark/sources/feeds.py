@@ -78,7 +78,7 @@ def outcomes_of_detail(documents: DataFrame, payload: str = "payload") -> DataFr
     of its own is paused if it has outcomes and none of them is available, else open."""
     doc = F.from_json(payload, DETAIL)
     kept = [c for c in documents.columns if c != payload]
-    rows = documents.select(*kept, doc.alias("d")).where("d.oddGroups IS NOT NULL OR d.oddGroupResultsMap IS NOT NULL")
+    rows = documents.select(*kept, doc.alias("d"))  # without a filter, for which the document would be parsed again
     keys = lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))
     rows = rows.select("*", F.explode(F.array_distinct(F.concat(keys("d.oddGroups"), keys("d.oddGroupResultsMap")))).alias("market_id"))
     market = F.try_element_at("d.oddGroups", F.col("market_id"))

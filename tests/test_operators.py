@@ -217,3 +217,12 @@ def test_order_lines_are_moved_before_they_become_outcomes(spark):
     for name in ("p02_canonical_outcomes", "d01_equivalence"):
         plan = runner(QUERIES[name])(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "Exchange hashpartitioning(event_id" not in plan.split("Generate")[0]
+
+
+def test_documents_are_parsed_once_and_before_joins(spark):
+    from pitchspark.plans import QUERIES, runner
+
+    plan = lambda name: runner(QUERIES[name])(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan("s03_event_detail").count("from_json(") == 1
+    found = plan("p08_observations")
+    assert "from_json(" not in found.split("Join")[0] and "Exchange hashpartitioning(event_id" not in found
