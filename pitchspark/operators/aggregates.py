@@ -120,7 +120,7 @@ def bootstrap_by_day(df: DataFrame, keys: list[str], day: str, stake: str, pnl:
             yield pd.Series([_limits(s, p, rounds, seed) for s, p in zip(stakes, profits, strict=True)], dtype=object)
 
     known = lambda x: F.transform("_d", lambda d: F.coalesce(d[x], F.lit(float("nan"))))
-    out = lists.repartition(*keys) if keys else lists
+    out = lists.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys) if keys else lists  # small lists, much work
     out = out.withColumn("_l", limits(known("s"), known("p")))
     return out.select(*keys, "days", F.col("_l")[0].alias("roi_low"), F.col("_l")[1].alias("roi_high"))
 

@@ -40,9 +40,10 @@ def _bits(values: pd.Series) -> pd.Series:
 
 
 def counted_cells(flat: DataFrame, label: str) -> DataFrame:
-    """Staged (g, value, n, bits) of rows (g, value): equal values of a group once with their number, partly aggregated before
-    the shuffle, so that the passes over them read no value twice."""
-    return staged(flat.groupBy("g", "value").agg(F.count("*").alias("n")).withColumn("bits", ordered_bits(F.col("value"))), label)
+    """Staged (g, value, n, bits) of rows (g, value), or of rows counted before (g, value, n): equal values of a group once with
+    their number, partly aggregated before the shuffle, so that the passes over them read no value twice."""
+    n = F.sum("n") if "n" in flat.columns else F.count("*")
+    return staged(flat.groupBy("g", "value").agg(n.alias("n")).withColumn("bits", ordered_bits(F.col("value"))), label)
 
 
 def order_statistics(cells: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -83,28 +84,33 @@ def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Colu
     ``how``: ``linear`` interpolates between the two nearest ranks of q * (n - 1); ``nearest`` takes sorted[ceil(q * n) - 1];
     ``truncated`` takes sorted[int(q * n) - 1], the first at least. Equal values are exact; so are the ranks.
     """
-    if how not in ("linear", "nearest", "truncated"):
-        raise ValueError(f"no way of ranking named {how}")
     measures: dict[str, tuple[Column, dict[str, float]]] = {}
     for name, (value, q) in wanted.items():  # one value may have several quantiles
         measures.setdefault(str(value), (value, {}))[1][name] = q
     values = F.array(*[F.struct(F.lit(k).alias("m"), value.cast("double").alias("value")) for k, (value, _) in enumerate(measures.values())])
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
-    flat = df.select(group.alias("key"), F.explode(values).alias("c")).where("c.value IS NOT NULL")
-    cells = counted_cells(flat.select(F.struct("key", "c.m").alias("g"), "c.value"), "selection-cells")
+    flat = df.select(group.alias("key"), F.explode(values).alias("c")).where("c.value IS NOT NULL").select("key", "c.m", "c.value")
+    return counted_quantiles(flat, keys, {name: (k, q) for k, (_, own) in enumerate(measures.values()) for name, q in own.items()}, how)
+
+
+def counted_quantiles(flat: DataFrame, keys: list[str], wanted: dict[str, tuple[int, float]], how: str = "linear") -> DataFrame:
+    """:func:`exact_quantiles` of rows (key: a struct of the keys, m: which measure, value), which may be counted (n) already:
+    name -> (m, q)."""
+    if how not in ("linear", "nearest", "truncated"):
+        raise ValueError(f"no way of ranking named {how}")
+    cells = counted_cells(flat.select(F.struct("key", "m").alias("g"), *[c for c in ("value", "n") if c in flat.columns]), "selection-cells")
     sizes = staged(cells.groupBy("g").agg(F.sum("n").alias("n")), "selection-sizes")
 
     n = F.col("n")
     aims = []
-    for k, (_, quantiles) in enumerate(measures.values()):
-        for name, q in quantiles.items():
-            if how == "linear":
-                at = (n - 1) * F.lit(float(q))
-                places = (F.floor(at), F.ceil(at), at)
-            else:
-                place = F.greatest(F.lit(0), (F.ceil(n * F.lit(float(q))) if how == "nearest" else F.floor(n * F.lit(float(q)))) - 1)
-                places = (place, place, place)
-            aims.append(F.when(F.col("g.m") == k, F.struct(F.lit(name).alias("name"), *[p.cast(t).alias(a) for p, t, a in zip(places, ("long", "long", "double"), ("lo", "hi", "at"), strict=True)])))
+    for name, (k, q) in wanted.items():
+        if how == "linear":
+            at = (n - 1) * F.lit(float(q))
+            places = (F.floor(at), F.ceil(at), at)
+        else:
+            place = F.greatest(F.lit(0), (F.ceil(n * F.lit(float(q))) if how == "nearest" else F.floor(n * F.lit(float(q)))) - 1)
+            places = (place, place, place)
+        aims.append(F.when(F.col("g.m") == k, F.struct(F.lit(name).alias("name"), *[p.cast(t).alias(a) for p, t, a in zip(places, ("long", "long", "double"), ("lo", "hi", "at"), strict=True)])))
     aimed = staged(sizes.select("g", F.explode(F.array_compact(F.array(*aims))).alias("a")).select("g", "a.*"), "selection-aims")
     ranks = aimed.select("g", F.explode(F.array("lo", "hi")).alias("rank")).distinct()
     found = staged(order_statistics(cells, ranks), "selection-found")

@@ -6,6 +6,11 @@ task has to sort all trades of a group. Everything is expressions, joins with sm
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,8 +18,8 @@ from pyspark.sql.window import Window
 from pitchspark.functions.numbers import haircut, ratio, two_way_probability, wilson
 from pitchspark.operators.aggregates import count_if
 from pitchspark.operators.markets import bound, covered_stakes
-from pitchspark.operators.selection import distinct_counts, exact_quantiles, with_keys
-from pitchspark.staging import spread, staged
+from pitchspark.operators.selection import counted_quantiles, with_keys
+from pitchspark.staging import shared_side, spread, staged
 
 COMBINATION, SINGLE_ZERO, SINGLE_TWO = "COMBINATION", "SINGLE_ZERO", "SINGLE_TWO_PLUS"
 OUTCOMES = ("H2_GOALS_0", "H2_GOALS_1", "H2_GOALS_2_PLUS")
@@ -192,7 +197,12 @@ def path_stats(trades: DataFrame, keys: list[str], chunk: str, order: list[str],
         F.sum("_total").alias("total"), F.max("_high").alias("high"), F.min("_low").alias("low"), F.max("_fall").alias("fall"), F.sum("_n").alias("n"), F.sum("_run").alias("losses"),
         F.coalesce(F.max(F.when(F.col("_wins") == 0, F.col("_run"))), F.lit(0)).alias("first"), F.max_by("_run", "_wins").alias("last"), F.max("_run").alias("most"),
     )
-    cells = F.struct(F.col(chunk), *["total", "high", "low", "fall", "n", "losses", "first", "last", "most"])
+    return _folded(chunks.withColumns({"_day": F.col(chunk), "_seq": F.lit(0)}), keys)
+
+
+def _folded(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """A key's chunks, folded in their order."""
+    cells = F.struct("_day", "_seq", *["total", "high", "low", "fall", "n", "losses", "first", "last", "most"])
     start = F.struct(F.lit(0.0).alias("balance"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("fall"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("longest"))
 
     def step(s: Column, x: Column) -> Column:
@@ -208,108 +218,331 @@ def path_stats(trades: DataFrame, keys: list[str], chunk: str, order: list[str],
     return folded.select(*keys, "f.balance", "f.peak", F.round("f.fall", 2).alias("max_drawdown"), F.col("f.longest").alias("longest_loss_streak"))
 
 
-#: Fields of trades whose medians a summary has.
+#: Fields of trades whose medians a summary has; the last two differ by form.
 MEDIANS = ("q_zero", "q_two", "p1_break_even", "p1_buffer", "win_roi", "payout")
+#: Distinct counts of a summary: what is counted, and their names for all entries and for resolved ones.
+DISTINCT = (("event", "different_games", "resolved_games"), ("day", "days", "resolved_days"), ("competition_country", "countries", None), ("competition", "competitions", None))
+
+
+@dataclass(frozen=True)
+class Places:
+    """Where an entry may stand, at once: each place has values of ``names``, a bit of an entry's mask (``_in``) and a form.
+
+    Passes group rows by their mask, or send a row's mask along with it, and give a group to its places only when it is counted,
+    so that no row is multiplied by the places that hold it."""
+
+    names: list[str]
+    rows: list[tuple]  # values of the names, bit, place of the form in ``forms``
+    forms: list[str]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        schema = ", ".join([*[f"{n} string" for n in self.names], "_bit long", "_form int", "_place int"])
+        return _literal(spark, tuple((*r[:-2], 1 << r[-2], r[-1], k) for k, r in enumerate(self.rows)), schema)
+
 
+def _mask(conditions: list[Column]) -> Column:
+    """Bit k is set if the k-th condition holds; an unknown condition doesn't."""
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(x, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, x in enumerate(conditions)])
 
-def summary(rows: DataFrame, keys: list[str], day: str = "day", event: str = "event_id", order: tuple[str, ...] = ("observed_at", "event_id"), rounds: int = 500) -> DataFrame:
+
+def _inside(field: str | None, lower: float | None, upper: float | None) -> Column:
+    value = F.col(field).cast("double") if field else F.lit(0.0)
+    return value.isNotNull() & (F.lit(lower is None) | (value >= F.lit(lower))) & (F.lit(upper is None) | (value < F.lit(upper)))
+
+
+def _parts(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+_RATIOS = {
+    "observed_p1": ("h2_goals_1", "resolved_trades"), "observed_p1_low": ("h2_goals_1", "resolved_trades"), "observed_p1_high": ("h2_goals_1", "resolved_trades"),
+    "temporal_status": ("resolved_days",), "sample_status": ("resolved_games",),
+}
+
+
+def summary(
+    rows: DataFrame, keys: list[str], day: str = "day", event: str = "event_id", order: tuple[str, ...] = ("observed_at", "event_id"), rounds: int = 500, columns: tuple[str, ...] | None = None
+) -> DataFrame:
     """All measures of trades per key. ``rows`` are the entries (simulated, with result_valid); entries without a result
-    count as candidates only. Games, days and competitions are counted distinct, of all entries and of resolved ones."""
-    from pitchspark.operators.aggregates import bootstrap_by_day
+    count as candidates only. Games, days and competitions are counted distinct, of all entries and of resolved ones.
+
+    With ``columns`` only these measures are found, and passes over the rows that none of them needs are left out. Trades of
+    a day are in the order of ``order``; their pnl is in whole cents, as :func:`simulate` gives it."""
+    one = Places([], [(0, 0)], ["own"])
+    trade = {f"_{x}0": F.col(y) for x, y in _TRADE.items()}
+    rows = rows.withColumns({"_in": F.lit(1).cast("long"), **trade})
+    return _placed_summary(rows, keys, one, day, event, order, rounds, columns)
+
+
+#: What a trade of each form has, by the names of :func:`simulate`.
+_TRADE = {"stake": "stake", "payout": "payout", "pnl": "pnl", "roi": "win_roi", "hit": "covered_hit"}
+
+
+def _traded(rows: DataFrame, forms: list[str], stake: float, cost: float, cut: float) -> DataFrame:
+    """Observations with the trade of each form beside each other (_stake0, _payout0, ..., _stake1, ...)."""
+    kept = rows.columns
+    rows = rows.withColumn("_split", F.col("_s"))
+    for k, form in enumerate(forms):
+        rows = simulate(rows.withColumn("_s", F.col("_split")), F.lit(form), stake, cost, cut)
+        rows = rows.withColumns({f"_{x}{k}": F.col(y) for x, y in _TRADE.items()})
+    return rows.select(*[c for c in kept if c not in ("_s", "win_roi")], *[f"_{x}{k}" for k in range(len(forms)) for x in _TRADE])
+
+
+def _placed_summary(
+    rows: DataFrame, keys: list[str], places: Places, day: str, event: str, order: tuple[str, ...], rounds: int, columns: tuple[str, ...] | None, expand: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """The summary by ``keys`` and place of rows with their mask and the trades of all forms. ``expand`` gives rows their keys,
+    where they stand under several."""
+    expand = expand or (lambda x: x)
+    every, c = [*keys, *places.names], F.col
+    wants = lambda *names: columns is None or any(x in columns for x in names)
+    rows = rows.withColumn("result_valid", F.coalesce("result_valid", F.lit(False)))
+    table = places.table(rows.sparkSession)
+    out = _sums(expand(rows), keys, places, table)
+    dims = {"event": [c(event)], "day": [c(day)], "competition_country": [c("competition_country")], "competition": [c("competition_country"), c("competition_name")]}
+    for dim, everywhere, resolved in DISTINCT:
+        names = [x for x in (everywhere, resolved) if x]
+        if wants(*names, *[r for r, needs in _RATIOS.items() if set(needs) & set(names)]):
+            found = _distinct(rows, keys, places, table, dims[dim], names, expand, dim == "event")
+            out = with_keys(out, found, every).na.fill(0, names)
+    medians = [x for x in MEDIANS if wants(f"median_{x}")]
+    if medians:
+        out = with_keys(out, _medians(expand(rows), keys, places, table, medians), every)
+    low, high = wilson("h2_goals_1", "resolved_trades")
+    n = c("resolved_trades")
+    derived = {
+        "observed_p1": ratio("h2_goals_1", n), "observed_p1_low": low, "observed_p1_high": high, "covered_hit_rate": ratio("_hits", n), "profitable_trade_rate": ratio("profitable_trades", n),
+        "roi": ratio("pnl", "total_stake"), "profit_factor": F.when(c("gross_loss") < 0, c("gross_profit") / -c("gross_loss")), "profit_factor_status": F.when(n == 0, "NO_TRADES").when(c("gross_loss") < 0, "FINITE").otherwise("NOT_FINITE"),
+        "p1_observed_minus_market": ratio("h2_goals_1", n) - c("expected_p1_mean"),
+        "temporal_status": F.when(c("resolved_days") >= LEAST_DAYS, "OK").otherwise("TEMPORAL_EVIDENCE_INSUFFICIENT") if wants("temporal_status") else None,
+        "sample_status": F.when(c("resolved_games") < LEAST_GAMES, "VERY_LOW_SAMPLE").otherwise("OK") if wants("sample_status") else None,
+    }
+    out = out.withColumns({k: v for k, v in derived.items() if v is not None}).drop("_hits")
+    path, interval = ("max_drawdown", "longest_loss_streak"), ("roi_low", "roi_high")
+    if wants(*path, *interval):
+        from pitchspark.operators.aggregates import bootstrap_by_day
+
+        chunks = staged(day_chunks(expand(rows), keys, places, day, list(order)).join(table.drop("_bit", "_form"), "_place"), "studies-chunks")
+        if wants(*path):
+            out = with_keys(out, _folded(chunks, every).drop("balance", "peak"), every).na.fill(0, list(path))
+        if wants(*interval):
+            out = with_keys(out, bootstrap_by_day(chunks, every, "_day", "stake", "total", rounds).drop("days"), every)
+    return out if columns is None else out.select(*every, *columns)
+
 
+def _sums(rows: DataFrame, keys: list[str], places: Places, table: DataFrame) -> DataFrame:
+    """Counts and sums by key and place: rows are summed by their mask first, for all forms at once."""
     c, done = F.col, F.col("result_valid")
     when = lambda x: F.when(done, x)
-    total = lambda x: F.round(F.coalesce(F.sum(when(x)), F.lit(0.0)), 2)
-    out = rows.groupBy(*keys).agg(
+    plain = ["entries", "resolved_trades", "unresolved", *[o.lower() for o in OUTCOMES], *[f"level_{v[0].lower()}" for v in LEVELS], "_p1"]
+    money = {"total_stake": lambda k: c(f"_stake{k}"), "total_payout": lambda k: c(f"_payout{k}"), "gross_profit": lambda k: F.greatest(f"_pnl{k}", F.lit(0.0)), "gross_loss": lambda k: F.least(f"_pnl{k}", F.lit(0.0)), "pnl": lambda k: c(f"_pnl{k}")}
+    counts = {"_hits": lambda k: c(f"_hit{k}"), "profitable_trades": lambda k: c(f"_pnl{k}") > 0, "losing_trades": lambda k: c(f"_pnl{k}") < 0, "zero_pnl_trades": lambda k: c(f"_pnl{k}") == 0}
+    by_form = lambda k: F.struct(*[F.sum(when(f(k))).alias(x) for x, f in money.items()], *[count_if(done & f(k)).alias(x) for x, f in counts.items()])
+    cells = rows.groupBy(*keys, "_in").agg(
         F.count("*").alias("entries"), count_if(done).alias("resolved_trades"), count_if(~done).alias("unresolved"),
         *[count_if(done & (c("outcome_class") == o)).alias(o.lower()) for o in OUTCOMES], *[count_if(c("evidence_level") == v).alias(f"level_{v[0].lower()}") for v in LEVELS],
-        F.avg(when(F.coalesce("p1_market", F.lit(0.0)))).alias("expected_p1_mean"), count_if(done & c("covered_hit")).alias("_hits"),
-        total(c("stake")).alias("total_stake"), total(c("payout")).alias("total_payout"), total(F.greatest("pnl", F.lit(0.0))).alias("gross_profit"), total(F.least("pnl", F.lit(0.0))).alias("gross_loss"), total(c("pnl")).alias("pnl"),
-        count_if(done & (c("pnl") > 0)).alias("profitable_trades"), count_if(done & (c("pnl") < 0)).alias("losing_trades"), count_if(done & (c("pnl") == 0)).alias("zero_pnl_trades"),
+        F.sum(when(F.coalesce("p1_market", F.lit(0.0)))).alias("_p1"), F.array(*[by_form(k) for k in range(len(places.forms))]).alias("_m"),
     )
-    different = {
-        "different_games": [c(event)], "resolved_games": [when(c(event))], "days": [c(day)], "resolved_days": [when(c(day))],
-        "countries": [c("competition_country")], "competitions": [c("competition_country"), c("competition_name")],
-    }
-    out = with_keys(out, distinct_counts(rows, keys, different), keys).na.fill(0, list(different))
-    out = with_keys(out, exact_quantiles(rows, keys, {f"median_{x}": (when(c(x)), 0.5) for x in MEDIANS}), keys)
-    low, high = wilson("h2_goals_1", "resolved_trades")
-    n = c("resolved_trades")
-    out = out.withColumns(
-        {
-            "observed_p1": ratio("h2_goals_1", n), "observed_p1_low": low, "observed_p1_high": high, "covered_hit_rate": ratio("_hits", n), "profitable_trade_rate": ratio("profitable_trades", n),
-            "roi": ratio("pnl", "total_stake"), "profit_factor": F.when(c("gross_loss") < 0, c("gross_profit") / -c("gross_loss")), "profit_factor_status": F.when(n == 0, "NO_TRADES").when(c("gross_loss") < 0, "FINITE").otherwise("NOT_FINITE"),
-            "temporal_status": F.when(c("resolved_days") >= LEAST_DAYS, "OK").otherwise("TEMPORAL_EVIDENCE_INSUFFICIENT"), "sample_status": F.when(c("resolved_games") < LEAST_GAMES, "VERY_LOW_SAMPLE").otherwise("OK"),
-        }
-    ).withColumn("p1_observed_minus_market", c("observed_p1") - c("expected_p1_mean")).drop("_hits")
-    resolved = rows.where(done)
-    path = path_stats(resolved, keys, day, list(order), "pnl").drop("balance", "peak")
-    spread = bootstrap_by_day(resolved, keys, day, "stake", "pnl", rounds).drop("days")
-    out = with_keys(with_keys(out, path, keys), spread, keys)
-    return out.na.fill(0, ["max_drawdown", "longest_loss_streak"])
+    placed = cells.join(table, c("_in").bitwiseAND(c("_bit")) != 0).withColumn("_m", F.get("_m", c("_form")))
+    out = placed.groupBy(*keys, *places.names).agg(
+        *[F.sum(x).alias(x) for x in plain], *[F.round(F.coalesce(F.sum(f"_m.{x}"), F.lit(0.0)), 2).alias(x) for x in money], *[F.sum(f"_m.{x}").alias(x) for x in counts]
+    )
+    return out.withColumn("expected_p1_mean", ratio("_p1", "resolved_trades")).drop("_p1")
+
+
+def _distinct(rows: DataFrame, keys: list[str], places: Places, table: DataFrame, value: list[Column], names: list[str], expand: Callable[[DataFrame], DataFrame], many: bool) -> DataFrame:
+    """How many different values each key and place has, of all rows and of resolved ones. A value's masks are united, so it is
+    moved once for all places (``many``: before it gets its keys); what is left is a count by united masks."""
+    c = F.col
+    known = reduce(lambda a, b: a & b, [v.isNotNull() for v in value])
+    parts = [f"_v{k}" for k in range(len(value))]
+    rows = rows.where(known).withColumns({p: v for p, v in zip(parts, value, strict=True)} | {"_ok": F.when(c("result_valid"), c("_in")).otherwise(F.lit(0).cast("long"))})
+    rows = expand(rows.repartition(_parts(rows), *parts) if many else rows)
+    once = rows.groupBy(*keys, *parts).agg(F.bit_or("_in").alias("_in"), F.bit_or("_ok").alias("_ok"))
+    masks = once.groupBy(*keys, "_in", "_ok").agg(F.count("*").alias("_n"))
+    counts = [F.sum("_n"), F.sum(F.when(c("_ok").bitwiseAND(c("_bit")) != 0, c("_n")).otherwise(0))]
+    placed = masks.join(table, c("_in").bitwiseAND(c("_bit")) != 0)
+    return placed.groupBy(*keys, *places.names).agg(*[n.cast("long").alias(x) for x, n in zip(names, counts)])
+
+
+def _medians(rows: DataFrame, keys: list[str], places: Places, table: DataFrame, fields: list[str]) -> DataFrame:
+    """Medians by key and place of resolved trades. Values are counted by mask before they go to their places."""
+    c = F.col
+    cells = []
+    for m, x in enumerate(fields):
+        for k in range(len(places.forms)) if x in MEDIANS[4:] else (-1,):
+            own = {"win_roi": f"_roi{k}", "payout": f"_payout{k}"}.get(x, x)
+            cells.append(F.struct(F.lit(m).alias("m"), F.lit(k).alias("f"), c(own).cast("double").alias("value")))
+    flat = rows.where("result_valid").select(*keys, "_in", F.explode(F.array(*cells)).alias("c")).where("c.value IS NOT NULL")
+    counted = flat.groupBy(*keys, "_in", "c.m", "c.f", "c.value").agg(F.count("*").alias("n"))
+    here = (c("_in").bitwiseAND(c("_bit")) != 0) & ((c("f") == -1) | (c("f") == c("_form")))
+    every = [*keys, *places.names]
+    key = F.struct(*every) if every else F.struct(F.lit(0).alias("_all"))
+    placed = counted.join(table, here).select(key.alias("key"), "m", "value", "n")
+    return counted_quantiles(placed, every, {f"median_{x}": (m, 0.5) for m, x in enumerate(fields)})
+
+
+def day_chunks(rows: DataFrame, keys: list[str], places: Places, day: str, order: list[str]) -> DataFrame:
+    """What each day's resolved trades do to a path, by key and place: sums, extremes and runs as in :func:`path_stats`.
+
+    A row is moved and sorted once for all places. A day is read in batches, each of which gives a chunk of its own (``_seq``
+    is their order), so no day has to fit in memory."""
+    pnl = [F.round(F.col(f"_pnl{k}") * 100).cast("long").alias(f"_pnl{k}") for k in range(len(places.forms))]
+    stake = [F.col(f"_stake{k}") for k in range(len(places.forms))]
+    group = [*keys, "_day"]
+    moved = rows.where("result_valid").withColumn("_day", F.col(day))
+    narrow = moved.select(*group, *[F.col(x).alias(f"_o{i}") for i, x in enumerate(order)], "_in", *pnl, *stake)
+    ordered = narrow.repartition(_parts(rows), *group).sortWithinPartitions(*group, *[f"_o{i}" for i in range(len(order))])
+    ordered = ordered.select(*group, "_in", *[f"_{x}{k}" for x in ("pnl", "stake") for k in range(len(places.forms))])
+    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
+    schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in group], "_seq long, _place int, stake double, total double, high double, low double, fall double, n long, losses long, first long, last long, most long"])
+    spots = [(1 << r[-2], r[-1]) for r in places.rows]
+
+    def run(batches):
+        import pyarrow as pa
+
+        seq = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begin = _starts([batch.column(i) for i in range(len(group))])
+            section = np.zeros(batch.num_rows, dtype=np.int64)
+            section[begin[1:]] = 1
+            section = np.cumsum(section)
+            value = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+            mask, found = value("_in"), []
+            for k, (bit, form) in enumerate(spots):
+                own = np.flatnonzero(mask & bit)
+                if len(own):
+                    at, numbers = _chunks(section[own], value(f"_pnl{form}")[own])
+                    stakes = np.add.reduceat(value(f"_stake{form}")[own].astype(np.float64), np.flatnonzero(np.diff(section[own], prepend=-1)))
+                    found.append((at, np.full(len(at), k, dtype=np.int32), stakes, *numbers))
+            if found:
+                at, place, stakes, *numbers = (np.concatenate(x) for x in zip(*found, strict=True))
+                cells = [batch.column(i).take(pa.array(begin[at])) for i in range(len(group))]
+                counts = [x / 100.0 if i < 4 else x for i, x in enumerate(numbers)]
+                columns = [*cells, pa.array(seq + at), pa.array(place), pa.array(stakes), *[pa.array(x) for x in counts]]
+                names = [*group, "_seq", "_place", "stake", "total", "high", "low", "fall", "n", "losses", "first", "last", "most"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+            seq += len(begin)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def _starts(columns: list) -> np.ndarray:
+    """The rows of a batch at which a value differs from the row before; the first too."""
+    import pyarrow.compute as pc
+
+    n = len(columns[0])
+    new = np.zeros(n, dtype=bool)
+    new[0] = True
+    for x in columns:
+        a, b = x.slice(1), x.slice(0, n - 1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= differ.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _chunks(section: np.ndarray, pnl: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each section (ascending numbers of rows in order): total, highest and lowest running sum, greatest fall from a peak (0
+    at least), rows, losses, run of losses at the start, at the end, and the longest. Whole numbers, so sums are exact."""
+    start = np.flatnonzero(np.diff(section, prepend=-1))
+    length = np.diff(start, append=len(section))
+    end = start + length - 1
+    upto = np.cumsum(pnl)
+    running = upto - np.repeat(upto[start] - pnl[start], length)
+    above = np.maximum(running, 0)
+    lift = np.repeat(np.arange(len(start), dtype=np.int64) * (int(above.max()) + 1), length)  # keeps a section's peak from the next
+    fall = np.maximum.accumulate(above + lift) - lift - running
+    lost, place = pnl < 0, np.arange(len(section))
+    before = np.maximum(np.maximum.accumulate(np.where(lost, -1, place)), np.repeat(start - 1, length))
+    streak = place - before
+    first = np.minimum(np.minimum.reduceat(np.where(lost, len(section), place), start), end + 1) - start
+    numbers = [running[end], np.maximum.reduceat(running, start), np.minimum.reduceat(running, start), np.maximum.reduceat(fall, start)]
+    return section[start], [*numbers, length, np.add.reduceat(lost.astype(np.int64), start), first, streak[end], np.maximum.reduceat(streak, start)]
 
 
 def _literal(spark: SparkSession, rows: tuple, schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(list(rows), schema))  # as many rows as the constant
 
 
-def _features(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """One row per observation and field, with the field's value; null values are left out."""
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields])
-    return rows.withColumn("_f", F.explode(cells)).select(*rows.columns, "_f.field", "_f.value").where("value IS NOT NULL")
+#: What a summary reads of an observation.
+_READ = ("competition_country", "competition_name", "outcome_class", "evidence_level", "result_valid", "p1_market", "q_zero", "q_two", "p1_break_even", "p1_buffer", "ht_goals")
 
 
-def _played(rows: DataFrame, stake: float, cut: float = 0.0) -> DataFrame:
-    """Eligible observations with their split, staged: a summary reads its rows several times, each in many places."""
-    return staged(with_split(spread(rows.where("entry_eligible")), stake, cut), "studies-rows")
+def _played(rows: DataFrame, mask: Column, forms: list[str], read: list[str], stake: float, cost: float = 0.0, cut: float = 0.0) -> DataFrame:
+    """Eligible observations with the mask of their places and the trades of all forms, narrowed to what is read and staged.
 
+    A trade follows from two quotes and an outcome, which repeat: if the different ones can be broadcast, each is played once;
+    else row by row."""
+    rows = rows.where("entry_eligible").select(*dict.fromkeys([*_READ, *read]))
+    rows = staged(spread(rows), "studies-rows")
+    kind = ["q_zero", "q_two", "outcome_class"]
+    kinds, fits = shared_side(rows.select(*kind).distinct())
+    if fits:
+        trades = staged(_traded(with_split(kinds.withColumn("p1_market", F.lit(None).cast("double")), stake, cut), forms, stake, cost, cut).drop("p1_market"), "studies-trades")
+        same = reduce(lambda a, b: a & b, [rows[x].eqNullSafe(trades[x]) for x in kind])
+        rows = rows.join(F.broadcast(trades), same, "left").drop(*[trades[x] for x in kind])  # as many rows as kinds, which were measured
+    else:
+        rows = staged(_traded(with_split(rows, stake, cut), forms, stake, cost, cut), "studies-trades")
+    return rows.withColumn("_in", mask)
 
-def by_variant(rows: DataFrame) -> DataFrame:
-    """Eligible observations with each variant whose range holds them (variant, form); the three references take all.
 
-    One join on the field's name with a table of 18 rows; ranges are a further condition."""
-    spark = rows.sparkSession
-    eligible = rows.where("entry_eligible")
-    table = _literal(spark, VARIANTS, "variant string, form string, field string, lower double, upper double")
-    inside = (F.col("lower").isNull() | (F.col("value") >= F.col("lower"))) & (F.col("upper").isNull() | (F.col("value") < F.col("upper")))
-    ranged = _features(eligible, ("p1_market", "p1_break_even", "p1_buffer", "ht_goals")).join(table, "field").where(inside).drop("field", "value", "lower", "upper")
-    fixed = F.explode(F.array(*[F.struct(F.lit(v[0]).alias("variant"), F.lit(v[1]).alias("form")) for v in VARIANTS if v[2] is None]))
-    return ranged.unionByName(eligible.withColumn("_v", fixed).select(*rows.columns, "_v.*"))
+_FORMS = [COMBINATION, SINGLE_ZERO, SINGLE_TWO]
+_ORDER = ("observed_at", "event_id")
 
 
-def variant_study(rows: DataFrame, stake: float = 10.0, cost: float = 0.0, cut: float = 0.0, rounds: int = 500) -> DataFrame:
+def variant_study(
+    rows: DataFrame, stake: float = 10.0, cost: float = 0.0, cut: float = 0.0, rounds: int = 500, order: tuple[str, ...] = _ORDER, columns: tuple[str, ...] | None = None
+) -> DataFrame:
     """Summary of every variant, with the number of eligible observations that it leaves out and its evaluation status."""
-    rows = _played(rows, stake, cut)
-    eligible = rows.agg(F.count("*").alias("_eligible"))  # one row
-    entries = by_variant(rows)
-    found = summary(simulate(entries, F.col("form"), stake, cost, cut), ["variant"], rounds=rounds)
+    places = Places(["variant"], [(v[0], k, _FORMS.index(v[1])) for k, v in enumerate(VARIANTS)], _FORMS)
+    own = None if columns is None else tuple(dict.fromkeys([*columns, "entries", "resolved_games", "roi"]))
+    played = _played(rows, _mask([_inside(*v[2:]) for v in VARIANTS]), _FORMS, ["day", "event_id", *order], stake, cost, cut)
+    found = _placed_summary(played, [], places, "day", "event_id", order, rounds, own)
+    eligible = F.max(F.when(F.col("variant") == VARIANTS[0][0], F.col("entries"))).over(Window.partitionBy())  # the first variant takes all; a window over variants
     status = (
         F.when(F.col("resolved_games") < CANDIDATE_GAMES, "INSUFFICIENT_DATA").when(F.col("roi").isNull(), "NO_RESULT_OBSERVED").when(F.col("roi") <= 0, "NEGATIVE_RESULT").otherwise("PROMISING_EXPLORATORY")
     )
-    return found.crossJoin(F.broadcast(eligible)).withColumn("no_bet", F.col("_eligible") - F.col("entries")).drop("_eligible").withColumn("evaluation_status", status)
+    return found.withColumn("no_bet", eligible - F.col("entries")).withColumn("evaluation_status", status)
 
 
-def reference_study(rows: DataFrame, stake: float = 10.0, cost: float = 0.0, cut: float = 0.0, rounds: int = 500) -> DataFrame:
+def reference_study(
+    rows: DataFrame, stake: float = 10.0, cost: float = 0.0, cut: float = 0.0, rounds: int = 500, order: tuple[str, ...] = _ORDER, columns: tuple[str, ...] | None = None
+) -> DataFrame:
     """Every variant's entries played in each of the three forms."""
-    forms = F.explode(F.array(*[F.lit(f) for f in (COMBINATION, SINGLE_ZERO, SINGLE_TWO)]))
-    entries = by_variant(_played(rows, stake, cut)).drop("form").withColumn("reference", forms)
-    return summary(simulate(entries, F.col("reference"), stake, cost, cut), ["variant", "reference"], rounds=rounds)
+    places = Places(["variant", "reference"], [(v[0], f, k, i) for k, v in enumerate(VARIANTS) for i, f in enumerate(_FORMS)], _FORMS)
+    more = ["day", "event_id", *order] if columns is None or not set(columns) <= SUMS else []
+    played = _played(rows, _mask([_inside(*v[2:]) for v in VARIANTS]), _FORMS, more, stake, cost, cut)
+    return _placed_summary(played, [], places, "day", "event_id", order, rounds, columns)
 
 
-def segment_study(rows: DataFrame, stake: float = 10.0, rounds: int = 500) -> DataFrame:
+#: Columns of a summary that one pass gives.
+SUMS = {
+    "entries", "resolved_trades", "unresolved", *[o.lower() for o in OUTCOMES], *[f"level_{v[0].lower()}" for v in LEVELS], "expected_p1_mean", "total_stake", "total_payout", "gross_profit", "gross_loss", "pnl",
+    "profitable_trades", "losing_trades", "zero_pnl_trades", "covered_hit_rate", "profitable_trade_rate", "roi", "profit_factor", "profit_factor_status", "observed_p1", "observed_p1_low", "observed_p1_high", "p1_observed_minus_market",
+}
+
+
+def segment_study(rows: DataFrame, stake: float = 10.0, rounds: int = 500, order: tuple[str, ...] = _ORDER, columns: tuple[str, ...] | None = None) -> DataFrame:
     """Every variant's trades by day, country and competition."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN"))
     cells = {"DATE": text("day"), "COUNTRY": text("competition_country"), "COMPETITION": F.concat_ws(" / ", text("competition_country"), text("competition_name"))}
-    entries = by_variant(_played(rows, stake)).withColumn("_g", F.explode(F.array(*[F.struct(F.lit(k).alias("segment"), v.alias("segment_key")) for k, v in cells.items()]))).select("*", "_g.*").drop("_g")
-    return summary(simulate(entries, F.col("form"), stake), ["variant", "segment", "segment_key"], rounds=rounds)
+    places = Places(["variant"], [(v[0], k, _FORMS.index(v[1])) for k, v in enumerate(VARIANTS)], _FORMS)
+    played = _played(rows, _mask([_inside(*v[2:]) for v in VARIANTS]), _FORMS, ["day", "event_id", *order], stake)
+
+    def expand(x: DataFrame) -> DataFrame:
+        return x.withColumn("_g", F.explode(F.array(*[F.struct(F.lit(k).alias("segment"), v.alias("segment_key")) for k, v in cells.items()]))).select("*", "_g.*").drop("_g")
+
+    return _placed_summary(played, ["segment", "segment_key"], places, "day", "event_id", order, rounds, columns, expand)
 
 
-def pattern_buckets(rows: DataFrame, stake: float = 10.0, rounds: int = 500) -> DataFrame:
+def pattern_buckets(rows: DataFrame, stake: float = 10.0, rounds: int = 500, order: tuple[str, ...] = _ORDER, columns: tuple[str, ...] | None = None) -> DataFrame:
     """Summary of the fixed buckets of four dimensions; observations outside all buckets of a dimension aren't in it."""
-    table = _literal(rows.sparkSession, BUCKETS, "dimension string, bucket string, field string, lower double, upper double")
-    inside = (F.col("value") >= F.col("lower")) & (F.col("upper").isNull() | (F.col("value") < F.col("upper")))
-    placed = _features(_played(rows, stake), ("p1_market", "q_zero", "q_two", "ht_goals")).join(table, "field").where(inside).drop("field", "value", "lower", "upper")
-    found = summary(simulate(placed, F.lit(COMBINATION), stake), ["dimension", "bucket"], rounds=rounds)
+    places = Places(["dimension", "bucket"], [(*b[:2], k, 0) for k, b in enumerate(BUCKETS)], [COMBINATION])
+    own = None if columns is None else tuple(dict.fromkeys([*columns, "expected_p1_mean", "resolved_trades"]))
+    played = _played(rows, _mask([_inside(*b[2:]) for b in BUCKETS]), [COMBINATION], ["day", "event_id", *order], stake)
+    found = _placed_summary(played, [], places, "day", "event_id", order, rounds, own)
     return found.withColumn("expected_exact_one", F.col("expected_p1_mean") * F.col("resolved_trades"))
 
 

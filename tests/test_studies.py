@@ -118,3 +118,112 @@ def test_equal_values_are_counted_once(spark):
     flat = spark.range(3000).select(F.struct((F.col("id") % 2).alias("k")).alias("g"), (F.col("id") % 5).cast("double").alias("value"))
     cells = selection.counted_cells(flat, "cells")
     assert cells.count() == 10 and cells.agg(F.sum("n")).first()[0] == 3000
+
+
+def made_observations(spark, n=160):
+    rng = random.Random(9)
+    rows = []
+    for i in range(n):
+        a, b, p = round(rng.choice([2.5, 3.0, 4.2, 6.0]), 4), round(rng.choice([1.5, 2.2, 3.4]), 4), round(rng.choice([0.1, 0.22, 0.31, 0.5]), 6)
+        even = 1 - (1 / a + 1 / b)
+        rows.append((i // 3, i % 3, 1000 + i // 3 % 40, f"2024-01-{i // 3 % 20 + 1:02}", rng.choice(["N", "S", None]), rng.choice("xy"), a, b, p, even, even - p, rng.choice([0.0, 1.0, 2.0, None]), even > 0, rng.random() < 0.8, rng.choice(studies.OUTCOMES), studies.LEVELS[0]))
+    kind = "event_id int, rid int, observed_at int, day string, competition_country string, competition_name string, q_zero double, q_two double, p1_market double, p1_break_even double, p1_buffer double, ht_goals double, entry_eligible boolean, result_valid boolean, outcome_class string, evidence_level string"
+    df = spark.createDataFrame(rows, kind).withColumn("day", F.to_date("day"))
+    return df.repartition(7, "rid")
+
+
+def played_alone(rows, spark, form):
+    """The trades of rows in their order, by simulate."""
+    found = studies.simulate(spark.createDataFrame(rows), F.lit(form)).collect()
+    return sorted(found, key=lambda r: (r.day, r.observed_at, r.event_id, r.rid))
+
+
+def test_studies_equal_a_fold_over_each_place(spark):
+    """Rows of a place are moved once for all places and read in batches, whose chunks are joined."""
+    df = made_observations(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = {r.variant: r for r in studies.variant_study(df, rounds=30, order=("observed_at", "event_id", "rid")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [r for r in df.collect() if r.entry_eligible]
+    played = {form: played_alone(rows, spark, form) for form in (studies.COMBINATION, studies.SINGLE_ZERO, studies.SINGLE_TWO)}
+    seen = 0
+    for name, form, field, low, high in studies.VARIANTS:
+        own = [r for r in played[form] if field is None or r[field] is not None and (low is None or r[field] >= low) and (high is None or r[field] < high)]
+        if not own:
+            assert name not in found
+            continue
+        seen += 1
+        done, r = [x for x in own if x.result_valid], found[name]
+        balance = peak = fall = 0.0
+        run = longest = 0
+        for x in done:
+            balance += x.pnl
+            peak = max(peak, balance)
+            fall, run = max(fall, peak - balance), run + 1 if x.pnl < 0 else 0
+            longest = max(longest, run)
+        assert (r.entries, r.resolved_trades, r.no_bet, r.longest_loss_streak) == (len(own), len(done), len(rows) - len(own), longest) and abs(r.max_drawdown - fall) < 0.0051
+        assert (r.different_games, r.resolved_games, r.resolved_days) == (len({x.event_id for x in own}), len({x.event_id for x in done}), len({x.day for x in done}))
+        assert (r.countries, r.competitions) == (len({x.competition_country for x in own} - {None}), len({(x.competition_country, x.competition_name) for x in own if x.competition_country}))
+        assert abs(r.pnl - sum(x.pnl for x in done)) < 1e-6 and abs(r.total_payout - sum(x.payout for x in done)) < 1e-6
+        for field in studies.MEDIANS:
+            known = [x[field] for x in done if x[field] is not None]
+            assert r[f"median_{field}"] is None if not known else abs(r[f"median_{field}"] - np.median(known)) < 1e-9
+        days = {}
+        for x in done:
+            days.setdefault(x.day, []).append(x.pnl)
+        if len(days) > 1:
+            order = sorted(days)
+            want = aggregates._limits(np.array([10.0 * len(days[d]) for d in order]), np.array([sum(days[d]) for d in order]), 30, 6301)
+            assert np.allclose([r.roi_low, r.roi_high], want)
+    assert seen == len(found) > 10
+
+
+def test_references_and_segments_equal_plain_groups(spark):
+    df = made_observations(spark)
+    rows = [r for r in df.collect() if r.entry_eligible]
+    inside = lambda r, v: v[2] is None or r[v[2]] is not None and (v[3] is None or r[v[2]] >= v[3]) and (v[4] is None or r[v[2]] < v[4])
+    shown = {(r.variant, r.reference): r for r in studies.reference_study(df, columns=("entries", "pnl")).collect()}
+    for form in (studies.COMBINATION, studies.SINGLE_ZERO, studies.SINGLE_TWO):
+        played = played_alone(rows, spark, form)
+        for v in studies.VARIANTS:
+            own = [r for r in played if inside(r, v)]
+            assert ((v[0], form) in shown) == bool(own)
+            if own:
+                assert shown[v[0], form].entries == len(own) and abs(shown[v[0], form].pnl - sum(r.pnl for r in own if r.result_valid)) < 1e-6
+    groups = {}
+    for r in rows:
+        country, name = r.competition_country or "UNKNOWN", r.competition_name or "UNKNOWN"
+        for v in studies.VARIANTS:
+            if inside(r, v):
+                for key in (("DATE", str(r.day)), ("COUNTRY", country), ("COMPETITION", f"{country} / {name}")):
+                    groups.setdefault((v[0], *key), []).append(r.event_id)
+    for columns in (("entries", "different_games"), None):
+        found = {(r.variant, r.segment, r.segment_key): (r.entries, r.different_games) for r in studies.segment_study(df, rounds=5, columns=columns).collect()}
+        assert found == {k: (len(x), len(set(x))) for k, x in groups.items()}
+
+
+def jobs_of(spark, run):
+    context = spark.sparkContext
+    context.setJobGroup("counted", "counted")
+    try:
+        run()
+        return len(context.statusTracker().getJobIdsForGroup("counted"))
+    finally:
+        context._jsc.clearJobGroup()
+
+
+def test_only_what_is_asked_for_is_found(spark):
+    """Segments and references select no medians and fold no paths that nobody reads."""
+    df = made_observations(spark)
+    asked = jobs_of(spark, lambda: studies.segment_study(df, columns=("entries", "different_games", "pnl")).collect())
+    every = jobs_of(spark, lambda: studies.segment_study(df, rounds=5).collect())
+    assert 0 < asked < every / 2
+
+
+def test_many_different_quotes_are_played_row_by_row(spark, monkeypatch):
+    df = made_observations(spark)
+    usual = sorted(map(str, studies.reference_study(df, columns=("entries", "pnl")).collect()))
+    monkeypatch.setattr(studies, "shared_side", lambda table: (table, False))
+    assert sorted(map(str, studies.reference_study(df, columns=("entries", "pnl")).collect())) == usual
