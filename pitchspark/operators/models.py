@@ -7,6 +7,10 @@ ever put in their place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -163,6 +167,13 @@ def fit(train: DataFrame, features: list[str], family: str, target: str, calibra
     return model, calibrators(predict(model, train, target, share), calibration), share
 
 
+def side_by_side(runs: list[Callable[[], object]]) -> list:
+    """Results of independent fits, each in a driver thread of its own: most passes of a fit are short, so their jobs share the
+    cores instead of waiting for each other."""
+    with ThreadPoolExecutor(max_workers=max(1, len(runs))) as pool:
+        return [x.result() for x in [pool.submit(inheritable_thread_target(run)) for run in runs]]
+
+
 def split(rows: DataFrame, order: list[str], locked: float = 0.2) -> tuple[DataFrame, list[tuple[int, int]]]:
     """Rows with their place in time (from 1) and whether they are locked (the newest), and the folds as (last row of
     training, last row of validation): three of equal size that follow each other, if there are rows enough."""

@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 
 from pitchspark.staging import release, shared_side, staged
 
-#: Bits counted in one pass.
-DIGIT = 16
+#: Bits counted in one pass; groups of as many different values at most are ranked at once.
+DIGIT, FEW = 16, 65536
 
 
 def ordered_bits(x: Column) -> Column:
@@ -51,7 +51,13 @@ def order_statistics(cells: DataFrame, wanted: DataFrame) -> DataFrame:
     gives g, rank, value.
 
     ``g`` may be any struct, with null fields as well. ``cells`` should be staged: they are read once for each pass.
+    If no group has more values than a pass has ranges, one pass over the values themselves does.
     """
+    most = cells.groupBy("g").count().agg(F.max("count")).first()[0]
+    if (most or 0) <= FEW:
+        upto = F.sum("n").over(Window.partitionBy("g").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = cells.withColumn("upto", upto).join(shared_side(wanted)[0], "g")
+        return ranked.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))).select("g", "rank", "value")
     found, rest = [], wanted.select("g", "rank", F.col("rank").alias("left"), F.lit(None).cast("long").alias("prefix"))
     shift = 64 - DIGIT
     while True:
@@ -124,11 +130,13 @@ def counted_quantiles(flat: DataFrame, keys: list[str], wanted: dict[str, tuple[
     return out
 
 
-def quantile_grid(df: DataFrame, values: list[Column], steps: int) -> DataFrame:
-    """measure (place in ``values``), i, value: the linear quantile at i / steps of each measure, for i from 1 to steps - 1."""
+def quantile_grid(df: DataFrame, values: list[Column], steps: int, count: Column | None = None) -> DataFrame:
+    """measure (place in ``values``), i, value: the linear quantile at i / steps of each measure, for i from 1 to steps - 1.
+    A row stands for ``count`` rows, if that is given."""
     cells = F.array(*[F.struct(F.lit(k).alias("m"), v.cast("double").alias("value")) for k, v in enumerate(values)])
-    flat = df.select(F.explode(cells).alias("c")).where("c.value IS NOT NULL")
-    table = counted_cells(flat.select(F.struct("c.m").alias("g"), "c.value"), "grid-cells")
+    own = [] if count is None else [count.alias("n")]
+    flat = df.select(*own, F.explode(cells).alias("c")).where("c.value IS NOT NULL")
+    table = counted_cells(flat.select(F.struct("c.m").alias("g"), "c.value", *[x for x in ("n",) if own]), "grid-cells")
     sizes = table.groupBy("g").agg(F.sum("n").alias("n"))
     at = (F.col("n") - 1) * (F.col("i") / F.lit(steps))
     aims = sizes.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(steps - 1)))).select("g", "i", at.alias("at"), F.floor(at).alias("lo"), F.ceil(at).alias("hi"))

@@ -2,7 +2,8 @@
 
 Both are built level by level, one grouped aggregate over the rows for each level of all trees at once: rows go to their
 nodes by the trees built so far (a few hundred numbers), and only sums for each (tree, node, feature, bin or threshold) are
-shuffled, partly aggregated before. What the driver holds is bounded by the trees, not by the rows. Sums are of integers
+shuffled, partly aggregated before. Rows that are equal in all features, class and weight are one row with their number (for
+boosting: equal in their bins), which changes no sum. What the driver holds is bounded by the trees, not by the rows. Sums are of integers
 (gradients in steps of 2**-24), so they don't depend on the order of rows or on tasks that run again.
 """
 
@@ -10,17 +11,19 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchspark.operators.selection import exact_quantiles, quantile_grid
+from pitchspark.operators.selection import counted_quantiles, quantile_grid
 from pitchspark.staging import release, spread, staged
 
+#: What the number of a bin is kept in.
+BIN = np.int32
 #: Steps of a gradient's unit; least sum of hessians of a leaf; rounds after which the rows' scores are written again.
 UNIT, LEAST_HESSIAN, RESTAGE = 2**24, 1e-3, 8
 
@@ -120,32 +123,82 @@ def _vector(features: list[str], medians: list[float]) -> Column:
     return F.array(*[F.coalesce(c, F.lit(float(m))) for c, m in zip(known, medians, strict=True)])
 
 
-def feature_medians(rows: DataFrame, features: list[str]) -> list[float]:
-    """The median of each feature's known values (0 for none), selected exactly."""
-    known = {f: (F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")), 0.5) for f in features}
-    found = exact_quantiles(rows, [], known).first()
-    return [0.0 if found is None or found[f] is None else float(found[f]) for f in features]
+def feature_medians(rows: DataFrame, features: list[str], count: str | None = None) -> list[float]:
+    """The median of each feature's known values (0 for none), selected exactly. A row stands for ``count`` rows, if that is given."""
+    known = [F.col(f).cast("double") for f in features]
+    cells = F.array(*[F.struct(F.lit(k).alias("m"), F.when(~F.isnan(v), v).alias("value")) for k, v in enumerate(known)])
+    own = [F.col(count).alias("n")] if count else []
+    flat = rows.select(F.struct(F.lit(0).alias("_all")).alias("key"), *own, F.explode(cells).alias("c")).where("c.value IS NOT NULL")
+    names = [f"f{k}" for k in range(len(features))]
+    found = counted_quantiles(flat.select("key", "c.m", "c.value", *(["n"] if own else [])), [], {x: (k, 0.5) for k, x in enumerate(names)}).first()
+    return [0.0 if found is None or found[x] is None else float(found[x]) for x in names]
 
 
 def _prepared(rows: DataFrame, features: list[str], label: str, classes: int, weight: str | None) -> tuple[DataFrame, list[float], list[float]]:
-    """Narrow staged rows (x, y, w in units), medians, and the weight of each class. Rows without a class are left out."""
-    medians = feature_medians(rows, features)
+    """Narrow staged rows (x, y, w in units, n: how many equal ones), medians, and the weight of each class. Rows without a
+    class are left out."""
     w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
-    narrow = rows.where(F.col(label).isNotNull()).select(_vector(features, medians).alias("x"), F.col(label).cast("int").alias("y"), F.round(w * UNIT).cast("long").alias("w")).where(F.col("y").between(0, classes - 1))
-    table = staged(spread(narrow), "trees-rows")  # read once for each level
-    found = table.groupBy("y").agg(F.sum("w").alias("w")).collect()  # one row for each class
+    names = [f"x{k}" for k in range(len(features))]
+    narrow = spread(rows).select(*[F.col(f).cast("double").alias(x) for f, x in zip(features, names, strict=True)], F.col(label).cast("int").alias("y"), F.round(w * UNIT).cast("long").alias("w"))
+    cells = staged(_dealt(narrow.groupBy(*names, "y", "w").agg(F.count("*").alias("n"))), "trees-rows")
+    medians = feature_medians(cells, names, "n")
+    table = cells.select(_vector(names, medians).alias("x"), "y", "w", "n").where(F.col("y").between(0, classes - 1))
+    table._staged_path = cells._staged_path
+    found = table.groupBy("y").agg(F.sum(F.col("w") * F.col("n")).alias("w")).collect()  # one row for each class
     shares = [0.0] * classes
     for r in found:
         shares[r.y] = r.w / UNIT
     return table, medians, shares
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` evenly in at least as many parts as there are cores: they are read once for each level."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
+def _packed(table: DataFrame, change: Callable[[np.ndarray], np.ndarray], again: bool = False) -> DataFrame:
+    """``table`` with the numbers that ``change`` makes of its features as bytes, staged in its place; with ``again``, rows that
+    have become equal are one."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([_bytes(change(x)), *(batch.column(i) for i in range(1, 4))], names=["x", "y", "w", "n"])
+
+    out = table.mapInArrow(run, "x binary, y int, w long, n long")
+    if again:
+        out = _dealt(out.groupBy("x", "y", "w").agg(F.sum("n").alias("n")))
+    out = staged(out, "trees-packed")
+    release(table)
+    return out
+
+
+def _bytes(x: np.ndarray):
+    """An Arrow array with the bytes of each row of ``x``."""
+    import pyarrow as pa
+
+    x = np.ascontiguousarray(x)
+    width = x.itemsize * x.shape[1]
+    ends = np.arange(len(x) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(x.tobytes())])
+
+
+def _unpacked(column, kind) -> np.ndarray:
+    """Rows of numbers out of a column made by :func:`_bytes`."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1)
+
+
 # --- boosting ----------------------------------------------------------------------------------------------------
 
 
-def bin_edges(rows: DataFrame, features: list[str], medians: list[float], bins: int) -> list[np.ndarray]:
+def bin_edges(rows: DataFrame, features: list[str], medians: list[float], bins: int, count: Column | None = None) -> list[np.ndarray]:
     """Upper edges of each feature's bins but the last: half-way between its distinct values if there are few, else quantiles
-    at equal steps of rank, selected exactly for all features together."""
+    at equal steps of rank, selected exactly for all features together. A row stands for ``count`` rows, if that is given."""
     x = {f: F.coalesce(F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")), F.lit(m)) for f, m in zip(features, medians, strict=True)}
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), c.alias("v")) for k, c in enumerate(x.values())])).alias("c")
     distinct = rows.select(cells).select("c.*").distinct()
@@ -159,7 +212,7 @@ def bin_edges(rows: DataFrame, features: list[str], medians: list[float], bins:
     many = [k for k in range(len(features)) if k not in known]
     if many:
         grid: dict[int, list[float]] = {}
-        for r in quantile_grid(rows, [x[features[k]] for k in many], bins).collect():  # ``bins`` rows a feature at most
+        for r in quantile_grid(rows, [x[features[k]] for k in many], bins, count).collect():  # ``bins`` rows a feature at most
             grid.setdefault(many[r.measure], []).append(r.value)
         for k, values in grid.items():
             edges[k] = np.unique(values)
@@ -182,20 +235,16 @@ def _rescored(table: DataFrame, model: Ensemble, since: int) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                raw = _raw(batch, model, since)
-                scores = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * raw.shape[1]), pa.array(raw.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), scores], names=["x", "y", "w", "s"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), _bytes(_raw(batch, model, since))], names=["x", "y", "w", "n", "s"])
 
-    out = staged(table.mapInArrow(run, "x array<double>, y int, w long, s array<double>"), "trees-scores")
+    out = staged(table.mapInArrow(run, "x binary, y int, w long, n long, s binary"), "trees-scores")
     release(table)
     return out
 
 
 def _raw(batch, model: Ensemble, since: int) -> np.ndarray:
-    x = _arrays(batch, len(model.features))[0]
-    if batch.num_columns < 4:
-        return model.raw(x)
-    return model.raw(x, np.asarray(batch.column(3).flatten().to_numpy(zero_copy_only=False)).reshape(len(x), -1), since)
+    x = _unpacked(batch.column(0), BIN)
+    return model.raw(x) if batch.num_columns < 5 else model.raw(x, _unpacked(batch.column(4), np.float64), since)
 
 
 def _summed(at: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
@@ -216,6 +265,7 @@ def _histograms(model: Ensemble, since: int, growing: list[Tree], open_nodes: li
         import pyarrow as pa
 
         size = max(len(e) for e in edges) + 1
+        apart = [f for f, e in enumerate(edges) if f == 0 or len(e)]  # features that can split; the first also has a node's sums
         places = [np.full(len(t.feature), -1, dtype=np.int64) for t in growing]
         for k, nodes in enumerate(open_nodes):
             places[k][nodes] = np.arange(len(nodes))
@@ -223,22 +273,21 @@ def _histograms(model: Ensemble, since: int, growing: list[Tree], open_nodes: li
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y, w = _arrays(batch, len(edges))
+            x, y, w, n = _arrays(batch, BIN)
             g, h = _gradients(y, _raw(batch, model, since), model)
-            g, h = (np.rint(v * w[:, None]).astype(np.int64) for v in (g, h))
-            binned = np.stack([np.searchsorted(e, x[:, f], side="left") + f * size for f, e in enumerate(edges)], axis=1)
+            g, h = (np.rint(v * w[:, None]).astype(np.int64) * n[:, None] for v in (g, h))
+            binned = x + np.arange(len(edges)) * size
             for k, tree in enumerate(growing):
                 place = places[k][tree.leaf_of(x)]
                 inside = place >= 0
                 if not inside.any():
                     continue
                 base = place[inside] * (len(edges) * size)
-                own = (g[inside, k], h[inside, k])
-                for f in range(len(edges)):
+                own = (g[inside, k], h[inside, k], n[inside])
+                for f in apart:
                     at = base + binned[inside, f]
                     for i, v in enumerate(own):
                         sums[k][i].ravel()[:] += _summed(at, v, sums[k][i].size)
-                    sums[k][2].ravel()[:] += np.bincount(at, minlength=sums[k][2].size)
         for k, total in enumerate(sums):
             node, f, b = np.nonzero(total[2])
             columns = [np.full(len(node), k), np.asarray(open_nodes[k], dtype=np.int64)[node], f, b]
@@ -301,17 +350,19 @@ def fit_boosting(
     shown = np.maximum(np.asarray(shares) / sum(shares), 1e-12)
     start = [float(np.log(shown[1] / shown[0]))] if classes == 2 else [float(x) for x in np.log(shown)]
     model = Ensemble("boosting", features, medians, classes, start, [])
-    edges = bin_edges(table.select(*[F.col("x")[k].alias(f) for k, f in enumerate(features)]), features, medians, bins)
+    edges = bin_edges(table.select("n", *[F.col("x")[k].alias(f) for k, f in enumerate(features)]), features, medians, bins, F.col("n"))
+    table = _packed(table, lambda x: np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1).astype(BIN), True)
+    binned = Ensemble("boosting", features, medians, classes, start, [])  # the same trees, with numbers of bins for thresholds
     since = 0
     for done in range(max_iter):
         if done and done % RESTAGE == 0:
-            table, since = _rescored(table, model, since), len(model.trees)
+            table, since = _rescored(table, binned, since), len(binned.trees)
         trees = [Tree() for _ in start]
         gains: list[dict] = [{} for _ in trees]
         totals: list[dict] = [{} for _ in trees]
         wanted = [[0] for _ in trees]
         while any(wanted):
-            run, schema = _histograms(model, since, trees, wanted, edges)
+            run, schema = _histograms(binned, since, trees, wanted, edges)
             found = table.mapInArrow(run, schema).groupBy("tree", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
             _note(found.toPandas(), trees, wanted, gains, totals, len(edges), max(len(e) for e in edges) + 1, l2, min_samples_leaf)
             wanted = [[] for _ in trees]
@@ -324,10 +375,12 @@ def fit_boosting(
                         break
                     for node in ready:  # its gain is known: it gets children, whose gains aren't
                         _, f, b = gains[k][node]
-                        tree.split(node, f, edges[f][b])
+                        tree.split(node, f, b)
         for k, tree in enumerate(trees):
             chosen, _ = _best_first(tree, gains[k], max_leaf_nodes)
-            model.trees.append((k, _pruned(tree, set(chosen), totals[k], l2, learning_rate)))
+            grown = _pruned(tree, set(chosen), totals[k], l2, learning_rate)
+            binned.trees.append((k, grown))
+            model.trees.append((k, replace(grown, threshold=[float(edges[f][int(b)]) if f >= 0 else 0.0 for f, b in zip(grown.feature, grown.threshold, strict=True)])))
         if all(len(t.feature) == 1 for _, t in model.trees[-len(trees) :]):
             break  # nothing left to learn
     release(table)
@@ -398,9 +451,12 @@ def _ranges(trees: list[Tree], nodes: list[list[int]], n_features: int, classes:
         low = [np.full((len(x), n_features), np.inf) for x in nodes]
         high = [np.full((len(x), n_features), -np.inf) for x in nodes]
         for batch in batches:
-            x, y, w = _arrays(batch, n_features)
+            if not batch.num_rows:
+                continue
+            x, y, w, n = _arrays(batch, np.float64)
+            w = w * n
             for t, tree in enumerate(trees):
-                if not nodes[t] or not len(x):
+                if not nodes[t]:
                     continue
                 place = spot[t][tree.leaf_of(x)]
                 inside = place >= 0
@@ -408,7 +464,7 @@ def _ranges(trees: list[Tree], nodes: list[list[int]], n_features: int, classes:
                     continue
                 place, own = place[inside], x[inside]
                 count[t] += _summed(place * classes + y[inside], w[inside], count[t].size).reshape(count[t].shape)
-                rows[t] += np.bincount(place, minlength=len(rows[t]))
+                rows[t] += _summed(place, n[inside], len(rows[t]))
                 order = np.argsort(place, kind="stable")  # rows of a node stand together
                 begin = np.flatnonzero(np.append(True, np.diff(place[order]) != 0))
                 node = place[order][begin]
@@ -429,9 +485,8 @@ def _spots(trees: list[Tree], nodes: list[list[int]]) -> list[np.ndarray]:
     return out
 
 
-def _arrays(batch, n_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, n_features)
-    return x, *(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+def _arrays(batch, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return _unpacked(batch.column(0), kind), *(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
 
 
 def _scores(trees: list[Tree], tried: list[dict[int, tuple]], n_features: int, classes: int):
@@ -441,26 +496,31 @@ def _scores(trees: list[Tree], tried: list[dict[int, tuple]], n_features: int, c
     def run(batches):
         import pyarrow as pa
 
-        count = [{node: np.zeros((len(c[0]), classes), dtype=np.int64) for node, c in own.items()} for own in tried]
-        rows = [{node: np.zeros(len(c[0]), dtype=np.int64) for node, c in own.items()} for own in tried]
+        spot = _spots(trees, [list(own) for own in tried])
+        most = [max((len(c[0]) for c in own.values()), default=0) for own in tried]
+        feature = [np.zeros((len(own), k), dtype=np.int64) for own, k in zip(tried, most, strict=True)]
+        threshold = [np.full((len(own), k), -np.inf) for own, k in zip(tried, most, strict=True)]  # a node may have fewer choices
+        for t, own in enumerate(tried):
+            for i, (features, thresholds) in enumerate(own.values()):
+                feature[t][i, : len(features)], threshold[t][i, : len(features)] = features, thresholds
+        count = [np.zeros((len(own), k, classes), dtype=np.int64) for own, k in zip(tried, most, strict=True)]
+        rows = [np.zeros((len(own), k), dtype=np.int64) for own, k in zip(tried, most, strict=True)]
         for batch in batches:
-            x, y, w = _arrays(batch, n_features)
+            if not batch.num_rows:
+                continue
+            x, y, w, n = _arrays(batch, np.float64)
+            w = w * n
             for t, tree in enumerate(trees):
-                leaf = tree.leaf_of(x) if tried[t] and len(x) else None
-                if leaf is None:
+                if not tried[t]:
                     continue
-                order = np.argsort(leaf, kind="stable")
-                bounds = np.searchsorted(leaf[order], np.arange(len(tree.feature) + 1))
-                for node, (features, thresholds) in tried[t].items():
-                    at = order[bounds[node] : bounds[node + 1]]
-                    if not len(at):
-                        continue
-                    left = x[at][:, features] <= thresholds
-                    rows[t][node] += left.sum(axis=0)
-                    for k in range(classes):
-                        own = y[at] == k
-                        count[t][node][:, k] += left[own].T.astype(np.int64) @ w[at][own]
-        out = [(t, node, i, int(rows[t][node][i]), count[t][node][i].tolist()) for t, own in enumerate(tried) for node, c in own.items() for i in range(len(c[0]))]
+                place = spot[t][tree.leaf_of(x)]
+                inside = np.flatnonzero(place >= 0)
+                place = place[inside]
+                row, choice = np.nonzero(x[inside[:, None], feature[t][place]] <= threshold[t][place])
+                at, own = place[row] * most[t] + choice, inside[row]
+                rows[t] += _summed(at, n[own], rows[t].size).reshape(rows[t].shape)
+                count[t] += _summed(at * classes + y[own], w[own], count[t].size).reshape(count[t].shape)
+        out = [(t, node, i, int(rows[t][j, i]), count[t][j, i].tolist()) for t, own in enumerate(tried) for j, (node, c) in enumerate(own.items()) for i in range(len(c[0]))]
         columns = list(zip(*out, strict=True)) if out else [[] for _ in range(5)]
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["tree", "node", "choice", "n", "classes"])
@@ -487,6 +547,7 @@ def fit_extra_trees(
     table, medians, shares = _prepared(rows, features, label, classes, weight)
     if sum(shares) <= 0:
         raise ValueError("no rows to learn from")
+    table = _packed(table, lambda x: x)
     n = len(features)
     k = max(1, int(n**0.5)) if max_features == "sqrt" else n if max_features in (None, "all") else int(max_features)
     model = Ensemble("mean", features, medians, classes, [0.0] * classes, [])

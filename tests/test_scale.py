@@ -150,3 +150,12 @@ def test_prior_mean_equals_brute_force(spark):
         before = [x for _, d, i, x in sorted((q for q in rows if q[0] == r.k and q[1] < r.d), key=lambda q: (q[1], q[2]))][-5:]
         known = [x for x in before if x is not None]
         assert (r.m is None) == (not known) and (not known or np.isclose(r.m, sum(known) / len(known)))
+
+
+def test_few_values_are_ranked_at_once_and_many_by_digits(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id % 2 AS g", "CASE WHEN id % 7 <> 0 THEN sin(id) * 1000 END AS x")
+    wanted = {"low": (F.col("x"), 0.2), "mid": (F.col("x"), 0.5)}
+    find = lambda: sorted(map(tuple, selection.exact_quantiles(df, ["g"], wanted).collect()))
+    at_once = find()
+    monkeypatch.setattr(selection, "FEW", 10)
+    assert find() == at_once and len(at_once) == 2 and None not in at_once[0]

@@ -189,3 +189,15 @@ def test_summed_is_exact_beyond_doubles():
     at, v = np.array([0, 1, 0, 1]), np.array([2**60, 1, 1, 2**55 + 1])
     assert trees._summed(at, v, 3).tolist() == [2**60 + 1, 2**55 + 2, 0]
     assert trees._summed(at, np.array([5, -7, 1, 2]), 3).tolist() == [6, -5, 0]
+
+
+def test_equal_rows_are_one_cell_and_change_no_tree(spark):
+    """Fits pass over different rows with their number: ten copies of a table are no more work than the table."""
+    rows = table(200, 17)
+    many = frame(spark, [(f"{r[0]}/{k}", *r[1:]) for r in rows for k in range(10)])
+    cells, _, shares = trees._prepared(many, FEATURES, "label", 3, "weight")
+    assert cells.count() <= 200 and cells.agg(F.sum("n")).first()[0] == 2000 and abs(sum(shares) - 10 * sum(r[5] for r in rows)) < 1e-6
+    params = {"max_iter": 2, "learning_rate": 0.3, "max_leaf_nodes": 4, "bins": 16}
+    x, y, w = matrix([r for r in rows for _ in range(10)])
+    model = trees.fit_boosting(many, FEATURES, "label", 3, "weight", min_samples_leaf=20, l2=0.5, **params)
+    assert np.allclose(model.raw(x), plain_boosting(x, y, w, 3, 2, 0.3, 4, 0.5, 16, 20), atol=1e-6)
