@@ -67,11 +67,14 @@ def l02_model_families(t):
 @query("l02_blend")
 def l02_blend(t):
     """The two best of three experiments on held-out rows, blended, beside its parts."""
-    rows = models.with_indicators(_planted(t), _PLANTED)
-    found = {}
-    for family, target, params in _FAMILIES[:4:2] + _FAMILIES[3:4]:
-        model, _, share = models.fit(rows.where("NOT held_out"), _PLANTED, family, target, **params)
-        found[family] = staged(models.predict(model, rows.where("held_out"), target, share), "blend-part")
+    train, held_out = _planted_parts(t)
+
+    def run(family, target, params):
+        model, _, share = models.fit(train, _PLANTED, family, target, **params)
+        return staged(models.predict(model, held_out, target, share), "blend-part")
+
+    chosen = _FAMILIES[:4:2] + _FAMILIES[3:4]
+    found = dict(zip([x[0] for x in chosen], models.side_by_side([partial(run, *x) for x in chosen]), strict=True))
     blended, names = models.blend(found)
     out = models.report(blended).withColumn("parts", F.lit("+".join(sorted(names))))
     for name, predictions in found.items():
